@@ -1,6 +1,7 @@
 """Imports every query module so the registry is complete."""
 
 from roomledger.plans import report_queries  # noqa: F401
+from roomledger.plans import filter_join_queries  # noqa: F401
 from roomledger.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
