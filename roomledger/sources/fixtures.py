@@ -154,13 +154,21 @@ def _closure(names) -> list[str]:
 def oracle_with(sql: str, *tables: str) -> str:
     """Prefix ``sql`` with the CTEs that build ``tables`` from the base views."""
     order = _closure(tables)
+    sql = sql.strip()
     if not order:
-        return sql.strip()
+        return sql
     ctes = []
     for n in order:
         body = MAPPINGS[n].format(**{d: d for d in DEPS[n]})
         ctes.append(f"{n} AS ({body.strip()})")
-    return "WITH " + ",\n".join(ctes) + "\n" + sql.strip()
+    head = "WITH "
+    upper = sql.upper()
+    if upper.startswith("WITH RECURSIVE"):
+        head, sql = "WITH RECURSIVE ", sql[len("WITH RECURSIVE"):].lstrip()
+        return head + ",\n".join(ctes) + ",\n" + sql
+    if upper.startswith("WITH"):
+        return head + ",\n".join(ctes) + ",\n" + sql[4:].lstrip()
+    return head + ",\n".join(ctes) + "\n" + sql
 
 
 class Fixtures:
