@@ -4,6 +4,7 @@ from roomledger.plans import report_queries  # noqa: F401
 from roomledger.plans import filter_join_queries  # noqa: F401
 from roomledger.plans import overlap_queries  # noqa: F401
 from roomledger.plans import audit_queries  # noqa: F401
+from roomledger.plans import validate_queries  # noqa: F401
 from roomledger.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
