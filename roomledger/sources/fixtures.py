@@ -75,6 +75,12 @@ FROM {events}""",
     "notifications": """
 SELECT event_id AS id, user_id, event_type AS title, event_id % 3 <> 0 AS is_read, ts AS sent_at
 FROM {events}""",
+    # mark-read requests: a 200 response targets one notification (every
+    # other one someone else's), a 400 response stands for "all of mine"
+    "read_requests": """
+SELECT request_id, user_id, CASE WHEN status_code = 200 THEN request_id + request_id % 2 END AS notification_id,
+  ts AS requested_at
+FROM {requests}""",
     "estados_reserva": """
 SELECT * FROM (VALUES (1, 'Pendiente'), (2, 'Aprobada'), (3, 'Rechazada'), (4, 'Cancelada'), (5, 'No-show'),
   (6, 'En Curso'), (7, 'Finalizada')) AS t(id_estado, nombre)""",
@@ -127,6 +133,7 @@ DEPS: dict[str, tuple[str, ...]] = {
     "audit_log": ("events",),
     "requests": ("events",),
     "notifications": ("events",),
+    "read_requests": ("requests",),
     "estados_reserva": (),
     "config": (),
     "reservas": ("reservations",),
