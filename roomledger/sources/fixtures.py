@@ -113,6 +113,39 @@ SELECT c_custkey AS submission_id,
   CASE WHEN c_custkey % 17 = 0 THEN 'otro' ELSE 'organizador' END AS role, c_mktsegment AS department,
   CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '555-0100' ELSE 'abc' END AS phone
 FROM {customer}""",
+    # user rows arriving for insertion (new ids, keyed by email)
+    "new_users": """
+SELECT submission_id + 1000000000 AS user_id, concat(first_name, ' ', last_name) AS user_name, email, role,
+  department, true AS is_active
+FROM {user_submissions}""",
+    # partial user updates: which fields were sent is explicit (set_*)
+    "user_changes": """
+SELECT submission_id AS user_id, submission_id AS change_seq, role,
+  CASE WHEN phone IS NULL THEN NULL ELSE department END AS department,
+  submission_id % 3 <> 1 AS set_role, submission_id % 3 <> 0 AS set_department,
+  password, true AS set_password
+FROM {user_submissions}""",
+    # DELETE requests as deactivations (some target the requester)
+    "deactivations": """
+SELECT CASE WHEN request_id % 7 = 0 THEN user_id ELSE request_id % 1500 + 1 END AS user_id, user_id AS actor_id
+FROM {requests} WHERE method = 'DELETE'""",
+    # time changes for existing reservations (a null start keeps the current one)
+    "reschedules": """
+SELECT request_id AS change_id, request_id AS reservation_id,
+  CASE WHEN request_id % 5 = 0 THEN NULL ELSE start_time END AS start_time, end_time
+FROM {booking_requests}""",
+    # a later snapshot of the state-id bookings: some approvals plus new rows
+    "reservas_next": """
+SELECT id_reserva, id_usuario, id_sala, asistentes, fecha, inicio_min, fin_min,
+  CASE WHEN id_estado = 1 AND id_reserva % 2 = 0 THEN 2 ELSE id_estado END AS id_estado, requiere_coffee,
+  fecha_creacion
+FROM {reservas}
+UNION ALL
+SELECT request_id + 1000000000 AS id_reserva, user_id AS id_usuario, room_id AS id_sala, attendees_count AS asistentes,
+  CAST(start_time AS DATE) AS fecha, CAST(hour(start_time) * 60 + minute(start_time) AS INTEGER) AS inicio_min,
+  CAST(hour(end_time) * 60 + minute(end_time) AS INTEGER) AS fin_min, 1 AS id_estado,
+  coffee_break = 'solicitado' AS requiere_coffee, requested_at AS fecha_creacion
+FROM {booking_requests}""",
     "room_submissions": """
 SELECT p_partkey AS submission_id, CASE WHEN p_partkey % 9 = 0 THEN 'x' ELSE p_name END AS name,
   p_size * 3 AS capacity, p_type AS description, p_brand AS location
@@ -140,6 +173,11 @@ DEPS: dict[str, tuple[str, ...]] = {
     "booking_requests": ("reservations",),
     "user_submissions": ("customer",),
     "room_submissions": ("part",),
+    "new_users": ("user_submissions",),
+    "user_changes": ("user_submissions",),
+    "deactivations": ("requests",),
+    "reschedules": ("booking_requests",),
+    "reservas_next": ("reservas", "booking_requests"),
 }
 
 
