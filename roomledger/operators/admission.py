@@ -95,7 +95,8 @@ def greedy_admit(pdf: pd.DataFrame, mode: str) -> pd.DataFrame:
             dl.insert(j, lo)
             dh.insert(j, hi)
         out.append((rid, not bad))
-    return pd.DataFrame(out, columns=["request_id", "admitted"])
+    return pd.DataFrame({"request_id": pd.Series([r for r, _ in out], dtype="int64"),
+                         "admitted": pd.Series([a for _, a in out], dtype=bool)})
 
 
 def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as_of, mode: str = "app",

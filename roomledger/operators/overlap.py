@@ -102,17 +102,12 @@ def _res_side(res: DataFrame, statuses) -> DataFrame:
                     F.to_date("start_time").alias("b_day")))
 
 
-def check_availability(slots: DataFrame, res: DataFrame, mode: str = "app", width: int = 3600) -> DataFrame:
-    """JOIN-6: per slot, how many blocking bookings of its room overlap it.
-
-    ``slots`` has (slot_id, room_id, start_time, end_time[, exclude_id]); the
-    optional ``exclude_id`` leaves one booking out (a reservation checked
-    against the others).  ``available`` is ``conflict_count == 0``.
-    Modes: ``app`` (pending/approved block, half-open), ``trigger``
-    (same start date, every status but cancelled/completed blocks, closed).
-    """
+def conflict_pairs(slots: DataFrame, res: DataFrame, mode: str = "app", width: int = 3600,
+                   carry: tuple[str, ...] = ()) -> DataFrame:
+    """(slot_id, room_id, b_id, *carry) for every blocking booking overlapping a
+    slot under ``mode``; stateless, so it also serves a stream-static join."""
     has_ex = "exclude_id" in slots.columns
-    a = slots.select("slot_id", "room_id",
+    a = slots.select("slot_id", "room_id", *carry,
                      (F.col("exclude_id") if has_ex else F.lit(None).cast("long")).alias("a_ex"),
                      epoch_seconds("start_time").alias("a_lo"), epoch_seconds("end_time").alias("a_hi"),
                      F.to_date("start_time").alias("a_day"))
@@ -125,6 +120,19 @@ def check_availability(slots: DataFrame, res: DataFrame, mode: str = "app", widt
     else:
         raise ValueError(f"unknown mode {mode!r}")
     pairs = pairs.filter(F.col("a_ex").isNull() | (F.col("a_ex") != F.col("b_id")))
+    return pairs.select("slot_id", "room_id", "b_id", *carry)
+
+
+def check_availability(slots: DataFrame, res: DataFrame, mode: str = "app", width: int = 3600) -> DataFrame:
+    """JOIN-6: per slot, how many blocking bookings of its room overlap it.
+
+    ``slots`` has (slot_id, room_id, start_time, end_time[, exclude_id]); the
+    optional ``exclude_id`` leaves one booking out (a reservation checked
+    against the others).  ``available`` is ``conflict_count == 0``.
+    Modes: ``app`` (pending/approved block, half-open), ``trigger``
+    (same start date, every status but cancelled/completed blocks, closed).
+    """
+    pairs = conflict_pairs(slots, res, mode, width)
     counts = pairs.groupBy("slot_id").agg(F.count(F.lit(1)).alias("conflict_count"))
     out = slots.join(counts, "slot_id", "left").withColumn(
         "conflict_count", F.coalesce(F.col("conflict_count"), F.lit(0)).cast("long"))

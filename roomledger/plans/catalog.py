@@ -8,6 +8,7 @@ from roomledger.plans import validate_queries  # noqa: F401
 from roomledger.plans import state_queries  # noqa: F401
 from roomledger.plans import change_queries  # noqa: F401
 from roomledger.plans import admission_queries  # noqa: F401
+from roomledger.plans import stream_queries  # noqa: F401
 from roomledger.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
