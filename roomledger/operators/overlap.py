@@ -154,15 +154,16 @@ MAX_ROOMS_IN_ARRAY = 200_000
 
 def available_rooms(slots: DataFrame, rooms: DataFrame, res: DataFrame, min_capacity: int | None = None,
                     width: int = 3600) -> DataFrame:
-    """JOIN-7: for each search window, the active rooms (capacity >= min) with
-    no overlapping blocking booking, ordered by name.
-
-    The answer is one row per window with the rooms as a name-ordered array.
-    Candidate rooms are a dimension: they are gathered into one array that
-    Spark evaluates once as a scalar subquery, after checking that the room
-    count is bounded.  Busy rooms come from the bucketed overlap join (no
-    slot x room product); the available list is ``array_except``.  Beyond
-    ``MAX_ROOMS_IN_ARRAY`` candidate rooms use ``busy_rooms`` directly.
+    """JOIN-7: for each search window, the ids of the active rooms (capacity >=
+    min) with no overlapping blocking booking, in room-name order.
+
+    The answer is one row per window with the room ids as an array (the
+    answer itself is windows x free rooms).  Candidate rooms are a
+    dimension: their ids are gathered once, in name order, into an array that
+    Spark evaluates as a scalar subquery, after checking that the room count
+    is bounded.  Busy rooms come from the bucketed overlap join (no window x
+    room product); the available list is ``array_except`` on primitive ids.
+    Beyond ``MAX_ROOMS_IN_ARRAY`` candidate rooms use ``busy_rooms``.
     """
     cand = rooms.filter(F.col("is_active"))
     if min_capacity:
@@ -170,14 +171,15 @@ def available_rooms(slots: DataFrame, rooms: DataFrame, res: DataFrame, min_capa
     n = cand.count()
     if n > MAX_ROOMS_IN_ARRAY:
         raise ValueError(f"{n} candidate rooms exceed the array bound; use busy_rooms()")
-    room_struct = F.struct(F.col("name"), F.col("room_id"))
-    all_rooms = cand.agg(F.array_sort(F.collect_list(room_struct)).alias("rooms")).scalar()
+    # candidate ids in name order, evaluated once; per window only the (few)
+    # busy ids are removed from this primitive array
+    all_ids = cand.agg(F.transform(F.array_sort(F.collect_list(F.struct("name", "room_id"))),
+                                   lambda x: x["room_id"]).alias("ids")).scalar()
     busy = (busy_rooms(slots, res, width)
-            .join(cand.select("room_id", "name"), "room_id")
-            .groupBy("slot_id").agg(F.collect_list(F.struct(F.col("name"), F.col("room_id"))).alias("busy")))
+            .groupBy("slot_id").agg(F.collect_list("room_id").alias("busy")))
     out = slots.join(busy, "slot_id", "left").withColumn(
-        "available_rooms", F.array_except(all_rooms, F.coalesce(F.col("busy"), F.array().cast(
-            "array<struct<name:string,room_id:bigint>>"))))
+        "available_rooms", F.when(F.col("busy").isNull(), all_ids)
+        .otherwise(F.array_except(all_ids, F.col("busy"))))
     return out.drop("busy")
 
 

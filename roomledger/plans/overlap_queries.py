@@ -57,7 +57,7 @@ def q_available_rooms(spark, d):
     out = O.available_rooms(windows, f.rooms, f.reservations, min_capacity=10)
     return out.select(
         "slot_id", "start_time", "end_time",
-        F.array_join(F.transform("available_rooms", lambda x: x["room_id"].cast("string")), ",")
+        F.array_join(F.transform("available_rooms", lambda x: x.cast("string")), ",")
          .alias("available_room_ids"),
         F.size("available_rooms").cast("long").alias("n_available"))
 

@@ -138,141 +138,9 @@ def booking_side_effects(new_reservas: DataFrame, audit_path: str, notice_path:
 
 
 # ---------------------------------------------------------------- STR-4, STR-7: timers
+# (bucketed event-time state, see roomledger.streaming.timers)
 
-
-NOSHOW_OUT = "id_reserva long, id_estado int, seq int"
-NOSHOW_STATE = "estado int, start_ms long, end_ms long, checked boolean, seq int"
-UNSEEN = -1
-RETAIN_UNSEEN_MS = 7 * 24 * 3600 * 1000
-
-
-def _no_show_fn(tolerance_ms: int):
-    """Per booking: a check-in moves any state to 6; timers: start + tolerance
-    (approved without check-in -> 5) and end (approved / in progress -> 7).
-    A timer fires once the watermark is past it, so the final state equals
-    the scheduler tick at ``as_of = watermark``.  State is dropped once the
-    booking has ended; check-ins of a booking not seen yet are kept for a
-    bounded retention."""
-    def next_timer(estado, start_ms, end_ms, checked):
-        return start_ms + tolerance_ms if (estado == 2 and not checked) else end_ms
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rid = key[0]
-        out = []
-        wm = state.getCurrentWatermarkMs()
-        if state.exists:
-            estado, start_ms, end_ms, checked, seq = state.get
-        else:
-            estado, start_ms, end_ms, checked, seq = UNSEEN, 0, 0, False, 0
-
-        def emit(v):
-            nonlocal seq
-            seq += 1
-            out.append((rid, v, seq))
-
-        if state.hasTimedOut:
-            if estado == UNSEEN:
-                state.remove()
-                yield pd.DataFrame(out, columns=["id_reserva", "id_estado", "seq"])
-                return
-            if estado == 2 and not checked and start_ms + tolerance_ms < wm:
-                estado = 5
-                emit(5)
-            if estado in (2, 6) and end_ms < wm:
-                estado = 7
-                emit(7)
-        else:
-            for pdf in pdfs:
-                for kind, st, s_ms, e_ms in zip(pdf["kind"], pdf["estado"], pdf["start_ms"], pdf["end_ms"]):
-                    if kind == "booking":
-                        if estado == UNSEEN:
-                            estado, start_ms, end_ms = int(st), int(s_ms), int(e_ms)
-                            if checked:
-                                estado = 6
-                                emit(6)
-                    else:
-                        checked = True
-                        if estado != UNSEEN:
-                            estado = 6
-                            emit(6)
-        if estado == UNSEEN:
-            state.update((estado, 0, 0, checked, seq))
-            state.setTimeoutTimestamp(max(wm, 0) + RETAIN_UNSEEN_MS)
-        elif estado in (2, 6) or end_ms >= wm:
-            # still waiting for a timer, or a late check-in may still arrive
-            state.update((estado, start_ms, end_ms, checked, seq))
-            nxt = next_timer(estado, start_ms, end_ms, checked) if estado in (2, 6) else end_ms
-            state.setTimeoutTimestamp(max(nxt, wm, 0))
-        else:
-            state.remove()
-        yield pd.DataFrame(out, columns=["id_reserva", "id_estado", "seq"])
-    return fn
-
-
-def no_show_detector(reservas: DataFrame, checkins: DataFrame, tolerance_minutes: int = 10,
-                     delay: str = "1 hour") -> DataFrame:
-    """STR-4: the scheduler's no-show and completion rules as event-time
-    timers per booking.
-
-    Booking rows (event time: creation) and check-in rows (event time: the
-    check-in) form one stream keyed by booking.  A check-in moves the booking
-    to En Curso (6); a timer at start + tolerance marks an approved booking
-    without check-in as No-show (5); a timer at its end finalizes approved or
-    in-progress bookings (7).  Timers fire when the watermark passes them,
-    matching ``tick(as_of=watermark)``.  Output: one row per state change.
-    """
-    start = F.make_timestamp_ntz(F.year("fecha"), F.month("fecha"), F.dayofmonth("fecha"), F.lit(0), F.lit(0),
-                                 F.lit(0))
-    b = reservas.select(
-        F.col("id_reserva"), F.lit("booking").alias("kind"), F.col("id_estado").alias("estado"),
-        ((F.unix_micros(start.cast("timestamp")) / 1000).cast("long") + F.col("inicio_min").cast("long") * 60000)
-        .alias("start_ms"),
-        ((F.unix_micros(start.cast("timestamp")) / 1000).cast("long") + F.col("fin_min").cast("long") * 60000)
-        .alias("end_ms"),
-        F.col("fecha_creacion").cast("timestamp").alias("event_time"))
-    c = checkins.select(
-        F.col("reservation_id").alias("id_reserva"), F.lit("checkin").alias("kind"),
-        F.lit(None).cast("int").alias("estado"), F.lit(None).cast("long").alias("start_ms"),
-        F.lit(None).cast("long").alias("end_ms"), F.col("checkin_at").cast("timestamp").alias("event_time"))
-    ev = b.unionByName(c).withWatermark("event_time", delay)
-    return ev.groupBy("id_reserva").applyInPandasWithState(
-        _no_show_fn(tolerance_minutes * 60000), NOSHOW_OUT, NOSHOW_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
-
-
-REMINDER_OUT = "reservation_id long, user_id long, room_id long, due_at timestamp"
-REMINDER_STATE = "user_id long, room_id long, due_ms long"
-
-
-def _reminder_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rid = key[0]
-    out = []
-    if state.hasTimedOut:
-        user, room, due = state.get
-        out.append((rid, user, room, pd.Timestamp(due, unit="ms")))
-        state.remove()
-    else:
-        for pdf in pdfs:
-            for user, room, due in zip(pdf["user_id"], pdf["room_id"], pdf["due_ms"]):
-                if not state.exists:
-                    state.update((int(user), int(room), int(due)))
-                    state.setTimeoutTimestamp(max(int(due), state.getCurrentWatermarkMs()) + 1)
-    yield pd.DataFrame(out, columns=["reservation_id", "user_id", "room_id", "due_at"])
-
-
-def reminder_timers(res: DataFrame, minutes: int = 30, delay: str = "1 hour") -> DataFrame:
-    """STR-7: one reminder per approved booking, fired by an event-time timer
-    ``minutes`` before it starts (event time of a booking: its creation).
-    A booking is reminded once; the state is dropped after firing."""
-    due = F.col("start_time") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes), F.lit(0))
-    r = (res.filter(F.col("status") == "aprobada")
-         .select("reservation_id", "user_id", "room_id",
-                 (F.unix_micros(due.cast("timestamp")) / 1000).cast("long").alias("due_ms"),
-                 F.col("created_at").cast("timestamp").alias("event_time"))
-         .withWatermark("event_time", delay))
-    out = r.groupBy("reservation_id").applyInPandasWithState(
-        _reminder_fn, REMINDER_OUT, REMINDER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return out.withColumn("due_at", _ntz("due_at"))
+from roomledger.streaming.timers import no_show_detector, reminder_timers  # noqa: E402,F401
 
 
 # ---------------------------------------------------------------- STR-8: admission with state
