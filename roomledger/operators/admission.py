@@ -99,8 +99,16 @@ def greedy_admit(pdf: pd.DataFrame, mode: str) -> pd.DataFrame:
                          "admitted": pd.Series([a for _, a in out], dtype=bool)})
 
 
+def _greedy_clusters(pdf: pd.DataFrame, mode: str) -> pd.DataFrame:
+    """Decide every (room, cluster) of one hash bucket independently."""
+    parts = [greedy_admit(g, mode) for _, g in pdf.groupby(["room_id", "cluster"], sort=False)]
+    if not parts:
+        return pd.DataFrame({"request_id": pd.Series([], dtype="int64"), "admitted": pd.Series([], dtype=bool)})
+    return pd.concat(parts, ignore_index=True)
+
+
 def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as_of, mode: str = "app",
-                       width: int = 86400, join_width: int = 3600) -> DataFrame:
+                       width: int = 86400, join_width: int = 3600, groups: int | None = None) -> DataFrame:
     """Decide every request of a batch; returns the requests plus ``decision``
     (invalid_time, room_not_found, capacity_exceeded, conflict_existing,
     conflict_batch or admitted), ``errors`` (VAL-1 codes) and
@@ -128,8 +136,12 @@ def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as
         "request_id", "room_id", epoch_seconds("start_time").alias("lo"), epoch_seconds("end_time").alias("hi"),
         F.to_date("start_time").cast("string").alias("day"), "requested_at")
     labeled = _cluster_labels(surv, width)
-    decided = labeled.groupBy("room_id", "cluster").applyInPandas(
-        lambda pdf: greedy_admit(pdf, mode), schema="request_id long, admitted boolean")
+    # many small clusters per Python call: group by a hash bucket of the
+    # cluster and decide each cluster of the bucket on its own inside
+    n_groups = groups or 4 * int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    decided = (labeled.withColumn("_g", F.pmod(F.xxhash64("room_id", "cluster"), F.lit(n_groups)))
+               .groupBy("_g").applyInPandas(lambda pdf: _greedy_clusters(pdf, mode),
+                                            schema="request_id long, admitted boolean"))
     v = v.join(decided, "request_id", "left")
     decision = (F.when(F.size("errors") > 0, "invalid_time")
                 .when(F.col("_cap").isNull(), "room_not_found")
