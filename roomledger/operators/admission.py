@@ -71,14 +71,24 @@ def _conflicts_with(acc_lo: list, acc_hi: list, lo: int, hi: int, closed: bool)
     return False
 
 
-def greedy_admit(pdf: pd.DataFrame, mode: str) -> pd.DataFrame:
-    """Arrival-order admission inside one overlap cluster (pandas helper)."""
-    pdf = pdf.sort_values(["requested_at", "request_id"], kind="mergesort")
+def greedy_admit(pdf: pd.DataFrame, mode: str, group_cols: tuple[str, ...] = ()) -> pd.DataFrame:
+    """Arrival-order admission (pandas helper).
+
+    Without ``group_cols`` the frame is one overlap cluster; with them, one
+    sorted pass decides every group, starting an empty admitted set whenever
+    the group changes.
+    """
+    keys = list(group_cols)
+    pdf = pdf.sort_values(keys + ["requested_at", "request_id"], kind="mergesort")
     app_lo: list = []
     app_hi: list = []
     by_day: dict = {}
     out = []
-    for rid, lo, hi, day in zip(pdf["request_id"], pdf["lo"], pdf["hi"], pdf["day"]):
+    gvals = list(zip(*[pdf[c].to_numpy() for c in keys])) if keys else [None] * len(pdf)
+    prev = object()
+    for g, rid, lo, hi, day in zip(gvals, pdf["request_id"], pdf["lo"], pdf["hi"], pdf["day"]):
+        if keys and g != prev:
+            app_lo, app_hi, by_day, prev = [], [], {}, g
         lo, hi = int(lo), int(hi)
         bad = False
         if mode in ("app", "both"):
@@ -101,10 +111,7 @@ def greedy_admit(pdf: pd.DataFrame, mode: str) -> pd.DataFrame:
 
 def _greedy_clusters(pdf: pd.DataFrame, mode: str) -> pd.DataFrame:
     """Decide every (room, cluster) of one hash bucket independently."""
-    parts = [greedy_admit(g, mode) for _, g in pdf.groupby(["room_id", "cluster"], sort=False)]
-    if not parts:
-        return pd.DataFrame({"request_id": pd.Series([], dtype="int64"), "admitted": pd.Series([], dtype=bool)})
-    return pd.concat(parts, ignore_index=True)
+    return greedy_admit(pdf, mode, ("room_id", "cluster"))
 
 
 def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as_of, mode: str = "app",
