@@ -5,7 +5,9 @@ schema; ``pathGlobFilter`` picks one table's files).  Event time is the
 booking table's NTZ column cast to ``timestamp`` (UTC session) before
 ``withWatermark``.  Every job is drained with ``Trigger.AvailableNow``;
 after the last data batch Spark runs a no-data batch that advances the
-watermark, so closed windows, sessions and due timers are emitted.
+watermark, so closed windows, sessions and due timers are emitted.  Rows
+older than the watermark of the previous micro-batch are dropped as late
+(Spark's rule for stateful operators; tested in tests/test_streaming.py).
 
 State is kept by Spark's state store (RocksDB provider in the session
 config) under the checkpoint location, so a lost executor or a restarted
