@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomledger.functions.core import as_datetime, at_minutes, minutes_interval, ts_lit
+from roomledger.session import ensure_checkpoint_dir
 
 ORDER_FIELDS = ("command_ts", "command", "seq_a", "seq_b", "actor_id", "reason", "dup_idx")
 COMMAND_COLS = ("reservation_id", "command", "command_ts", "seq_a", "seq_b", "actor_id", "reason")
@@ -114,7 +115,11 @@ def fold_commands(res_state: DataFrame, commands: DataFrame, m: Machine) -> tupl
     Returns (per-command rows with status_before / outcome / status_after,
     per-reservation exit table with S_0..S_depth).
     """
-    cmds = number_duplicates(commands).withColumn("_ord", _order())
+    # Every round reads the numbered commands and the previous round's state
+    # table; both are checkpointed to the shared checkpoint folder so they are
+    # computed once and a lost executor never replays the earlier rounds.
+    ensure_checkpoint_dir(commands.sparkSession)
+    cmds = number_duplicates(commands).withColumn("_ord", _order()).checkpoint()
     st = res_state.select("reservation_id", F.col("s0").alias("S0"), F.lit(True).alias("_found"))
     cur, prev_t = "S0", None
     for k in range(1, m.depth + 1):
@@ -128,6 +133,7 @@ def fold_commands(res_state: DataFrame, commands: DataFrame, m: Machine) -> tupl
         st = st.withColumn(f"S{k}", F.when(F.col(f"T{k}").isNotNull(),
                                          _next(m, F.col(cur), F.col(f"T{k}.command"))).otherwise(F.col(cur)))
         st = st.withColumn(f"_tp{k}", F.coalesce(F.col(f"T{k}"), F.col(prev_t)) if prev_t else F.col(f"T{k}"))
+        st = st.checkpoint()
         cur, prev_t = f"S{k}", f"_tp{k}"
     # state before each command
     j = cmds.join(st, "reservation_id", "left")
