@@ -97,6 +97,34 @@ def test_plans_have_no_nested_loop(spark):
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, plan
 
 
+def test_more_plans_have_no_nested_loop(spark):
+    res, slots = _data()
+    rdf = spark.createDataFrame(res, RES_SCHEMA)
+    sdf = spark.createDataFrame(slots, SLOT_SCHEMA)
+    reservas = rdf.select(F.col("reservation_id").alias("id_reserva"), F.col("room_id").alias("id_sala"),
+                          F.to_date("start_time").alias("fecha"), F.lit(540).alias("inicio_min"),
+                          F.lit(600).alias("fin_min"), F.lit(2).alias("id_estado"))
+    rooms = spark.createDataFrame([(0, "A", 10, "x", True), (1, "B", 10, "x", True)],
+                                  "room_id long, name string, capacity long, location string, is_active boolean")
+    for df in (O.booking_conflicts(reservas, reservas), O.available_rooms(sdf.drop("room_id"), rooms, rdf),
+               O.busy_rooms(sdf, rdf)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, plan
+
+
+def test_date_range_reaches_the_scan(spark):
+    import os
+    import tempfile
+    from roomledger.operators.filters import date_range
+    path = os.path.join(tempfile.mkdtemp(prefix="roomledger-scan-", dir="/tmp"), "res")
+    res, _ = _data()
+    spark.createDataFrame(res, RES_SCHEMA).write.parquet(path)
+    df = date_range(spark.read.parquet(path), "start_time", "2024-03-05", "2024-03-06").select("reservation_id")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(start_time), GreaterThanOrEqual(start_time," in plan, plan
+    assert "ReadSchema: struct<reservation_id:bigint,start_time:timestamp_ntz>" in plan, plan
+
+
 def test_available_rooms(spark):
     rooms = spark.createDataFrame([(1, "B room", 10, "x", True), (2, "A room", 4, "x", True),
                                    (3, "C room", 20, "x", False), (4, "D room", 12, "x", True)],
