@@ -33,7 +33,7 @@ too.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomledger.functions.core import ts_lit
@@ -102,6 +102,79 @@ def _res_side(res: DataFrame, statuses) -> DataFrame:
                     F.to_date("start_time").alias("b_day")))
 
 
+def _rank_count(points: DataFrame, queries: DataFrame, keys: list[str], strict: bool, width: int) -> DataFrame:
+    """For every query row (qid, keys, t): how many point rows (keys, t) have
+    t_point < t (``strict``) or t_point <= t -- without pairing them.
+
+    Points are counted per (keys, bucket); a running sum over those
+    aggregated rows (one per bucket, bounded by the time span) gives the
+    count of earlier buckets.  Inside the query's own bucket, points and
+    queries are sorted together and a running count of points is read at
+    each query row.
+    """
+    pb = points.select(*keys, "t").withColumn("_b", F.floor(F.col("t") / width))
+    qb = queries.select("qid", *keys, "t").withColumn("_b", F.floor(F.col("t") / width))
+    qkeys = qb.select(*keys, "_b").distinct()
+    per_bucket = pb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    u = (per_bucket.unionByName(qkeys.withColumn("_c", F.lit(0).cast("long")))
+         .groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")))
+    w_pre = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    pre = u.withColumn("_pre", F.coalesce(F.sum("_c").over(w_pre), F.lit(0))).select(*keys, "_b", "_pre")
+    pre = pre.join(qkeys, [*keys, "_b"], "left_semi")
+    # at equal t a query sorts before the points (strict) or after them
+    pts = (pb.join(qkeys, [*keys, "_b"], "left_semi")
+           .select(*keys, "_b", "t", F.lit(None).cast("long").alias("qid"), F.lit(1 if strict else 0).alias("_o"),
+                   F.lit(1).alias("_p")))
+    qs = qb.select(*keys, "_b", "t", "qid", F.lit(0 if strict else 1).alias("_o"), F.lit(0).alias("_p"))
+    w_in = Window.partitionBy(*keys, "_b").orderBy("t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    inb = pts.unionByName(qs).withColumn("_run", F.sum("_p").over(w_in)).filter(F.col("qid").isNotNull())
+    return inb.join(pre, [*keys, "_b"]).select("qid", (F.col("_run") + F.col("_pre")).alias("n"))
+
+
+def interval_counts(a: DataFrame, b: DataFrame, keys: list[str], mode: str, width: int = 3600) -> DataFrame:
+    """(qid, n): for every ``a`` row (qid, keys, a_lo, a_hi, a_ex) the number of
+    ``b`` rows (b_id, keys, b_lo, b_hi) with equal keys overlapping it under
+    ``mode`` ('app' or 'closed'), leaving out b_id = a_ex.
+
+    Proper intervals are counted without pairing rows:
+      app:    n = #{b_lo <  a_hi} - #{b_hi <= a_lo}
+      closed: n = #{b_lo <= a_hi} - #{b_hi <  a_lo}
+    (the second set lies inside the first).  Degenerate or inverted
+    intervals, on either side, go through the exact bucketed pair join, as
+    does the left-out row.
+    """
+    if mode == "app":
+        a_ok, b_ok = F.col("a_lo") < F.col("a_hi"), F.col("b_lo") < F.col("b_hi")
+        strict_start, strict_end = True, False
+    elif mode == "closed":
+        a_ok, b_ok = F.col("a_lo") <= F.col("a_hi"), F.col("b_lo") <= F.col("b_hi")
+        strict_start, strict_end = False, True
+    else:
+        raise ValueError(mode)
+    a = a.filter(F.col("a_lo").isNotNull() & F.col("a_hi").isNotNull())
+    b = b.filter(F.col("b_lo").isNotNull() & F.col("b_hi").isNotNull())
+    av, bv = a.filter(a_ok), b.filter(b_ok)
+    starts = _rank_count(bv.select(*keys, F.col("b_lo").alias("t")),
+                         av.select("qid", *keys, F.col("a_hi").alias("t")), keys, strict_start, width)
+    ends = _rank_count(bv.select(*keys, F.col("b_hi").alias("t")),
+                       av.select("qid", *keys, F.col("a_lo").alias("t")), keys, strict_end, width)
+    counted = starts.join(ends.withColumnRenamed("n", "_e"), "qid").select("qid", (F.col("n") - F.col("_e")).alias("n"))
+    # the left-out booking, when it was among the counted ones
+    ex = (av.filter(F.col("a_ex").isNotNull()).select("qid", *keys, "a_lo", "a_hi", F.col("a_ex").alias("b_id"))
+          .join(bv, ["b_id", *keys])
+          .filter(predicate(mode, F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi")))
+          .select("qid", F.lit(-1).cast("long").alias("n")))
+    # everything involving a degenerate or inverted interval: exact pairs
+    a_rest = a.filter(~a_ok)
+    odd = (overlap_pairs(a_rest.select("qid", *keys, "a_lo", "a_hi", "a_ex"), b.select("b_id", *keys, "b_lo", "b_hi"),
+                         keys, mode, width)
+           .unionByName(overlap_pairs(av.select("qid", *keys, "a_lo", "a_hi", "a_ex"),
+                                      b.filter(~b_ok).select("b_id", *keys, "b_lo", "b_hi"), keys, mode, width))
+           .filter(F.col("a_ex").isNull() | (F.col("a_ex") != F.col("b_id")))
+           .select("qid", F.lit(1).cast("long").alias("n")))
+    return counted.unionByName(ex).unionByName(odd).groupBy("qid").agg(F.sum("n").alias("n"))
+
+
 def conflict_pairs(slots: DataFrame, res: DataFrame, mode: str = "app", width: int = 3600,
                    carry: tuple[str, ...] = ()) -> DataFrame:
     """(slot_id, room_id, b_id, *carry) for every blocking booking overlapping a
@@ -131,9 +204,25 @@ def check_availability(slots: DataFrame, res: DataFrame, mode: str = "app", widt
     against the others).  ``available`` is ``conflict_count == 0``.
     Modes: ``app`` (pending/approved block, half-open), ``trigger``
     (same start date, every status but cancelled/completed blocks, closed).
+
+    Counted with ``interval_counts``: no slot x booking pairs are formed for
+    proper intervals, so a room-hour holding a third of all rows costs a
+    sort, not its square.
     """
-    pairs = conflict_pairs(slots, res, mode, width)
-    counts = pairs.groupBy("slot_id").agg(F.count(F.lit(1)).alias("conflict_count"))
+    has_ex = "exclude_id" in slots.columns
+    a = slots.select(F.col("slot_id").alias("qid"), "room_id",
+                     (F.col("exclude_id") if has_ex else F.lit(None).cast("long")).alias("a_ex"),
+                     epoch_seconds("start_time").alias("a_lo"), epoch_seconds("end_time").alias("a_hi"),
+                     F.to_date("start_time").alias("_day"))
+    if mode == "app":
+        b = _res_side(res, APP_BLOCKING)
+        counts = interval_counts(a.drop("_day"), b.drop("b_day"), ["room_id"], "app", width)
+    elif mode == "trigger":
+        b = _res_side(res, TRIGGER_BLOCKING_STATUSES).withColumnRenamed("b_day", "_day")
+        counts = interval_counts(a, b, ["room_id", "_day"], "closed", width)
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
+    counts = counts.select(F.col("qid").alias("slot_id"), F.col("n").alias("conflict_count"))
     out = slots.join(counts, "slot_id", "left").withColumn(
         "conflict_count", F.coalesce(F.col("conflict_count"), F.lit(0)).cast("long"))
     return out.withColumn("available", F.col("conflict_count") == 0)
@@ -193,10 +282,10 @@ def booking_conflicts(reservas: DataFrame, new: DataFrame, width: int = 60) -> D
     b = (reservas.filter(~F.col("id_estado").isin(*TRIGGER_NON_BLOCKING_STATES))
          .select("id_sala", "fecha", F.col("id_reserva").alias("b_id"),
                  F.col("inicio_min").alias("b_lo"), F.col("fin_min").alias("b_hi")))
-    a = new.select(F.col("id_reserva").alias("a_id"), "id_sala", "fecha",
+    a = new.select(F.col("id_reserva").alias("qid"), "id_sala", "fecha", F.lit(None).cast("long").alias("a_ex"),
                    F.col("inicio_min").alias("a_lo"), F.col("fin_min").alias("a_hi"))
-    pairs = overlap_pairs(a, b, ["id_sala", "fecha"], "closed", width)
-    hit = pairs.select(F.col("a_id").alias("id_reserva")).distinct().withColumn("conflict", F.lit(True))
+    counts = interval_counts(a, b, ["id_sala", "fecha"], "closed", width)
+    hit = counts.filter(F.col("n") > 0).select(F.col("qid").alias("id_reserva"), F.lit(True).alias("conflict"))
     return new.join(hit, "id_reserva", "left").withColumn("conflict", F.coalesce(F.col("conflict"), F.lit(False)))
 
 
