@@ -12,9 +12,13 @@ join on (key..., bucket) with the exact overlap predicate as a residual.
   so no distinct/dedupe shuffle is needed.
 * Candidate pairs in one (key, bucket) are bookings of the same room within
   the same hour, so nearly all of them really overlap: the work follows the
-  size of the answer, not the square of a room's history.  A room that
-  holds a third of all rows is still spread over its buckets, and AQE's
-  skew-join split handles a hot (room, bucket).
+  size of the answer.  This pair join serves the operators whose answer is
+  pairs (JOIN-9, busy rooms) and the stateless stream-static join.
+* Operators whose answer is a count or a yes/no per slot (JOIN-6, JOIN-8,
+  and ST-3 / ST-4 through them) never form pairs: ``interval_counts``
+  turns overlap into differences of rank counts, computed from per-bucket
+  prefix sums and sorted runs inside a bucket, so even a room-hour that
+  holds a third of all rows costs a sort, not its square.
 
 Overlap predicates (``a`` = candidate / slot, ``b`` = existing booking):
 
@@ -102,33 +106,47 @@ def _res_side(res: DataFrame, statuses) -> DataFrame:
                     F.to_date("start_time").alias("b_day")))
 
 
-def _rank_count(points: DataFrame, queries: DataFrame, keys: list[str], strict: bool, width: int) -> DataFrame:
-    """For every query row (qid, keys, t): how many point rows (keys, t) have
-    t_point < t (``strict``) or t_point <= t -- without pairing them.
+def _rank_count(points: DataFrame, queries: DataFrame, keys: list[str], strict, width: int) -> DataFrame:
+    """For every query row (qid, keys, t): how many point rows with the same
+    keys have t_point < t (``strict`` true for that row) or t_point <= t --
+    without pairing them.  ``strict`` is a boolean Column over the keys.
 
-    Points are counted per (keys, bucket); a running sum over those
-    aggregated rows (one per bucket, bounded by the time span) gives the
-    count of earlier buckets.  Inside the query's own bucket, points and
-    queries are sorted together and a running count of points is read at
-    each query row.
+    Points and queries are counted per (keys, bucket) in one partially
+    aggregated pass; a running sum over those aggregated rows (one per
+    bucket, bounded by the time span) gives the points of earlier buckets.
+    Inside a bucket, points and queries are sorted together and a running
+    count of points is read at each query row.
     """
     pb = points.select(*keys, "t").withColumn("_b", F.floor(F.col("t") / width))
     qb = queries.select("qid", *keys, "t").withColumn("_b", F.floor(F.col("t") / width))
-    qkeys = qb.select(*keys, "_b").distinct()
-    per_bucket = pb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    u = (per_bucket.unionByName(qkeys.withColumn("_c", F.lit(0).cast("long")))
-         .groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")))
+    per = (pb.select(*keys, "_b", F.lit(1).alias("_c")).unionByName(qb.select(*keys, "_b", F.lit(0).alias("_c")))
+           .groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")))
     w_pre = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    pre = u.withColumn("_pre", F.coalesce(F.sum("_c").over(w_pre), F.lit(0))).select(*keys, "_b", "_pre")
-    pre = pre.join(qkeys, [*keys, "_b"], "left_semi")
+    pre = per.select(*keys, "_b", F.coalesce(F.sum("_c").over(w_pre), F.lit(0)).alias("_pre"))
     # at equal t a query sorts before the points (strict) or after them
-    pts = (pb.join(qkeys, [*keys, "_b"], "left_semi")
-           .select(*keys, "_b", "t", F.lit(None).cast("long").alias("qid"), F.lit(1 if strict else 0).alias("_o"),
-                   F.lit(1).alias("_p")))
-    qs = qb.select(*keys, "_b", "t", "qid", F.lit(0 if strict else 1).alias("_o"), F.lit(0).alias("_p"))
+    pts = pb.select(*keys, "_b", "t", F.lit(None).cast("long").alias("qid"),
+                    F.when(strict, 1).otherwise(0).alias("_o"), F.lit(1).alias("_p"))
+    qs = qb.select(*keys, "_b", "t", "qid", F.when(strict, 0).otherwise(1).alias("_o"), F.lit(0).alias("_p"))
     w_in = Window.partitionBy(*keys, "_b").orderBy("t", "_o").rowsBetween(Window.unboundedPreceding, 0)
     inb = pts.unionByName(qs).withColumn("_run", F.sum("_p").over(w_in)).filter(F.col("qid").isNotNull())
-    return inb.join(pre, [*keys, "_b"]).select("qid", (F.col("_run") + F.col("_pre")).alias("n"))
+    return inb.join(pre, [*keys, "_b"]).select("qid", *keys, (F.col("_run") + F.col("_pre")).alias("n"))
+
+
+# Rank-count terms per class of booking interval: (class, term id, booking
+# column, slot column, strict comparison, sign).  For a proper slot [A, B]:
+#   app,    proper     b_lo <  B  minus  b_hi <= A
+#   app,    degenerate b_lo <= B  minus  b_lo <  A   (the point lies in [A, B])
+#   app,    inverted   b_hi <= B  minus  b_lo <  A   (A <= b_lo and b_hi <= B)
+#   closed, proper     b_lo <= B  minus  b_hi <  A
+#   closed, inverted   b_lo <= B  minus  b_lo <  A   (b_lo lies in [A, B])
+# In each line the subtracted set lies inside the first one.
+_TERMS = {
+    "app": (("p", 0, "b_lo", "a_hi", True, 1), ("p", 1, "b_hi", "a_lo", False, -1),
+            ("d", 2, "b_lo", "a_hi", False, 1), ("d", 3, "b_lo", "a_lo", True, -1),
+            ("i", 4, "b_hi", "a_hi", False, 1), ("i", 5, "b_lo", "a_lo", True, -1)),
+    "closed": (("p", 0, "b_lo", "a_hi", False, 1), ("p", 1, "b_hi", "a_lo", True, -1),
+               ("i", 2, "b_lo", "a_hi", False, 1), ("i", 3, "b_lo", "a_lo", True, -1)),
+}
 
 
 def interval_counts(a: DataFrame, b: DataFrame, keys: list[str], mode: str, width: int = 3600) -> DataFrame:
@@ -136,40 +154,44 @@ def interval_counts(a: DataFrame, b: DataFrame, keys: list[str], mode: str, widt
     ``b`` rows (b_id, keys, b_lo, b_hi) with equal keys overlapping it under
     ``mode`` ('app' or 'closed'), leaving out b_id = a_ex.
 
-    Proper intervals are counted without pairing rows:
-      app:    n = #{b_lo <  a_hi} - #{b_hi <= a_lo}
-      closed: n = #{b_lo <= a_hi} - #{b_hi <  a_lo}
-    (the second set lies inside the first).  Degenerate or inverted
-    intervals, on either side, go through the exact bucketed pair join, as
-    does the left-out row.
+    For a proper slot every booking class reduces to a difference of two rank
+    counts (``_TERMS``), all computed in one ``_rank_count`` pass keyed by
+    term: no slot x booking pairs are formed, so a room-hour holding a third
+    of all rows costs a sort, not its square.  Only slots that are themselves
+    degenerate or inverted go through the exact bucketed pair join.
     """
+    if mode not in _TERMS:
+        raise ValueError(mode)
+    terms = _TERMS[mode]
+    a_ok = (F.col("a_lo") < F.col("a_hi")) if mode == "app" else (F.col("a_lo") <= F.col("a_hi"))
     if mode == "app":
-        a_ok, b_ok = F.col("a_lo") < F.col("a_hi"), F.col("b_lo") < F.col("b_hi")
-        strict_start, strict_end = True, False
-    elif mode == "closed":
-        a_ok, b_ok = F.col("a_lo") <= F.col("a_hi"), F.col("b_lo") <= F.col("b_hi")
-        strict_start, strict_end = False, True
+        cls = (F.when(F.col("b_lo") < F.col("b_hi"), "p").when(F.col("b_lo") == F.col("b_hi"), "d")
+               .otherwise("i"))
     else:
-        raise ValueError(mode)
+        cls = F.when(F.col("b_lo") <= F.col("b_hi"), "p").otherwise("i")
     a = a.filter(F.col("a_lo").isNotNull() & F.col("a_hi").isNotNull())
     b = b.filter(F.col("b_lo").isNotNull() & F.col("b_hi").isNotNull())
-    av, bv = a.filter(a_ok), b.filter(b_ok)
-    starts = _rank_count(bv.select(*keys, F.col("b_lo").alias("t")),
-                         av.select("qid", *keys, F.col("a_hi").alias("t")), keys, strict_start, width)
-    ends = _rank_count(bv.select(*keys, F.col("b_hi").alias("t")),
-                       av.select("qid", *keys, F.col("a_lo").alias("t")), keys, strict_end, width)
-    counted = starts.join(ends.withColumnRenamed("n", "_e"), "qid").select("qid", (F.col("n") - F.col("_e")).alias("n"))
+    av = a.filter(a_ok)
+    point_rows = None
+    for c in sorted({t[0] for t in terms}):
+        arr = F.array(*[F.struct(F.lit(k).alias("_k"), F.col(bc).alias("t")) for cc, k, bc, _, _, _ in terms if cc == c])
+        point_rows = F.when(cls == c, arr) if point_rows is None else point_rows.when(cls == c, arr)
+    pts = b.select(*keys, F.explode(point_rows).alias("_x")).select(*keys, "_x._k", "_x.t")
+    qs = av.select("qid", *keys, F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(ac).alias("t"))
+                                                     for _, k, _, ac, _, _ in terms])).alias("_x")
+                   ).select("qid", *keys, "_x._k", "_x.t")
+    strict = F.col("_k").isin(*[k for _, k, _, _, st, _ in terms if st])
+    plus = F.col("_k").isin(*[k for _, k, _, _, _, sg in terms if sg > 0])
+    counted = _rank_count(pts, qs, [*keys, "_k"], strict, width).select(
+        "qid", F.when(plus, F.col("n")).otherwise(-F.col("n")).alias("n"))
     # the left-out booking, when it was among the counted ones
     ex = (av.filter(F.col("a_ex").isNotNull()).select("qid", *keys, "a_lo", "a_hi", F.col("a_ex").alias("b_id"))
-          .join(bv, ["b_id", *keys])
+          .join(b, ["b_id", *keys])
           .filter(predicate(mode, F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi")))
           .select("qid", F.lit(-1).cast("long").alias("n")))
-    # everything involving a degenerate or inverted interval: exact pairs
-    a_rest = a.filter(~a_ok)
-    odd = (overlap_pairs(a_rest.select("qid", *keys, "a_lo", "a_hi", "a_ex"), b.select("b_id", *keys, "b_lo", "b_hi"),
-                         keys, mode, width)
-           .unionByName(overlap_pairs(av.select("qid", *keys, "a_lo", "a_hi", "a_ex"),
-                                      b.filter(~b_ok).select("b_id", *keys, "b_lo", "b_hi"), keys, mode, width))
+    # degenerate or inverted slots: exact pairs
+    odd = (overlap_pairs(a.filter(~a_ok).select("qid", *keys, "a_lo", "a_hi", "a_ex"),
+                         b.select("b_id", *keys, "b_lo", "b_hi"), keys, mode, width)
            .filter(F.col("a_ex").isNull() | (F.col("a_ex") != F.col("b_id")))
            .select("qid", F.lit(1).cast("long").alias("n")))
     return counted.unionByName(ex).unionByName(odd).groupBy("qid").agg(F.sum("n").alias("n"))
