@@ -80,6 +80,29 @@ def test_double_booked_pairs_matches_brute_force(spark):
         assert got == want
 
 
+def test_hot_room_hour_is_counted_without_pairs(spark):
+    """A third-of-everything key: 20,000 bookings of one room in one hour and
+    2,000 slots on top of them (40M candidate pairs if paired)."""
+    n_res, n_slots = 20000, 2000
+    res = spark.range(n_res).select(
+        F.col("id").alias("reservation_id"), F.lit(1).cast("long").alias("user_id"),
+        F.lit(7).cast("long").alias("room_id"),
+        (F.lit(T0 + dt.timedelta(hours=9)).cast("timestamp_ntz") + F.make_dt_interval(
+            F.lit(0), F.lit(0), F.lit(0), (F.col("id") % 60).cast("decimal(18,6)"))).alias("start_time"),
+        F.lit(T0 + dt.timedelta(hours=10)).cast("timestamp_ntz").alias("end_time"),
+        F.lit("aprobada").alias("status"))
+    slots = spark.range(n_slots).select(
+        (F.col("id") + 10 ** 6).alias("slot_id"), F.lit(7).cast("long").alias("room_id"),
+        F.lit(T0 + dt.timedelta(hours=9, minutes=30)).cast("timestamp_ntz").alias("start_time"),
+        F.lit(T0 + dt.timedelta(hours=10, minutes=30)).cast("timestamp_ntz").alias("end_time"),
+        F.when(F.col("id") == 0, F.lit(5)).cast("long").alias("exclude_id"))
+    out = O.check_availability(slots, res, "app")
+    got = dict(out.groupBy("conflict_count").count().collect())
+    assert got == {n_res: n_slots - 1, n_res - 1: 1}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
 def test_touching_slots(spark):
     rdf = spark.createDataFrame([(1, 1, 1, T0 + dt.timedelta(hours=9), T0 + dt.timedelta(hours=10), "aprobada",
                                   False, 3, "no_aplica", T0, None)], RES_SCHEMA)

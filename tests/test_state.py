@@ -90,6 +90,26 @@ def test_apply_commands_matches_sequential_fold(spark):
     assert got_out == sorted(want_out, key=skey)
 
 
+def test_hot_reservation_fold(spark):
+    """20,000 commands on one reservation: the fold must not gather them, and
+    it must agree with the sequential fold."""
+    rng = random.Random(11)
+    res = [(1, 1, 1, T0, T0, "pendiente", False, 3, "no_aplica", T0, None),
+           (2, 1, 1, T0, T0, "aprobada", False, 3, "no_aplica", T0, None)]
+    cmds = [(rng.choice([1, 1, 1, 2]), rng.choice(CMDS), T0 + dt.timedelta(seconds=rng.randrange(0, 100000)),
+             rng.randrange(1000), rng.randrange(1000), rng.randrange(1, 5), rng.choice([None, "motivo", " "]))
+            for _ in range(20000)]
+    new, outcomes = S.apply_commands(spark.createDataFrame(res, RES_SCHEMA), spark.createDataFrame(cmds, CMD_SCHEMA))
+    got = {r.reservation_id: (r.status, r.approved_by, r.checked_in, r.no_show) for r in new.collect()}
+    for rid, *_rest in res:
+        st, outs = _fold_en(_rest[4], [c for c in cmds if c[0] == rid])
+        assert got[rid] == (st["status"], st["approved_by"], st["checked_in"], st["no_show"])
+    n_applied = outcomes.filter("outcome = 'applied'").count()
+    want = sum(o == "applied" for rid in (1, 2)
+               for _, _, o in _fold_en(res[rid - 1][5], [c for c in cmds if c[0] == rid])[1])
+    assert n_applied == want
+
+
 def _fold_es(state, cmds):
     outs = []
     for c in sorted(cmds, key=_key):
