@@ -139,7 +139,7 @@ def latest_notifications(notifs: DataFrame, user_ids: DataFrame | None = None, n
     if unread_only:
         x = x.filter(~F.col("is_read"))
     w = Window.partitionBy("user_id").orderBy(F.col("sent_at").desc(), F.col("id").desc())
-    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return x.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
 
 
 def enum_order(df: DataFrame, column: str, values, *tie_breakers) -> DataFrame:

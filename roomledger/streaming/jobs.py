@@ -170,7 +170,8 @@ def _admit_fn(mode: str):
         n_old = len(lo)
         prior = pd.DataFrame({"request_id": [-(i + 1) for i in range(n_old)], "lo": lo, "hi": hi, "day": day,
                               "requested_at": [pd.Timestamp("1900-01-01")] * n_old})
-        both = pd.concat([prior, reqs[["request_id", "lo", "hi", "day", "requested_at"]]], ignore_index=True)
+        cur = reqs[["request_id", "lo", "hi", "day", "requested_at"]]
+        both = cur if n_old == 0 else (prior if len(cur) == 0 else pd.concat([prior, cur], ignore_index=True))
         dec = greedy_admit(both, mode)
         dec = dec[dec["request_id"] >= 0]
         acc = reqs.merge(dec[dec["admitted"]], on="request_id")
