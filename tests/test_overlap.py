@@ -103,6 +103,16 @@ def test_hot_room_hour_is_counted_without_pairs(spark):
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
+def test_busy_rooms_matches_brute_force(spark):
+    res, slots = _data(seed=23)
+    rdf = spark.createDataFrame(res, RES_SCHEMA)
+    sdf = spark.createDataFrame(slots, SLOT_SCHEMA).drop("room_id", "exclude_id")
+    got = {(r.slot_id, r.room_id) for r in O.busy_rooms(sdf, rdf).collect()}
+    want = {(sid, r[2]) for sid, _, A, B, _ in slots for r in res
+            if r[5] in ("pendiente", "aprobada") and _pred("app", A, B, r[3], r[4])}
+    assert got == want
+
+
 def test_touching_slots(spark):
     rdf = spark.createDataFrame([(1, 1, 1, T0 + dt.timedelta(hours=9), T0 + dt.timedelta(hours=10), "aprobada",
                                   False, 3, "no_aplica", T0, None)], RES_SCHEMA)
