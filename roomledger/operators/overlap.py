@@ -109,34 +109,34 @@ def _res_side(res: DataFrame, statuses) -> DataFrame:
                     F.to_date("start_time").alias("b_day")))
 
 
-def _rank_count(points: DataFrame, queries: DataFrame, keys: list[str], strict, width: int) -> DataFrame:
-    """For every query row (qid, keys, t): how many point rows with the same
-    keys have t_point < t (``strict`` true for that row) or t_point <= t --
-    without pairing them.  ``strict`` is a boolean Column over the keys.
+def _rank_count(points: DataFrame, queries: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """For every query row (qid, keys, t): how many point rows (keys, t, _o)
+    with the same keys sort before it -- t_point < t, or t_point == t for
+    points with ``_o`` = 0 (non-strict); points with ``_o`` = 2 count only
+    when strictly earlier.  No pairs are formed.
 
     Points and queries are counted per (keys, bucket) in one partially
     aggregated pass; a running sum over those aggregated rows (one per
     bucket, bounded by the time span) gives the points of earlier buckets.
-    Inside a bucket, points and queries are sorted together and a running
-    count of points is read at each query row.
+    Inside a bucket, points and queries (``_o`` = 1) are sorted together by
+    (t, _o) and a running count of points is read at each query row.
     """
-    pb = points.select(*keys, "t").withColumn("_b", F.floor(F.col("t") / width))
+    pb = points.select(*keys, "t", "_o").withColumn("_b", F.floor(F.col("t") / width))
     qb = queries.select("qid", *keys, "t").withColumn("_b", F.floor(F.col("t") / width))
     per = (pb.select(*keys, "_b", F.lit(1).alias("_c")).unionByName(qb.select(*keys, "_b", F.lit(0).alias("_c")))
            .groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")))
     w_pre = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     pre = per.select(*keys, "_b", F.coalesce(F.sum("_c").over(w_pre), F.lit(0)).alias("_pre"))
-    # at equal t a query sorts before the points (strict) or after them
-    pts = pb.select(*keys, "_b", "t", F.lit(None).cast("long").alias("qid"),
-                    F.when(strict, 1).otherwise(0).alias("_o"), F.lit(1).alias("_p"))
-    qs = qb.select(*keys, "_b", "t", "qid", F.when(strict, 0).otherwise(1).alias("_o"), F.lit(0).alias("_p"))
+    pts = pb.select(*keys, "_b", "t", F.lit(None).cast("long").alias("qid"), "_o", F.lit(1).alias("_p"))
+    qs = qb.select(*keys, "_b", "t", "qid", F.lit(1).alias("_o"), F.lit(0).alias("_p"))
     w_in = Window.partitionBy(*keys, "_b").orderBy("t", "_o").rowsBetween(Window.unboundedPreceding, 0)
     inb = pts.unionByName(qs).withColumn("_run", F.sum("_p").over(w_in)).filter(F.col("qid").isNotNull())
     return inb.join(pre, [*keys, "_b"]).select("qid", *keys, (F.col("_run") + F.col("_pre")).alias("n"))
 
 
-# Rank-count terms per class of booking interval: (class, term id, booking
-# column, slot column, strict comparison, sign).  For a proper slot [A, B]:
+# Rank-count terms per class of booking interval, for a proper slot [A, B]:
+# term 0 counts bookings "before B" (added), term 1 bookings "before A"
+# (subtracted); each entry is (booking column, strict comparison).
 #   app,    proper     b_lo <  B  minus  b_hi <= A
 #   app,    degenerate b_lo <= B  minus  b_lo <  A   (the point lies in [A, B])
 #   app,    inverted   b_hi <= B  minus  b_lo <  A   (A <= b_lo and b_hi <= B)
@@ -144,11 +144,11 @@ def _rank_count(points: DataFrame, queries: DataFrame, keys: list[str], strict,
 #   closed, inverted   b_lo <= B  minus  b_lo <  A   (b_lo lies in [A, B])
 # In each line the subtracted set lies inside the first one.
 _TERMS = {
-    "app": (("p", 0, "b_lo", "a_hi", True, 1), ("p", 1, "b_hi", "a_lo", False, -1),
-            ("d", 2, "b_lo", "a_hi", False, 1), ("d", 3, "b_lo", "a_lo", True, -1),
-            ("i", 4, "b_hi", "a_hi", False, 1), ("i", 5, "b_lo", "a_lo", True, -1)),
-    "closed": (("p", 0, "b_lo", "a_hi", False, 1), ("p", 1, "b_hi", "a_lo", True, -1),
-               ("i", 2, "b_lo", "a_hi", False, 1), ("i", 3, "b_lo", "a_lo", True, -1)),
+    "app": {"p": (("b_lo", True), ("b_hi", False)),
+            "d": (("b_lo", False), ("b_lo", True)),
+            "i": (("b_hi", False), ("b_lo", True))},
+    "closed": {"p": (("b_lo", False), ("b_hi", True)),
+               "i": (("b_lo", False), ("b_lo", True))},
 }
 
 
@@ -157,11 +157,13 @@ def interval_counts(a: DataFrame, b: DataFrame, keys: list[str], mode: str, widt
     ``b`` rows (b_id, keys, b_lo, b_hi) with equal keys overlapping it under
     ``mode`` ('app' or 'closed'), leaving out b_id = a_ex.
 
-    For a proper slot every booking class reduces to a difference of two rank
-    counts (``_TERMS``), all computed in one ``_rank_count`` pass keyed by
-    term: no slot x booking pairs are formed, so a room-hour holding a third
-    of all rows costs a sort, not its square.  Only slots that are themselves
-    degenerate or inverted go through the exact bucketed pair join.
+    For a proper slot every booking class reduces to "bookings before the
+    slot's end" minus "bookings before its start" (``_TERMS``); strictness
+    is decided on the booking side, so each slot is two query rows and each
+    booking two point rows, all in one ``_rank_count`` pass.  No slot x
+    booking pairs are formed, so a room-hour holding a third of all rows
+    costs a sort, not its square.  Only slots that are themselves degenerate
+    or inverted go through the exact bucketed pair join.
     """
     if mode not in _TERMS:
         raise ValueError(mode)
@@ -176,19 +178,16 @@ def interval_counts(a: DataFrame, b: DataFrame, keys: list[str], mode: str, widt
     b = b.filter(F.col("b_lo").isNotNull() & F.col("b_hi").isNotNull())
     av = a.filter(a_ok)
     point_rows = None
-    for c in sorted({t[0] for t in terms}):
-        arr = F.array(*[F.struct(F.lit(k).alias("_k"), F.col(bc).alias("t")) for cc, k, bc, _, _, _ in terms if cc == c])
+    for c, pair in terms.items():
+        arr = F.array(*[F.struct(F.lit(k).alias("_k"), F.col(col).alias("t"), F.lit(2 if strict else 0).alias("_o"))
+                        for k, (col, strict) in enumerate(pair)])
         point_rows = F.when(cls == c, arr) if point_rows is None else point_rows.when(cls == c, arr)
-    pts = b.select(*keys, F.explode(point_rows).alias("_x")).select(*keys, "_x._k", "_x.t")
-    qs = av.select("qid", *keys, F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(ac).alias("t"))
-                                                     for _, k, _, ac, _, _ in terms])).alias("_x")
-                   ).select("qid", *keys, "_x._k", "_x.t")
-    strict = F.col("_k").isin(*[k for _, k, _, _, st, _ in terms if st])
-    plus = F.col("_k").isin(*[k for _, k, _, _, _, sg in terms if sg > 0])
-    # rank counting has no pairs to bound; its bucket width only trades prefix
-    # rows against in-bucket sort size
-    counted = _rank_count(pts, qs, [*keys, "_k"], strict, width * COUNT_BUCKET_FACTOR).select(
-        "qid", F.when(plus, F.col("n")).otherwise(-F.col("n")).alias("n"))
+    pts = b.select(*keys, F.explode(point_rows).alias("_x")).select(*keys, "_x._k", "_x.t", "_x._o")
+    qs = av.select("qid", *keys, F.explode(F.array(
+        F.struct(F.lit(0).alias("_k"), F.col("a_hi").alias("t")),
+        F.struct(F.lit(1).alias("_k"), F.col("a_lo").alias("t")))).alias("_x")).select("qid", *keys, "_x._k", "_x.t")
+    counted = _rank_count(pts, qs, [*keys, "_k"], width * COUNT_BUCKET_FACTOR).select(
+        "qid", F.when(F.col("_k") == 0, F.col("n")).otherwise(-F.col("n")).alias("n"))
     # the left-out booking, when it was among the counted ones
     ex = (av.filter(F.col("a_ex").isNotNull()).select("qid", *keys, "a_lo", "a_hi", F.col("a_ex").alias("b_id"))
           .join(b, ["b_id", *keys])
