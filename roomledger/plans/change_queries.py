@@ -185,6 +185,9 @@ SELECT user_id, COUNT(*) AS notifications, COUNT(message) AS with_message, MIN(m
 FROM n GROUP BY user_id
 """, ("reservations", "rooms", "users"))
 def q_fanout_new_reservation(spark, d):
+    """NTF-1 on every pending reservation; the fan-out rows (reservations x
+    audience) are all built, and checked through a per-recipient summary
+    (count, first/last message text, id sum)."""
     f = fx(spark, d)
     rows = N.fanout_new_reservation(f.reservations.filter(F.col("status") == "pendiente"), f.users, f.rooms)
     return rows.groupBy("user_id").agg(
