@@ -50,6 +50,31 @@ def as_datetime(value) -> _dt.datetime:
     return _dt.datetime.fromisoformat(str(value))
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_to_instant(c) -> Column:
+    """TIMESTAMP_NTZ read as UTC wall-clock time -> TIMESTAMP instant, whatever
+    the session time zone (event time for watermarks and windows)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", ts_lit(EPOCH_NTZ), col(c)))
+
+
+def instant_to_ntz(c) -> Column:
+    """TIMESTAMP instant -> its UTC wall-clock TIMESTAMP_NTZ, whatever the session zone."""
+    secs = (F.unix_micros(col(c)) / 1000000).cast("decimal(18,6)")
+    return ts_lit(EPOCH_NTZ) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+
+
+def epoch_millis(c) -> Column:
+    """Milliseconds since 1970-01-01 of a TIMESTAMP_NTZ (UTC wall clock)."""
+    return F.timestamp_diff("MILLISECOND", ts_lit(EPOCH_NTZ), col(c))
+
+
+def millis_to_ntz(c) -> Column:
+    secs = (col(c) / 1000).cast("decimal(18,6)")
+    return ts_lit(EPOCH_NTZ) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+
+
 # ---------------------------------------------------------------- dates (FN-4..11)
 
 def in_date_range(ts, start, end) -> Column:

@@ -2,8 +2,8 @@
 
 Sources are folders of parquet files (``readStream`` with an explicit
 schema; ``pathGlobFilter`` picks one table's files).  Event time is the
-booking table's NTZ column cast to ``timestamp`` (UTC session) before
-``withWatermark``.  Every job is drained with ``Trigger.AvailableNow``;
+booking table's NTZ column read as UTC wall-clock time (epoch arithmetic,
+so the session time zone does not matter) before ``withWatermark``.  Every job is drained with ``Trigger.AvailableNow``;
 after the last data batch Spark runs a no-data batch that advances the
 watermark, so closed windows, sessions and due timers are emitted.  Rows
 older than the watermark of the previous micro-batch are dropped as late
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from roomledger.functions.core import instant_to_ntz, ntz_to_instant
 from roomledger.session import checkpoint_dir
 
 # ---------------------------------------------------------------- plumbing
@@ -42,7 +43,7 @@ def read_stream(spark: SparkSession, folder: str, table: str, schema, max_files:
 
 def event_time(df: DataFrame, column: str, delay: str, name: str = "event_time") -> DataFrame:
     """Add a ``timestamp`` event-time column from an NTZ column and set the watermark."""
-    return df.withColumn(name, F.col(column).cast("timestamp")).withWatermark(name, delay)
+    return df.withColumn(name, ntz_to_instant(column)).withWatermark(name, delay)
 
 
 def _run_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -62,7 +63,7 @@ def drain(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
 
 
 def _ntz(c: str):
-    return F.col(c).cast("timestamp_ntz")
+    return instant_to_ntz(c)
 
 
 # ---------------------------------------------------------------- STR-1..3: windows
@@ -77,8 +78,8 @@ def audit_activity_windows(audit: DataFrame, size: str = "1 hour", slide: str |
     g = a.groupBy(w.alias("w"), "action", "table_name").agg(
         F.count(F.lit(1)).alias("action_count"), F.size(F.collect_set("user_id")).alias("unique_users"),
         F.max("created_at").alias("last_action"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+    return g.select(_ntz("w.start").alias("window_start"),
+                    _ntz("w.end").alias("window_end"),
                     "action", "table_name", "action_count", F.col("unique_users").cast("long").alias("unique_users"),
                     "last_action")
 
@@ -94,8 +95,8 @@ def failed_login_bursts(audit: DataFrame, gap: str = "10 minutes", threshold: in
         F.count(F.lit(1)).alias("attempts"), F.min("created_at").alias("first_attempt"),
         F.max("created_at").alias("last_attempt"))
     return g.filter(F.col("attempts") >= threshold).select(
-        "ip_address", F.col("s.start").cast("timestamp_ntz").alias("session_start"),
-        F.col("s.end").cast("timestamp_ntz").alias("session_end"), "attempts", "first_attempt", "last_attempt")
+        "ip_address", _ntz("s.start").alias("session_start"),
+        _ntz("s.end").alias("session_end"), "attempts", "first_attempt", "last_attempt")
 
 
 def request_rate_breaches(requests: DataFrame, limit: int = 100, size: str = "15 minutes",
@@ -105,8 +106,8 @@ def request_rate_breaches(requests: DataFrame, limit: int = 100, size: str = "15
     r = event_time(requests, "ts", delay)
     g = r.groupBy(F.window("event_time", size).alias("w"), "ip_address").agg(F.count(F.lit(1)).alias("requests"))
     return g.filter(F.col("requests") > limit).select(
-        "ip_address", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"), "requests")
+        "ip_address", _ntz("w.start").alias("window_start"),
+        _ntz("w.end").alias("window_end"), "requests")
 
 
 # ---------------------------------------------------------------- STR-5, STR-6: joins and sinks
@@ -208,7 +209,7 @@ def streaming_admission(requests: DataFrame, res: DataFrame, rooms: DataFrame, a
     rm = rooms.filter(F.col("is_active")).select("room_id", F.col("capacity").alias("_cap"))
     v = v.join(rm, "room_id", "left")
     ok = (F.size("errors") == 0) & F.col("_cap").isNotNull() & (F.col("attendees_count") <= F.col("_cap"))
-    s = v.filter(ok).withColumn("event_time", F.col("requested_at").cast("timestamp"))
+    s = v.filter(ok).withColumn("event_time", ntz_to_instant("requested_at"))
     base = ["request_id", "room_id", "lo", "hi", "day", "requested_at", "event_time"]
     reqs = s.select(F.lit("request").alias("kind"), "request_id", "room_id",
                     epoch_seconds("start_time").alias("lo"), epoch_seconds("end_time").alias("hi"),

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from roomledger.functions.core import epoch_millis, millis_to_ntz, ntz_to_instant
+
 UNSEEN = -1
 RETAIN_UNSEEN_MS = 7 * 24 * 3600 * 1000
 DEFAULT_BUCKETS = 256
@@ -132,16 +134,16 @@ def no_show_detector(reservas: DataFrame, checkins: DataFrame, tolerance_minutes
     """
     start = F.make_timestamp_ntz(F.year("fecha"), F.month("fecha"), F.dayofmonth("fecha"), F.lit(0), F.lit(0),
                                  F.lit(0))
-    day_ms = (F.unix_micros(start.cast("timestamp")) / 1000).cast("long")
+    day_ms = epoch_millis(start)
     b = reservas.select(
         F.col("id_reserva"), F.lit("booking").alias("kind"), F.col("id_estado").cast("long").alias("estado"),
         (day_ms + F.col("inicio_min").cast("long") * 60000).alias("start_ms"),
         (day_ms + F.col("fin_min").cast("long") * 60000).alias("end_ms"),
-        F.col("fecha_creacion").cast("timestamp").alias("event_time"))
+        ntz_to_instant("fecha_creacion").alias("event_time"))
     c = checkins.select(
         F.col("reservation_id").alias("id_reserva"), F.lit("checkin").alias("kind"),
         F.lit(None).cast("long").alias("estado"), F.lit(None).cast("long").alias("start_ms"),
-        F.lit(None).cast("long").alias("end_ms"), F.col("checkin_at").cast("timestamp").alias("event_time"))
+        F.lit(None).cast("long").alias("end_ms"), ntz_to_instant("checkin_at").alias("event_time"))
     ev = (b.unionByName(c).withWatermark("event_time", delay)
           .withColumn("bucket", F.pmod(F.xxhash64("id_reserva"), F.lit(buckets))))
     return ev.groupBy("bucket").applyInPandasWithState(
@@ -185,11 +187,11 @@ def reminder_timers(res: DataFrame, minutes: int = 30, delay: str = "1 hour",
     due = F.col("start_time") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes), F.lit(0))
     r = (res.filter(F.col("status") == "aprobada")
          .select("reservation_id", "user_id", "room_id",
-                 (F.unix_micros(due.cast("timestamp")) / 1000).cast("long").alias("due_ms"),
-                 F.col("created_at").cast("timestamp").alias("event_time"))
+                 epoch_millis(due).alias("due_ms"),
+                 ntz_to_instant("created_at").alias("event_time"))
          .withWatermark("event_time", delay)
          .withColumn("bucket", F.pmod(F.xxhash64("reservation_id"), F.lit(buckets))))
     out = r.groupBy("bucket").applyInPandasWithState(
         _reminder_bucket_fn, REMINDER_OUT, REMINDER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("reservation_id", "user_id", "room_id",
-                      F.timestamp_millis("due_ms").cast("timestamp_ntz").alias("due_at"))
+                      millis_to_ntz("due_ms").alias("due_at"))
