@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomledger.functions.core import action_from_request, count_when, in_date_range, json_field
+from roomledger.functions.core import action_from_request, in_date_range, json_field
 
 
 def _period(audit: DataFrame, start, end) -> DataFrame:

@@ -24,7 +24,7 @@ is total and every copy takes its own turn.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +44,6 @@ class Machine:
     loops: tuple[tuple[object, str], ...] = ()
     reason_required: tuple[str, ...] = ("reject",)
     depth: int = 2
-    states: tuple = field(default=())
 
 
 # The EN (status string) machine of the API models.

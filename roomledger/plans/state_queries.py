@@ -7,7 +7,6 @@ formulation of the same rules).
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from roomledger.operators import state as S
 from roomledger.plans.registry import AS_OF, AS_OF_SQL, fx, register

@@ -27,7 +27,6 @@ DEFAULT_BUCKETS = 256
 NOSHOW_OUT = "id_reserva long, id_estado int, seq int"
 NOSHOW_STATE = ("ids array<long>, estado array<int>, start_ms array<long>, end_ms array<long>, "
                 "checked array<boolean>, seq array<int>")
-_NS_COLS = ["estado", "start_ms", "end_ms", "checked", "seq"]
 
 
 def _empty_noshow() -> pd.DataFrame:
