@@ -225,9 +225,10 @@ def conflict_pairs(slots: DataFrame, res: DataFrame, mode: str = "app", width: i
 def check_availability(slots: DataFrame, res: DataFrame, mode: str = "app", width: int = 3600) -> DataFrame:
     """JOIN-6: per slot, how many blocking bookings of its room overlap it.
 
-    ``slots`` has (slot_id, room_id, start_time, end_time[, exclude_id]); the
-    optional ``exclude_id`` leaves one booking out (a reservation checked
-    against the others).  ``available`` is ``conflict_count == 0``.
+    ``slots`` has (slot_id, room_id, start_time, end_time[, exclude_id]) with
+    unique slot ids; the optional ``exclude_id`` leaves one booking out (a
+    reservation checked against the others).  ``available`` is
+    ``conflict_count == 0``.
     Modes: ``app`` (pending/approved block, half-open), ``trigger``
     (same start date, every status but cancelled/completed blocks, closed).
 
