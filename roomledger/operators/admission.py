@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomledger.operators.overlap import check_availability, epoch_seconds
+from roomledger.operators.overlap import conflict_counts, epoch_seconds
 from roomledger.operators.validate import coffee_break_status, validate_slot
 
 MODES = ("app", "trigger", "both")
@@ -134,11 +134,10 @@ def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as
     slots = v.filter(static_ok).select(F.col("request_id").alias("slot_id"), "room_id", "start_time", "end_time")
     busy = None
     for m in (("app", "trigger") if mode == "both" else (mode,)):
-        c = check_availability(slots, res, m, join_width).select("slot_id", F.col("conflict_count").alias(f"_c_{m}"))
-        busy = c if busy is None else busy.join(c, "slot_id")
-    cnt = sum((F.col(c) for c in busy.columns if c.startswith("_c_")), F.lit(0))
-    busy = busy.select(F.col("slot_id").alias("request_id"), (cnt > 0).alias("_busy"))
-    v = v.join(busy, "request_id", "left")
+        c = conflict_counts(slots, res, m, join_width).select(F.col("slot_id").alias("request_id"))
+        busy = c if busy is None else busy.unionByName(c)
+    busy = busy.distinct().withColumn("_busy", F.lit(True))
+    v = v.join(busy, "request_id", "left").withColumn("_busy", F.coalesce(F.col("_busy"), F.lit(False)))
     surv = v.filter(static_ok & ~F.col("_busy")).select(
         "request_id", "room_id", epoch_seconds("start_time").alias("lo"), epoch_seconds("end_time").alias("hi"),
         F.to_date("start_time").cast("string").alias("day"), "requested_at")

@@ -236,6 +236,15 @@ def check_availability(slots: DataFrame, res: DataFrame, mode: str = "app", widt
     proper intervals, so a room-hour holding a third of all rows costs a
     sort, not its square.
     """
+    counts = conflict_counts(slots, res, mode, width)
+    out = slots.join(counts, "slot_id", "left").withColumn(
+        "conflict_count", F.coalesce(F.col("conflict_count"), F.lit(0)).cast("long"))
+    return out.withColumn("available", F.col("conflict_count") == 0)
+
+
+def conflict_counts(slots: DataFrame, res: DataFrame, mode: str = "app", width: int = 3600) -> DataFrame:
+    """(slot_id, conflict_count) for slots with at least one conflicting
+    blocking booking (slots without one are absent); see check_availability."""
     has_ex = "exclude_id" in slots.columns
     a = slots.select(F.col("slot_id").alias("qid"), "room_id",
                      (F.col("exclude_id") if has_ex else F.lit(None).cast("long")).alias("a_ex"),
@@ -249,10 +258,8 @@ def check_availability(slots: DataFrame, res: DataFrame, mode: str = "app", widt
         counts = interval_counts(a, b, ["room_id", "_day"], "closed", width)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    counts = counts.select(F.col("qid").alias("slot_id"), F.col("n").alias("conflict_count"))
-    out = slots.join(counts, "slot_id", "left").withColumn(
-        "conflict_count", F.coalesce(F.col("conflict_count"), F.lit(0)).cast("long"))
-    return out.withColumn("available", F.col("conflict_count") == 0)
+    return counts.filter(F.col("n") != 0).select(F.col("qid").alias("slot_id"),
+                                                 F.col("n").cast("long").alias("conflict_count"))
 
 
 def busy_rooms(slots: DataFrame, res: DataFrame, width: int = 3600) -> DataFrame:
