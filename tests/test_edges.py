@@ -177,3 +177,17 @@ def test_upsert_absent_vs_null(spark):
     got = {r.user_id: (r.role, r.department) for r in
            M.upsert(t, ch, ["user_id"], {"role": "role", "department": "department"}, "seq").collect()}
     assert got == {1: ("z", None), 2: ("b", "y")}
+
+
+def test_authorize_role_gate_and_visibility(spark):
+    users = spark.createDataFrame([(1, "adm", "a", "administrador", None, True), (2, "rec", "r", "recepcion", None, True),
+                                   (3, "org", "o", "organizador", None, True), (4, "apr", "p", "aprobador", None, True)],
+                                  "user_id long, user_name string, email string, role string, department string, "
+                                  "is_active boolean")
+    cmds = spark.createDataFrame([(1, 2, "approve"), (2, 4, "approve"), (3, 1, "checkin"), (4, 4, "checkin"),
+                                  (5, 3, "cancel"), (6, 9, "cancel")], "command_id long, actor_id long, command string")
+    got = {r.command_id: r.reason for r in FL.authorize(cmds, users).collect()}
+    assert got == {1: "forbidden", 2: None, 3: None, 4: "forbidden", 5: None, 6: "unauthenticated"}
+    res = spark.createDataFrame([(10, 3), (11, 4)], "reservation_id long, user_id long")
+    assert [r.reservation_id for r in FL.visible_reservations(res, 3, "organizador").collect()] == [10]
+    assert FL.visible_reservations(res, 2, "recepcion").count() == 2
