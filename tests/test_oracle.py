@@ -10,11 +10,12 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as E
+from roomledger.plans import catalog
 
 BASES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
          "labels conversations").split()
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLES = catalog.ORACLES
 
 
 def _norm(v):
