@@ -13,6 +13,8 @@ first; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from typing import NamedTuple
 
@@ -29,7 +31,7 @@ from roomledger.llm.common import offset, pieces, remove, save
 END_ID = 2
 PIECE_BYTES = 2_000_000  # text handled at a time in a task
 PIECE_IDS = 1_000_000  # ids coded or decoded at a time in a task
-CACHE_WORDS = 600_000  # words whose ids a task remembers at once
+WORDS_KEPT = 4_000_000  # words whose ids a worker remembers, at about 70 bytes each
 
 
 class Shards(NamedTuple):
@@ -41,12 +43,62 @@ class Shards(NamedTuple):
 
 # ---------------------------------------------------------------- tokenizing
 
+ROOT = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
+LONGEST = 64  # bytes of a word that is remembered
+
+
+class Numbers:
+    """Numbers 64-bit keys as they come: a hash table with linear probing over arrays."""
+
+    def __init__(self, bits: int = 18):
+        self.bits, self.n = bits, 0
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.numbers = np.zeros(1 << bits, np.int32)
+
+    def _slot(self, keys):
+        return (keys * ROOT >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for an unknown one."""
+        out = np.full(len(keys), -1, np.int64)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            there = self.keys[slot]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.numbers[slot[hit]]
+            on = ~hit & (there != 0)
+            todo, slot = todo[on], slot[on] + 1 & len(self.keys) - 1
+        return out
+
+    def add(self, keys: np.ndarray):
+        """Number distinct unknown keys in their order."""
+        while (self.n + len(keys)) * 3 > len(self.keys):
+            used = np.flatnonzero(self.keys)
+            old, numbers = self.keys[used], self.numbers[used]
+            self.bits += 1
+            self.keys = np.zeros(1 << self.bits, np.uint64)
+            self.numbers = np.zeros(1 << self.bits, np.int32)
+            self._place(old, numbers)
+        self._place(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n += len(keys)
+
+    def _place(self, keys, numbers):
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]  # of several for one slot, one stays
+            mine = free & (self.keys[slot] == keys)
+            self.numbers[slot[mine]] = numbers[mine]
+            keys, numbers, slot = keys[~mine], numbers[~mine], slot[~mine] + 1 & len(self.keys) - 1
+
+
 class Encoder:
     """``Tokenizer.encode`` of whole texts, with the ids of words remembered.
 
     The byte-level pre-tokenizer always starts a new piece at a single space
     between two other non-space characters, and pieces are encoded apart; so a
-    text is cut there and each distinct part is encoded once.
+    text is cut there and each distinct part is encoded once.  Parts are known
+    by a 64-bit polynomial hash of their bytes, computed for all at once.
     """
 
     def __init__(self, path: str):
@@ -61,61 +113,98 @@ class Encoder:
         self.forget()
 
     def forget(self):
-        self.known: dict[str, int] = {}
-        self.ids = np.empty(1 << 20, np.int32)
-        self.used = 0
-        self.start, self.length = [], []
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-
-    def learn(self, words: list[str]):
-        """Encode new parts, many in one string, and cut the ids by their bytes."""
-        for k in range(0, len(words), 4000):
-            some = words[k:k + 4000]
-            got = self.encode("".join([" " + w for w in some]))
-            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in some), np.int64, len(some)))
-            cut = np.searchsorted(np.cumsum(self.width[got]), ends, side="right")
-            while self.used + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.used:self.used + len(got)] = got
-            starts = np.concatenate([[0], cut[:-1]])
-            for w, a, b in zip(some, starts.tolist(), cut.tolist()):
-                self.known[w] = len(self.start)
-                self.start.append(self.used + a)
-                self.length.append(b - a)
-            self.used += len(got)
+        self.words = Numbers()
+        self.ids = np.empty(1 << 20, np.int32)  # of all words, one after another
+        self.end = np.zeros(1 << 17, np.int64)  # where those of each word end
+        self.sure = np.zeros(1 << 17, bool)  # no space at either end of the word
+        self.power = np.ones(1, np.uint64)
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.int32) for e in got]
+
+    def learn(self, keys: np.ndarray, new: list[str]):
+        """Encode the new words, some in one string, and cut the ids by their bytes."""
+        first = self.words.n
+        used = int(self.end[first - 1]) if first else 0
+        self.words.add(keys)
+        got = np.concatenate(self.plain(["".join([" " + w for w in new[k:k + 50]]) for k in range(0, len(new), 50)]))
+        octets = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in new), np.int64, len(new)))
+        if octets[-1] != self.width[got].sum():
+            raise ValueError("this tokenizer doesn't give one id per piece of bytes")
+        while used + len(got) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.words.n > len(self.end):
+            self.end = np.concatenate([self.end, np.zeros_like(self.end)])
+            self.sure = np.concatenate([self.sure, np.zeros_like(self.sure)])
+        self.ids[used:used + len(got)] = got
+        self.end[first:self.words.n] = used + np.searchsorted(np.cumsum(self.width[got]), octets, side="right")
+        self.sure[first:self.words.n] = [w != "" and not w[0].isspace() and not w[-1].isspace() for w in new]
+
+    def keys(self, octets: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of each word, never 0."""
+        if len(self.power) <= len(octets):
+            self.power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * len(octets), ROOT))])
+            self.back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * len(octets), np.uint64(pow(int(ROOT), -1, 1 << 64))))])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((octets + np.uint64(1)) * self.power[:len(octets)])])
+        keys = (sums[end] - sums[start]) * self.back[start]
+        keys ^= keys >> np.uint64(29)
+        return (keys + (end - start).astype(np.uint64)) * ROOT | np.uint64(1)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.known) > CACHE_WORDS:
+        if self.words.n > WORDS_KEPT:
             self.forget()
-        split = [t.split(" ") for t in texts]
-        whole = {i for i, parts in enumerate(split) if not all(map(_plain, parts))}
-        new = {w for i, parts in enumerate(split) if i not in whole for w in parts[1:]} - self.known.keys()
-        self.learn(list(new))
-        start, length = np.array(self.start, np.int64), np.array(self.length, np.int64)
-        out = []
-        for i, (text, parts) in enumerate(zip(texts, split)):
-            if i in whole:
-                out.append(self.encode(text))
-                continue
-            at = np.fromiter(map(self.known.__getitem__, parts[1:]), np.int64, len(parts) - 1)
-            n = length[at]
-            before = np.cumsum(n) - n
-            rest = self.ids[np.repeat(start[at] - before, n) + np.arange(n.sum())] if len(at) else at
-            out.append(np.concatenate([self.encode(parts[0]), rest.astype(np.int32)]))
-        return out
-
-
-def _plain(part: str) -> bool:
-    """No space character at either end: the cuts beside it are sure."""
-    return part != "" and not part[0].isspace() and not part[-1].isspace()
+        coded = [t.encode() for t in texts]
+        data = b"".join(coded)
+        octets = np.frombuffer(data, np.uint8)
+        doc_end = np.cumsum([len(x) for x in coded])
+        spaces = np.flatnonzero(octets == 32)
+        start = np.sort(np.concatenate([spaces + 1, [0], doc_end[:-1]]))
+        end = np.sort(np.concatenate([spaces, doc_end]))
+        cut = np.concatenate([[0], np.cumsum([t.count(" ") + 1 for t in texts])])  # words of each text
+        inner = np.ones(len(start), bool)
+        inner[cut[:-1]] = False  # a text's first word has no space before it
+        at = np.flatnonzero(inner & (end - start <= LONGEST))
+        keys = self.keys(octets, start[at], end[at])
+        number = self.words.find(keys)
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            new, one = np.unique(keys[unknown], return_index=True)
+            one = at[unknown[one]]
+            self.learn(new, [data[a:b].decode() for a, b in zip(start[one].tolist(), end[one].tolist())])
+            number[unknown] = self.words.find(keys[unknown])
+        unsure = inner & (end - start > LONGEST)
+        unsure[at[~self.sure[number]]] = True
+        unsure = np.concatenate([[0], np.cumsum(unsure)])
+        sure = [u == 0 and (w == 1 or _sure_end(t.split(" ", 1)[0]))
+                for t, u, w in zip(texts, np.diff(unsure[cut]).tolist(), np.diff(cut).tolist())]
+        head = self.plain([t.split(" ", 1)[0] if ok else t for t, ok in zip(texts, sure)])
+        stop = self.end[number]
+        n = stop - np.where(number > 0, self.end[number - 1], 0)
+        rest = self.ids[np.repeat(stop - np.cumsum(n), n) + np.arange(n.sum())]
+        tokens = np.zeros(len(start) + 1, np.int64)
+        tokens[at + 1] = n
+        tokens = np.cumsum(tokens)[cut]
+        return [np.concatenate([ids, rest[a:b]]) if ok and b > a else ids
+                for ids, ok, a, b in zip(head, sure, tokens[:-1].tolist(), tokens[1:].tolist())]
+
+
+def _sure_end(part: str) -> bool:
+    return part != "" and not part[-1].isspace()
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this worker process, which keeps its words between tasks."""
+    state = sys.modules.setdefault("token_id_state", types.ModuleType("token_id_state"))
+    if getattr(state, "path", None) != path:
+        state.path, state.encoder = path, Encoder(path)
+    return state.encoder
 
 
 def _tokenize(path: str, end_id: int):
     def run(batches):
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         kind = np.uint16 if max(encoder.size, end_id + 1) <= 1 << 16 else np.uint32
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -153,11 +242,16 @@ def _count(size: int):
 def pack(values: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Control and data bytes of consecutive runs of unsigned 32-bit ``values``."""
     extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    octets = values.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = octets[np.arange(4) <= extra[:, None]].tobytes()
-    data_end = np.cumsum(extra + np.int64(1))
-    end = np.cumsum(lengths)
-    data_cut = np.concatenate([[0], data_end])[np.concatenate([[0], end])]
+    step = extra + np.int64(1)
+    data_end = np.cumsum(step)
+    at = data_end - step
+    data = np.empty(data_end[-1] if len(values) else 0, np.uint8)
+    data[at] = values.astype(np.uint8)
+    for k in range(1, int(extra.max(initial=0)) + 1):
+        longer = np.flatnonzero(extra >= k)
+        data[at[longer] + k] = (values[longer] >> np.uint32(8 * k)).astype(np.uint8)
+    data = data.tobytes()
+    data_cut = np.concatenate([[0], data_end])[np.concatenate([[0], np.cumsum(lengths)])]
     slots, control_cut = _slots(lengths)
     codes = np.zeros(control_cut[-1] * 4, np.uint8)
     codes[slots] = extra
@@ -185,7 +279,7 @@ def unpack(control: bytes, data: bytes, lengths: np.ndarray) -> np.ndarray:
     step = extra + np.int64(1)
     at = np.cumsum(step) - step
     values = octets[at].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(extra.max(initial=0)) + 1):
         longer = np.flatnonzero(extra >= k)
         values[longer] |= octets[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return values
