@@ -63,7 +63,7 @@ def ranked(df: DataFrame, order: list[Column], rank: str, name: str) -> DataFram
     once (a range partitioning need not come out the same twice); each
     partition's offset is the sum of the row counts before it.
     """
-    part, at = unused(df, "part", "at")
+    part, at = unused(df.withColumn(rank, F.lit(0)), "part", "at")
     parts = (df.repartitionByRange(*order).sortWithinPartitions(*order)
              .withColumn(at, F.monotonically_increasing_id()))
     kept = save(parts.withColumn(part, F.shiftright(at, 33).cast("int"))
@@ -80,7 +80,7 @@ def offset(df: DataFrame, part: str, total: Column, out: str, within: Column,
     There is one total per stored partition: the global running sum orders, and
     the broadcast holds, that many rows and no more.
     """
-    t, before = unused(df, "total", "before")
+    t, before = unused(df.withColumn(out, F.lit(0)), "total", "before")
     totals = (df if source is None else source).groupBy(part).agg(total.alias(t))
     before_part = F.coalesce(F.sum(t).over(_all_before(part)), F.lit(0)).cast("long")
     offsets = totals.select(part, before_part.alias(before))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.llm import decontaminate, lang_id, secret_scan, token_ids, url_filter
+from roomledger.llm import decontaminate, lang_id, licenses, mixing, secret_scan, token_ids, url_filter
 from roomledger.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,21 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+
+@register
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.col("licences.places.start")
+    base = F.array_sort(F.array_distinct("licences.places.label"))
+    both = F.array_sort(F.array_union("licences.places.label", "licences.spans.label"))
+    return docs.select("doc_id", "licences.n_words", F.size(starts).cast("long").alias("n_base"),
+                       F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                       F.array_join(base, ",").alias("base_labels"), F.array_join(both, ",").alias("labels"),
+                       "licences.score")
+
+
+@register
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return docs.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
