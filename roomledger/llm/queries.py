@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.llm import decontaminate, lang_id, licenses, mixing, secret_scan, token_ids, url_filter
+from roomledger.llm import decontaminate, jaccard_join, lang_id, licenses, mixing, secret_scan, token_ids, url_filter
 from roomledger.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return docs.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@register
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"), k=4, percent=85)

@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomledger.llm.common import offset, pieces, remove, save
+from roomledger.llm.hashing import ROOT, WordHash
 
 END_ID = 2
 PIECE_BYTES = 2_000_000  # text handled at a time in a task
 PIECE_IDS = 1_000_000  # ids coded or decoded at a time in a task
-WORDS_KEPT = 4_000_000  # words whose ids a worker remembers, at about 70 bytes each
+WORDS_KEPT = 2_000_000  # words whose ids a worker remembers, at about 70 bytes each
 
 
 class Shards(NamedTuple):
@@ -43,7 +44,6 @@ class Shards(NamedTuple):
 
 # ---------------------------------------------------------------- tokenizing
 
-ROOT = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 LONGEST = 64  # bytes of a word that is remembered
 
 
@@ -110,6 +110,7 @@ class Encoder:
         self.width = np.zeros(self.size, np.int64)  # bytes of text behind an id
         for token, i in vocab.items():
             self.width[i] = len(token)
+        self.hash = WordHash()
         self.forget()
 
     def forget(self):
@@ -117,7 +118,6 @@ class Encoder:
         self.ids = np.empty(1 << 20, np.int32)  # of all words, one after another
         self.end = np.zeros(1 << 17, np.int64)  # where those of each word end
         self.sure = np.zeros(1 << 17, bool)  # no space at either end of the word
-        self.power = np.ones(1, np.uint64)
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -141,16 +141,6 @@ class Encoder:
         self.end[first:self.words.n] = used + np.searchsorted(np.cumsum(self.width[got]), octets, side="right")
         self.sure[first:self.words.n] = [w != "" and not w[0].isspace() and not w[-1].isspace() for w in new]
 
-    def keys(self, octets: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A hash of each word, never 0."""
-        if len(self.power) <= len(octets):
-            self.power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * len(octets), ROOT))])
-            self.back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * len(octets), np.uint64(pow(int(ROOT), -1, 1 << 64))))])
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((octets + np.uint64(1)) * self.power[:len(octets)])])
-        keys = (sums[end] - sums[start]) * self.back[start]
-        keys ^= keys >> np.uint64(29)
-        return (keys + (end - start).astype(np.uint64)) * ROOT | np.uint64(1)
-
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if self.words.n > WORDS_KEPT:
@@ -166,7 +156,7 @@ class Encoder:
         inner = np.ones(len(start), bool)
         inner[cut[:-1]] = False  # a text's first word has no space before it
         at = np.flatnonzero(inner & (end - start <= LONGEST))
-        keys = self.keys(octets, start[at], end[at])
+        keys = self.hash(octets, start[at], end[at]) | np.uint64(1)  # 0 marks a free slot
         number = self.words.find(keys)
         unknown = np.flatnonzero(number < 0)
         if len(unknown):
