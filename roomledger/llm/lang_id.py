@@ -10,8 +10,9 @@ responses at a position are ``sum_k table[k][byte at position + k]``.  For
 scoring, the tables of two neighbouring bytes are added up beforehand.
 
 Defined results: null text or text without a letter gives ``und`` with score
-0; rows without a label are never learned from; ties go to the smaller label;
-an empty table gives an empty result (training needs one labelled row).
+0; rows without a label are never learned from; if no row has one, all texts
+get ``und``, those with a letter with score 1; ties go to the smaller label; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -164,9 +165,7 @@ def fit(docs: DataFrame, learn: Column, per_label: int = 500, rows: int = 2500,
     """Train on rows of ``docs`` for which ``learn`` holds: at most ``per_label``
     texts of one ``lang`` and ``rows`` in all (the bounded sample)."""
     texts, labels = sample(docs, learn, per_label, rows)
-    if not texts:
-        raise ValueError("no labelled text to learn from")
-    return train(texts, labels, **more)
+    return train(texts or [b" "], labels or [UNKNOWN], **more)
 
 
 def scores(model: Model, texts: list[bytes]) -> np.ndarray:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.llm import decontaminate, jaccard_join, lang_id, licenses, mixing, secret_scan, token_ids, url_filter
+from roomledger.llm import (ann, decontaminate, jaccard_join, lang_id, licenses, mixing, secret_scan, sharding,
+                            token_ids, url_filter)
 from roomledger.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +141,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@register
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
