@@ -18,7 +18,8 @@ class WordHash:
 
     def __call__(self, octets: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         if len(self.power) <= len(octets):
-            n = 2 * len(octets)
+            n = len(octets) + len(octets) // 4
+            self.power = self.back = None  # freed before the longer ones are made
             self.power, self.back = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, r))]) for r in (ROOT, BACK))
         sums = np.concatenate([[np.uint64(0)], np.cumsum((octets + np.uint64(1)) * self.power[:len(octets)])])
         keys = (sums[end] - sums[start]) * self.back[start]
@@ -43,7 +44,7 @@ def shingles(texts: list[str | None], k: int, hasher: WordHash) -> list[np.ndarr
     words = hasher(octets, start, end)
     cut = np.searchsorted(start, np.cumsum([0] + [len(c) + 1 for c in coded]))
     whole = np.zeros(len(words), np.uint64)
-    for j in range(k):  # shingle at i: words i to i + k - 1
+    for j in range(min(k, len(words))):  # shingle at i: words i to i + k - 1
         whole[:len(words) - j] += mix(words[j:] + np.uint64(j + 1))
     whole = mix(whole)
     out = []

@@ -42,7 +42,8 @@ from roomledger.llm.common import pieces, save
 from roomledger.llm.components import components
 from roomledger.llm.hashing import WordHash, mix, shingles
 
-PIECE_CHARS = 4_000_000
+PIECE_CHARS = 1_000_000
+COUNT_CHARS = 12_000_000  # behind one row of counted runs
 HOT_LEAST = 64
 HOT_MOST = 1_000_000
 ORDERS = 3
@@ -72,7 +73,7 @@ def _count_runs(k: int):
     def run(batches):
         hasher = WordHash()
         for batch in batches:
-            for piece in pieces(batch, "text", 4 * PIECE_CHARS):
+            for piece in pieces(batch, "text", COUNT_CHARS):
                 some = [s for part in pieces(piece, "text", PIECE_CHARS)
                         for s in shingles(part.column("text").to_pylist(), k, hasher)]
                 h = np.sort(np.concatenate(some) >> np.uint64(32)).astype(np.int64) if some else np.empty(0, np.int64)

@@ -32,7 +32,7 @@ UNKNOWN = "und"
 WINDOW = 192  # bytes of a window
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
 HAS_LETTER = r"\p{L}"
 
 
@@ -173,10 +173,10 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
     cut = np.cumsum([0] + [len(t) for t in texts])
     rows, text = windows(np.frombuffer(b"".join(texts), np.uint8), cut)
     total = np.zeros((len(texts), len(model.labels)))
-    for k in range(0, len(rows), 2048):
-        z = pooled(rows[k:k + 2048], model.tables) @ model.weights + model.bias
+    for k in range(0, len(rows), 1024):
+        z = pooled(rows[k:k + 1024], model.tables) @ model.weights + model.bias
         p = np.exp(z - z.max(1, keepdims=True))
-        np.add.at(total, text[k:k + 2048], p / p.sum(1, keepdims=True))
+        np.add.at(total, text[k:k + 1024], p / p.sum(1, keepdims=True))
     return total / np.bincount(text, minlength=len(texts))[:, None]
 
 

@@ -30,9 +30,9 @@ from roomledger.llm.common import offset, pieces, remove, save
 from roomledger.llm.hashing import ROOT, WordHash
 
 END_ID = 2
-PIECE_BYTES = 2_000_000  # text handled at a time in a task
-PIECE_IDS = 1_000_000  # ids coded or decoded at a time in a task
-WORDS_KEPT = 2_000_000  # words whose ids a worker remembers, at about 70 bytes each
+PIECE_BYTES = 1_000_000  # text handled at a time in a task
+PIECE_IDS = 500_000  # ids coded or decoded at a time in a task
+WORDS_KEPT = 1_000_000  # words whose ids a worker remembers, at about 70 bytes each
 
 
 class Shards(NamedTuple):
