@@ -6,8 +6,10 @@ folder that driver and executors share), so a lost executor costs a re-read.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,3 +112,12 @@ def pieces(batch, column: str, units: int, size=len):
             at, total = i + 1, 0
     if at < batch.num_rows:
         yield batch.slice(at)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a reused worker otherwise keeps what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)

@@ -72,7 +72,7 @@ class Numbers:
 
     def add(self, keys: np.ndarray):
         """Number distinct unknown keys in their order."""
-        while (self.n + len(keys)) * 3 > len(self.keys):
+        while (self.n + len(keys)) * 2 > len(self.keys):
             used = np.flatnonzero(self.keys)
             old, numbers = self.keys[used], self.numbers[used]
             self.bits += 1
