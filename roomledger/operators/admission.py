@@ -114,6 +114,18 @@ def _greedy_clusters(pdf: pd.DataFrame, mode: str) -> pd.DataFrame:
     return greedy_admit(pdf, mode, ("room_id", "cluster"))
 
 
+def static_checks():
+    """(passes, decision of a row that doesn't) over ``errors`` and ``_cap``; never null.
+
+    A missing time is invalid; a missing number of attendees exceeds no capacity.
+    """
+    timed = (F.size("errors") == 0) & F.col("start_time").isNotNull() & F.col("end_time").isNotNull()
+    fits = F.coalesce(F.col("attendees_count") <= F.col("_cap"), F.lit(True))
+    decision = (F.when(~timed, "invalid_time").when(F.col("_cap").isNull(), "room_not_found")
+                .when(~fits, "capacity_exceeded"))
+    return timed & F.col("_cap").isNotNull() & fits, decision
+
+
 def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as_of, mode: str = "app",
                        width: int = 86400, join_width: int = 3600, groups: int | None = None) -> DataFrame:
     """Decide every request of a batch; returns the requests plus ``decision``
@@ -130,7 +142,7 @@ def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as
     v = validate_slot(requests, as_of)
     rm = rooms.filter(F.col("is_active")).select("room_id", F.col("capacity").alias("_cap"))
     v = v.join(rm, "room_id", "left")
-    static_ok = (F.size("errors") == 0) & F.col("_cap").isNotNull() & (F.col("attendees_count") <= F.col("_cap"))
+    static_ok, rejection = static_checks()
     slots = v.filter(static_ok).select(F.col("request_id").alias("slot_id"), "room_id", "start_time", "end_time")
     busy = None
     for m in (("app", "trigger") if mode == "both" else (mode,)):
@@ -149,12 +161,10 @@ def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as
                .groupBy("_g").applyInPandas(lambda pdf: _greedy_clusters(pdf, mode),
                                             schema="request_id long, admitted boolean"))
     v = v.join(decided, "request_id", "left")
-    decision = (F.when(F.size("errors") > 0, "invalid_time")
-                .when(F.col("_cap").isNull(), "room_not_found")
-                .when(F.col("attendees_count") > F.col("_cap"), "capacity_exceeded")
+    decision = (F.when(~static_ok, rejection)
                 .when(F.col("_busy"), "conflict_existing")
-                .when(~F.col("admitted"), "conflict_batch")
-                .otherwise("admitted"))
+                .when(F.col("admitted"), "admitted")
+                .otherwise("conflict_batch"))
     v = v.withColumn("decision", decision)
     v = coffee_break_status(v).withColumn(
         "coffee_break_final", F.when(F.col("decision") == "admitted", F.col("coffee_break_final")))

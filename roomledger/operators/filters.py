@@ -130,7 +130,7 @@ def can_modify(commands: DataFrame, users: DataFrame, res: DataFrame, rooms: Dat
               .when(F.col("role").isin("administrador", "aprobador"), None)
               .when((F.col("role") == "organizador") & F.col("owner_id").isNull(), "not_found")
               .when((F.col("role") == "organizador") & (F.col("owner_id") != F.col("actor_id")), "forbidden"))
-    return j.select(*commands.columns, "role", reason.isNull().alias("allowed"), reason.alias("reason"))
+    return j.select(*commands.columns, "role", reason.isNull().alias("allowed"), reason.alias("denial_reason"))
 
 
 def authorize(commands: DataFrame, users: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def authorize(commands: DataFrame, users: DataFrame) -> DataFrame:
     j = commands.join(actors, "actor_id", "left").join(F.broadcast(rules), ["command", "role"], "left")
     reason = (F.when(F.col("role").isNull(), "unauthenticated")
               .when(F.col("command").isin(*GATED_ACTIONS) & F.col("ok").isNull(), "forbidden"))
-    return j.select(*commands.columns, "role", reason.isNull().alias("allowed"), reason.alias("reason"))
+    return j.select(*commands.columns, "role", reason.isNull().alias("allowed"), reason.alias("denial_reason"))
 
 
 def date_range(df: DataFrame, ts: str, start, end) -> DataFrame:

@@ -35,7 +35,8 @@ def _oracle(mode: str) -> str:
 WITH RECURSIVE v0 AS (
   SELECT b.*, rm.capacity AS cap, {_ws(*_SLOT_RULES)} AS errors
   FROM booking_requests b LEFT JOIN (SELECT room_id, capacity FROM rooms WHERE is_active) rm ON rm.room_id = b.room_id),
-v1 AS (SELECT v0.*, errors = '' AND cap IS NOT NULL AND attendees_count <= cap AS static_ok FROM v0),
+v1 AS (SELECT v0.*, errors = '' AND start_time IS NOT NULL AND end_time IS NOT NULL AND cap IS NOT NULL
+         AND COALESCE(attendees_count <= cap, true) AS static_ok FROM v0),
 v AS (SELECT v.*, v.static_ok AND {busy} AS busy FROM v1 v),
 surv AS (SELECT request_id, room_id, start_time AS lo, end_time AS hi, CAST(start_time AS DATE) AS d,
            row_number() OVER (PARTITION BY room_id ORDER BY requested_at, request_id) AS k
@@ -50,7 +51,7 @@ g AS (
   FROM g JOIN surv s ON s.room_id = g.room_id AND s.k = g.k + 1),
 dec AS (
   SELECT v.request_id, v.errors,
-    CASE WHEN v.errors <> '' THEN 'invalid_time' WHEN v.cap IS NULL THEN 'room_not_found'
+    CASE WHEN v.errors <> '' OR v.start_time IS NULL OR v.end_time IS NULL THEN 'invalid_time' WHEN v.cap IS NULL THEN 'room_not_found'
          WHEN v.attendees_count > v.cap THEN 'capacity_exceeded' WHEN v.busy THEN 'conflict_existing'
          WHEN NOT a.admitted THEN 'conflict_batch' ELSE 'admitted' END AS decision,
     v.start_time, v.end_time, v.coffee_break

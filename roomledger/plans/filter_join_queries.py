@@ -92,7 +92,7 @@ SELECT c.*, a.role,
   CASE WHEN a.role IS NULL THEN 'unauthenticated'
        WHEN a.role IN ('administrador', 'aprobador') THEN NULL
        WHEN a.role = 'organizador' AND fr.owner_id IS NULL THEN 'not_found'
-       WHEN a.role = 'organizador' AND fr.owner_id <> c.actor_id THEN 'forbidden' END AS reason,
+       WHEN a.role = 'organizador' AND fr.owner_id <> c.actor_id THEN 'forbidden' END AS denial_reason,
   (CASE WHEN a.role IS NULL THEN 'unauthenticated'
        WHEN a.role IN ('administrador', 'aprobador') THEN NULL
        WHEN a.role = 'organizador' AND fr.owner_id IS NULL THEN 'not_found'
@@ -113,7 +113,7 @@ SELECT c.*, a.role,
   CASE WHEN a.role IS NULL THEN 'unauthenticated'
        WHEN c.command IN ('approve', 'reject') AND a.role NOT IN ('administrador', 'aprobador') THEN 'forbidden'
        WHEN c.command IN ('checkin', 'noshow', 'complete') AND a.role NOT IN ('administrador', 'recepcion')
-         THEN 'forbidden' END AS reason,
+         THEN 'forbidden' END AS denial_reason,
   (CASE WHEN a.role IS NULL THEN 'unauthenticated'
        WHEN c.command IN ('approve', 'reject') AND a.role NOT IN ('administrador', 'aprobador') THEN 'forbidden'
        WHEN c.command IN ('checkin', 'noshow', 'complete') AND a.role NOT IN ('administrador', 'recepcion')

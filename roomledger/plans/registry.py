@@ -40,11 +40,11 @@ def register(name: str, oracle: str | None = None, tables: tuple[str, ...] = ())
     return deco
 
 
-_FX_CACHE: dict[tuple[int, str], Fixtures] = {}
+_FX_CACHE: dict[tuple[str, int, str], Fixtures] = {}
 
 
 def fx(spark: SparkSession, sf_dir: str) -> Fixtures:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _FX_CACHE:
         _FX_CACHE[key] = Fixtures(spark, sf_dir)
     return _FX_CACHE[key]

@@ -159,8 +159,7 @@ def _admission_oracle():
     from roomledger.plans.admission_queries import _oracle
     body = _oracle("app")
     head, _, _ = body.rpartition("SELECT request_id, errors, decision,")
-    return head + "SELECT request_id, decision FROM dec WHERE decision IN ('admitted', 'conflict_batch', " \
-                  "'conflict_existing')"
+    return head + "SELECT request_id, decision FROM dec"
 
 
 @register("stream_admission", _admission_oracle(), ("booking_requests", "rooms", "reservations"))

@@ -196,19 +196,22 @@ def streaming_admission(requests: DataFrame, res: DataFrame, rooms: DataFrame, a
     """STR-8: admission as a stateful stream keyed by room.
 
     Static checks (slot rules, room, capacity, existing bookings) are
-    stream-static joins; the requests that pass are decided per room in
+    stream-static joins; requests that fail them are answered at once, without
+    state.  The requests that pass are decided per room in
     arrival order against the intervals admitted earlier, kept in state
     until the watermark passes their end (TTL via an event-time timer).
     Note: a room's requests of one micro-batch are decided in one task; a
     room's state only holds bookings that have not ended.
     """
+    from roomledger.operators.admission import static_checks
     from roomledger.operators.overlap import conflict_pairs, epoch_seconds
     from roomledger.operators.validate import validate_slot
 
     v = validate_slot(requests, as_of)
     rm = rooms.filter(F.col("is_active")).select("room_id", F.col("capacity").alias("_cap"))
     v = v.join(rm, "room_id", "left")
-    ok = (F.size("errors") == 0) & F.col("_cap").isNotNull() & (F.col("attendees_count") <= F.col("_cap"))
+    ok, rejection = static_checks()
+    refused = v.filter(~ok).select("request_id", "room_id", rejection.alias("decision"))
     s = v.filter(ok).withColumn("event_time", ntz_to_instant("requested_at"))
     base = ["request_id", "room_id", "lo", "hi", "day", "requested_at", "event_time"]
     reqs = s.select(F.lit("request").alias("kind"), "request_id", "room_id",
@@ -227,5 +230,6 @@ def streaming_admission(requests: DataFrame, res: DataFrame, rooms: DataFrame, a
             F.lit(None).cast("string").alias("day"), "requested_at", "event_time")
         marks = p if marks is None else marks.unionByName(p)
     ev = reqs.select("kind", *base).unionByName(marks.select("kind", *base)).withWatermark("event_time", delay)
-    return ev.groupBy("room_id").applyInPandasWithState(
+    decided = ev.groupBy("room_id").applyInPandasWithState(
         _admit_fn(mode), ADMIT_OUT, ADMIT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return decided.select("request_id", "room_id", "decision").unionByName(refused)
