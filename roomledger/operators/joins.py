@@ -102,9 +102,9 @@ def _with_actor(audit: DataFrame, users: DataFrame) -> DataFrame:
 
 def audit_entries(audit: DataFrame, users: DataFrame, table_name: str | None = None, record_id=None,
                   action: str | None = None, user_id=None, start_date=None, end_date=None,
-                  limit: int | None = 100) -> DataFrame:
+                  *, limit: int | None) -> DataFrame:
     """JOIN-11: filtered audit rows with the actor's name (actor may be null),
-    newest first, then the page limit (100 by default as in the reference)."""
+    newest first; ``limit`` is the page size, None for all rows."""
     a = audit
     if table_name:
         a = a.filter(F.col("table_name") == table_name)
@@ -119,8 +119,10 @@ def audit_entries(audit: DataFrame, users: DataFrame, table_name: str | None = N
     if end_date:
         a = a.filter(F.col("created_at") < ts_lit(
             _dt.date.fromisoformat(str(end_date)[:10]) + _dt.timedelta(days=1)))
-    j = _with_actor(a, users).orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return j.limit(limit) if limit else j
+    newest = [F.col("created_at").desc(), F.col("id").desc()]
+    if limit:  # the page first: an actor lookup by unique key neither adds nor drops rows
+        a = a.orderBy(*newest).limit(limit)
+    return _with_actor(a, users).orderBy(*newest)
 
 
 def audit_trail(audit: DataFrame, users: DataFrame, reservation_ids: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ MSG_CREATED = "Se ha creado una nueva solicitud de reserva para la sala %s el %s
 AUDIT_INSERT, AUDIT_UPDATE, AUDIT_DELETE = "Creación de reserva", "Modificación de reserva", "Eliminación de reserva"
 TRIGGER_NOTICE_RECIPIENT = 1
 AUDIENCE_ROLES = ("aprobador", "administrador")
-MAX_AUDIENCE = 100_000
+AUDIENCE_SCOPE = "approval_audience"
 
 
 def approval_audience(users: DataFrame) -> DataFrame:
@@ -34,23 +34,18 @@ def approval_audience(users: DataFrame) -> DataFrame:
 
 
 def fanout_new_reservation(new_res: DataFrame, users: DataFrame, rooms: DataFrame) -> DataFrame:
-    """NTF-1: one notification per new reservation and audience member.
+    """NTF-1: one notice per new reservation to the approval audience.
 
-    The audience is the same for every reservation, so it is gathered once
-    into a sorted array (scalar subquery) after checking its size, and each
-    reservation explodes it: the output rows are the only per-pair work.
+    The audience is the same for every reservation, so a notice names it by
+    ``scope`` and says how many it reaches; ``approval_audience`` lists who is
+    in it.  The reservations x audience rows are left to delivery.
     """
-    aud = approval_audience(users)
-    n = aud.count()
-    if n > MAX_AUDIENCE:
-        raise ValueError(f"audience of {n} users exceeds the bound {MAX_AUDIENCE}")
-    arr = aud.agg(F.array_sort(F.collect_list(F.struct("audience_rank", "user_id"))).alias("a")).scalar()
+    n = approval_audience(users).agg(F.count(F.lit(1)).alias("n")).scalar()
     r = new_res.join(rooms.select("room_id", F.col("name").alias("room_name")), "room_id", "left")
     msg = F.format_string(MSG_CREATED, F.col("room_name"), format_dmy("start_time"),
                           F.date_format("start_time", "HH:mm"), F.date_format("end_time", "HH:mm"))
-    out = r.select("reservation_id", F.explode(arr).alias("to"), msg.alias("message"))
-    return out.select(F.col("to.user_id").alias("user_id"), "reservation_id", F.lit(TYPE_CREATED).alias("type"),
-                      F.lit(TITLE_CREATED).alias("title"), "message")
+    return r.select("reservation_id", F.lit(AUDIENCE_SCOPE).alias("scope"), n.alias("recipients"),
+                    F.lit(TYPE_CREATED).alias("type"), F.lit(TITLE_CREATED).alias("title"), msg.alias("message"))
 
 
 def notify_decisions(before: DataFrame, after: DataFrame, rooms: DataFrame) -> DataFrame:

@@ -282,38 +282,36 @@ def busy_rooms(slots: DataFrame, res: DataFrame, width: int = 3600) -> DataFrame
     return pairs.select("slot_id", "room_id").distinct()
 
 
-MAX_ROOMS_IN_ARRAY = 200_000
+def _candidates(rooms: DataFrame, min_capacity: int | None) -> DataFrame:
+    cand = rooms.filter(F.col("is_active"))
+    return cand.filter(F.col("capacity") >= min_capacity) if min_capacity else cand
 
 
 def available_rooms(slots: DataFrame, rooms: DataFrame, res: DataFrame, min_capacity: int | None = None,
                     width: int = 3600) -> DataFrame:
-    """JOIN-7: for each search window, the ids of the active rooms (capacity >=
-    min) with no overlapping blocking booking, in room-name order.
-
-    The answer is one row per window with the room ids as an array (the
-    answer itself is windows x free rooms).  Candidate rooms are a
-    dimension: their ids are gathered once, in name order, into an array that
-    Spark evaluates as a scalar subquery, after checking that the room count
-    is bounded.  Busy rooms come from the bucketed overlap join (no window x
-    room product); the available list is ``array_except`` on primitive ids.
-    Beyond ``MAX_ROOMS_IN_ARRAY`` candidate rooms use ``busy_rooms``.
+    """JOIN-7: for each search window, how many active rooms (capacity >= min)
+    have no overlapping blocking booking (``n_available``).
+
+    Free rooms are all candidates but the busy ones, so only busy (window,
+    room) rows are formed; windows x free rooms never are.  Which rooms are
+    free is answered by ``room_availability`` for the rooms a caller asks for.
     """
-    cand = rooms.filter(F.col("is_active"))
-    if min_capacity:
-        cand = cand.filter(F.col("capacity") >= min_capacity)
-    n = cand.count()
-    if n > MAX_ROOMS_IN_ARRAY:
-        raise ValueError(f"{n} candidate rooms exceed the array bound; use busy_rooms()")
-    # candidate ids in name order, evaluated once; per window only the (few)
-    # busy ids are removed from this primitive array
-    all_ids = cand.agg(F.transform(F.array_sort(F.collect_list(F.struct("name", "room_id"))),
-                                   lambda x: x["room_id"]).alias("ids")).scalar()
-    busy = (busy_rooms(slots, res, width)
-            .groupBy("slot_id").agg(F.collect_list("room_id").alias("busy")))
-    out = slots.join(busy, "slot_id", "left").withColumn(
-        "available_rooms", F.when(F.col("busy").isNull(), all_ids)
-        .otherwise(F.array_except(all_ids, F.col("busy"))))
-    return out.drop("busy")
+    cand = _candidates(rooms, min_capacity)
+    total = cand.agg(F.count(F.lit(1)).alias("n")).scalar()
+    busy = (busy_rooms(slots, res, width).join(cand.select("room_id"), "room_id", "left_semi")
+            .groupBy("slot_id").agg(F.count(F.lit(1)).alias("_busy")))
+    out = slots.join(busy, "slot_id", "left")
+    return out.withColumn("n_available", total - F.coalesce("_busy", F.lit(0))).drop("_busy")
+
+
+def room_availability(asked: DataFrame, slots: DataFrame, rooms: DataFrame, res: DataFrame,
+                      min_capacity: int | None = None, width: int = 3600) -> DataFrame:
+    """JOIN-7 for pairs: each ``asked`` (slot_id, room_id) with ``available``; a
+    room that is no candidate is not available."""
+    busy = busy_rooms(slots, res, width).withColumn("_busy", F.lit(True))
+    cand = _candidates(rooms, min_capacity).select("room_id", F.lit(True).alias("_cand"))
+    return (asked.join(cand, "room_id", "left").join(busy, ["slot_id", "room_id"], "left")
+            .withColumn("available", F.col("_cand").isNotNull() & F.col("_busy").isNull()).drop("_cand", "_busy"))
 
 
 def booking_conflicts(reservas: DataFrame, new: DataFrame, width: int = 60) -> DataFrame:

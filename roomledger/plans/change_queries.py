@@ -172,28 +172,17 @@ def q_approval_audience(spark, d):
 
 
 @register("fanout_new_reservation", """
-WITH aud AS (SELECT user_id FROM users WHERE role IN ('aprobador', 'administrador') AND is_active),
-n AS (
-  SELECT a.user_id, r.reservation_id,
-    'Se ha creado una nueva solicitud de reserva para la sala ' || rm.name || ' el ' ||
+SELECT r.reservation_id, 'approval_audience' AS scope,
+  (SELECT COUNT(*) FROM users WHERE role IN ('aprobador', 'administrador') AND is_active) AS recipients,
+  'reservation_created' AS type, 'Nueva solicitud de reserva' AS title,
+  'Se ha creado una nueva solicitud de reserva para la sala ' || rm.name || ' el ' ||
     strftime(r.start_time, '%-d/%-m/%Y') || ' de ' || strftime(r.start_time, '%H:%M') || ' a ' ||
     strftime(r.end_time, '%H:%M') || '.' AS message
-  FROM reservations r LEFT JOIN rooms rm ON rm.room_id = r.room_id CROSS JOIN aud a
-  WHERE r.status = 'pendiente')
-SELECT user_id, COUNT(*) AS notifications, COUNT(message) AS with_message, MIN(message) AS first_message,
-  MAX(message) AS last_message, CAST(SUM(reservation_id) AS BIGINT) AS reservation_id_sum
-FROM n GROUP BY user_id
+FROM reservations r LEFT JOIN rooms rm ON rm.room_id = r.room_id WHERE r.status = 'pendiente'
 """, ("reservations", "rooms", "users"))
 def q_fanout_new_reservation(spark, d):
-    """NTF-1 on every pending reservation; the fan-out rows (reservations x
-    audience) are all built, and checked through a per-recipient summary
-    (count, first/last message text, id sum)."""
     f = fx(spark, d)
-    rows = N.fanout_new_reservation(f.reservations.filter(F.col("status") == "pendiente"), f.users, f.rooms)
-    return rows.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("notifications"), F.count("message").alias("with_message"),
-        F.min("message").alias("first_message"), F.max("message").alias("last_message"),
-        F.sum("reservation_id").alias("reservation_id_sum"))
+    return N.fanout_new_reservation(f.reservations.filter(F.col("status") == "pendiente"), f.users, f.rooms)
 
 
 @register("notify_decisions", _EN_FOLD + """,

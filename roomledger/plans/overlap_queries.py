@@ -40,26 +40,30 @@ def q_check_availability_trigger(spark, d):
     return O.check_availability(f.slots, f.reservations, mode="trigger")
 
 
+_BUSY = f"""EXISTS (SELECT 1 FROM reservations r WHERE r.room_id = rm.room_id
+  AND r.status IN ('pendiente', 'aprobada') AND {_APP})"""
+
+
 @register("available_rooms", f"""
-WITH cand AS (
-  SELECT s.slot_id, rm.room_id, rm.name FROM slots s CROSS JOIN rooms rm
-  WHERE rm.is_active AND rm.capacity >= 10 AND NOT EXISTS (
-    SELECT 1 FROM reservations r WHERE r.room_id = rm.room_id AND r.status IN ('pendiente', 'aprobada') AND {_APP}))
-SELECT s.slot_id, s.start_time, s.end_time,
-  COALESCE(a.ids, '') AS available_room_ids, COALESCE(a.n, 0) AS n_available
-FROM slots s LEFT JOIN (
-  SELECT slot_id, string_agg(CAST(room_id AS VARCHAR), ',' ORDER BY name, room_id) AS ids, COUNT(*) AS n
-  FROM cand GROUP BY slot_id) a ON a.slot_id = s.slot_id
+SELECT s.slot_id, s.start_time, s.end_time, COUNT(rm.room_id) AS n_available
+FROM slots s LEFT JOIN rooms rm ON rm.is_active AND rm.capacity >= 10 AND NOT {_BUSY}
+GROUP BY s.slot_id, s.start_time, s.end_time
 """, ("slots", "rooms", "reservations"))
 def q_available_rooms(spark, d):
     f = fx(spark, d)
     windows = f.slots.select("slot_id", "start_time", "end_time")
-    out = O.available_rooms(windows, f.rooms, f.reservations, min_capacity=10)
-    return out.select(
-        "slot_id", "start_time", "end_time",
-        F.array_join(F.transform("available_rooms", lambda x: x.cast("string")), ",")
-         .alias("available_room_ids"),
-        F.size("available_rooms").cast("long").alias("n_available"))
+    return O.available_rooms(windows, f.rooms, f.reservations, min_capacity=10)
+
+
+@register("room_availability", f"""
+SELECT s.slot_id, s.room_id, COALESCE((SELECT bool_or(true) FROM rooms rm WHERE rm.room_id = s.room_id
+  AND rm.is_active AND rm.capacity >= 10 AND NOT {_BUSY}), false) AS available
+FROM slots s
+""", ("slots", "rooms", "reservations"))
+def q_room_availability(spark, d):
+    f = fx(spark, d)
+    windows = f.slots.select("slot_id", "start_time", "end_time")
+    return O.room_availability(f.slots.select("slot_id", "room_id"), windows, f.rooms, f.reservations, min_capacity=10)
 
 
 _ES_NEW = ("SELECT request_id AS id_reserva, room_id AS id_sala, CAST(start_time AS DATE) AS fecha, "

@@ -129,7 +129,7 @@ def test_can_modify_rules(spark):
                                  (11, 2, 1, h(9), h(10), "pendiente", False, 2, "no_aplica", MON, None)], RES_SCHEMA)
     cmds = spark.createDataFrame([(1, 1, 10), (2, 1, 11), (3, 1, 99), (4, 2, 10), (5, 3, 10)],
                                  "command_id long, actor_id long, reservation_id long")
-    got = {r.command_id: r.reason for r in FL.can_modify(cmds, users, res, rooms).collect()}
+    got = {r.command_id: r.denial_reason for r in FL.can_modify(cmds, users, res, rooms).collect()}
     assert got == {1: None, 2: "forbidden", 3: "not_found", 4: None, 5: "unauthenticated"}
 
 
@@ -186,7 +186,7 @@ def test_authorize_role_gate_and_visibility(spark):
                                   "is_active boolean")
     cmds = spark.createDataFrame([(1, 2, "approve"), (2, 4, "approve"), (3, 1, "checkin"), (4, 4, "checkin"),
                                   (5, 3, "cancel"), (6, 9, "cancel")], "command_id long, actor_id long, command string")
-    got = {r.command_id: r.reason for r in FL.authorize(cmds, users).collect()}
+    got = {r.command_id: r.denial_reason for r in FL.authorize(cmds, users).collect()}
     assert got == {1: "forbidden", 2: None, 3: None, 4: "forbidden", 5: None, 6: "unauthenticated"}
     res = spark.createDataFrame([(10, 3), (11, 4)], "reservation_id long, user_id long")
     assert [r.reservation_id for r in FL.visible_reservations(res, 3, "organizador").collect()] == [10]

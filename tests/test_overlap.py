@@ -166,7 +166,7 @@ def test_available_rooms(spark):
                                   False, 3, "no_aplica", T0, None)], RES_SCHEMA)
     win = spark.createDataFrame([(1, T0 + dt.timedelta(hours=9, minutes=30), T0 + dt.timedelta(hours=11))],
                                 "slot_id long, start_time timestamp_ntz, end_time timestamp_ntz")
-    out = O.available_rooms(win, rooms, rdf).first().available_rooms
-    assert out == [2, 1]  # room 4 busy, room 3 inactive; sorted by name
-    out10 = O.available_rooms(win, rooms, rdf, min_capacity=10).first().available_rooms
-    assert out10 == [1]
+    out = O.available_rooms(win, rooms, rdf).first().n_available
+    assert out == 2  # room 4 busy, room 3 inactive
+    out10 = O.available_rooms(win, rooms, rdf, min_capacity=10).first().n_available
+    assert out10 == 1
