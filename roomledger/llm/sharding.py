@@ -3,15 +3,15 @@
 Documents that share a link (by default: equal texts) should share a shard,
 while every shard holds the same number of documents, give or take one.  All
 start dealt out evenly.  In each round a link looks, among the shards that
-still have room, for the one that most of its documents are in; its other
-documents ask to move there, and a shard grants as many moves as its quota
+still have room, for those that most of its documents are in, one unless it is
+too large for it; its other documents ask to move there, and a shard grants as many moves as its quota
 allows (by the hash of row and round, where more ask).  Documents without links
 have no wish; they and what a quota turns away fill the shards up in the end.
 
 Rounds are joins and counts over the linked documents alone, written to the
 shared folder; the driver sees counts per shard.  No pairs of a link's
 documents are formed and no link is gathered: a link with a third of all rows
-is counted per shard like any other, and fills one shard after another.
+is counted per shard like any other, and fills as many shards as it needs.
 
 Defined results: a null text has no link and size 8, its crc32 is that of the
 empty text; equal rows each get a slot; an empty table gives an empty result;
@@ -50,12 +50,19 @@ def propagate(state: DataFrame, links: DataFrame, quota: list[int], rounds: int
         room = [max(0, q - h) for q, h in zip(quota, have)]
         placed = links.join(state, "row")
         counts = placed.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
-        # a link's aim: its fullest shard with room; where none is fuller, the hash decides
+        # a link's aims: its fullest shards with room, as many as hold all its documents; where
+        # none is fuller, the hash decides.  The list has an entry per shard at most.
         open_ = pick([r > 0 for r in room], F.col("shard"))
-        aims = counts.where(open_ | (F.col("n") > 1)).groupBy("link").agg(
-            F.max(F.when(open_, F.struct("n", F.xxhash64("link", "shard").alias("h"), "shard"))).alias("aim")).where("aim IS NOT NULL")
-        wish = (placed.join(aims, "link").groupBy("row", "shard").agg(F.max("aim").alias("aim"))
-                .select("row", "shard", F.col("aim.shard").alias("aim"), F.col("aim.n").alias("votes")))
+        aims = counts.groupBy("link").agg(F.sum("n").alias("m"), F.array_sort(F.collect_list(F.when(open_, F.struct(
+            (-F.col("n")).alias("n"), F.xxhash64("link", "shard").alias("h"), "shard",
+            (F.col("n") + pick(room, F.col("shard"))).alias("space"))))).alias("a")).where(F.size("a") > 0)
+        aims = aims.withColumn("a", F.expr("""filter(transform(a, (x, i) -> named_struct('n', -x.n, 'shard', x.shard,
+            'before', aggregate(slice(a, 1, i), 0L, (t, y) -> t + y.space))), x -> x.before < m)"""))
+        spread = F.pmod(F.xxhash64("link", "row"), F.size("a")).cast("int") + 1
+        wish = (placed.join(aims, "link").where(F.expr("NOT exists(a, x -> x.shard = shard)"))
+                .select("row", "shard", F.element_at("a", spread).alias("aim"))
+                .groupBy("row", "shard").agg(F.max(F.struct("aim.n", "aim.shard")).alias("aim"))
+                .select("row", "shard", F.col("aim.shard").alias("aim")))
         full = pick([r <= 0 for r in room], F.col("shard"))
         wish = save(wish.where((F.col("aim") != F.col("shard")) & ~full), "wishes")
         ask, leave = by_shard(wish, "aim", shards), by_shard(wish, "shard", shards)
