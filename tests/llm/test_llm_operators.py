@@ -282,7 +282,7 @@ def test_sharding_law_and_links(spark, edge, none):
     assert len({r["shard"] for r in got if 420 <= (r["doc_id"] or 0) < 620}) <= 14  # 200 copies, about 26 to a shard
     linked = placed.join(docs.distinct(), "doc_id").withColumn("link", F.col("text"))
     total, cut = sharding.cut_edges(linked).first()
-    assert 0 <= cut < 0.95 * total
+    assert 0 <= cut < 0.95 * float(total)
     assert sharding.shard(none, 24).count() == 0
 
 
