@@ -10,21 +10,24 @@ order dependent (arrival order; a refused request blocks nothing), but only
 requests whose intervals chain together can influence each other.  Those
 chains are *overlap clusters* per room, found without a per-room task:
 
-1. per (room, day bucket) the maximum end, then per room a running maximum
+1. rows are reduced to one per (room, start second), with the greatest end;
+2. per (room, day bucket) the maximum end, then per room a running maximum
    over those aggregated rows (one row per bucket, so bounded by the time
    span, not by the data);
-2. inside each (room, bucket) a running maximum over the rows before;
+3. inside each (room, bucket) a running maximum over the rows before;
    a row starts a cluster when it starts after everything before it ends;
-3. the cluster label is the start of the latest cluster-starting row.
+4. the cluster label is the start of the latest cluster-starting row.
 
-The greedy decision then runs per (room, cluster) with ``applyInPandas``:
-a small sorted-list helper over the cluster's rows in arrival order.  A
-cluster is the unit the semantics cannot split further.
+The greedy decision then streams partitions sorted by (room, cluster,
+arrival) through ``mapInPandas``; memory holds one Arrow batch and the
+intervals admitted in the current cluster.  A cluster is the unit the
+semantics cannot split further.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -37,22 +40,27 @@ MODES = ("app", "trigger", "both")
 
 
 def _cluster_labels(s: DataFrame, width: int) -> DataFrame:
-    """Add ``cluster`` (start of the cluster) to rows with room_id, lo, hi, request_id.
-    Closed intervals: touching intervals share a cluster (a superset for every mode)."""
-    s = s.withColumn("_b", F.floor(F.col("lo") / width))
+    """Add ``cluster`` (start of the cluster) to rows with room_id, lo, hi.
+    Closed intervals: touching intervals share a cluster (a superset for every mode).
+
+    Rows of one (room, lo) share their cluster, so the windows run over one
+    row per (room, lo) with the greatest hi: at most ``width`` rows per
+    (room, bucket), however many intervals a busy day holds."""
+    p = (s.groupBy("room_id", "lo").agg(F.max("hi").alias("_hi"))
+         .withColumn("_b", F.floor(F.col("lo") / width)))
     w_room = Window.partitionBy("room_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    w_prev = Window.partitionBy("room_id", "_b").orderBy("lo", "request_id").rowsBetween(Window.unboundedPreceding, -1)
-    w_upto = Window.partitionBy("room_id", "_b").orderBy("lo", "request_id").rowsBetween(Window.unboundedPreceding, 0)
-    bmax = (s.groupBy("room_id", "_b").agg(F.max("hi").alias("_bmax"))
+    w_prev = Window.partitionBy("room_id", "_b").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    w_upto = Window.partitionBy("room_id", "_b").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
+    bmax = (p.groupBy("room_id", "_b").agg(F.max("_hi").alias("_bmax"))
             .withColumn("_carry", F.max("_bmax").over(w_room)).drop("_bmax"))
-    s = s.join(bmax, ["room_id", "_b"])
-    prev = F.greatest(F.max("hi").over(w_prev), F.col("_carry"))
-    s = s.withColumn("_start", prev.isNull() | (F.col("lo") > prev))
-    bstart = (s.groupBy("room_id", "_b").agg(F.max(F.when(F.col("_start"), F.col("lo"))).alias("_bs"))
+    p = p.join(bmax, ["room_id", "_b"])
+    prev = F.greatest(F.max("_hi").over(w_prev), F.col("_carry"))
+    p = p.withColumn("_start", prev.isNull() | (F.col("lo") > prev))
+    bstart = (p.groupBy("room_id", "_b").agg(F.max(F.when(F.col("_start"), F.col("lo"))).alias("_bs"))
               .withColumn("_carry_start", F.max("_bs").over(w_room)).drop("_bs"))
-    s = s.join(bstart, ["room_id", "_b"])
+    p = p.join(bstart, ["room_id", "_b"])
     label = F.greatest(F.max(F.when(F.col("_start"), F.col("lo"))).over(w_upto), F.col("_carry_start"))
-    return s.withColumn("cluster", label).drop("_b", "_carry", "_start", "_carry_start")
+    return s.join(p.select("room_id", "lo", label.alias("cluster")), ["room_id", "lo"])
 
 
 def _conflicts_with(acc_lo: list, acc_hi: list, lo: int, hi: int, closed: bool) -> bool:
@@ -71,47 +79,50 @@ def _conflicts_with(acc_lo: list, acc_hi: list, lo: int, hi: int, closed: bool)
     return False
 
 
-def greedy_admit(pdf: pd.DataFrame, mode: str, group_cols: tuple[str, ...] = ()) -> pd.DataFrame:
-    """Arrival-order admission (pandas helper).
-
-    Without ``group_cols`` the frame is one overlap cluster; with them, one
-    sorted pass decides every group, starting an empty admitted set whenever
-    the group changes.
-    """
-    keys = list(group_cols)
-    pdf = pdf.sort_values(keys + ["requested_at", "request_id"], kind="mergesort")
-    app_lo: list = []
-    app_hi: list = []
-    by_day: dict = {}
-    out = []
-    gvals = list(zip(*[pdf[c].to_numpy() for c in keys])) if keys else [None] * len(pdf)
-    prev = object()
-    for g, rid, lo, hi, day in zip(gvals, pdf["request_id"], pdf["lo"], pdf["hi"], pdf["day"]):
-        if keys and g != prev:
-            app_lo, app_hi, by_day, prev = [], [], {}, g
-        lo, hi = int(lo), int(hi)
-        bad = False
-        if mode in ("app", "both"):
-            bad = _conflicts_with(app_lo, app_hi, lo, hi, closed=False)
-        if not bad and mode in ("trigger", "both"):
-            dl, dh = by_day.setdefault(day, ([], []))
-            bad = _conflicts_with(dl, dh, lo, hi, closed=True)
-        if not bad:
-            i = bisect.bisect_right(app_lo, lo)
-            app_lo.insert(i, lo)
-            app_hi.insert(i, hi)
-            dl, dh = by_day.setdefault(day, ([], []))
-            j = bisect.bisect_right(dl, lo)
-            dl.insert(j, lo)
-            dh.insert(j, hi)
-        out.append((rid, not bad))
-    return pd.DataFrame({"request_id": pd.Series([r for r, _ in out], dtype="int64"),
-                         "admitted": pd.Series([a for _, a in out], dtype=bool)})
-
-
-def _greedy_clusters(pdf: pd.DataFrame, mode: str) -> pd.DataFrame:
-    """Decide every (room, cluster) of one hash bucket independently."""
-    return greedy_admit(pdf, mode, ("room_id", "cluster"))
+class _Admitted:
+    """The intervals admitted so far in one overlap cluster."""
+
+    def __init__(self, mode: str):
+        self.mode = mode
+        self.app = ([], [])
+        self.by_day: dict = {}
+
+    def offer(self, lo: int, hi: int, day) -> bool:
+        """Admit [lo, hi] unless it conflicts with an earlier admission."""
+        daily = self.by_day.setdefault(day, ([], []))
+        if self.mode in ("app", "both") and _conflicts_with(*self.app, lo, hi, closed=False):
+            return False
+        if self.mode in ("trigger", "both") and _conflicts_with(*daily, lo, hi, closed=True):
+            return False
+        for los, his in (self.app, daily):
+            i = bisect.bisect_right(los, lo)
+            los.insert(i, lo)
+            his.insert(i, hi)
+        return True
+
+
+def greedy_admit(pdf: pd.DataFrame, mode: str) -> pd.DataFrame:
+    """Arrival-order admission of one group's rows (pandas helper)."""
+    pdf = pdf.sort_values(["requested_at", "request_id"], kind="mergesort")
+    seen = _Admitted(mode)
+    flags = [seen.offer(int(lo), int(hi), day) for lo, hi, day in zip(pdf["lo"], pdf["hi"], pdf["day"])]
+    return pd.DataFrame({"request_id": pdf["request_id"].astype("int64"), "admitted": pd.Series(flags, pdf.index, bool)})
+
+
+def _greedy_stream(mode: str):
+    """``mapInPandas`` worker over rows sorted by (room, cluster, arrival): batches
+    pass through; only the current cluster's admitted intervals are held."""
+
+    def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seen = None, None
+        for pdf in frames:
+            flags = []
+            for room, cluster, lo, hi, day in zip(pdf["room_id"], pdf["cluster"], pdf["lo"], pdf["hi"], pdf["day"]):
+                if now != (room, cluster):
+                    now, seen = (room, cluster), _Admitted(mode)
+                flags.append(seen.offer(int(lo), int(hi), day))
+            yield pd.DataFrame({"request_id": pdf["request_id"], "admitted": pd.Series(flags, pdf.index, bool)})
+    return fn
 
 
 def static_checks():
@@ -127,7 +138,7 @@ def static_checks():
 
 
 def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as_of, mode: str = "app",
-                       width: int = 86400, join_width: int = 3600, groups: int | None = None) -> DataFrame:
+                       width: int = 86400, join_width: int = 3600) -> DataFrame:
     """Decide every request of a batch; returns the requests plus ``decision``
     (invalid_time, room_not_found, capacity_exceeded, conflict_existing,
     conflict_batch or admitted), ``errors`` (VAL-1 codes) and
@@ -154,12 +165,10 @@ def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as
         "request_id", "room_id", epoch_seconds("start_time").alias("lo"), epoch_seconds("end_time").alias("hi"),
         F.to_date("start_time").cast("string").alias("day"), "requested_at")
     labeled = _cluster_labels(surv, width)
-    # many small clusters per Python call: group by a hash bucket of the
-    # cluster and decide each cluster of the bucket on its own inside
-    n_groups = groups or 4 * int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    decided = (labeled.withColumn("_g", F.pmod(F.xxhash64("room_id", "cluster"), F.lit(n_groups)))
-               .groupBy("_g").applyInPandas(lambda pdf: _greedy_clusters(pdf, mode),
-                                            schema="request_id long, admitted boolean"))
+    # sorted partitions of whole clusters stream through the greedy step
+    decided = (labeled.repartition("room_id", "cluster")
+               .sortWithinPartitions("room_id", "cluster", "requested_at", "request_id")
+               .mapInPandas(_greedy_stream(mode), schema="request_id long, admitted boolean"))
     v = v.join(decided, "request_id", "left")
     decision = (F.when(~static_ok, rejection)
                 .when(F.col("_busy"), "conflict_existing")

@@ -115,23 +115,26 @@ def _rank_count(points: DataFrame, queries: DataFrame, keys: list[str], width: i
     points with ``_o`` = 0 (non-strict); points with ``_o`` = 2 count only
     when strictly earlier.  No pairs are formed.
 
-    Points and queries are counted per (keys, bucket) in one partially
-    aggregated pass; a running sum over those aggregated rows (one per
-    bucket, bounded by the time span) gives the points of earlier buckets.
-    Inside a bucket, points and queries (``_o`` = 1) are sorted together by
-    (t, _o) and a running count of points is read at each query row.
+    Equal points are counted together first (combined map-side) and equal
+    queries are answered once, so the windows see at most a few rows per
+    position of a bucket, however many rows share a key and an hour.  A
+    running sum over one row per bucket (bounded by the time span) gives the
+    points of earlier buckets.  Inside a bucket, points and queries
+    (``_o`` = 1) are sorted together by (t, _o) and a running count of points
+    is read at each query position.
     """
-    pb = points.select(*keys, "t", "_o").withColumn("_b", F.floor(F.col("t") / width))
-    qb = queries.select("qid", *keys, "t").withColumn("_b", F.floor(F.col("t") / width))
-    per = (pb.select(*keys, "_b", F.lit(1).alias("_c")).unionByName(qb.select(*keys, "_b", F.lit(0).alias("_c")))
-           .groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")))
+    bucket = F.floor(F.col("t") / width).alias("_b")
+    pts = points.groupBy(*keys, "t", "_o").agg(F.count(F.lit(1)).alias("_p")).select(*keys, bucket, "t", "_o", "_p")
+    qs = (queries.select(*keys, "t").distinct()
+          .select(*keys, bucket, "t", F.lit(1).alias("_o"), F.lit(0).cast("long").alias("_p")))
+    both = pts.unionByName(qs)
+    per = both.groupBy(*keys, "_b").agg(F.sum("_p").alias("_c"))
     w_pre = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     pre = per.select(*keys, "_b", F.coalesce(F.sum("_c").over(w_pre), F.lit(0)).alias("_pre"))
-    pts = pb.select(*keys, "_b", "t", F.lit(None).cast("long").alias("qid"), "_o", F.lit(1).alias("_p"))
-    qs = qb.select(*keys, "_b", "t", "qid", F.lit(1).alias("_o"), F.lit(0).alias("_p"))
     w_in = Window.partitionBy(*keys, "_b").orderBy("t", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    inb = pts.unionByName(qs).withColumn("_run", F.sum("_p").over(w_in)).filter(F.col("qid").isNotNull())
-    return inb.join(pre, [*keys, "_b"]).select("qid", *keys, (F.col("_run") + F.col("_pre")).alias("n"))
+    inb = both.withColumn("_run", F.sum("_p").over(w_in)).filter(F.col("_o") == 1)
+    at = inb.join(pre, [*keys, "_b"]).select(*keys, "t", (F.col("_run") + F.col("_pre")).alias("n"))
+    return queries.select("qid", *keys, "t").join(at, [*keys, "t"]).select("qid", *keys, "n")
 
 
 # Rank-count terms per class of booking interval, for a proper slot [A, B]:
@@ -274,8 +277,7 @@ def busy_rooms(slots: DataFrame, res: DataFrame, width: int = 3600) -> DataFrame
     # a room's proper bookings merged into disjoint islands (touching ones
     # joined): a window overlaps the room iff it overlaps one of its islands,
     # so a room-hour holding many bookings adds one candidate, not many
-    labeled = _cluster_labels(proper.select("room_id", F.col("b_id").alias("request_id"),
-                                            F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi")), 86400)
+    labeled = _cluster_labels(proper.select("room_id", F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi")), 86400)
     islands = labeled.groupBy("room_id", "cluster").agg(F.min("lo").alias("b_lo"), F.max("hi").alias("b_hi"))
     improper = b.filter(~(F.col("b_lo") < F.col("b_hi"))).select("room_id", "b_lo", "b_hi")
     pairs = overlap_pairs(a, islands.select("room_id", "b_lo", "b_hi").unionByName(improper), [], "app", width)

@@ -317,58 +317,3 @@ def mark_read(notifs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFr
         hits.groupBy("request_id").agg(F.count(F.lit(1)).alias("updated_count")), "request_id", "left").select(
         "request_id", F.coalesce(F.col("updated_count"), F.lit(0)).alias("updated_count"))
     return new, counts
-
-
-# ---------------------------------------------------------------- rescheduling (ST-3)
-
-def reschedule(res: DataFrame, changes: DataFrame, as_of, width: int = 3600) -> tuple[DataFrame, DataFrame]:
-    """ST-3: apply time changes to reservations.
-
-    ``changes`` has (change_id, reservation_id, start_time, end_time); a null
-    time keeps the current one.  Checks, first failure wins: the reservation
-    exists; it is not completada / cancelada (not_modifiable); when a time is
-    given, the new slot passes VAL-1 (invalid_time) and no other blocking
-    booking of the room overlaps it (conflict, the reservation itself
-    excluded).  An applied time change sends an approved reservation back to
-    pendiente with the approver cleared.  Every change is checked against the
-    reservations as they were before the batch; when several changes of one
-    reservation apply, the latest change_id wins.
-    Returns (new reservations, one outcome row per change).
-    """
-    from roomledger.operators.overlap import check_availability
-    from roomledger.operators.validate import validate_slot
-
-    cur = res.select("reservation_id", "room_id", "status", F.col("start_time").alias("cur_start"),
-                     F.col("end_time").alias("cur_end"), F.lit(True).alias("_found"))
-    j = changes.join(cur, "reservation_id", "left")
-    timed = F.col("start_time").isNotNull() | F.col("end_time").isNotNull()
-    j = (j.withColumn("new_start", F.coalesce(F.col("start_time"), F.col("cur_start")))
-          .withColumn("new_end", F.coalesce(F.col("end_time"), F.col("cur_end")))
-          .withColumn("_timed", timed))
-    v = validate_slot(j, as_of, start="new_start", end="new_end")
-    slots = v.filter(F.col("_found") & F.col("_timed") & (F.size("errors") == 0)).select(
-        F.col("change_id").alias("slot_id"), "room_id", F.col("new_start").alias("start_time"),
-        F.col("new_end").alias("end_time"), F.col("reservation_id").alias("exclude_id"))
-    avail = check_availability(slots, res, "app", width).select(
-        F.col("slot_id").alias("change_id"), "conflict_count")
-    v = v.join(avail, "change_id", "left")
-    outcome = (F.when(F.col("_found").isNull(), "not_found")
-               .when(F.col("status").isin("completada", "cancelada"), "not_modifiable")
-               .when(F.col("_timed") & (F.size("errors") > 0), "invalid_time")
-               .when(F.col("_timed") & (F.col("conflict_count") > 0), "conflict")
-               .otherwise("applied"))
-    outcomes = v.select("change_id", "reservation_id", "new_start", "new_end", outcome.alias("outcome"),
-                        F.array_join("errors", ",").alias("errors"))
-    last = (outcomes.filter(F.col("outcome") == "applied").join(v.select("change_id", "_timed"), "change_id")
-            .groupBy("reservation_id")
-            .agg(F.max_by(F.struct("new_start", "new_end", "_timed"), F.col("change_id")).alias("_c")))
-    base = res if "approved_at" in res.columns else res.withColumn("approved_at", F.lit(None).cast("timestamp_ntz"))
-    n = base.join(last, "reservation_id", "left")
-    reset = F.col("_c").isNotNull() & F.col("_c._timed") & (F.col("status") == "aprobada")
-    new = (n.withColumn("start_time", F.coalesce(F.col("_c.new_start"), F.col("start_time")))
-           .withColumn("end_time", F.coalesce(F.col("_c.new_end"), F.col("end_time")))
-           .withColumn("approved_by", F.when(reset, F.lit(None).cast("long")).otherwise(F.col("approved_by")))
-           .withColumn("approved_at", F.when(reset, F.lit(None).cast("timestamp_ntz")).otherwise(F.col("approved_at")))
-           .withColumn("status", F.when(reset, F.lit("pendiente")).otherwise(F.col("status")))
-           .drop("_c"))
-    return new, outcomes

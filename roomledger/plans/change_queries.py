@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roomledger.operators import notify as N
 from roomledger.operators import state as S
+from roomledger.operators.reschedule import reschedule
 from roomledger.plans.registry import AS_OF, AS_OF_SQL, PERIOD, fx, register
 from roomledger.plans.state_queries import _EN_FOLD
 from roomledger.sources import maintenance as M
@@ -256,20 +257,41 @@ _VAL1 = (f"(CAST(TRUNC(date_diff('second', {AS_OF_SQL}, x.new_start) / 3600) AS
 _APP = ("((x.new_start >= o.start_time AND x.new_start < o.end_time) OR "
         "(x.new_end > o.start_time AND x.new_end <= o.end_time) OR "
         "(x.new_start <= o.start_time AND x.new_end >= o.end_time))")
+# one change at a time per room, in order; each booking has one change here, so a
+# booking in ``moved`` has left its first slot for the one in ``acc``
+_FREE = ("(len(list_filter(q.hits, lambda h: NOT list_contains(g.moved, h))) = 0 AND len(list_filter(g.acc, lambda a: "
+         "(q.new_start >= a.s AND q.new_start < a.e) OR (q.new_end > a.s AND q.new_end <= a.e) "
+         "OR (q.new_start <= a.s AND q.new_end >= a.e))) = 0)")
 _RESCHED = f"""
-WITH x AS (
+WITH RECURSIVE x AS (
   SELECT c.change_id, c.reservation_id, r.reservation_id IS NOT NULL AS found, r.status, r.room_id,
     COALESCE(c.start_time, r.start_time) AS new_start, COALESCE(c.end_time, r.end_time) AS new_end,
     c.start_time IS NOT NULL OR c.end_time IS NOT NULL AS timed
   FROM reschedules c LEFT JOIN reservations r ON r.reservation_id = c.reservation_id),
-o2 AS (
+x1 AS (
   SELECT x.*, CASE WHEN NOT x.found THEN 'not_found'
     WHEN x.status IN ('completada', 'cancelada') THEN 'not_modifiable'
-    WHEN x.timed AND {_VAL1} THEN 'invalid_time'
-    WHEN x.timed AND EXISTS (SELECT 1 FROM reservations o WHERE o.room_id = x.room_id
-      AND o.status IN ('pendiente', 'aprobada') AND o.reservation_id <> x.reservation_id AND {_APP}) THEN 'conflict'
-    ELSE 'applied' END AS outcome
-  FROM x)"""
+    WHEN x.timed AND {_VAL1} THEN 'invalid_time' END AS early
+  FROM x),
+seq AS (
+  SELECT x.room_id, x.change_id, x.reservation_id, x.new_start, x.new_end,
+    x.status IN ('pendiente', 'aprobada') AS blocks,
+    COALESCE((SELECT list(o.reservation_id) FROM reservations o WHERE o.room_id = x.room_id
+      AND o.status IN ('pendiente', 'aprobada') AND o.reservation_id <> x.reservation_id AND {_APP}), []) AS hits,
+    row_number() OVER (PARTITION BY x.room_id ORDER BY x.change_id) AS k
+  FROM x1 x WHERE x.early IS NULL AND x.timed),
+g AS (
+  SELECT room_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS change_id, CAST(NULL AS BOOLEAN) AS ok,
+    CAST([] AS BIGINT[]) AS moved, CAST([] AS STRUCT(s TIMESTAMP, e TIMESTAMP)[]) AS acc
+  FROM (SELECT DISTINCT room_id FROM seq) r
+  UNION ALL
+  SELECT q.room_id, q.k, q.change_id, {_FREE},
+    CASE WHEN q.blocks AND {_FREE} THEN list_append(g.moved, q.reservation_id) ELSE g.moved END,
+    CASE WHEN q.blocks AND {_FREE} THEN list_append(g.acc, struct_pack(s := q.new_start, e := q.new_end)) ELSE g.acc END
+  FROM g JOIN seq q ON q.room_id = g.room_id AND q.k = g.k + 1),
+o2 AS (
+  SELECT x.*, COALESCE(x.early, CASE WHEN x.timed AND NOT g.ok THEN 'conflict' ELSE 'applied' END) AS outcome
+  FROM x1 x LEFT JOIN (SELECT change_id, ok FROM g WHERE k > 0) g ON g.change_id = x.change_id)"""
 
 
 @register("reschedule_outcomes", _RESCHED + """
@@ -277,7 +299,7 @@ SELECT change_id, reservation_id, outcome FROM o2
 """, ("reschedules", "reservations"))
 def q_reschedule_outcomes(spark, d):
     f = fx(spark, d)
-    return S.reschedule(f.reservations, f.reschedules, AS_OF)[1].select("change_id", "reservation_id", "outcome")
+    return reschedule(f.reservations, f.reschedules, AS_OF)[1].select("change_id", "reservation_id", "outcome")
 
 
 @register("reschedule_state", _RESCHED + """,
@@ -293,4 +315,4 @@ FROM reservations r LEFT JOIN last l ON l.reservation_id = r.reservation_id
 """, ("reschedules", "reservations"))
 def q_reschedule_state(spark, d):
     f = fx(spark, d)
-    return S.reschedule(f.reservations, f.reschedules, AS_OF)[0]
+    return reschedule(f.reservations, f.reschedules, AS_OF)[0]

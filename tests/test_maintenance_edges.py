@@ -4,6 +4,7 @@ import datetime as dt
 
 from roomledger.operators import notify as N
 from roomledger.operators import state as S
+from roomledger.operators.reschedule import reschedule
 from roomledger.sources import maintenance as M
 
 MON = dt.datetime(2024, 3, 4)
@@ -53,14 +54,16 @@ def test_reschedule_outcomes(spark):
         (3, 1, 1, h(9), h(10), "completada", False, 2, "no_aplica", MON, 7)], RES_SCHEMA)
     changes = spark.createDataFrame([
         (100, 1, h(13), h(14)),       # approved, free slot -> applied, back to pendiente
-        (101, 2, h(9, 30), h(10, 30)),  # overlaps reservation 1 -> conflict
+        (101, 2, h(9, 30), h(10, 30)),  # the slot reservation 1 has just left -> applied
         (102, 3, h(15), h(16)),       # completada -> not modifiable
         (103, 2, h(20), h(21)),       # ends after 19:00 -> invalid time
-        (104, 9, h(13), h(14))],      # unknown reservation
+        (104, 9, h(13), h(14)),       # unknown reservation
+        (105, 2, h(13, 30), h(14, 30))],  # overlaps reservation 1 where it is now -> conflict
         "change_id long, reservation_id long, start_time timestamp_ntz, end_time timestamp_ntz")
-    new, out = S.reschedule(res, changes, dt.datetime(2024, 3, 1, 8, 0))
+    new, out = reschedule(res, changes, dt.datetime(2024, 3, 1, 8, 0))
     assert {r.change_id: r.outcome for r in out.collect()} == {
-        100: "applied", 101: "conflict", 102: "not_modifiable", 103: "invalid_time", 104: "not_found"}
+        100: "applied", 101: "applied", 102: "not_modifiable", 103: "invalid_time", 104: "not_found",
+        105: "conflict"}
     r1 = {r.reservation_id: r for r in new.collect()}[1]
     assert (r1.status, r1.approved_by, r1.start_time) == ("pendiente", None, h(13))
 
