@@ -140,7 +140,7 @@ def q_stream_no_shows(spark, d):
     f = fx(spark, d)
     changes = J.drain(J.no_show_detector(_reservas_stream(spark, d), _checkins_stream(spark, d), 10, "1 hour"),
                       "no_shows")
-    last = changes.groupBy("id_reserva").agg(F.max_by("id_estado", "seq").alias("final_state"))
+    last = changes.filter("id_estado IS NOT NULL").groupBy("id_reserva").agg(F.max_by("id_estado", "seq").alias("final_state"))
     return (f.reservas.select("id_reserva", "id_estado").join(last, "id_reserva", "left")
             .select("id_reserva", F.coalesce("final_state", "id_estado").alias("id_estado")))
 
@@ -149,7 +149,7 @@ def q_stream_no_shows(spark, d):
 SELECT reservation_id, user_id, room_id, start_time - INTERVAL 30 MINUTE AS due_at
 FROM reservations
 WHERE status = 'aprobada'
-  AND start_time - INTERVAL 30 MINUTE < {_wm('reservations', 'created_at', where="WHERE status = 'aprobada'")}
+  AND start_time - INTERVAL 30 MINUTE < {_wm('reservations', 'created_at')}
 """, ("reservations",))
 def q_stream_reminders(spark, d):
     return J.drain(J.reminder_timers(_reservations_stream(spark, d), 30, "1 hour"), "reminders")

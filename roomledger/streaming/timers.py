@@ -5,7 +5,13 @@ one ``applyInPandasWithState`` call handles every event of a bucket with
 vectorised pandas, and the bucket keeps one event-time timer, the earliest
 pending timer of its bookings.  Booking ids are unique, so buckets are even
 and no booking can make one hot; the number of buckets sets the
-parallelism of the stateful stage.
+parallelism of the stateful stage and is an argument.
+
+A booking may be sent again with another status or time.  Of its rows the one
+with the latest event time counts (the later one sent, among equals); name an
+``updated`` column where rows carry the time of their last change, since rows
+behind the watermark are dropped by Spark.  A booking is remembered until the
+watermark passes its last timer by ``retain``.
 """
 
 from __future__ import annotations
@@ -21,176 +27,177 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from roomledger.functions.core import epoch_millis, millis_to_ntz, ntz_to_instant
 
 UNSEEN = -1
-RETAIN_UNSEEN_MS = 7 * 24 * 3600 * 1000
+NEVER = 1 << 61          # a missing time: no timer
+RETAIN_MINUTES = 7 * 24 * 60
 DEFAULT_BUCKETS = 256
 
 NOSHOW_OUT = "id_reserva long, id_estado int, seq int"
-NOSHOW_STATE = ("ids array<long>, estado array<int>, start_ms array<long>, end_ms array<long>, "
-                "checked array<boolean>, seq array<int>")
+NOSHOW_COLS = ("base", "cur", "start_ms", "end_ms", "checked", "seq", "ver")
+NOSHOW_STATE = "id array<long>, " + ", ".join(f"{c} array<long>" for c in NOSHOW_COLS)
+REMINDER_OUT = "reservation_id long, user_id long, room_id long, due_ms long"
+REMINDER_COLS = ("user_id", "room_id", "due_ms", "live", "fired", "ver")
+REMINDER_STATE = "id array<long>, " + ", ".join(f"{c} array<long>" for c in REMINDER_COLS)
+
+
+def _load(state: GroupState, cols: tuple[str, ...]) -> pd.DataFrame:
+    ids, *arrays = state.get if state.exists else ([],) * (len(cols) + 1)
+    return pd.DataFrame({c: np.asarray(a, dtype="int64") for c, a in zip(cols, arrays)},
+                        index=pd.Index(np.asarray(ids, dtype="int64"), name="id"))
+
+
+def _store(state: GroupState, S: pd.DataFrame, next_ms, wm: int) -> None:
+    if len(S):
+        state.update((S.index.tolist(), *(S[c].tolist() for c in S.columns)))
+        state.setTimeoutTimestamp(int(max(int(next_ms.min()), wm)))
+    elif state.exists:
+        state.remove()
+
+
+def _latest(E: pd.DataFrame, S: pd.DataFrame) -> pd.DataFrame:
+    """The row of each id that counts, if it isn't older than the one held."""
+    E = E.sort_values("ver", kind="mergesort").drop_duplicates("id", keep="last").set_index("id")
+    held = S["ver"].reindex(E.index)
+    return E[held.isna() | (E["ver"] >= held.fillna(0))]
 
 
-def _empty_noshow() -> pd.DataFrame:
-    return pd.DataFrame({"estado": pd.Series([], dtype="int64"), "start_ms": pd.Series([], dtype="int64"),
-                         "end_ms": pd.Series([], dtype="int64"), "checked": pd.Series([], dtype=bool),
-                         "seq": pd.Series([], dtype="int64")}, index=pd.Index([], dtype="int64", name="id"))
+def _pending(wm: int, *timers) -> np.ndarray:
+    """Per booking the earliest timer the watermark hasn't passed."""
+    t = np.stack([np.asarray(x, dtype="int64") for x in timers])
+    return np.where(t < wm, NEVER, t).min(axis=0)
 
 
-def _no_show_bucket_fn(tolerance_ms: int):
-    """Per bucket: a check-in moves any seen booking to 6; at watermark w an
-    approved booking without check-in whose start + tolerance < w becomes 5,
-    and approved / in-progress bookings whose end < w become 7 (the
-    scheduler tick at ``as_of = w``).  Ended bookings leave the state;
-    check-ins of bookings not seen yet wait a bounded retention."""
+def _last_timer(a, b, ver) -> np.ndarray:
+    last = np.maximum(a, b)
+    return np.where(last >= NEVER, ver, last)
+
+
+def _no_show_bucket_fn(tolerance_ms: int, retain_ms: int):
+    """Per bucket: every booking held has the state one scheduler tick at the
+    watermark gives it; a row is emitted where that differs from the last one."""
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         wm = max(int(state.getCurrentWatermarkMs()), 0)
-        if state.exists:
-            ids, est, st, en, ck, sq = state.get
-            S = pd.DataFrame({"estado": np.asarray(est, dtype="int64"), "start_ms": np.asarray(st, dtype="int64"),
-                              "end_ms": np.asarray(en, dtype="int64"), "checked": np.asarray(ck, dtype=bool),
-                              "seq": np.asarray(sq, dtype="int64")},
-                             index=pd.Index(np.asarray(ids, dtype="int64"), name="id"))
-        else:
-            S = _empty_noshow()
-        out = []
-
-        def emit(mask, value):
-            if mask.any():
-                S.loc[mask, "seq"] += 1
-                out.append(pd.DataFrame({"id_reserva": S.index[mask].to_numpy(dtype="int64"),
-                                         "id_estado": np.full(int(mask.sum()), value, dtype="int32"),
-                                         "seq": S.loc[mask, "seq"].to_numpy(dtype="int32")}))
-
+        S = _load(state, NOSHOW_COLS)
         if not state.hasTimedOut:
-            E = pd.concat(list(pdfs), ignore_index=True)
-            B = E[E["kind"] == "booking"].drop_duplicates("id_reserva")
-            ck_ids = pd.Index(E.loc[E["kind"] == "checkin", "id_reserva"].unique(), dtype="int64")
-            unseen_ids = S.index[S["estado"] == UNSEEN]
-            wake = B[B["id_reserva"].isin(unseen_ids)]
-            if len(wake):
-                S.loc[wake["id_reserva"].to_numpy(), ["estado", "start_ms", "end_ms"]] = \
-                    wake[["estado", "start_ms", "end_ms"]].to_numpy(dtype="int64")
-            newb = B[~B["id_reserva"].isin(S.index)]
-            if len(newb):
-                add = pd.DataFrame({"estado": newb["estado"].to_numpy(dtype="int64"),
-                                    "start_ms": newb["start_ms"].to_numpy(dtype="int64"),
-                                    "end_ms": newb["end_ms"].to_numpy(dtype="int64"),
-                                    "checked": np.zeros(len(newb), dtype=bool), "seq": np.zeros(len(newb), "int64")},
-                                   index=pd.Index(newb["id_reserva"].to_numpy(dtype="int64"), name="id"))
-                S = pd.concat([S, add])
-            orphan = ck_ids.difference(S.index)
-            if len(orphan):
-                add = pd.DataFrame({"estado": np.full(len(orphan), UNSEEN, "int64"),
-                                    "start_ms": np.zeros(len(orphan), "int64"),
-                                    "end_ms": np.full(len(orphan), wm + RETAIN_UNSEEN_MS, "int64"),
-                                    "checked": np.ones(len(orphan), dtype=bool), "seq": np.zeros(len(orphan), "int64")},
-                                   index=pd.Index(orphan, name="id"))
-                S = pd.concat([S, add])
-            got_ck = S.index.isin(ck_ids)
-            S.loc[got_ck, "checked"] = True
-            to6 = (got_ck | S.index.isin(wake["id_reserva"])) & S["checked"].to_numpy() & \
-                (S["estado"].to_numpy() != UNSEEN)
-            S.loc[to6, "estado"] = 6
-            emit(to6, 6)
-        est = S["estado"].to_numpy()
-        m5 = (est == 2) & ~S["checked"].to_numpy() & (S["start_ms"].to_numpy() + tolerance_ms < wm)
-        S.loc[m5, "estado"] = 5
-        emit(m5, 5)
-        est = S["estado"].to_numpy()
-        m7 = ((est == 2) | (est == 6)) & (S["end_ms"].to_numpy() < wm)
-        S.loc[m7, "estado"] = 7
-        emit(m7, 7)
-        est = S["estado"].to_numpy()
-        done = (~np.isin(est, [2, 6])) & (S["end_ms"].to_numpy() < wm)
-        S = S[~done]
-        if len(S):
-            est = S["estado"].to_numpy()
-            timers = np.where((est == 2) & ~S["checked"].to_numpy(), S["start_ms"].to_numpy() + tolerance_ms,
-                              S["end_ms"].to_numpy())
-            state.update((S.index.to_numpy().tolist(), S["estado"].astype(int).tolist(),
-                          S["start_ms"].astype(int).tolist(), S["end_ms"].astype(int).tolist(),
-                          S["checked"].astype(bool).tolist(), S["seq"].astype(int).tolist()))
-            state.setTimeoutTimestamp(int(max(int(timers.min()), wm)))
-        elif state.exists:
-            state.remove()
-        yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-            {"id_reserva": pd.Series([], dtype="int64"), "id_estado": pd.Series([], dtype="int32"),
-             "seq": pd.Series([], dtype="int32")})
+            E = pd.concat(list(pdfs), ignore_index=True).rename(columns={"id_reserva": "id"})
+            B = _latest(E[E["kind"] == "booking"], S)
+            S = S.reindex(S.index.union(B.index), fill_value=UNSEEN)
+            first = S.index.isin(B.index) & (S["base"].to_numpy() == UNSEEN)
+            fresh = first & (S["checked"].to_numpy() == UNSEEN)
+            S.loc[fresh, ["checked", "seq"]] = 0
+            S.loc[B.index, ["base", "start_ms", "end_ms", "ver"]] = \
+                B[["estado", "start_ms", "end_ms", "ver"]].to_numpy(dtype="int64")
+            S.loc[first, "cur"] = S.loc[first, "base"]
+            came = E[E["kind"] == "checkin"].groupby("id")["ver"].max()
+            orphan = came[~came.index.isin(S.index)]
+            wait = pd.DataFrame({c: np.zeros(len(orphan), "int64") for c in NOSHOW_COLS}, index=orphan.index)
+            wait[["base", "cur"]] = UNSEEN
+            wait["ver"] = -NEVER
+            wait["start_ms"] = wait["end_ms"] = orphan.to_numpy(dtype="int64")
+            S = pd.concat([S, wait]).astype("int64")
+            S.loc[S.index.isin(came.index), "checked"] = 1
+        base, start, end = (S[c].to_numpy() for c in ("base", "start_ms", "end_ms"))
+        now = np.where(S["checked"].to_numpy() == 1, 6, base)
+        now = np.where((now == 2) & (start + tolerance_ms < wm), 5, now)
+        now = np.where(np.isin(now, (2, 6)) & (end < wm), 7, now)
+        changed = (base != UNSEEN) & (now != S["cur"].to_numpy())
+        S.loc[changed, "cur"] = now[changed]
+        S.loc[changed, "seq"] += 1
+        expires = _last_timer(start + tolerance_ms, end, S["ver"].to_numpy()) + retain_ms
+        unknown = (base == UNSEEN) & (expires < wm)
+        out = [pd.DataFrame({"id_reserva": S.index[changed], "id_estado": now[changed], "seq": S.loc[changed, "seq"]}),
+               pd.DataFrame({"id_reserva": S.index[unknown], "id_estado": None, "seq": 0})]
+        keep = expires >= wm
+        _store(state, S[keep], _pending(wm, start + tolerance_ms, end, expires)[keep], wm)
+        yield pd.concat(out, ignore_index=True).astype({"id_reserva": "int64", "id_estado": "Int32", "seq": "int32"})
     return fn
 
 
 def no_show_detector(reservas: DataFrame, checkins: DataFrame, tolerance_minutes: int = 10,
-                     delay: str = "1 hour", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                     delay: str = "1 hour", buckets: int = DEFAULT_BUCKETS, updated: str | None = None,
+                     retain_minutes: int = RETAIN_MINUTES) -> DataFrame:
     """STR-4: the scheduler's no-show and completion rules as event-time timers.
 
-    Booking rows (event time: creation) and check-in rows (event time: the
-    check-in) form one stream.  A check-in moves the booking to En Curso (6);
-    once the watermark passes start + tolerance an approved booking without
-    check-in is No-show (5); once it passes the end, approved or in-progress
-    bookings are Finalizada (7) -- the final states equal
-    ``tick(as_of=watermark)``.  Output: one row per state change with a
+    Booking rows (event time: creation, or the ``updated`` column) and
+    check-in rows (event time: the check-in) form one stream.  A check-in
+    moves the booking to En Curso (6), also long after its end; once the
+    watermark passes start + tolerance an approved booking without check-in
+    is No-show (5); once it passes the end, approved or in-progress bookings
+    are Finalizada (7).  After every micro-batch the last state of each
+    booking still held equals ``tick(as_of=watermark)`` over the rows that
+    count.  Output: one row per change of the derived state with a
     per-booking sequence number.
+
+    Check-ins wait for a booking not seen yet, and an ended booking for late
+    rows, until the watermark is ``retain_minutes`` past them; a check-in
+    whose booking never came is then emitted with a null state.
     """
     start = F.make_timestamp_ntz(F.year("fecha"), F.month("fecha"), F.dayofmonth("fecha"), F.lit(0), F.lit(0),
                                  F.lit(0))
     day_ms = epoch_millis(start)
+    none = F.lit(0).cast("long")
+
+    def at(minutes: str):
+        return F.coalesce(day_ms + F.col(minutes).cast("long") * 60000, F.lit(NEVER))
+
     b = reservas.select(
         F.col("id_reserva"), F.lit("booking").alias("kind"), F.col("id_estado").cast("long").alias("estado"),
-        (day_ms + F.col("inicio_min").cast("long") * 60000).alias("start_ms"),
-        (day_ms + F.col("fin_min").cast("long") * 60000).alias("end_ms"),
-        ntz_to_instant("fecha_creacion").alias("event_time"))
+        at("inicio_min").alias("start_ms"), at("fin_min").alias("end_ms"),
+        ntz_to_instant(updated or "fecha_creacion").alias("event_time"))
     c = checkins.select(
-        F.col("reservation_id").alias("id_reserva"), F.lit("checkin").alias("kind"),
-        F.lit(None).cast("long").alias("estado"), F.lit(None).cast("long").alias("start_ms"),
-        F.lit(None).cast("long").alias("end_ms"), ntz_to_instant("checkin_at").alias("event_time"))
+        F.col("reservation_id").alias("id_reserva"), F.lit("checkin").alias("kind"), none.alias("estado"),
+        none.alias("start_ms"), none.alias("end_ms"), ntz_to_instant("checkin_at").alias("event_time"))
     ev = (b.unionByName(c).withWatermark("event_time", delay)
+          .withColumn("ver", F.unix_millis("event_time"))
           .withColumn("bucket", F.pmod(F.xxhash64("id_reserva"), F.lit(buckets))))
     return ev.groupBy("bucket").applyInPandasWithState(
-        _no_show_bucket_fn(tolerance_minutes * 60000), NOSHOW_OUT, NOSHOW_STATE, "append",
+        _no_show_bucket_fn(tolerance_minutes * 60000, retain_minutes * 60000), NOSHOW_OUT, NOSHOW_STATE, "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
-REMINDER_OUT = "reservation_id long, user_id long, room_id long, due_ms long"
-REMINDER_STATE = "ids array<long>, users array<long>, rooms array<long>, due array<long>"
-
-
-def _reminder_bucket_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    wm = max(int(state.getCurrentWatermarkMs()), 0)
-    if state.exists:
-        ids, users, rooms, due = state.get
-        S = pd.DataFrame({"reservation_id": np.asarray(ids, "int64"), "user_id": np.asarray(users, "int64"),
-                          "room_id": np.asarray(rooms, "int64"), "due_ms": np.asarray(due, "int64")})
-    else:
-        S = pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("reservation_id", "user_id", "room_id", "due_ms")})
-    if not state.hasTimedOut:
-        E = pd.concat(list(pdfs), ignore_index=True).drop_duplicates("reservation_id")
-        E = E[~E["reservation_id"].isin(S["reservation_id"])]
-        S = pd.concat([S, E[["reservation_id", "user_id", "room_id", "due_ms"]].astype("int64")], ignore_index=True)
-    fire = S["due_ms"].to_numpy() < wm
-    out = S[fire]
-    S = S[~fire]
-    if len(S):
-        state.update((S["reservation_id"].tolist(), S["user_id"].tolist(), S["room_id"].tolist(),
-                      S["due_ms"].tolist()))
-        state.setTimeoutTimestamp(int(max(int(S["due_ms"].min()), wm)))
-    elif state.exists:
-        state.remove()
-    yield out.reset_index(drop=True)
+def _reminder_bucket_fn(retain_ms: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        wm = max(int(state.getCurrentWatermarkMs()), 0)
+        S = _load(state, REMINDER_COLS)
+        if not state.hasTimedOut:
+            E = _latest(pd.concat(list(pdfs), ignore_index=True).rename(columns={"reservation_id": "id"}), S)
+            S = S.reindex(S.index.union(E.index), fill_value=-NEVER)
+            sent = ["user_id", "room_id", "due_ms", "live", "ver"]
+            S.loc[E.index, sent] = E[sent].to_numpy(dtype="int64")
+        due = S["due_ms"].to_numpy()
+        fire = (S["live"].to_numpy() == 1) & (due < wm) & (due != S["fired"].to_numpy())
+        S.loc[fire, "fired"] = due[fire]
+        out = S[fire].rename_axis("reservation_id").reset_index()
+        expires = _last_timer(due, due, S["ver"].to_numpy()) + retain_ms
+        keep = expires >= wm
+        _store(state, S[keep], _pending(wm, due, expires)[keep], wm)
+        yield out[["reservation_id", "user_id", "room_id", "due_ms"]]
+    return fn
 
 
-def reminder_timers(res: DataFrame, minutes: int = 30, delay: str = "1 hour",
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """STR-7: one reminder per approved booking, emitted once the watermark
-    passes ``minutes`` before its start (event time of a booking: its
-    creation).  A reminder leaves the state when it fires."""
+def reminder_timers(res: DataFrame, minutes: int = 30, delay: str = "1 hour", buckets: int = DEFAULT_BUCKETS,
+                    updated: str | None = None, retain_minutes: int = RETAIN_MINUTES) -> DataFrame:
+    """STR-7: a reminder for each approved booking, emitted once the watermark
+    passes ``minutes`` before its start (event time of a row: its creation, or
+    the ``updated`` column).
+
+    A booking cancelled before that gets none, a moved one is reminded at its
+    new time (again, if it was reminded of the old one), and one sent again
+    unchanged isn't reminded twice while it is held (``retain_minutes`` past
+    the due time).
+    """
     due = F.col("start_time") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes), F.lit(0))
-    r = (res.filter(F.col("status") == "aprobada")
-         .select("reservation_id", "user_id", "room_id",
-                 epoch_millis(due).alias("due_ms"),
-                 ntz_to_instant("created_at").alias("event_time"))
+    live = F.coalesce(F.col("status") == "aprobada", F.lit(False)) & F.col("start_time").isNotNull()
+    unknown = F.lit(UNSEEN).cast("long")
+    r = (res.select("reservation_id", F.coalesce("user_id", unknown).alias("user_id"),
+                    F.coalesce("room_id", unknown).alias("room_id"),
+                    F.coalesce(epoch_millis(due), F.lit(NEVER)).alias("due_ms"), live.cast("long").alias("live"),
+                    ntz_to_instant(updated or "created_at").alias("event_time"))
          .withWatermark("event_time", delay)
+         .withColumn("ver", F.unix_millis("event_time"))
          .withColumn("bucket", F.pmod(F.xxhash64("reservation_id"), F.lit(buckets))))
     out = r.groupBy("bucket").applyInPandasWithState(
-        _reminder_bucket_fn, REMINDER_OUT, REMINDER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select("reservation_id", "user_id", "room_id",
-                      millis_to_ntz("due_ms").alias("due_at"))
+        _reminder_bucket_fn(retain_minutes * 60000), REMINDER_OUT, REMINDER_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)
+    return out.select("reservation_id", F.nullif("user_id", unknown).alias("user_id"),
+                      F.nullif("room_id", unknown).alias("room_id"), millis_to_ntz("due_ms").alias("due_at"))

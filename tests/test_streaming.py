@@ -63,3 +63,71 @@ def test_reminder_timers_follow_watermark(spark):
     out = J.drain(J.reminder_timers(src, minutes=150, delay="0 seconds", buckets=4), "reminder_test")
     got = sorted((r.reservation_id, r.due_at) for r in out.collect())
     assert got == [(1, T0 + dt.timedelta(minutes=30))]
+
+
+def _batches(spark, name, schema, batches):
+    """A stream that hands out one list of rows per micro-batch."""
+    folder = tempfile.mkdtemp(prefix="roomledger-stream-", dir="/tmp")
+    for i, rows in enumerate(batches):
+        path = os.path.join(folder, f"{name}-{i}.parquet")
+        table = spark.createDataFrame(rows, schema).toArrow()
+        pq.write_table(table, path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+            .option("pathGlobFilter", f"{name}-*.parquet").parquet(folder))
+
+
+def test_no_shows_equal_tick_over_many_batches(spark):
+    from roomledger.operators.state import tick
+    from roomledger.sources.maintenance import SEED_CONFIG
+
+    bookings = ("id_reserva long, id_usuario long, id_sala long, asistentes int, fecha date, inicio_min int, fin_min int, "
+                "id_estado int, requiere_coffee boolean, fecha_creacion timestamp_ntz, sent_at timestamp_ntz")
+
+    def booking(i, start, end, state, sent):
+        return (i, 1, 1, 2, T0.date(), start, end, state, False, T0, T0 + dt.timedelta(minutes=sent))
+
+    def checkin(i, at):
+        return (i, T0 + dt.timedelta(minutes=at), True)
+
+    # T0 is 08:00; rows of one micro-batch a line, sent_at / check-in in minutes after it
+    sent = [
+        [booking(1, 500, 560, 2, 0), booking(2, 500, 560, 1, 0), booking(3, 520, 580, 2, 1), booking(4, 500, 505, 2, 1),
+         booking(7, 500, 560, 2, 1), booking(8, None, 560, 2, 1)],
+        [booking(2, 500, 560, 2, 30), booking(5, 900, 960, 2, 130), booking(7, 1000, 1060, 2, 31)],   # 2 approved, 7 moved
+        [booking(3, 520, 580, 4, 140), booking(1, 500, 560, 2, 150), booking(6, 1300, 1360, 2, 300)],  # 3 cancelled
+        [booking(6, 1300, 1360, 2, 310), booking(9, 610, 620, 4, 400)]]
+    came = [[checkin(4, 22)], [checkin(99, 40)], [checkin(9, 160)], [checkin(1, 305), checkin(2, 320)]]
+    cks = "reservation_id long, checkin_at timestamp_ntz, valid boolean"
+    out = J.drain(J.no_show_detector(_batches(spark, "res", bookings, sent), _batches(spark, "ck", cks, came), 10,
+                                     "0 seconds", 4, updated="sent_at", retain_minutes=60 * 24), "ticks")
+    rows = out.collect()
+    got = {b[0]: b[7] for batch in reversed(sent) for b in batch}  # as first sent
+    got.update({r.id_reserva: r.id_estado for r in sorted(rows, key=lambda r: r.seq)})
+    latest = {b[0]: b for batch in sent for b in batch}
+    want = tick(spark.createDataFrame(list(latest.values()), bookings),
+                spark.createDataFrame([c for batch in came for c in batch], cks),
+                spark.createDataFrame(list(SEED_CONFIG), "clave string, valor string"),
+                T0 + dt.timedelta(minutes=400))
+    assert got == {r.id_reserva: r.id_estado for r in want.collect()}
+    # a no-show (5) whose check-in came after its end was completed afterwards
+    assert [r.id_estado for r in sorted(rows, key=lambda r: r.seq) if r.id_reserva == 1][-2:] == [5, 7]
+
+
+def test_unknown_checkins_and_reminders_of_changed_bookings(spark):
+    schema = ("reservation_id long, user_id long, room_id long, start_time timestamp_ntz, end_time timestamp_ntz, "
+              "status string, created_at timestamp_ntz")
+
+    def row(i, start, status, sent):
+        return (i, 1, 1, None if start is None else T0 + dt.timedelta(minutes=start), T0, status,
+                T0 + dt.timedelta(minutes=sent))
+
+    src = _batches(spark, "rem", schema, [
+        [row(1, 60, "aprobada", 0), row(2, 60, "aprobada", 0), row(3, 60, "pendiente", 1), row(4, 60, "aprobada", 1),
+         row(5, None, "aprobada", 1)],
+        [row(2, 60, "cancelada", 10), row(3, 60, "aprobada", 10), row(4, 600, "aprobada", 10)],
+        [row(6, 900, "aprobada", 100)],
+        [row(1, 60, "aprobada", 101), row(7, 900, "aprobada", 120)],
+        [row(8, 900, "aprobada", 130)]])
+    out = J.drain(J.reminder_timers(src, 30, "0 seconds", 2), "reminders_changed").collect()
+    assert sorted((r.reservation_id, r.due_at) for r in out) == [(i, T0 + dt.timedelta(minutes=30)) for i in (1, 3)]
