@@ -295,22 +295,30 @@ def available_rooms(slots: DataFrame, rooms: DataFrame, res: DataFrame, min_capa
     have no overlapping blocking booking (``n_available``).
 
     Free rooms are all candidates but the busy ones, so only busy (window,
-    room) rows are formed; windows x free rooms never are.  Which rooms are
-    free is answered by ``room_availability`` for the rooms a caller asks for.
+    room) rows are formed, once for windows of equal times; windows x free
+    rooms never are.  Which rooms are free is answered by
+    ``room_availability`` for the rooms a caller asks for.
     """
+    span = F.struct("start_time", "end_time")
+    spans = slots.select("start_time", "end_time").distinct().select(span.alias("slot_id"), "start_time", "end_time")
     cand = _candidates(rooms, min_capacity)
     total = cand.agg(F.count(F.lit(1)).alias("n")).scalar()
-    busy = (busy_rooms(slots, res, width).join(cand.select("room_id"), "room_id", "left_semi")
-            .groupBy("slot_id").agg(F.count(F.lit(1)).alias("_busy")))
-    out = slots.join(busy, "slot_id", "left")
+    busy = (busy_rooms(spans, res, width).join(cand.select("room_id"), "room_id", "left_semi")
+            .groupBy("slot_id").agg(F.count(F.lit(1)).alias("_busy"))
+            .select("slot_id.start_time", "slot_id.end_time", "_busy"))
+    out = slots.join(busy, ["start_time", "end_time"], "left").select(*slots.columns, "_busy")
     return out.withColumn("n_available", total - F.coalesce("_busy", F.lit(0))).drop("_busy")
 
 
 def room_availability(asked: DataFrame, slots: DataFrame, rooms: DataFrame, res: DataFrame,
                       min_capacity: int | None = None, width: int = 3600) -> DataFrame:
     """JOIN-7 for pairs: each ``asked`` (slot_id, room_id) with ``available``; a
-    room that is no candidate is not available."""
-    busy = busy_rooms(slots, res, width).withColumn("_busy", F.lit(True))
+    room that is no candidate is not available.  Bookings are counted per
+    asked room (see ``conflict_counts``), so no window meets other rooms."""
+    windows = asked.select("slot_id", "room_id").distinct().join(
+        slots.select("slot_id", "start_time", "end_time"), "slot_id")
+    busy = conflict_counts(windows.withColumn("slot_id", F.struct("slot_id", "room_id")), res, "app", width).select(
+        "slot_id.slot_id", "slot_id.room_id", F.lit(True).alias("_busy"))
     cand = _candidates(rooms, min_capacity).select("room_id", F.lit(True).alias("_cand"))
     return (asked.join(cand, "room_id", "left").join(busy, ["slot_id", "room_id"], "left")
             .withColumn("available", F.col("_cand").isNotNull() & F.col("_busy").isNull()).drop("_cand", "_busy"))

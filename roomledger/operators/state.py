@@ -259,11 +259,15 @@ def detect_no_shows(reservas: DataFrame, checkins: DataFrame, config: DataFrame,
     """ST-5: approved (2) bookings without any check-in row whose start is
     earlier than as_of minus the check-in tolerance become No-show (5)."""
     tol = _config_minutes(config, "tolerancia_checkin")
-    limit = ts_lit(as_datetime(as_of)) - minutes_interval(tol)
     has_ck = checkins.select(F.col("reservation_id").alias("id_reserva")).distinct().withColumn("_ck", F.lit(True))
     j = reservas.join(has_ck, "id_reserva", "left")
-    hit = (F.col("id_estado") == 2) & F.col("_ck").isNull() & (at_minutes("fecha", "inicio_min") < limit)
-    return j.withColumn("id_estado", F.when(hit, F.lit(5)).otherwise(F.col("id_estado"))).drop("_ck")
+    return _no_shows(j, F.col("_ck").isNull(), tol, as_of).drop("_ck")
+
+
+def _no_shows(reservas: DataFrame, unchecked: Column, tol: Column, as_of) -> DataFrame:
+    late = at_minutes("fecha", "inicio_min") < ts_lit(as_datetime(as_of)) - minutes_interval(tol)
+    hit = (F.col("id_estado") == 2) & unchecked & late
+    return reservas.withColumn("id_estado", F.when(hit, F.lit(5)).otherwise(F.col("id_estado")))
 
 
 def finalize_ended(reservas: DataFrame, as_of) -> DataFrame:
@@ -274,9 +278,10 @@ def finalize_ended(reservas: DataFrame, as_of) -> DataFrame:
 
 
 def tick(reservas: DataFrame, checkins: DataFrame, config: DataFrame, as_of) -> DataFrame:
-    """ST-8: one scheduler tick: check-ins, then no-shows, then completions."""
+    """ST-8: one scheduler tick: check-ins, then no-shows, then completions.
+    Check-ins are joined once: a booking still approved after them has none."""
     r = apply_checkins(reservas, checkins)
-    r = detect_no_shows(r, checkins, config, as_of)
+    r = _no_shows(r, F.lit(True), _config_minutes(config, "tolerancia_checkin"), as_of)
     return finalize_ended(r, as_of)
 
 

@@ -40,12 +40,12 @@ def register(name: str, oracle: str | None = None, tables: tuple[str, ...] = ())
     return deco
 
 
-_FX_CACHE: dict[tuple[str, int, str], Fixtures] = {}
+_FX_CACHE: dict[tuple[str, str], Fixtures] = {}
 
 
 def fx(spark: SparkSession, sf_dir: str) -> Fixtures:
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
-    if key not in _FX_CACHE:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FX_CACHE or _FX_CACHE[key].spark is not spark:  # frames belong to one session
         _FX_CACHE[key] = Fixtures(spark, sf_dir)
     return _FX_CACHE[key]
 

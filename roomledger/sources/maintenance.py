@@ -183,17 +183,26 @@ def cascade_delete(child: DataFrame, deleted: DataFrame, child_key: str, parent_
     return child.join(gone, child_key, "left_anti")
 
 
-def append_rows(df: DataFrame, path: str, partition_by: str | None = "dt", ts_col: str | None = None) -> None:
+def append_rows(df: DataFrame, path: str, partition_by: str | None = "dt", ts_col: str | None = None,
+                batch_id: str | None = None) -> None:
     """SRC-9: INSERT-style sink: append to a partitioned parquet table.
 
     With ``ts_col`` the partition column is the row's date; appends are
     atomic per job (Spark commits a job's files together), and re-running a
-    failed job only adds files for tasks that did not commit.
+    failed job only adds files for tasks that did not commit.  A committed
+    job run again appends its rows again, unless ``batch_id`` names it: its
+    rows then go to partitions of their own (``batch_id=<name>``), which a
+    second run over the same rows replaces.
     """
     out = df
     if partition_by and ts_col and partition_by not in df.columns:
         out = out.withColumn(partition_by, F.to_date(F.col(ts_col)))
-    w = out.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(partition_by)
+    parts = [partition_by] if partition_by else []
+    if batch_id is None:
+        w = out.write.mode("append")
+    else:
+        out, parts = out.withColumn("batch_id", F.lit(batch_id)), ["batch_id", *parts]
+        w = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    if parts:
+        w = w.partitionBy(*parts)
     w.parquet(path)

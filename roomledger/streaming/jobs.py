@@ -130,10 +130,12 @@ def booking_side_effects(new_reservas: DataFrame, audit_path: str, notice_path:
     from roomledger.operators.notify import AUDIT_INSERT, trigger_notice
 
     def write(batch: DataFrame, batch_id: int):
+        batch = batch.persist()  # read by two writes
         audit = batch.select("id_usuario", F.lit(AUDIT_INSERT).alias("accion"),
                              F.lit("reservas").alias("tabla_afectada"), F.col("id_reserva").alias("id_registro"))
         audit.write.mode("overwrite").parquet(f"{audit_path}/batch_id={batch_id}")
         trigger_notice(batch).write.mode("overwrite").parquet(f"{notice_path}/batch_id={batch_id}")
+        batch.unpersist()
 
     w = new_reservas.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w

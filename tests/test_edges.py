@@ -141,7 +141,9 @@ def test_failed_logins_missing_key_and_null_actor(spark):
         "id long, user_id long, table_name string, record_id long, action string, new_values string, "
         "ip_address string, user_agent string, created_at timestamp_ntz")
     r = A.failed_logins(audit, "2024-01-01", "2024-01-31").first()
-    assert r.attempt_count == 3 and r.attempted_emails == ["a@x"] and r.missing_email is True
+    assert r.attempt_count == 3 and r.distinct_emails == 1 and r.missing_email is True
+    tried = A.failed_login_emails(audit, "2024-01-01", "2024-01-31").collect()
+    assert {(r.email, r.attempts) for r in tried} == {("a@x", 2), (None, 1)}
     users = spark.createDataFrame([(5, "u5", "e5")], "user_id long, user_name string, email string")
     from roomledger.operators.joins import audit_entries
     assert audit_entries(audit, users, limit=None).count() == 3      # null actors kept
@@ -169,6 +171,16 @@ def test_seed_and_append_sink(spark):
     assert back.count() == 4 and "dt" in back.columns
 
 
+def test_append_rows_of_one_batch_twice(spark):
+    out = os.path.join(tempfile.mkdtemp(prefix="roomledger-sink-", dir="/tmp"), "notices")
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 9)), (2, dt.datetime(2024, 1, 2, 9))],
+                               "id long, sent_at timestamp_ntz")
+    for batch in ("a", "b", "a"):
+        M.append_rows(df, out, "dt", "sent_at", batch_id=batch)
+    assert sorted((r.batch_id, r.id) for r in spark.read.parquet(out).collect()) == [
+        ("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+
+
 def test_upsert_absent_vs_null(spark):
     t = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "user_id long, role string, department string")
     ch = spark.createDataFrame([(1, "z", None, True, True, 1), (2, None, None, False, False, 1)],
