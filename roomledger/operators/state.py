@@ -17,9 +17,9 @@ is then S_j with T_j < order <= T_{j+1}, and whether it applied is the
 guard evaluated on that state.  Final columns are "last applied command of
 a kind" aggregates (max_by), again combined map-side.
 
-Commands are ordered by (command_ts, command, seq_a, seq_b, actor_id,
-reason); fully identical rows are numbered 1..m (``dup_idx``) so the order
-is total and every copy takes its own turn.
+Commands are ordered by the caller's columns, ties by what is left of
+(command_ts, command, actor_id, reason); fully identical rows are numbered
+1..m (``dup_idx``) so the order is total and every copy takes its own turn.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from roomledger.functions.core import as_datetime, at_minutes, minutes_interval, ts_lit
 from roomledger.session import ensure_checkpoint_dir
 
-ORDER_FIELDS = ("command_ts", "command", "seq_a", "seq_b", "actor_id", "reason", "dup_idx")
-COMMAND_COLS = ("reservation_id", "command", "command_ts", "seq_a", "seq_b", "actor_id", "reason")
+COMMAND_COLS = ("reservation_id", "command", "command_ts", "actor_id", "reason")
+BLOCK = 4096  # copies of one command numbered at a time
 
 
 @dataclass(frozen=True)
@@ -96,21 +96,27 @@ def _next(m: Machine, state: Column, cmd: Column) -> Column:
     return expr.otherwise(state)
 
 
-def _order() -> Column:
-    return F.struct(*[F.col(c) for c in ORDER_FIELDS])
+def _order(order: tuple[str, ...]) -> Column:
+    ties = [c for c in ("command_ts", "command", "actor_id", "reason") if c not in order]
+    return F.struct(*order, *ties, "dup_idx")
 
 
-def number_duplicates(commands: DataFrame) -> DataFrame:
-    """Give fully identical command rows the indexes 1..m (one shuffle, combined
-    map-side, so a flood of identical commands costs one row per map task)."""
-    g = commands.groupBy(*COMMAND_COLS).agg(F.count(F.lit(1)).alias("_m"))
-    return g.withColumn("dup_idx", F.explode(F.sequence(F.lit(1), F.col("_m")))).drop("_m")
+def number_duplicates(commands: DataFrame, cols: list[str]) -> DataFrame:
+    """Give command rows identical in ``cols`` the indexes 1..m (one shuffle,
+    combined map-side, so a flood of identical commands costs one row per map
+    task; numbers are written block by block, never as one array of m)."""
+    g = commands.groupBy(*cols).agg(F.count(F.lit(1)).alias("_m"))
+    g = g.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"), F.lit(BLOCK).cast("long"))))
+    to = F.least(F.col("_m"), F.col("_from") + BLOCK - 1)
+    return g.withColumn("dup_idx", F.explode(F.sequence(F.col("_from"), to))).drop("_m", "_from")
 
 
-def fold_commands(res_state: DataFrame, commands: DataFrame, m: Machine) -> tuple[DataFrame, DataFrame]:
+def fold_commands(res_state: DataFrame, commands: DataFrame, m: Machine,
+                  order: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Generic staged fold.
 
-    ``res_state`` has (reservation_id, s0); ``commands`` has COMMAND_COLS.
+    ``res_state`` has (reservation_id, s0); ``commands`` has COMMAND_COLS and
+    the columns of ``order``.
     Returns (per-command rows with status_before / outcome / status_after,
     per-reservation exit table with S_0..S_depth).
     """
@@ -118,7 +124,8 @@ def fold_commands(res_state: DataFrame, commands: DataFrame, m: Machine) -> tupl
     # table; both are checkpointed to the shared checkpoint folder so they are
     # computed once and a lost executor never replays the earlier rounds.
     ensure_checkpoint_dir(commands.sparkSession)
-    cmds = number_duplicates(commands).withColumn("_ord", _order()).checkpoint()
+    cols = [*COMMAND_COLS, *[c for c in order if c not in COMMAND_COLS]]
+    cmds = number_duplicates(commands, cols).withColumn("_ord", _order(order)).checkpoint()
     st = res_state.select("reservation_id", F.col("s0").alias("S0"), F.lit(True).alias("_found"))
     cur, prev_t = "S0", None
     for k in range(1, m.depth + 1):
@@ -150,7 +157,7 @@ def fold_commands(res_state: DataFrame, commands: DataFrame, m: Machine) -> tupl
          .withColumn("status_after", F.when(F.col("outcome") == "applied",
                                             _next(m, F.col("status_before"), F.col("command")))
                      .otherwise(F.col("status_before"))))
-    per_cmd = j.select(*COMMAND_COLS, "dup_idx", "_ord", "status_before", "outcome", "status_after")
+    per_cmd = j.select(*cols, "dup_idx", "_ord", "status_before", "outcome", "status_after")
     final = st.select("reservation_id", F.col(f"S{m.depth}").alias("status_final"))
     return per_cmd, final
 
@@ -160,9 +167,10 @@ def _last(cond: Column, value: Column) -> Column:
     return F.max_by(F.when(cond, value), F.when(cond, F.col("_ord")))
 
 
-def apply_commands(res: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """ST-1: apply ordered approve / reject / cancel / checkin / noshow /
-    complete commands to reservations (EN model).
+def apply_commands(res: DataFrame, commands: DataFrame,
+                   order: tuple[str, ...] = ("command_ts",)) -> tuple[DataFrame, DataFrame]:
+    """ST-1: apply approve / reject / cancel / checkin / noshow / complete
+    commands to reservations (EN model), sorted by the ``order`` columns.
 
     Guards: approve and reject from pendiente (reject needs a non-blank
     reason and records approver, time and reason); cancel from pendiente or
@@ -173,7 +181,8 @@ def apply_commands(res: DataFrame, commands: DataFrame) -> tuple[DataFrame, Data
 
     Returns (new reservations, one outcome row per command).
     """
-    per_cmd, final = fold_commands(res.select("reservation_id", F.col("status").alias("s0")), commands, EN_MACHINE)
+    per_cmd, final = fold_commands(res.select("reservation_id", F.col("status").alias("s0")), commands, EN_MACHINE,
+                                   order)
     ok = F.col("outcome") == "applied"
     cmd = F.col("command")
     eff = per_cmd.filter(ok).groupBy("reservation_id").agg(
@@ -209,7 +218,8 @@ def apply_commands(res: DataFrame, commands: DataFrame) -> tuple[DataFrame, Data
     return new, outcomes
 
 
-def apply_commands_es(reservas: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_commands_es(reservas: DataFrame, commands: DataFrame,
+                      order: tuple[str, ...] = ("command_ts",)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """ST-2: the same commands on the state-id model.
 
     Approve/reject/cancel as in ST-1 (reject and cancel store the reason in
@@ -220,7 +230,7 @@ def apply_commands_es(reservas: DataFrame, commands: DataFrame) -> tuple[DataFra
     Curso.  Returns (new reservas, outcomes, new check-in rows).
     """
     rs = reservas.select(F.col("id_reserva").alias("reservation_id"), F.col("id_estado").alias("s0"))
-    per_cmd, final = fold_commands(rs, commands, ES_MACHINE)
+    per_cmd, final = fold_commands(rs, commands, ES_MACHINE, order)
     cmd = F.col("command")
     eff = per_cmd.filter(F.col("outcome") == "applied").groupBy("reservation_id").agg(
         _last(cmd.isin("reject", "cancel"), F.struct(F.col("reason").alias("r"))).alias("_motivo"))

@@ -9,7 +9,7 @@ from roomledger.operators import notify as N
 from roomledger.operators import state as S
 from roomledger.operators.reschedule import reschedule
 from roomledger.plans.registry import AS_OF, AS_OF_SQL, PERIOD, fx, register
-from roomledger.plans.state_queries import _EN_FOLD
+from roomledger.plans.state_queries import _EN_FOLD, COMMAND_ORDER
 from roomledger.sources import maintenance as M
 
 P0, P1 = PERIOD
@@ -201,7 +201,7 @@ WHERE r.status = 'pendiente' AND f.status IN ('aprobada', 'rechazada')
 """, ("reservations", "commands", "rooms"))
 def q_notify_decisions(spark, d):
     f = fx(spark, d)
-    after, _ = S.apply_commands(f.reservations, f.commands)
+    after, _ = S.apply_commands(f.reservations, f.commands, COMMAND_ORDER)
     return N.notify_decisions(f.reservations, after, f.rooms)
 
 

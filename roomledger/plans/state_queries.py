@@ -11,6 +11,8 @@ from __future__ import annotations
 from roomledger.operators import state as S
 from roomledger.plans.registry import AS_OF, AS_OF_SQL, fx, register
 
+# the fixture's commands carry two sequence columns; the oracle sorts alike
+COMMAND_ORDER = ("command_ts", "command", "seq_a", "seq_b")
 _RN = ("row_number() OVER (PARTITION BY reservation_id ORDER BY command_ts, command, seq_a, seq_b, actor_id, "
        "reason NULLS FIRST)")
 _REASON_OK = "(c.reason IS NOT NULL AND length(trim(c.reason)) > 0)"
@@ -57,7 +59,7 @@ JOIN reservations r ON r.reservation_id = f.reservation_id WHERE f.k = 1
 """, ("reservations", "commands"))
 def q_apply_commands_state(spark, d):
     f = fx(spark, d)
-    return S.apply_commands(f.reservations, f.commands)[0]
+    return S.apply_commands(f.reservations, f.commands, COMMAND_ORDER)[0]
 
 
 @register("apply_commands_outcomes", _EN_FOLD + """
@@ -70,7 +72,7 @@ FROM commands c WHERE c.reservation_id NOT IN (SELECT reservation_id FROM reserv
 """, ("reservations", "commands"))
 def q_apply_commands_outcomes(spark, d):
     f = fx(spark, d)
-    return S.apply_commands(f.reservations, f.commands)[1].drop("dup_idx")
+    return S.apply_commands(f.reservations, f.commands, COMMAND_ORDER)[1].drop("dup_idx")
 
 
 _ES_APP = (f"((s.st = 1 AND c.command IN ('approve', 'cancel', 'checkin', 'noshow')) OR "
@@ -104,7 +106,7 @@ JOIN reservas r ON r.id_reserva = f.reservation_id WHERE f.k = 1
 """, ("reservas", "commands"))
 def q_apply_commands_es_state(spark, d):
     f = fx(spark, d)
-    return S.apply_commands_es(f.reservas, f.commands)[0]
+    return S.apply_commands_es(f.reservas, f.commands, COMMAND_ORDER)[0]
 
 
 @register("apply_commands_es_outcomes", _ES_FOLD + """
@@ -114,7 +116,7 @@ FROM st WHERE rn > 0
 """, ("reservas", "commands"))
 def q_apply_commands_es_outcomes(spark, d):
     f = fx(spark, d)
-    return S.apply_commands_es(f.reservas, f.commands)[1].drop("dup_idx")
+    return S.apply_commands_es(f.reservas, f.commands, COMMAND_ORDER)[1].drop("dup_idx")
 
 
 @register("apply_commands_es_checkins", """
@@ -123,7 +125,7 @@ WHERE command IN ('checkin', 'noshow') AND reservation_id IN (SELECT id_reserva
 """, ("reservas", "commands"))
 def q_apply_commands_es_checkins(spark, d):
     f = fx(spark, d)
-    return S.apply_commands_es(f.reservas, f.commands)[2]
+    return S.apply_commands_es(f.reservas, f.commands, COMMAND_ORDER)[2]
 
 
 _CK = "EXISTS (SELECT 1 FROM checkins ck WHERE ck.reservation_id = r.id_reserva)"

@@ -11,6 +11,7 @@ RES_SCHEMA = ("reservation_id long, user_id long, room_id long, start_time times
               "approved_by long")
 CMD_SCHEMA = ("reservation_id long, command string, command_ts timestamp_ntz, seq_a long, seq_b long, "
               "actor_id long, reason string")
+ORDER = ("command_ts", "command", "seq_a", "seq_b")
 CMDS = ["approve", "reject", "cancel", "checkin", "noshow", "complete"]
 
 
@@ -72,7 +73,7 @@ def test_apply_commands_matches_sequential_fold(spark):
     res = [(i, 1, 1, T0, T0, rng.choice(["pendiente", "aprobada", "rechazada", "cancelada", "completada"]), False,
             3, "no_aplica", T0, None) for i in range(1, n_res + 1)]
     cmds = _random_commands(rng, n_res, 400, hot=7)
-    new, outcomes = S.apply_commands(spark.createDataFrame(res, RES_SCHEMA), spark.createDataFrame(cmds, CMD_SCHEMA))
+    new, outcomes = S.apply_commands(spark.createDataFrame(res, RES_SCHEMA), spark.createDataFrame(cmds, CMD_SCHEMA), ORDER)
     got = {r.reservation_id: r for r in new.collect()}
     skey = lambda t: tuple((v is None, str(v)) for v in t)
     got_out = sorted(((r.reservation_id, r.command, r.command_ts, r.seq_a, r.seq_b, r.actor_id, r.reason,
@@ -99,7 +100,8 @@ def test_hot_reservation_fold(spark):
     cmds = [(rng.choice([1, 1, 1, 2]), rng.choice(CMDS), T0 + dt.timedelta(seconds=rng.randrange(0, 100000)),
              rng.randrange(1000), rng.randrange(1000), rng.randrange(1, 5), rng.choice([None, "motivo", " "]))
             for _ in range(20000)]
-    new, outcomes = S.apply_commands(spark.createDataFrame(res, RES_SCHEMA), spark.createDataFrame(cmds, CMD_SCHEMA))
+    new, outcomes = S.apply_commands(spark.createDataFrame(res, RES_SCHEMA),
+                                     spark.createDataFrame(cmds, CMD_SCHEMA), ORDER)
     got = {r.reservation_id: (r.status, r.approved_by, r.checked_in, r.no_show) for r in new.collect()}
     for rid, *_rest in res:
         st, outs = _fold_en(_rest[4], [c for c in cmds if c[0] == rid])
@@ -110,6 +112,23 @@ def test_hot_reservation_fold(spark):
     assert n_applied == want
 
 
+def test_order_is_the_callers_and_copies_take_turns(spark):
+    res = spark.createDataFrame([(i, 1, 1, T0, T0, "pendiente", False, 3, "no_aplica", T0, None) for i in (1, 2)],
+                                RES_SCHEMA)
+    one = spark.createDataFrame([(1, "cancel", T0, 1, 0, 1, "motivo"), (1, "approve", T0, 0, 0, 1, None)], CMD_SCHEMA)
+    flood = spark.range(10_000).selectExpr(
+        "2L AS reservation_id", "'approve' AS command", "TIMESTAMP_NTZ '2024-03-04 08:00:00' AS command_ts",
+        "0L AS seq_a", "0L AS seq_b", "1L AS actor_id", "CAST(NULL AS STRING) AS reason")
+    # an approval may be cancelled, a cancelled booking can't be approved
+    for order, applied in ((("seq_a",), {"approve", "cancel"}), (("back",), {"cancel"})):
+        cmds = one.unionByName(flood).selectExpr("*", "-seq_a AS back")
+        _, out = S.apply_commands(res, cmds, order)
+        rows = out.filter("reservation_id = 1").collect()
+        assert {r.command for r in rows if r.outcome == "applied"} == applied
+        copies = out.filter("reservation_id = 2").groupBy("outcome").count().collect()
+        assert {r["outcome"]: r["count"] for r in copies} == {"applied": 1, "not_applied": 9_999}
+
+
 def _fold_es(state, cmds):
     outs = []
     for c in sorted(cmds, key=_key):
@@ -143,7 +162,7 @@ def test_apply_commands_es_matches_sequential_fold(spark):
               "fin_min int, id_estado int, requiere_coffee boolean, fecha_creacion timestamp_ntz")
     cmds = [c for c in _random_commands(rng, n, 300, hot=3) if c[0] <= n]
     new, outcomes, checkins = S.apply_commands_es(spark.createDataFrame(reservas, schema),
-                                                  spark.createDataFrame(cmds, CMD_SCHEMA))
+                                                  spark.createDataFrame(cmds, CMD_SCHEMA), ORDER)
     got = {r.id_reserva: r.id_estado for r in new.collect()}
     for r in reservas:
         final, _ = _fold_es(r[7], [c for c in cmds if c[0] == r[0]])
