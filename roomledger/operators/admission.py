@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from roomledger.operators.overlap import conflict_counts, epoch_seconds
 from roomledger.operators.validate import coffee_break_status, validate_slot
+from roomledger.session import ensure_checkpoint_dir
 
 MODES = ("app", "trigger", "both")
 
@@ -164,6 +165,9 @@ def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as
     surv = v.filter(static_ok & ~F.col("_busy")).select(
         "request_id", "room_id", epoch_seconds("start_time").alias("lo"), epoch_seconds("end_time").alias("hi"),
         F.to_date("start_time").cast("string").alias("day"), "requested_at")
+    # the labels read these few narrow columns several times: the checks above run once
+    ensure_checkpoint_dir(requests.sparkSession)
+    surv = surv.checkpoint()
     labeled = _cluster_labels(surv, width)
     # sorted partitions of whole clusters stream through the greedy step
     decided = (labeled.repartition("room_id", "cluster")

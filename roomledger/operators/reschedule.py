@@ -143,7 +143,7 @@ def _round(asked: DataFrame, free: DataFrame) -> DataFrame:
                     epoch_seconds("cur_start").alias("slot_lo"), epoch_seconds("cur_end").alias("slot_hi"),
                     "until", F.lit(True).alias("blocks")))
     rows = (tries.select(*cols).unionByName(held.select(*cols))
-            .withColumn("until", F.coalesce("until", F.lit(NEVER))).withColumn("lo", F.least("slot_lo", "slot_hi")).withColumn("hi", F.greatest("slot_lo", "slot_hi")))
+            .withColumn("until", F.coalesce("until", F.lit(NEVER))).withColumn("lo", F.least("slot_lo", "slot_hi")).withColumn("hi", F.greatest("slot_lo", "slot_hi")).checkpoint())
     return (_cluster_labels(rows, DAY).repartition("room_id", "cluster")
             .sortWithinPartitions("room_id", "cluster", "change_id", "reservation_id")
             .mapInPandas(_decide, schema="change_id long, free boolean")
