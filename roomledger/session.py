@@ -27,8 +27,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                 app_name: str = "roomledger") -> SparkSession:
     """Return the active session, or build a local one for tests and benches.
 
-    On a cluster the session already exists (spark-submit); only settings that
-    are unset there are filled in.
+    On a cluster the session already exists (spark-submit) and keeps its own
+    settings; see the README for those that suit the streams.
     """
     active = SparkSession.getActiveSession()
     if active is not None:
