@@ -286,6 +286,34 @@ def test_sharding_law_and_links(spark, edge, none):
     assert sharding.shard(none, 24).count() == 0
 
 
+def test_sharding_exchanges_between_full_shards(spark):
+    def cut(texts):
+        rows = list(enumerate(texts))
+        got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
+        assert {len([r for r in got if r["shard"] == s]) for s in range(24)} <= {len(rows) // 24, -(-len(rows) // 24)}
+        where = defaultdict(set)
+        for r in got:
+            where[texts[r["doc_id"]]].add(r["shard"])
+        return {t: len(s) for t, s in where.items()}
+
+    assert set(cut([f"pair {i // 2}" for i in range(48)]).values()) == {1}
+    mixed = cut(["hot" if i % 3 == 0 else f"pair {i // 6}, {i % 3}" for i in range(960)])  # all have a copy, a third one text
+    assert mixed.pop("hot") <= 16 and sum(n > 1 for n in mixed.values()) <= len(mixed) // 4
+
+
+@given(st.dictionaries(st.tuples(st.integers(0, 4), st.integers(0, 4)).filter(lambda p: p[0] != p[1]), st.integers(1, 9)),
+       st.lists(st.integers(0, 5), min_size=5, max_size=5))
+@settings(max_examples=100, deadline=None)
+def test_sharding_grants(asked, room):
+    given_ = sharding.grants(asked, room)
+    left = {p: n - given_.get(p, 0) for p, n in asked.items()}
+    free = [r + sum(n * ((a == s) - (b == s)) for (a, b), n in given_.items()) for s, r in enumerate(room)]
+    assert set(given_) <= set(asked) and min(left.values(), default=0) >= 0 and min(free) >= 0
+    asks = [{b: n for (a, b), n in left.items() if a == s and n} for s in range(5)]
+    assert not any(sharding.cycle(asks, s) for s in range(5))  # no exchange is left, and no room for one who asks
+    assert not any(n and free[b] for (_, b), n in left.items())
+
+
 # ---------------------------------------------------------------- 7 licences
 
 def test_matching_statistics():
