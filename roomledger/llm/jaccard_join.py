@@ -6,7 +6,8 @@ the others by a hash; the order's prefix of a set of n is its first
 ``n - ceil(percent * n / 100) + 1`` shingles, and two sets that link share a
 shingle of both prefixes under every order.
 
-1. Shingles are counted over all texts (as 32-bit hashes, in sorted runs).
+1. Shingles are counted over all texts (as 32-bit hashes, in sorted runs, over
+   ranges whose number follows the total).
    Those of ``total / HOT_MOST`` texts or more, hence at most ``HOT_MOST``, are
    the frequent ones: the one thing that is broadcast.
 2. Texts of equal sets form a class; its smallest doc_id stands for it.
@@ -48,7 +49,9 @@ HOT_LEAST = 64
 HOT_MOST = 1_000_000
 ORDERS = 3
 HEADS = 3
-RANGES = 256  # of the counted hashes
+RANGES = 256  # of the counted hashes, at least
+RANGE_HASHES = 2_000_000  # of a range of the counted hashes, about
+RUN_BYTES = 4_000_000  # of runs that are cut at a time
 POSTINGS = 1_000_000  # entries of a range of prefix shingles, about
 BLOCK = 4_096  # entries of a frequent shingle's list that are paired with as many
 PAIRS = 2_000_000  # compared at a time in a task
@@ -68,8 +71,27 @@ def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 # ---------------------------------------------------------------- frequent shingles
 
+WIDTH = (1 << 32) // RANGES
+
+
+def _run(h: np.ndarray, n: np.ndarray, start: int) -> bytes:
+    """Sorted distinct hashes from ``start`` on, as differences, behind the places and counts of those counted twice or more."""
+    d = np.diff(h, prepend=start)
+    many = np.flatnonzero(n > 1)
+    kind, code = (b"\2", "<u2") if not len(d) or d.max() < 1 << 16 else (b"\4", "<u4")
+    return kind + np.concatenate([[len(many)], many, n[many]]).astype("<u4").tobytes() + d.astype(code).tobytes()
+
+
+def _unrun(run: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
+    many, more = np.frombuffer(run, "<u4", 2 * int.from_bytes(run[1:5], "little"), 5).reshape(2, -1)
+    h = start + np.cumsum(np.frombuffer(run, "<u2" if run[0] == 2 else "<u4", offset=5 + 8 * len(many)).astype(np.int64))
+    n = np.ones(len(h), np.int64)
+    n[many] = more
+    return h, n
+
+
 def _count_runs(k: int):
-    """A row for each range of 32-bit hashes in each batch: the sorted hashes, as differences."""
+    """A row for each range of 32-bit hashes in each batch: how many shingles, how many hashes, and their run."""
     def run(batches):
         hasher = WordHash()
         for batch in batches:
@@ -77,30 +99,66 @@ def _count_runs(k: int):
                 some = [s for part in pieces(piece, "text", PIECE_CHARS)
                         for s in shingles(part.column("text").to_pylist(), k, hasher)]
                 h = np.sort(np.concatenate(some) >> np.uint64(32)).astype(np.int64) if some else np.empty(0, np.int64)
-                cut = np.searchsorted(h, np.arange(RANGES + 1) * ((1 << 32) // RANGES))
-                runs = []
-                for r in range(RANGES):
-                    d = np.diff(h[cut[r]:cut[r + 1]], prepend=r * ((1 << 32) // RANGES))
-                    small = not len(d) or d.max() < 1 << 16
-                    runs.append((b"\2" + d.astype("<u2").tobytes()) if small else b"\4" + d.astype("<u4").tobytes())
+                first = np.flatnonzero(np.diff(h, prepend=-1))
+                n, h = np.diff(first, append=len(h)), h[first]
+                cut = np.searchsorted(h, np.arange(RANGES + 1) * WIDTH)
+                each = [slice(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(RANGES), pa.int32()), pa.array(np.diff(cut), pa.int64()), pa.array(runs)],
-                    names=["r", "n", "run"])
+                    [pa.array(np.arange(RANGES), pa.int64()), pa.array([int(n[x].sum()) for x in each], pa.int64()),
+                     pa.array(np.diff(cut), pa.int64()), pa.array([_run(h[x], n[x], r * WIDTH) for r, x in enumerate(each)])],
+                    names=["r", "n", "hashes", "run"])
+    return run
+
+
+def _cut_runs(parts: int):
+    """The runs of each range as those of ``parts`` ranges."""
+    def run(batches):
+        edge = np.arange(parts + 1) * WIDTH // parts
+        for batch in batches:
+            for piece in pieces(batch, "run", RUN_BYTES):
+                rows = {"r": [], "n": [], "hashes": [], "run": []}
+                for r, code in zip(piece.column("r").to_pylist(), piece.column("run").to_pylist()):
+                    h, n = _unrun(code, r * WIDTH)
+                    cut = np.searchsorted(h, r * WIDTH + edge)
+                    for j in np.flatnonzero(np.diff(cut)).tolist():
+                        x = slice(cut[j], cut[j + 1])
+                        rows["r"].append(r * parts + j)
+                        rows["n"].append(int(n[x].sum()))
+                        rows["hashes"].append(int(cut[j + 1] - cut[j]))
+                        rows["run"].append(_run(h[x], n[x], r * WIDTH + int(edge[j])))
+                yield pa.RecordBatch.from_arrays([pa.array(rows["r"], pa.int64()), pa.array(rows["n"], pa.int64()),
+                                                  pa.array(rows["hashes"], pa.int64()), pa.array(rows["run"], pa.binary())],
+                                                 names=list(rows))
     return run
 
 
+def counted(docs: DataFrame, k: int) -> tuple[DataFrame, int, int]:
+    """Runs (r, n, hashes, run), the number of shingles, and into how many each of the RANGES is cut.
+
+    A task merges the runs of one ``r``: RANGE_HASHES hashes, about, however
+    many texts there are.  A shingle of many texts is one hash of a run.
+    """
+    schema = "r long, n long, hashes long, run binary"
+    runs = save(docs.select("text").mapInArrow(_count_runs(k), schema), "counted", "lz4")
+    total, hashes = runs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("hashes"), F.lit(0))).first()
+    parts = min(WIDTH, max(1, -(-hashes // (RANGES * RANGE_HASHES))))
+    return (runs.mapInArrow(_cut_runs(parts), schema) if parts > 1 else runs), total, parts
+
+
 def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the frequent shingles, sorted, and in how many texts each is."""
-    runs = save(docs.select("text").mapInArrow(_count_runs(k), "r int, n long, run binary"), "counted", "lz4")
-    total = runs.agg(F.sum("n")).first()[0] or 0
+    runs, total, parts = counted(docs, k)
     least = max(HOT_LEAST, -(-total // HOT_MOST))
 
     def merge(key, table):
-        some = [np.cumsum(np.frombuffer(run, "<u2" if run[0] == 2 else "<u4", offset=1).astype(np.int64))
-                for run in table.column("run").to_pylist()]
-        h, n = np.unique(np.concatenate(some) + key[0].as_py() * ((1 << 32) // RANGES), return_counts=True)
-        h, n = h[n >= least], n[n >= least]
-        return pa.table({"h": h, "n": n.astype(np.int64)})
+        r, j = divmod(key[0].as_py(), parts)
+        some = [_unrun(run, r * WIDTH + j * WIDTH // parts) for run in table.column("run").to_pylist()]
+        h, n = (np.concatenate(x) for x in zip(*some))
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.diff(h, prepend=-1))
+        h, n = h[first], np.add.reduceat(n, first) if len(first) else n
+        return pa.table({"h": h[n >= least], "n": n[n >= least]})
 
     hot = runs.groupBy("r").applyInArrow(merge, "h long, n long").toPandas()  # HOT_MOST rows at most
     hot = hot.sort_values("h")
