@@ -31,6 +31,11 @@ KINDS = ("assign", "access", "hex")
 WINDOW = 20
 # A candidate: a run of these characters with a digit in it, as long as a window at least.
 CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+# A run without a digit is one too if upper and lower case are mixed as in no words, joined words or names.
+LETTERS = r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]{20,}+(?![A-Za-z0-9+/_=-])"
+LETTER_CLASS = ("entropy_letters", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.7)
+# In the hot part: capitals are 3 to 7 tenths of the letters, and 3 in 20 characters or more are a capital before a small letter.
+MIXED = (3, 7, 3)
 # Character classes: kind, pattern of the whole candidate, alphabet, least bits in a window.
 CLASSES = (
     ("entropy_hex", r"^[0-9A-Fa-f]+$", "0123456789abcdefABCDEF", 3.0),
@@ -91,10 +96,19 @@ def entropy_range(word: str, alphabet: str, bits: float, window: int = WINDOW) -
         a -> named_struct('lo', a.lo, 'hi', a.hi))"""
 
 
+def _mixed(x: str) -> str:
+    """SQL: whether the hot part of ``x`` (m, r) mixes upper and lower case as MIXED says."""
+    low, high, turns = MIXED
+    hot = f"substr({x}.m, {x}.r.w.lo, {x}.r.w.hi - {x}.r.w.lo + 1)"
+    upper, both = f"regexp_count({hot}, r'[A-Z]')", f"regexp_count({hot}, r'[A-Za-z]')"
+    return (f"({x}.r.w.lo > 0 AND 10 * {upper} BETWEEN {low} * {both} AND {high} * {both} "
+            f"AND 20 * regexp_count({hot}, r'[A-Z][a-z]') >= {turns} * length({hot}))")
+
+
 def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """``docs`` with ``base_spans`` and ``method_spans``: arrays of (start, rank,
     stop, kind) by start, then kind."""
-    text, found, base, method = unused(docs, "whole_text", "runs", "base_spans", "method_spans")
+    text, found, letters, base, method = unused(docs, "whole_text", "runs", "letter_runs", "base_spans", "method_spans")
     df = docs.withColumn(text, F.coalesce(F.col("text"), F.lit("")))
     df = df.withColumn(base, F.expr("array_sort(concat(" + ", ".join([
         _spans(matches(text, ASSIGN, f"length(x.g) >= {ASSIGN_LEAST}", 2), 0, "assign"),
@@ -105,11 +119,16 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     cases = " ".join(
         f"WHEN x.m RLIKE {_quoted(p)} THEN named_struct('rank', {3 + k}, 'kind', '{kind}', 'w', "
         f"{entropy_range('x.m', alphabet, bits)})" for k, (kind, p, alphabet, bits) in enumerate(CLASSES))
-    df = df.withColumn(method, F.expr(f"""array_sort(transform(filter(transform({found},
-        x -> named_struct('start', x.start, 'r', CASE {cases} END)), y -> y.r.w.lo > 0),
+    kind, alphabet, bits = LETTER_CLASS
+    mixed = f"""named_struct('rank', {3 + len(CLASSES)}, 'kind', '{kind}', 'w', {entropy_range('x.m', alphabet, bits)})"""
+    df = df.withColumn(letters, F.expr(matches(text, LETTERS, f"NOT ({known})")))
+    df = df.withColumn(method, F.expr(f"""array_sort(transform(filter(concat(
+        transform({found}, x -> named_struct('start', x.start, 'm', x.m, 'r', CASE {cases} END)),
+        filter(transform({letters}, x -> named_struct('start', x.start, 'm', x.m, 'r', {mixed})), x -> {_mixed("x")})),
+        y -> y.r.w.lo > 0),
         y -> named_struct('start', y.start + y.r.w.lo - 1, 'rank', y.r.rank, 'stop', y.start + y.r.w.hi,
                           'kind', y.r.kind)))"""))
-    return df.drop(text, found)
+    return df.drop(text, found, letters)
 
 
 def joined(spans: Column) -> Column:

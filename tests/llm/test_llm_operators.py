@@ -164,6 +164,21 @@ def test_secrets_digest(spark, edge, none):
     assert secret_scan.scan(edge).count() == len(EDGE) and secret_scan.scan(none).count() == 0
 
 
+def test_secrets_without_digits(spark):
+    rng = np.random.default_rng(8)
+    small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choice(list(small + large), n)) for n in (24, 32, 40) for _ in range(40)]
+    plain = ["internationalizationandlocalization", "AbstractSingletonProxyFactoryBean", "getElementsByTagNameAndClassName",
+             "src/main/java/org/apache/spark", "ENVIRONMENT_VARIABLE_NAME", "the-quick-brown-fox-jumps-over-the-lazy-dog",
+             "FOO_BAR=baz_qux_value_of_name", "Donaudampfschifffahrtsgesellschaft", "=" * 30, "aB" * 20, "XMLHttpRequestEventTargetFactory"]
+    texts = ["qWjZxKpLmNvBtRyUsHdGfQaE", "key: qWjZxKpLmNvBtRyUsHdGfQaE.", *plain, *[f"a {k} b" for k in keys]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["stop"], s["kind"]) for s in r["method_spans"]] for r in secret_scan.scan(docs).collect()}
+    assert got[0] == [(0, 24, "entropy_letters")] and got[1] == [(5, 29, "entropy_letters")]
+    assert not any(got[2 + i] for i in range(len(plain))), [t for i, t in enumerate(plain) if got[2 + i]]
+    assert sum(bool(got[2 + len(plain) + i]) for i in range(len(keys))) >= 0.9 * len(keys)
+
+
 # ---------------------------------------------------------------- 4 decontamination
 
 def test_index_finds_all():
