@@ -29,6 +29,7 @@ HEX = r"[0-9a-f]{24,}"  # likewise, [0-9a-f]+ of 24 or more
 KINDS = ("assign", "access", "hex")
 
 WINDOW = 20
+RUN = r"[A-Za-z0-9+/_=-]{20,}"
 # A candidate: a run of these characters with a digit in it, as long as a window at least.
 CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 # A run without a digit is one too if upper and lower case are mixed as in no words, joined words or names.
@@ -43,6 +44,7 @@ CLASSES = (
     ("entropy_base64", r"", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.7),
 )
 # Candidates that are no secrets: placeholders, counted-up digits and letters, one repeated part, UUIDs, paths.
+# A run that one matches as a whole is left out; otherwise what it matches is cut out and the rest is looked at.
 ALLOW = (r"(?i)example|placeholder|changeme|xxxx", r"(?i)0123456789|123456789a|abcdefghij",
          r"^(.{1,8})\1+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^(/?[a-z_-]+){2,}/[0-9]+$")
 SCALE = 1 << 32
@@ -96,6 +98,20 @@ def entropy_range(word: str, alphabet: str, bits: float, window: int = WINDOW) -
         a -> named_struct('lo', a.lo, 'hi', a.hi))"""
 
 
+def _masked(text: str, pattern: str) -> str:
+    """SQL: ``text`` with blanks for the matches of ``pattern``, as long as before."""
+    p = _quoted(pattern)
+    return f"""CASE WHEN {text} RLIKE {p} THEN array_join(transform(
+        arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0)),
+        x -> concat(x.`0`, repeat(' ', coalesce(length(x.`1`), 0)))), '') ELSE {text} END"""
+
+
+def _within(runs: str, pattern: str) -> str:
+    """SQL: array of (start, m), the matches of ``pattern`` in the ``runs`` (start, m)."""
+    return (f"flatten(transform({runs}, r -> transform({matches('r.m', pattern)}, "
+            "y -> named_struct('start', r.start + y.start, 'm', y.m))))")
+
+
 def _mixed(x: str) -> str:
     """SQL: whether the hot part of ``x`` (m, r) mixes upper and lower case as MIXED says."""
     low, high, turns = MIXED
@@ -114,14 +130,16 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
         _spans(matches(text, ASSIGN, f"length(x.g) >= {ASSIGN_LEAST}", 2), 0, "assign"),
         _spans(matches(text, ACCESS), 1, "access"),
         _spans(matches(text, HEX), 2, "hex")]) + "))"))
-    known = " OR ".join([f"x.m RLIKE {_quoted(a)}" for a in allow] or ["false"])
-    df = df.withColumn(found, F.expr(matches(text, CANDIDATE, f"NOT ({known})")))
+    known = " OR ".join([f"x.m RLIKE {_quoted(f'^(?:{a})$')}" for a in allow] or ["false"])
+    df = df.withColumn(found, F.expr(matches(text, RUN, f"NOT ({known})")))
+    for a in allow:
+        df = df.withColumn(found, F.expr(f"transform({found}, x -> named_struct('start', x.start, 'm', {_masked('x.m', a)}))"))
+    df = df.withColumn(letters, F.expr(_within(found, LETTERS))).withColumn(found, F.expr(_within(found, CANDIDATE)))
     cases = " ".join(
         f"WHEN x.m RLIKE {_quoted(p)} THEN named_struct('rank', {3 + k}, 'kind', '{kind}', 'w', "
         f"{entropy_range('x.m', alphabet, bits)})" for k, (kind, p, alphabet, bits) in enumerate(CLASSES))
     kind, alphabet, bits = LETTER_CLASS
     mixed = f"""named_struct('rank', {3 + len(CLASSES)}, 'kind', '{kind}', 'w', {entropy_range('x.m', alphabet, bits)})"""
-    df = df.withColumn(letters, F.expr(matches(text, LETTERS, f"NOT ({known})")))
     df = df.withColumn(method, F.expr(f"""array_sort(transform(filter(concat(
         transform({found}, x -> named_struct('start', x.start, 'm', x.m, 'r', CASE {cases} END)),
         filter(transform({letters}, x -> named_struct('start', x.start, 'm', x.m, 'r', {mixed})), x -> {_mixed("x")})),
