@@ -5,7 +5,7 @@ its own words.  The mix nearest to the documents as they are (in relative
 entropy, words as base measure) that meets one word constraint a source has
 exponentially tilted rates, ``rate = min(most, prior * exp(tilt of its source))``;
 the tilts solve the convex dual and come from Newton iterations, each an
-aggregation over (source, prior) cells.  Rates are rounded to copies: in each
+aggregation over (source, prior) cells; without priors their start is the solution.  Rates are rounded to copies: in each
 source the documents stand by falling size, and the fractional parts are taken
 by equal steps.  Of some offsets of the steps, and then of some widths, the one
 is taken that misses the target least; widths other than the rate's own matter
