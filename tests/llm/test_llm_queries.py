@@ -1,12 +1,13 @@
 """Registered corpus queries against their SQL, and the pipeline stage by stage."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline
-from conftest import SMALL
+from conftest import MEDIUM, SMALL
 from roomledger.llm import queries
 from test_llm_operators import brute_components, brute_hits
 
@@ -53,6 +54,18 @@ def test_pipeline_stages(spark):
     assert ids.count() == mixed.count() and ids.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def test_pipeline_drops_texts_of_no_language(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").where("lang IS NOT NULL AND length(text) >= 100")
+    rng = np.random.default_rng(1)
+    letters = list("abcdefghijklmnopqrstuvwxyz" * 2 + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + " " * 8)
+    junk = spark.createDataFrame([(10**7 + i, "".join(rng.choice(letters, 600)), None, "src0", 600) for i in range(100)], docs.schema)
+    for some in (docs, docs.where("lang != 'de'")):  # four labels, and three: no score is below a third
+        kept = corpus_pipeline.language_id(spark, some.unionByName(junk), MEDIUM)
+        assert kept.where("lang IS NULL").count() <= 95
+        assert kept.where("lang IS NOT NULL").count() >= 0.995 * some.count()
+    assert [round(corpus_pipeline.least_score(n), 3) for n in (1, 2, 4)] == [1, 0.6, 0.4]
+
+
 def test_pipeline_empty(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
