@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.llm import (ann, decontaminate, jaccard_join, lang_id, licenses, mixing, secret_scan, sharding,
-                            token_ids, url_filter)
+from roomledger.llm import (ann, decontaminate, jaccard_join, lang_id, licenses, mixing, runs, secret_scan, sharding,
+                            token_ids, url_filter, whitening)
 from roomledger.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,31 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+# Fixed by the contract: the words of every tenth document (by the crc32 h of its id) repeat from word a on, with period p.
+REPEATED = r"""
+CASE WHEN h % 10 = 0 AND text RLIKE r'[^\x20\x09-\x0D]' THEN
+  transform(array(regexp_extract_all(text, r'[^\x20\x09-\x0D]+', 0)), w ->
+    transform(array(named_struct('a', (h div 10) % size(w), 'n', size(w))), s ->
+      transform(array(named_struct('a', s.a, 'p', 1 + (s.n - s.a) div (3 + (h div 10) % 8))), r ->
+        array_join(transform(w, (x, i) -> IF(i < r.a, x, w[cast(r.a + (i - r.a) % r.p AS int)])), ' '))[0])[0])[0]
+ELSE text END"""
+
+
+@register
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn("text", F.expr(REPEATED))
+    found, best = runs.find(docs.select("doc_id", "text")), F.col("periodic.best")
+    lines = F.transform("periodic.runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return found.select("doc_id", F.size("periodic.runs").cast("long").alias("n_runs"), best["start"].alias("start"),
+                        best["length"].alias("length"), best["period"].alias("period"),
+                        F.expr("1000 * periodic.best.length div periodic.best.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                        F.sha2("periodic.collapsed", 256).alias("collapsed_sha256"))
+
+
+@register
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
