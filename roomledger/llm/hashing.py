@@ -1,8 +1,9 @@
-"""64-bit hashes of words and word shingles, computed for whole batches in numpy."""
+"""64-bit hashes and exact numbers of words and word shingles, for whole batches in numpy."""
 
 from __future__ import annotations
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 ROOT = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 BACK = np.uint64(pow(int(ROOT), -1, 1 << 64))
@@ -33,16 +34,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def shingles(texts: list[str | None], k: int, hasher: WordHash) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's ``k``-word shingles (A-Z lower-cased,
-    words between white space; a text of fewer words is one shingle)."""
-    coded = [(t or "").encode().lower() for t in texts]
-    octets = np.frombuffer(b" ".join(coded) + b" ", np.uint8)
-    gap = SPACE[octets]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap])))
-    start, end = edge[0::2], edge[1::2]
-    words = hasher(octets, start, end)
-    cut = np.searchsorted(start, np.cumsum([0] + [len(c) + 1 for c in coded]))
+class WordKeys(dict):
+    """64-bit keys of words (xxh3, so no pattern of letters makes two words meet), remembered."""
+
+    KEPT = 1_000_000  # words, at about 150 bytes each
+
+    def __missing__(self, word: bytes) -> int:
+        key = self[word] = xxh3_64_intdigest(word)
+        return key
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.KEPT:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words between white space (\\x20, \\x09-\\x0D), A-Z lower-cased."""
+    return text.encode().lower().split() if text else []
+
+
+def shingles(texts: list[str | None], k: int, keys: WordKeys) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's ``k``-word shingles (a text of fewer words is one shingle)."""
+    split = [words_of(t) for t in texts]
+    words = keys([w for some in split for w in some])
+    cut = np.cumsum([0] + [len(some) for some in split])
     whole = np.zeros(len(words), np.uint64)
     for j in range(min(k, len(words))):  # shingle at i: words i to i + k - 1
         whole[:len(words) - j] += mix(words[j:] + np.uint64(j + 1))
@@ -57,3 +73,28 @@ def shingles(texts: list[str | None], k: int, hasher: WordHash) -> list[np.ndarr
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+def exact_shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """Sorted distinct numbers of each text's ``k``-word shingles: equal numbers are equal words, in these texts.
+
+    Words are numbered from 1; each shingle is named by its first words' name
+    and its next word, and 0 fills up texts of fewer words.
+    """
+    split = [words_of(t) for t in texts]
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for some in split for w in some), 1)}
+    sizes = [max(len(some), k) if some else 0 for some in split]
+    cut = np.cumsum([0] + sizes)
+    words = np.zeros(cut[-1] + k, np.int64)
+    for a, some in zip(cut.tolist(), split):
+        words[a:a + len(some)] = np.fromiter(map(number.__getitem__, some), np.int64, len(some))
+    names = words[:cut[-1]]
+    for j in range(1, k):
+        names = np.unique(names << 32 | words[j:j + cut[-1]], return_inverse=True)[1]
+    return [np.unique(names[a:a + n - k + 1]) if n else names[:0] for a, n in zip(cut.tolist(), sizes)]
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - shared
+    return union > 0 and 100 * shared >= percent * union

@@ -17,7 +17,7 @@ shingle of both prefixes under every order.
 4. The join: classes that share a prefix shingle under the first order, are in
    different components so far, and pass the length and position filters are
    candidates; those that also share a prefix shingle under all other orders
-   are verified on the whole texts.
+   are confirmed on the words of the whole texts.
 5. Components of all links.
 
 Pairs inside a component are not sought, as they can't change it; no other
@@ -41,7 +41,8 @@ from pyspark.sql import types as T
 
 from roomledger.llm.common import pieces, save
 from roomledger.llm.components import components
-from roomledger.llm.hashing import WordHash, mix, shingles
+from roomledger.llm.confirm import confirmed
+from roomledger.llm.hashing import WordKeys, mix, shingles
 
 PIECE_CHARS = 1_000_000
 COUNT_CHARS = 12_000_000  # behind one row of counted runs
@@ -55,7 +56,6 @@ RUN_BYTES = 4_000_000  # of runs that are cut at a time
 POSTINGS = 1_000_000  # entries of a range of prefix shingles, about
 BLOCK = 4_096  # entries of a frequent shingle's list that are paired with as many
 PAIRS = 2_000_000  # compared at a time in a task
-IDS_BROADCAST = 2_000_000  # doc_ids; beyond, the join is left to Spark
 SEEDS = [np.uint64(0xA0761D6478BD642F * (2 * j + 1) % (1 << 64)) for j in range(ORDERS + HEADS)]
 
 
@@ -63,12 +63,6 @@ def prefix_size(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    union = len(x) + len(y) - shared
-    return union > 0 and 100 * shared >= percent * union
-
-
 # ---------------------------------------------------------------- frequent shingles
 
 WIDTH = (1 << 32) // RANGES
@@ -93,7 +87,7 @@ def _unrun(run: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
 def _count_runs(k: int):
     """A row for each range of 32-bit hashes in each batch: how many shingles, how many hashes, and their run."""
     def run(batches):
-        hasher = WordHash()
+        hasher = WordKeys()
         for batch in batches:
             for piece in pieces(batch, "text", COUNT_CHARS):
                 some = [s for part in pieces(piece, "text", PIECE_CHARS)
@@ -178,7 +172,7 @@ def ordered(tokens: np.ndarray, order: int, hot: tuple[np.ndarray, np.ndarray])
 
 def _prefixes(k: int, percent: int, hot):
     def run(batches):
-        hasher = WordHash()
+        hasher = WordKeys()
         for batch in batches:
             for piece in pieces(batch, "text", PIECE_CHARS):
                 sets = shingles(piece.column("text").to_pylist(), k, hasher)
@@ -289,31 +283,10 @@ def _share_all(percent: int):
     def run(batches):
         for batch in batches:
             ok = [meet(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["a", "b", "n"]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
-# ---------------------------------------------------------------- verification
-
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts link."""
-    def run(batches):
-        hasher = WordHash()
-        for batch in batches:
-            for piece in pieces(batch, "y", PIECE_CHARS):
-                a, b = (piece.column(c).to_pylist() for c in "ab")
-                texts = dict(zip(a, piece.column("x").to_pylist())) | dict(zip(b, piece.column("y").to_pylist()))
-                sets = dict(zip(texts, shingles(list(texts.values()), k, hasher)))
-                yield piece.select(["a", "b"]).filter(pa.array([links(sets[i], sets[j], percent) for i, j in zip(a, b)], pa.bool_()))
-
-    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-            .select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct())
-
-
 # ---------------------------------------------------------------- the operator
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -331,11 +304,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     # heads: a star from the smallest class of each first shingle
     reps = known.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
-    heads = reps.select("doc_id", F.posexplode("heads").alias("order", "head"))
+    heads = reps.select("doc_id", "n", F.posexplode("heads").alias("order", "head"))
     hubs = heads.groupBy("order", "head").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
     stars = save(heads.join(hubs, ["order", "head"]).where("doc_id != hub")
-                 .select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    sure = save(verified(stars, docs, k, percent), "sure")
+                 .select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "n").distinct(), "stars")
+    sure = save(confirmed(stars, docs, k, percent), "sure")
     part = components(sure)
 
     # the join under the first order, then the filters of the other orders
@@ -346,11 +319,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
              .select("doc_id", "n", "prefix", comp)
              .mapInArrow(_deal(ranges, hot), "g long, cell long, entries binary"))
     candidates = save(dealt.groupBy("g", "cell").applyInArrow(_pairs(percent), "a long, b long").distinct(), "candidates")
-    others = reps.select("doc_id", "others")
+    others = reps.select("doc_id", "others", "n")
     shared = save(candidates.join(others.select(F.col("doc_id").alias("a"), F.col("others").alias("x")), "a")
-                  .join(others.select(F.col("doc_id").alias("b"), F.col("others").alias("y")), "b")
-                  .mapInArrow(_share_all(percent), "a long, b long").distinct(), "shared")
-    found = verified(shared, docs, k, percent)
+                  .join(others.select(F.col("doc_id").alias("b"), F.col("others").alias("y"), "n"), "b")
+                  .mapInArrow(_share_all(percent), "a long, b long, n long").distinct(), "shared")
+    found = confirmed(shared, docs, k, percent)
     final = save(components(sure.union(found).union(member.where("a != b"))), "components")
     return (rows.select("doc_id", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))

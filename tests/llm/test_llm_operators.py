@@ -424,14 +424,14 @@ def test_join_counts_in_ranges_of_bounded_size(spark, monkeypatch, none):
     texts = [" ".join(f"v{i}" for i in rng.integers(0, 6, 60)) for _ in range(400)] + ["one hot line of words"] * 300
     texts += [" ".join(f"u{i}" for i in rng.integers(0, 10_000, 200)) for _ in range(100)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    want = Counter(int(h) >> 32 for s in hashing.shingles(texts, 4, hashing.WordHash()) for h in s)
+    want = Counter(int(h) >> 32 for s in hashing.shingles(texts, 4, hashing.WordKeys()) for h in s)
     want = {h: n for h, n in want.items() if n >= 3}
     for most in (2_000_000, 5):  # hashes of a range, about
         monkeypatch.setattr(jaccard_join, "RANGE_HASHES", most, raising=False)
         h, n = jaccard_join.frequent(docs, 4)
         assert dict(zip(h.tolist(), n.tolist())) == want and sorted(h.tolist()) == h.tolist()
     runs, total, parts = jaccard_join.counted(docs, 4)
-    assert parts > 1 and total == sum(len(s) for s in hashing.shingles(texts, 4, hashing.WordHash()))
+    assert parts > 1 and total == sum(len(s) for s in hashing.shingles(texts, 4, hashing.WordKeys()))
     got = runs.groupBy("r").agg(F.sum("n").alias("n"), F.sum("hashes").alias("hashes"))
     assert got.agg(F.sum("n")).first()[0] == total and got.agg(F.max("hashes")).first()[0] <= 25
     assert [len(x) for x in jaccard_join.frequent(none, 4)] == [0, 0]
@@ -536,6 +536,6 @@ def test_mixing_newton_with_priors(spark):
 
 
 def test_hashes_are_case_and_space_blind():
-    h = hashing.WordHash()
+    h = hashing.WordKeys()
     a, b, c = hashing.shingles(["Ab  c\td\ne f", "ab C D e F", "ab c d e g"], 4, h)
     assert a.tolist() == b.tolist() and len(np.intersect1d(a, c)) == 1
