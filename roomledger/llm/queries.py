@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.llm import (ann, decontaminate, jaccard_join, lang_id, licenses, mixing, runs, secret_scan, sharding,
-                            token_ids, url_filter, whitening)
+from roomledger.llm import (ann, decontaminate, jaccard_join, lang_id, licenses, minhash, mixing, runs, secret_scan,
+                            sharding, token_ids, url_filter, whitening)
 from roomledger.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@register
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=5, percent=85)
