@@ -7,6 +7,12 @@ of all parts and matches before it.  Positions count code points.
 The entropy of each window of ``WINDOW`` characters of a candidate follows from
 the one before: the counts of the character that enters and of the one that
 leaves change, and with them the sum of ``c * log2(c)``, held as an integer.
+Only the window's own characters are counted.  Windows with enough entropy that
+overlap or touch are one span; a candidate can hold several.
+
+Lengths are summed, and candidates looked at, in blocks, so a text takes time in
+proportion to its length, whatever it holds; no pattern repeats a group without
+a bound, as Java would go down a stack frame for each repeat.
 
 Defined results: a null text counts as empty; text without a match has no
 spans; repeated rows give repeated results; other columns stay as they are.
@@ -24,51 +30,62 @@ from roomledger.llm.common import unused
 # Fixed values of the contract: kinds in their order, patterns, shortest match.
 ASSIGN = (r"(?i)(password|passwd|secret|token|api_?key)" r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ASSIGN_LEAST = 6
-ACCESS = r"AKIA[A-Z0-9]{16,}"  # a match of AKIA[A-Z0-9]+ has 20 characters or more only so
-HEX = r"[0-9a-f]{24,}"  # likewise, [0-9a-f]+ of 24 or more
+ACCESS = r"AKIA[A-Z0-9]{16,}+"  # a match of AKIA[A-Z0-9]+ has 20 characters or more only so
+HEX = r"[0-9a-f]{24,}+"  # likewise, [0-9a-f]+ of 24 or more
 KINDS = ("assign", "access", "hex")
 
 WINDOW = 20
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
-# A candidate: a run of these characters with a digit in it, as long as a window at least.
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
-# A run without a digit is one too if upper and lower case are mixed as in no words, joined words or names.
-LETTERS = r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]{20,}+(?![A-Za-z0-9+/_=-])"
-LETTER_CLASS = ("entropy_letters", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.7)
-# In the hot part: capitals are 3 to 7 tenths of the letters, and 3 in 20 characters or more are a capital before a small letter.
-MIXED = (3, 7, 3)
-# Character classes: kind, pattern of the whole candidate, alphabet, least bits in a window.
+BLOCK = 512  # characters, or matches, that are handled from one state
+RUN = r"[A-Za-z0-9+/_=-]{20,}+"
+# Classes of runs, the first that fits holds: kind, pattern of the whole run, least bits in a window.
 CLASSES = (
-    ("entropy_hex", r"^[0-9A-Fa-f]+$", "0123456789abcdefABCDEF", 3.0),
-    ("entropy_alnum", r"^[0-9A-Za-z]+$", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.7),
-    ("entropy_base64", r"", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.7),
+    ("entropy_hex", r"^(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]++$", 3.0),
+    ("entropy_alnum", r"^(?=[A-Za-z]*[0-9])[0-9A-Za-z]++$", 3.7),
+    ("entropy_base64", r"[0-9]", 3.7),
+    ("entropy_letters", r"", 3.7),
 )
-# Candidates that are no secrets: placeholders, counted-up digits and letters, one repeated part, UUIDs, paths.
+# A run without a digit counts if upper and lower case are mixed as in no words, joined words or names: in the span,
+# capitals are 3 to 7 tenths of the letters, and 3 in 20 characters or more are a capital before a small letter.
+MIXED = (3, 7, 3)
+# Runs that are no secrets: placeholders, counted-up digits and letters, one repeated part, UUIDs, paths
+# (small letters, "_", "-" and single "/", then a number).
 # A run that one matches as a whole is left out; otherwise what it matches is cut out and the rest is looked at.
 ALLOW = (r"(?i)example|placeholder|changeme|xxxx", r"(?i)0123456789|123456789a|abcdefghij",
-         r"^(.{1,8})\1+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^(/?[a-z_-]+){2,}/[0-9]+$")
+         r"^(.{1,8})\1+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+         r"^(?!.*//)/?[a-z_-][a-z_/-]*[a-z_-]/[0-9]++$")
 SCALE = 1 << 32
 
-SPAN = "struct<start:bigint,rank:int,stop:bigint,kind:string>"
+MATCH = "array<struct<start:bigint,stop:bigint,m:string,g:string>>"
 
 
 def _quoted(s: str) -> str:
     return "r'" + s + "'" if "'" not in s else "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running(lengths: str) -> str:
+    """SQL: the sums of all entries before each entry of an array of bigint."""
+    none = "named_struct('s', 0L, 'out', cast(array() AS array<bigint>))"
+    blocks = (f"transform(sequence(0, greatest(size(l) - 1, 0) div {BLOCK}), b -> aggregate(slice(l, b * {BLOCK} + 1, {BLOCK}), {none}, "
+              "(a, v) -> named_struct('s', a.s + v, 'out', concat(a.out, array(a.s)))))")
+    before = f"aggregate(q, {none}, (a, v) -> named_struct('s', a.s + v.s, 'out', concat(a.out, array(a.s)))).out"
+    return _let(lengths, "l", _let(blocks, "q", _let(before, "o", "flatten(transform(q, (v, j) -> transform(v.out, w -> w + o[j])))")))
+
+
 def matches(text: str, pattern: str, keep: str = "true", group: int = 0) -> str:
     """SQL: array of (start, stop, text) of all matches for which ``keep`` holds;
     in ``keep``, ``g`` is the match's ``group``."""
     p = _quoted(pattern)
-    return f"""CASE WHEN {text} RLIKE {p} THEN filter(aggregate(
-        arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0),
-                   regexp_extract_all({text}, {p}, {group})),
-        named_struct('at', 0L, 'out', cast(array() AS array<struct<start:bigint,stop:bigint,m:string,g:string>>)),
-        (a, x) -> named_struct(
-            'at', a.at + length(x.`0`) + coalesce(length(x.`1`), 0),
-            'out', IF(x.`1` IS NULL, a.out, concat(a.out, array(named_struct(
-                'start', a.at + length(x.`0`), 'stop', a.at + length(x.`0`) + length(x.`1`), 'm', x.`1`, 'g', x.`2`)))))
-        ).out, x -> {keep}) ELSE cast(array() AS array<struct<start:bigint,stop:bigint,m:string,g:string>>) END"""
+    at = running("transform(hit, (m, i) -> cast(length(gap[i]) + length(m) AS bigint))")
+    spans = """transform(hit, (m, i) -> named_struct('start', at[i] + length(gap[i]),
+        'stop', at[i] + length(gap[i]) + length(m), 'm', m, 'g', part[i]))"""
+    found = _let(f"split({text}, {p}, -1)", "gap", _let(f"regexp_extract_all({text}, {p}, 0)", "hit", _let(
+        f"regexp_extract_all({text}, {p}, {group})", "part", _let(at, "at", f"filter({spans}, x -> {keep})"))))
+    return f"CASE WHEN {text} RLIKE {p} THEN {found} ELSE cast(array() AS {MATCH}) END"
 
 
 def _spans(found: str, rank: int, kind: str) -> str:
@@ -76,26 +93,38 @@ def _spans(found: str, rank: int, kind: str) -> str:
             f"'kind', '{kind}'))")
 
 
-def entropy_range(word: str, alphabet: str, bits: float, window: int = WINDOW) -> str:
-    """SQL: struct(lo, hi), the first and last character (from 1) of the windows of
-    ``word`` that have ``bits`` or more; lo is 0 if there is none."""
+def most_repeats(bits: float, window: int = WINDOW) -> int:
+    """The largest sum of ``c * log2(c)``, scaled, in a window that has ``bits`` or more."""
+    return math.floor((math.log2(window) - bits) * window * SCALE)
+
+
+def stretches(word: str, most: str, window: int = WINDOW) -> str:
+    """SQL: array of (lo, hi), the first and last character (from 1) of each stretch of windows of ``word``
+    whose sum of ``c * log2(c)`` is ``most`` or less; windows that overlap or touch are one stretch."""
     f = [0] + [round(c * math.log2(c) * SCALE) for c in range(1, window + 1)]
-    table = "array(" + ", ".join(f"{v}L" for v in f) + ")"
-    most = math.floor((math.log2(window) - bits) * window * SCALE)
-    return f"""aggregate(sequence(1, length({word})),
-        named_struct('n', array_repeat(0, {len(alphabet)}), 's', 0L, 'lo', 0, 'hi', 0),
-        (a, i) -> transform(array(named_struct(
-                'in', instr('{alphabet}', substr({word}, i, 1)),
-                'out', IF(i > {window}, instr('{alphabet}', substr({word}, i - {window}, 1)), 0))), p ->
-            transform(array(IF(p.in = p.out, a.s,
-                a.s + {table}[a.n[p.in - 1] + 1] - {table}[a.n[p.in - 1]]
-                + IF(p.out = 0, 0L, {table}[a.n[greatest(p.out, 1) - 1] - 1] - {table}[a.n[greatest(p.out, 1) - 1]]))), s ->
-            named_struct(
-                'n', IF(p.in = p.out, a.n, transform(a.n, (c, k) -> c + IF(k + 1 = p.in, 1, 0) - IF(k + 1 = p.out, 1, 0))),
-                's', s,
-                'lo', IF(i >= {window} AND s <= {most} AND a.lo = 0, i - {window} + 1, a.lo),
-                'hi', IF(i >= {window} AND s <= {most}, i, a.hi)))[0])[0],
-        a -> named_struct('lo', a.lo, 'hi', a.hi))"""
+    step = "array(" + ", ".join(f"{b - a}L" for a, b in zip(f, f[1:])) + ")"  # one more of a character there are c of
+    inner = f"substr(y, greatest(1, i - {window - 1}), least(i - 1, {window - 1}))"  # of the window, without the new character
+
+    def more(char: str) -> str:
+        return f"d[length(t.mid) - length(replace(t.mid, {char}, ''))]"
+
+    s = f"a.s + {more('t.new')} - IF(i > {window}, {more('t.old')}, 0L)"
+    joined = f"size(a.out) > 0 AND element_at(a.out, -1).hi >= off + i - {window}"
+    out = f"""IF(i >= {window} AND s <= {most}, IF({joined},
+        concat(slice(a.out, 1, size(a.out) - 1), array(named_struct('lo', element_at(a.out, -1).lo, 'hi', off + i))),
+        concat(a.out, array(named_struct('lo', off + i - {window - 1}, 'hi', off + i)))), a.out)"""
+    chars = f"named_struct('mid', {inner}, 'new', substr(y, i, 1), 'old', substr(y, greatest(1, i - {window}), 1))"
+    turn = _let(chars, "t", _let(s, "s", f"named_struct('s', s, 'out', {out})"))
+    # a block, with the window before it, from its first character on
+    block = _let(f"IF(j = 0, b, concat(right(bs[greatest(j - 1, 0)], {window}), b))", "y", _let(
+        f"cast(IF(j = 0, 0, j * {BLOCK} - {window}) AS bigint)", "off",
+        f"""aggregate(sequence(1, length(y)), named_struct('s', 0L, 'out', cast(array() AS array<struct<lo:bigint,hi:bigint>>)),
+            (a, i) -> {turn}).out"""))
+    parts = f"flatten(transform(bs, (b, j) -> {block}))"
+    whole = _let("filter(u, (x, i) -> i = 0 OR get(u, i - 1).hi < x.lo - 1)", "open", _let(
+        "filter(u, (x, i) -> i = size(u) - 1 OR get(u, i + 1).lo > x.hi + 1)", "shut",
+        "transform(open, (x, i) -> named_struct('lo', x.lo, 'hi', shut[i].hi))"))
+    return _let(step, "d", _let(f"regexp_extract_all({word}, '.{{1,{BLOCK}}}', 0)", "bs", _let(parts, "u", whole)))
 
 
 def _masked(text: str, pattern: str) -> str:
@@ -106,25 +135,18 @@ def _masked(text: str, pattern: str) -> str:
         x -> concat(x.`0`, repeat(' ', coalesce(length(x.`1`), 0)))), '') ELSE {text} END"""
 
 
-def _within(runs: str, pattern: str) -> str:
-    """SQL: array of (start, m), the matches of ``pattern`` in the ``runs`` (start, m)."""
-    return (f"flatten(transform({runs}, r -> transform({matches('r.m', pattern)}, "
-            "y -> named_struct('start', r.start + y.start, 'm', y.m))))")
-
-
-def _mixed(x: str) -> str:
-    """SQL: whether the hot part of ``x`` (m, r) mixes upper and lower case as MIXED says."""
+def _mixed(hot: str) -> str:
+    """SQL: whether ``hot`` mixes upper and lower case as MIXED says."""
     low, high, turns = MIXED
-    hot = f"substr({x}.m, {x}.r.w.lo, {x}.r.w.hi - {x}.r.w.lo + 1)"
     upper, both = f"regexp_count({hot}, r'[A-Z]')", f"regexp_count({hot}, r'[A-Za-z]')"
-    return (f"({x}.r.w.lo > 0 AND 10 * {upper} BETWEEN {low} * {both} AND {high} * {both} "
+    return (f"(10 * {upper} BETWEEN {low} * {both} AND {high} * {both} "
             f"AND 20 * regexp_count({hot}, r'[A-Z][a-z]') >= {turns} * length({hot}))")
 
 
 def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """``docs`` with ``base_spans`` and ``method_spans``: arrays of (start, rank,
     stop, kind) by start, then kind."""
-    text, found, letters, base, method = unused(docs, "whole_text", "runs", "letter_runs", "base_spans", "method_spans")
+    text, found, base, method = unused(docs, "whole_text", "runs", "base_spans", "method_spans")
     df = docs.withColumn(text, F.coalesce(F.col("text"), F.lit("")))
     df = df.withColumn(base, F.expr("array_sort(concat(" + ", ".join([
         _spans(matches(text, ASSIGN, f"length(x.g) >= {ASSIGN_LEAST}", 2), 0, "assign"),
@@ -134,19 +156,14 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     df = df.withColumn(found, F.expr(matches(text, RUN, f"NOT ({known})")))
     for a in allow:
         df = df.withColumn(found, F.expr(f"transform({found}, x -> named_struct('start', x.start, 'm', {_masked('x.m', a)}))"))
-    df = df.withColumn(letters, F.expr(_within(found, LETTERS))).withColumn(found, F.expr(_within(found, CANDIDATE)))
-    cases = " ".join(
-        f"WHEN x.m RLIKE {_quoted(p)} THEN named_struct('rank', {3 + k}, 'kind', '{kind}', 'w', "
-        f"{entropy_range('x.m', alphabet, bits)})" for k, (kind, p, alphabet, bits) in enumerate(CLASSES))
-    kind, alphabet, bits = LETTER_CLASS
-    mixed = f"""named_struct('rank', {3 + len(CLASSES)}, 'kind', '{kind}', 'w', {entropy_range('x.m', alphabet, bits)})"""
-    df = df.withColumn(method, F.expr(f"""array_sort(transform(filter(concat(
-        transform({found}, x -> named_struct('start', x.start, 'm', x.m, 'r', CASE {cases} END)),
-        filter(transform({letters}, x -> named_struct('start', x.start, 'm', x.m, 'r', {mixed})), x -> {_mixed("x")})),
-        y -> y.r.w.lo > 0),
-        y -> named_struct('start', y.start + y.r.w.lo - 1, 'rank', y.r.rank, 'stop', y.start + y.r.w.hi,
-                          'kind', y.r.kind)))"""))
-    return df.drop(text, found, letters)
+    df = df.withColumn(found, F.expr(f"flatten(transform({found}, r -> transform({matches('r.m', RUN)}, "
+                                     "z -> named_struct('start', r.start + z.start, 'm', z.m))))"))
+    kinds = " ".join(f"WHEN r.m RLIKE {_quoted(p)} THEN named_struct('rank', {3 + k}, 'kind', '{kind}', 'most', {most_repeats(bits)}L)"
+                     for k, (kind, p, bits) in enumerate(CLASSES))
+    hot = _let(f"CASE {kinds} END", "c", f"""transform(filter({stretches('r.m', 'c.most')},
+        z -> c.kind != 'entropy_letters' OR {_let('substr(r.m, cast(z.lo AS int), cast(z.hi - z.lo + 1 AS int))', 'h', _mixed('h'))}),
+        z -> named_struct('start', r.start + z.lo - 1, 'rank', c.rank, 'stop', r.start + z.hi, 'kind', c.kind))""")
+    return df.withColumn(method, F.expr(f"array_sort(flatten(transform({found}, r -> {hot})))")).drop(text, found)
 
 
 def joined(spans: Column) -> Column:
