@@ -56,12 +56,33 @@ def drain(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
     sink in the shared checkpoint folder; return the sink as a batch table."""
     spark = df.sparkSession
     out, ck = _run_dirs(spark, name)
-    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .outputMode(output_mode).trigger(availableNow=True).queryName(f"{name}_{uuid.uuid4().hex[:6]}").start())
+    q = started(spark, df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+                .outputMode(output_mode).trigger(availableNow=True).queryName(f"{name}_{uuid.uuid4().hex[:6]}"))
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def started(spark: SparkSession, writer):
+    """Start a streaming query with the RocksDB state store, which ``transformWithState`` needs.
+
+    A query copies the session's settings when it starts; the session's own
+    choice is put back afterwards.
+    """
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
 def _ntz(c: str):
     return instant_to_ntz(c)
 
@@ -143,7 +164,7 @@ def booking_side_effects(new_reservas: DataFrame, audit_path: str, notice_path:
 
 
 # ---------------------------------------------------------------- STR-4, STR-7: timers
-# (bucketed event-time state, see roomledger.streaming.timers)
+# (keyed event-time state, see roomledger.streaming.timers)
 
 from roomledger.streaming.timers import no_show_detector, reminder_timers  # noqa: E402,F401
 

@@ -1,120 +1,165 @@
-"""Event-time timer jobs (STR-4 no-show / completion, STR-7 reminders).
+"""Event-time timer jobs (STR-4 no-show / completion, STR-7 reminders) on ``transformWithState``.
 
-State is grouped by a hash bucket of the booking id rather than by booking:
-one ``applyInPandasWithState`` call handles every event of a bucket with
-vectorised pandas, and the bucket keeps one event-time timer, the earliest
-pending timer of its bookings.  Booking ids are unique, so buckets are even
-and no booking can make one hot; the number of buckets sets the
-parallelism of the stateful stage and is an argument.
+Each booking is an entry of keyed value state with its own pending timers.
+``PER_KEY`` neighbouring booking ids share a state key, so a call reads at most
+that many bookings however large the table is, keys grow with the bookings, and
+one round trip to the state store serves several of them (``per_key=1``: one
+booking a call).  A key registers one event-time timer, the earliest pending
+one of its bookings; after it fires the next one is registered.
 
 A booking may be sent again with another status or time.  Of its rows the one
 with the latest event time counts (the later one sent, among equals); name an
 ``updated`` column where rows carry the time of their last change, since rows
 behind the watermark are dropped by Spark.  A booking is remembered until the
 watermark passes its last timer by ``retain``.
+
+The state store must keep several column families: RocksDB (see
+``jobs.started``, which asks for it where the session has another one).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from roomledger.functions.core import epoch_millis, millis_to_ntz, ntz_to_instant
 
-UNSEEN = -1
 NEVER = 1 << 61          # a missing time: no timer
 RETAIN_MINUTES = 7 * 24 * 60
-DEFAULT_BUCKETS = 256
-
-NOSHOW_OUT = "id_reserva long, id_estado int, seq int"
-NOSHOW_COLS = ("base", "cur", "start_ms", "end_ms", "checked", "seq", "ver")
-NOSHOW_STATE = "id array<long>, " + ", ".join(f"{c} array<long>" for c in NOSHOW_COLS)
-REMINDER_OUT = "reservation_id long, user_id long, room_id long, due_ms long"
-REMINDER_COLS = ("user_id", "room_id", "due_ms", "live", "fired", "ver")
-REMINDER_STATE = "id array<long>, " + ", ".join(f"{c} array<long>" for c in REMINDER_COLS)
-
-
-def _load(state: GroupState, cols: tuple[str, ...]) -> pd.DataFrame:
-    ids, *arrays = state.get if state.exists else ([],) * (len(cols) + 1)
-    return pd.DataFrame({c: np.asarray(a, dtype="int64") for c, a in zip(cols, arrays)},
-                        index=pd.Index(np.asarray(ids, dtype="int64"), name="id"))
-
-
-def _store(state: GroupState, S: pd.DataFrame, next_ms, wm: int) -> None:
-    if len(S):
-        state.update((S.index.tolist(), *(S[c].tolist() for c in S.columns)))
-        state.setTimeoutTimestamp(int(max(int(next_ms.min()), wm)))
-    elif state.exists:
-        state.remove()
-
-
-def _latest(E: pd.DataFrame, S: pd.DataFrame) -> pd.DataFrame:
-    """The row of each id that counts, if it isn't older than the one held."""
-    E = E.sort_values("ver", kind="mergesort").drop_duplicates("id", keep="last").set_index("id")
-    held = S["ver"].reindex(E.index)
-    return E[held.isna() | (E["ver"] >= held.fillna(0))]
-
-
-def _pending(wm: int, *timers) -> np.ndarray:
-    """Per booking the earliest timer the watermark hasn't passed."""
-    t = np.stack([np.asarray(x, dtype="int64") for x in timers])
-    return np.where(t < wm, NEVER, t).min(axis=0)
-
-
-def _last_timer(a, b, ver) -> np.ndarray:
-    last = np.maximum(a, b)
-    return np.where(last >= NEVER, ver, last)
-
-
-def _no_show_bucket_fn(tolerance_ms: int, retain_ms: int):
-    """Per bucket: every booking held has the state one scheduler tick at the
-    watermark gives it; a row is emitted where that differs from the last one."""
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        wm = max(int(state.getCurrentWatermarkMs()), 0)
-        S = _load(state, NOSHOW_COLS)
-        if not state.hasTimedOut:
-            E = pd.concat(list(pdfs), ignore_index=True).rename(columns={"id_reserva": "id"})
-            B = _latest(E[E["kind"] == "booking"], S)
-            S = S.reindex(S.index.union(B.index), fill_value=UNSEEN)
-            first = S.index.isin(B.index) & (S["base"].to_numpy() == UNSEEN)
-            fresh = first & (S["checked"].to_numpy() == UNSEEN)
-            S.loc[fresh, ["checked", "seq"]] = 0
-            S.loc[B.index, ["base", "start_ms", "end_ms", "ver"]] = \
-                B[["estado", "start_ms", "end_ms", "ver"]].to_numpy(dtype="int64")
-            S.loc[first, "cur"] = S.loc[first, "base"]
-            came = E[E["kind"] == "checkin"].groupby("id")["ver"].max()
-            orphan = came[~came.index.isin(S.index)]
-            wait = pd.DataFrame({c: np.zeros(len(orphan), "int64") for c in NOSHOW_COLS}, index=orphan.index)
-            wait[["base", "cur"]] = UNSEEN
-            wait["ver"] = -NEVER
-            wait["start_ms"] = wait["end_ms"] = orphan.to_numpy(dtype="int64")
-            S = pd.concat([S, wait]).astype("int64")
-            S.loc[S.index.isin(came.index), "checked"] = 1
-        base, start, end = (S[c].to_numpy() for c in ("base", "start_ms", "end_ms"))
-        now = np.where(S["checked"].to_numpy() == 1, 6, base)
-        now = np.where((now == 2) & (start + tolerance_ms < wm), 5, now)
-        now = np.where(np.isin(now, (2, 6)) & (end < wm), 7, now)
-        changed = (base != UNSEEN) & (now != S["cur"].to_numpy())
-        S.loc[changed, "cur"] = now[changed]
-        S.loc[changed, "seq"] += 1
-        expires = _last_timer(start + tolerance_ms, end, S["ver"].to_numpy()) + retain_ms
-        unknown = (base == UNSEEN) & (expires < wm)
-        out = [pd.DataFrame({"id_reserva": S.index[changed], "id_estado": now[changed], "seq": S.loc[changed, "seq"]}),
-               pd.DataFrame({"id_reserva": S.index[unknown], "id_estado": None, "seq": 0})]
-        keep = expires >= wm
-        _store(state, S[keep], _pending(wm, start + tolerance_ms, end, expires)[keep], wm)
-        yield pd.concat(out, ignore_index=True).astype({"id_reserva": "int64", "id_estado": "Int32", "seq": "int32"})
-    return fn
+PER_KEY = 64
+
+NO_SHOW_OUT = T.StructType([T.StructField("id_reserva", T.LongType()), T.StructField("id_estado", T.IntegerType()),
+                            T.StructField("seq", T.IntegerType())])
+REMINDER_OUT = T.StructType([T.StructField(c, T.LongType()) for c in ("reservation_id", "user_id", "room_id", "due_ms")])
+
+
+def last_timer(*times: int | None, sent: int) -> int:
+    """The latest of a booking's timers; without one, when it was sent."""
+    known = [t for t in times if t is not None and t < NEVER]
+    return max(known) if len(known) == len(times) else sent
+
+
+class TimedBookings(StatefulProcessor):
+    """Keeps the bookings of a key, their fields as lists of one state value, and its next timer.
+
+    Subclasses say how a row changes a booking (``take``), what a booking
+    gives at a watermark (``settle``, which yields output rows), its pending
+    timers (``timers``) and when it is forgotten (``expires``).
+    """
+
+    FIELDS: tuple[str, ...] = ()
+
+    def __init__(self, retain_ms: int):
+        self.retain_ms = retain_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        fields = ", ".join(f"{c} array<bigint>" for c in ("id", *self.FIELDS))
+        self.state = handle.getValueState("bookings", f"{fields}, timer bigint")
+
+    def _load(self) -> tuple[dict[int, dict], int]:
+        held = self.state.get()
+        if held is None:
+            return {}, NEVER
+        *columns, timer = held
+        names = ("id", *self.FIELDS)
+        return {row[0]: dict(zip(names, row)) for row in zip(*columns)}, timer
+
+    def _settled(self, bookings: dict[int, dict], timer: int, watermark: int) -> Iterator[Row]:
+        next_timer = NEVER
+        for i in list(bookings):
+            b = bookings[i]
+            yield from self.settle(b, watermark)
+            end = self.expires(b)
+            if end < watermark:
+                del bookings[i]
+            else:
+                next_timer = min([next_timer, end, *(t for t in self.timers(b) if t >= watermark)])
+        if not bookings:
+            self.state.clear()
+            return
+        if next_timer < NEVER and next_timer != timer:
+            self.handle.registerTimer(next_timer)  # a later one still set finds nothing to do
+        rows = sorted(bookings.values(), key=lambda b: b["id"])
+        self.state.update((*([b[c] for b in rows] for c in ("id", *self.FIELDS)), next_timer))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        watermark = max(timerValues.getCurrentWatermarkInMs(), 0)
+        bookings, timer = self._load()
+        for row in sorted(rows, key=lambda r: r["ver"]):
+            self.take(bookings, row)
+        yield from self._settled(bookings, timer if timer >= watermark else NEVER, watermark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = max(timerValues.getCurrentWatermarkInMs(), 0)
+        bookings, timer = self._load()
+        yield from self._settled(bookings, timer if timer >= watermark else NEVER, watermark)
+
+    def close(self) -> None:
+        pass
+
+
+class NoShows(TimedBookings):
+    """Every booking held has the state that one scheduler tick at the watermark
+    gives it; a row is emitted where that differs from the last one."""
+
+    FIELDS = ("sent", "base", "cur", "start_ms", "end_ms", "checked", "seq", "ver")
+
+    def __init__(self, tolerance_ms: int, retain_ms: int):
+        super().__init__(retain_ms)
+        self.tolerance_ms = tolerance_ms
+
+    def take(self, bookings, row):
+        i = row["id_reserva"]
+        b = bookings.get(i)
+        if row["kind"] == "checkin":
+            if b is None:  # waits for its booking
+                b = bookings[i] = {"id": i, "sent": 0, "base": 0, "cur": 0, "start_ms": row["ver"], "end_ms": row["ver"],
+                                   "seq": 0, "ver": -NEVER}
+            elif not b["sent"]:
+                b["start_ms"] = b["end_ms"] = max(b["end_ms"], row["ver"])
+            b["checked"] = 1
+            return
+        if b is None:
+            b = bookings[i] = {"id": i, "sent": 0, "checked": 0, "seq": 0, "ver": -NEVER}
+        if row["ver"] >= b["ver"]:
+            if not b["sent"]:
+                b["cur"] = row["estado"]
+            b.update(sent=1, base=row["estado"], start_ms=row["start_ms"], end_ms=row["end_ms"], ver=row["ver"])
+
+    def settle(self, b, watermark):
+        if not b["sent"]:
+            if self.expires(b) < watermark:
+                yield Row(id_reserva=b["id"], id_estado=None, seq=0)
+            return
+        now = 6 if b["checked"] else b["base"]
+        if now == 2 and b["start_ms"] + self.tolerance_ms < watermark:
+            now = 5
+        if now in (2, 6) and b["end_ms"] < watermark:
+            now = 7
+        if now != b["cur"]:
+            b["cur"], b["seq"] = now, b["seq"] + 1
+            yield Row(id_reserva=b["id"], id_estado=now, seq=b["seq"])
+
+    def timers(self, b):
+        return [t for t in (b["start_ms"] + self.tolerance_ms, b["end_ms"]) if t < NEVER]
+
+    def expires(self, b):
+        return last_timer(b["start_ms"] + self.tolerance_ms, b["end_ms"], sent=b["ver"]) + self.retain_ms
+
+
+def _grouped(events: DataFrame, booking: str, delay: str, per_key: int) -> DataFrame:
+    return (events.withWatermark("event_time", delay)
+            .withColumn("ver", F.unix_millis("event_time"))
+            .withColumn("key", F.floor(F.col(booking) / per_key)).groupBy("key"))
 
 
 def no_show_detector(reservas: DataFrame, checkins: DataFrame, tolerance_minutes: int = 10,
-                     delay: str = "1 hour", buckets: int = DEFAULT_BUCKETS, updated: str | None = None,
+                     delay: str = "1 hour", per_key: int = PER_KEY, updated: str | None = None,
                      retain_minutes: int = RETAIN_MINUTES) -> DataFrame:
     """STR-4: the scheduler's no-show and completion rules as event-time timers.
 
@@ -147,35 +192,34 @@ def no_show_detector(reservas: DataFrame, checkins: DataFrame, tolerance_minutes
     c = checkins.select(
         F.col("reservation_id").alias("id_reserva"), F.lit("checkin").alias("kind"), none.alias("estado"),
         none.alias("start_ms"), none.alias("end_ms"), ntz_to_instant("checkin_at").alias("event_time"))
-    ev = (b.unionByName(c).withWatermark("event_time", delay)
-          .withColumn("ver", F.unix_millis("event_time"))
-          .withColumn("bucket", F.pmod(F.xxhash64("id_reserva"), F.lit(buckets))))
-    return ev.groupBy("bucket").applyInPandasWithState(
-        _no_show_bucket_fn(tolerance_minutes * 60000, retain_minutes * 60000), NOSHOW_OUT, NOSHOW_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
-
-
-def _reminder_bucket_fn(retain_ms: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        wm = max(int(state.getCurrentWatermarkMs()), 0)
-        S = _load(state, REMINDER_COLS)
-        if not state.hasTimedOut:
-            E = _latest(pd.concat(list(pdfs), ignore_index=True).rename(columns={"reservation_id": "id"}), S)
-            S = S.reindex(S.index.union(E.index), fill_value=-NEVER)
-            sent = ["user_id", "room_id", "due_ms", "live", "ver"]
-            S.loc[E.index, sent] = E[sent].to_numpy(dtype="int64")
-        due = S["due_ms"].to_numpy()
-        fire = (S["live"].to_numpy() == 1) & (due < wm) & (due != S["fired"].to_numpy())
-        S.loc[fire, "fired"] = due[fire]
-        out = S[fire].rename_axis("reservation_id").reset_index()
-        expires = _last_timer(due, due, S["ver"].to_numpy()) + retain_ms
-        keep = expires >= wm
-        _store(state, S[keep], _pending(wm, due, expires)[keep], wm)
-        yield out[["reservation_id", "user_id", "room_id", "due_ms"]]
-    return fn
-
-
-def reminder_timers(res: DataFrame, minutes: int = 30, delay: str = "1 hour", buckets: int = DEFAULT_BUCKETS,
+    return _grouped(b.unionByName(c), "id_reserva", delay, per_key).transformWithState(
+        NoShows(tolerance_minutes * 60000, retain_minutes * 60000), NO_SHOW_OUT, "Append", "EventTime")
+
+
+class Reminders(TimedBookings):
+    """A reminder of every live booking that is due at the watermark, unless it had one for that time."""
+
+    FIELDS = ("user_id", "room_id", "due_ms", "live", "fired", "ver")
+
+    def take(self, bookings, row):
+        i = row["reservation_id"]
+        b = bookings.setdefault(i, {"id": i, "fired": -NEVER, "ver": -NEVER})
+        if row["ver"] >= b["ver"]:
+            b.update((c, row[c]) for c in ("user_id", "room_id", "due_ms", "live", "ver"))
+
+    def settle(self, b, watermark):
+        if b["live"] and b["due_ms"] < watermark and b["due_ms"] != b["fired"]:
+            b["fired"] = b["due_ms"]
+            yield Row(reservation_id=b["id"], user_id=b["user_id"], room_id=b["room_id"], due_ms=b["due_ms"])
+
+    def timers(self, b):
+        return [b["due_ms"]] if b["due_ms"] < NEVER else []
+
+    def expires(self, b):
+        return last_timer(b["due_ms"], sent=b["ver"]) + self.retain_ms
+
+
+def reminder_timers(res: DataFrame, minutes: int = 30, delay: str = "1 hour", per_key: int = PER_KEY,
                     updated: str | None = None, retain_minutes: int = RETAIN_MINUTES) -> DataFrame:
     """STR-7: a reminder for each approved booking, emitted once the watermark
     passes ``minutes`` before its start (event time of a row: its creation, or
@@ -188,16 +232,12 @@ def reminder_timers(res: DataFrame, minutes: int = 30, delay: str = "1 hour", bu
     """
     due = F.col("start_time") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes), F.lit(0))
     live = F.coalesce(F.col("status") == "aprobada", F.lit(False)) & F.col("start_time").isNotNull()
-    unknown = F.lit(UNSEEN).cast("long")
-    r = (res.select("reservation_id", F.coalesce("user_id", unknown).alias("user_id"),
-                    F.coalesce("room_id", unknown).alias("room_id"),
-                    F.coalesce(epoch_millis(due), F.lit(NEVER)).alias("due_ms"), live.cast("long").alias("live"),
-                    ntz_to_instant(updated or "created_at").alias("event_time"))
-         .withWatermark("event_time", delay)
-         .withColumn("ver", F.unix_millis("event_time"))
-         .withColumn("bucket", F.pmod(F.xxhash64("reservation_id"), F.lit(buckets))))
-    out = r.groupBy("bucket").applyInPandasWithState(
-        _reminder_bucket_fn(retain_minutes * 60000), REMINDER_OUT, REMINDER_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    unknown = F.lit(-1).cast("long")
+    r = res.select("reservation_id", F.coalesce("user_id", unknown).alias("user_id"),
+                   F.coalesce("room_id", unknown).alias("room_id"),
+                   F.coalesce(epoch_millis(due), F.lit(NEVER)).alias("due_ms"), live.cast("long").alias("live"),
+                   ntz_to_instant(updated or "created_at").alias("event_time"))
+    out = _grouped(r, "reservation_id", delay, per_key).transformWithState(
+        Reminders(retain_minutes * 60000), REMINDER_OUT, "Append", "EventTime")
     return out.select("reservation_id", F.nullif("user_id", unknown).alias("user_id"),
                       F.nullif("room_id", unknown).alias("room_id"), millis_to_ntz("due_ms").alias("due_at"))

@@ -8,6 +8,7 @@ import time
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from roomledger.schema import AUDIT_LOG
 from roomledger.streaming import jobs as J
@@ -60,7 +61,7 @@ def test_reminder_timers_follow_watermark(spark):
               "status string, created_at timestamp_ntz")
     src = spark.readStream.schema(schema).option("pathGlobFilter", "res.parquet").parquet(folder)
     # newest creation is T0 + 1 h, delay 0 -> watermark T0 + 1 h: only reminders due before it fire
-    out = J.drain(J.reminder_timers(src, minutes=150, delay="0 seconds", buckets=4), "reminder_test")
+    out = J.drain(J.reminder_timers(src, minutes=150, delay="0 seconds", per_key=4), "reminder_test")
     got = sorted((r.reservation_id, r.due_at) for r in out.collect())
     assert got == [(1, T0 + dt.timedelta(minutes=30))]
 
@@ -77,7 +78,8 @@ def _batches(spark, name, schema, batches):
             .option("pathGlobFilter", f"{name}-*.parquet").parquet(folder))
 
 
-def test_no_shows_equal_tick_over_many_batches(spark):
+@pytest.mark.parametrize("per_key", [1, 4, 64])
+def test_no_shows_equal_tick_over_many_batches(spark, per_key):
     from roomledger.operators.state import tick
     from roomledger.sources.maintenance import SEED_CONFIG
 
@@ -100,7 +102,7 @@ def test_no_shows_equal_tick_over_many_batches(spark):
     came = [[checkin(4, 22)], [checkin(99, 40)], [checkin(9, 160)], [checkin(1, 305), checkin(2, 320)]]
     cks = "reservation_id long, checkin_at timestamp_ntz, valid boolean"
     out = J.drain(J.no_show_detector(_batches(spark, "res", bookings, sent), _batches(spark, "ck", cks, came), 10,
-                                     "0 seconds", 4, updated="sent_at", retain_minutes=60 * 24), "ticks")
+                                     "0 seconds", per_key, updated="sent_at", retain_minutes=60 * 24), "ticks")
     rows = out.collect()
     got = {b[0]: b[7] for batch in reversed(sent) for b in batch}  # as first sent
     got.update({r.id_reserva: r.id_estado for r in sorted(rows, key=lambda r: r.seq)})
