@@ -4,8 +4,8 @@ Sources get targets: shares of all words by weight, none above ``most`` times
 its own words.  The mix nearest to the documents as they are (in relative
 entropy, words as base measure) that meets one word constraint a source has
 exponentially tilted rates, ``rate = min(most, prior * exp(tilt of its source))``;
-the tilts solve the convex dual and come from Newton iterations, each an
-aggregation over (source, prior) cells; without priors their start is the solution.  Rates are rounded to copies: in each
+the tilts solve the convex dual and come from Newton iterations that start at
+0, each an aggregation over (source, prior) cells.  Rates are rounded to copies: in each
 source the documents stand by falling size, and the fractional parts are taken
 by equal steps.  Of some offsets of the steps, and then of some widths, the one
 is taken that misses the target least; widths other than the rate's own matter
@@ -28,7 +28,8 @@ MOST = 3
 OFFSETS = 16
 WIDTHS = (0.0, 0.05, -0.05, 0.1, -0.1, 0.2, -0.2, 0.3, -0.3)  # the nearest first
 NEAR = 0.002  # share of its target that a source may miss
-ROUNDS = 50
+ROUNDS = 50  # Newton steps, many times what a target of e**-20 to MOST times a source's words takes
+CLOSE = 1e-9  # of a source's words
 GROUP = 1024  # documents of one size and source that are numbered together, about
 
 
@@ -59,35 +60,40 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most: int = MOST) ->
         level = new
 
 
-def tilts(cells: DataFrame, wanted: DataFrame, most: int = MOST) -> DataFrame:
-    """(source, tilt) from ``cells`` (source, prior, words) and ``wanted`` (source, target).
+def tilts(cells: DataFrame, wanted: DataFrame, most: int = MOST, rounds: int = ROUNDS) -> DataFrame:
+    """(source, target, words, tilt, steps) from ``cells`` (source, prior, words) and ``wanted`` (source, target).
 
     The dual's gradient in a source's tilt is its words at the present rates
     less its target; its second derivative is the words of the rates below the
-    limit.  A source without words or target gets tilt 0 or minus infinity.
+    limit.  All tilts start at 0 and take Newton steps of at most 1 each until
+    the gap is ``CLOSE`` of the source's words; ``steps`` counts them.  A source
+    without words or target has no tilt.  Raises if ``rounds`` don't do.
     """
     same = F.col("c.source").eqNullSafe(F.col("w.source"))
     size = cells.groupBy("source").agg(F.sum("words").alias("words"), F.sum(F.col("words") * F.col("prior")).alias("base"))
     state = save(size.alias("c").join(wanted.alias("w"), same).select(
-        "c.source", "target", "words", F.when((F.col("base") > 0) & (F.col("target") > 0),
-                                              F.ln(F.col("target") / F.col("base"))).alias("tilt")), "tilts")
-    for _ in range(ROUNDS):
+        "c.source", "target", "words", F.when((F.col("base") > 0) & (F.col("target") > 0), F.lit(0.0)).alias("tilt"),
+        F.lit(0).alias("steps")), "tilts")
+    for _ in range(rounds):
         rate = F.least(F.lit(float(most)), F.col("prior") * F.exp("tilt"))
-        step = (cells.alias("c").join(state.alias("w"), same)
-                .select("w.source", "target", "w.words", "tilt", "prior", F.col("c.words").alias("n"))
-                .withColumn("taken", F.col("n") * rate)
-                .groupBy("source", "target", "words", "tilt")
-                .agg(F.sum("taken").alias("taken"),
-                     F.sum(F.when(rate < most, F.col("taken")).otherwise(0.0)).alias("bend")))
+        now = (cells.alias("c").join(state.alias("w"), same)
+               .select("w.source", "target", "w.words", "tilt", "steps", "prior", F.col("c.words").alias("n"))
+               .withColumn("taken", F.col("n") * rate)
+               .groupBy("source", "target", "words", "tilt", "steps")
+               .agg(F.sum("taken").alias("taken"),
+                    F.sum(F.when(rate < most, F.col("taken")).otherwise(0.0)).alias("bend")))
         gap = F.col("taken") - F.col("target")
-        far = (F.abs(gap) > F.col("words") * 1e-9) & (F.col("bend") > 0) & F.col("tilt").isNotNull()
-        step = save(step.select("source", "target", "words", far.alias("far"),
-                                F.when(far, F.col("tilt") - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap / F.col("bend"))))
-                                .otherwise(F.col("tilt")).alias("tilt")), "tilts")
-        if not step.where("far").limit(1).count():
-            break
-        state = step.drop("far")
-    return state.select("source", "target", "words", "tilt")
+        # where a step went past the limit of all cells, none bends: the way back takes all that is taken for bending
+        far = (F.abs(gap) > F.col("words") * CLOSE) & ((F.col("bend") > 0) | (gap > 0)) & F.col("tilt").isNotNull()
+        bend = F.when(F.col("bend") > 0, F.col("bend")).otherwise(F.col("taken"))
+        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap / bend))
+        now = save(now.select("source", "target", "words", far.alias("far"),
+                              F.when(far, F.col("tilt") - step).otherwise(F.col("tilt")).alias("tilt"),
+                              (F.col("steps") + far.cast("int")).alias("steps")), "tilts")
+        if not now.where("far").limit(1).count():
+            return state
+        state = now.drop("far")
+    raise RuntimeError(f"no tilts within {CLOSE} of the targets after {rounds} Newton steps")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = MOST,
