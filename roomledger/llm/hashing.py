@@ -5,28 +5,6 @@ from __future__ import annotations
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
-ROOT = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-BACK = np.uint64(pow(int(ROOT), -1, 1 << 64))
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True  # fixed by the contracts: \x20\x09-\x0D
-
-
-class WordHash:
-    """Polynomial hashes of byte ranges from prefix sums; powers are kept between calls."""
-
-    def __init__(self):
-        self.power = self.back = np.ones(1, np.uint64)
-
-    def __call__(self, octets: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(self.power) <= len(octets):
-            n = len(octets) + len(octets) // 4
-            self.power = self.back = None  # freed before the longer ones are made
-            self.power, self.back = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, r))]) for r in (ROOT, BACK))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((octets + np.uint64(1)) * self.power[:len(octets)])])
-        keys = (sums[end] - sums[start]) * self.back[start]
-        return mix(keys + (end - start).astype(np.uint64))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (splitmix64's finaliser)."""
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)

@@ -1,9 +1,11 @@
 """Token-id output: frequency-ranked ids in a byte-aligned variable-length code.
 
-A shard row holds one document: two-bit length codes (four ids to a control
-byte) in ``control`` and the 1 to 4 bytes of each id in ``data``.  An id is
-written as its rank by frequency over the whole corpus, so that common ids
-take one byte.  The rank table has one entry per id of the vocabulary.
+A written corpus is a folder.  A row of its ``shards`` holds one document:
+two-bit length codes (four ids to a control byte) in ``control`` and the 1 to 4
+bytes of each id in ``data``.  An id is written as its rank by frequency over
+the whole corpus, so that common ids take one byte; ``ranks`` holds the id of
+every rank (one row per id of the vocabulary) and marks the end id.  ``opened``
+reads a corpus from its folder alone, in any session.
 
 Defined results: a null text counts as empty (only the end id); rows of equal
 doc_id stay apart, in the order of their texts' hashes; a null doc_id sorts
@@ -22,24 +24,25 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomledger.llm.common import offset, pieces, remove, save
-from roomledger.llm.hashing import ROOT, WordHash
+from roomledger.llm.common import offset, pieces, remove, save, work_path
 
 END_ID = 2
 PIECE_BYTES = 1_000_000  # text handled at a time in a task
 PIECE_IDS = 500_000  # ids coded or decoded at a time in a task
-WORDS_KEPT = 1_000_000  # words whose ids a worker remembers, at about 70 bytes each
+WORDS_KEPT = 600_000  # words whose ids a worker remembers, at about 200 bytes each
 
 
 class Shards(NamedTuple):
-    """Written files, the id of each rank, and the corpus counts behind it."""
+    """A written corpus: its folder, its documents, the id of each rank, and the end id."""
 
+    path: str
     table: DataFrame
     id_of_rank: np.ndarray
+    end_id: int
 
 
 # ---------------------------------------------------------------- tokenizing
@@ -47,49 +50,19 @@ class Shards(NamedTuple):
 LONGEST = 64  # bytes of a word that is remembered
 
 
-class Numbers:
-    """Numbers 64-bit keys as they come: a hash table with linear probing over arrays."""
-
-    def __init__(self, bits: int = 18):
-        self.bits, self.n = bits, 0
-        self.keys = np.zeros(1 << bits, np.uint64)
-        self.numbers = np.zeros(1 << bits, np.int32)
-
-    def _slot(self, keys):
-        return (keys * ROOT >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key, -1 for an unknown one."""
-        out = np.full(len(keys), -1, np.int64)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
-        while len(todo):
-            there = self.keys[slot]
-            hit = there == keys[todo]
-            out[todo[hit]] = self.numbers[slot[hit]]
-            on = ~hit & (there != 0)
-            todo, slot = todo[on], slot[on] + 1 & len(self.keys) - 1
-        return out
-
-    def add(self, keys: np.ndarray):
-        """Number distinct unknown keys in their order."""
-        while (self.n + len(keys)) * 2 > len(self.keys):
-            used = np.flatnonzero(self.keys)
-            old, numbers = self.keys[used], self.numbers[used]
-            self.bits += 1
-            self.keys = np.zeros(1 << self.bits, np.uint64)
-            self.numbers = np.zeros(1 << self.bits, np.int32)
-            self._place(old, numbers)
-        self._place(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
-        self.n += len(keys)
-
-    def _place(self, keys, numbers):
-        slot = self._slot(keys)
-        while len(keys):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = keys[free]  # of several for one slot, one stays
-            mine = free & (self.keys[slot] == keys)
-            self.numbers[slot[mine]] = numbers[mine]
-            keys, numbers, slot = keys[~mine], numbers[~mine], slot[~mine] + 1 & len(self.keys) - 1
+class Words(dict):
+    """Numbers words as they come; ``new`` are those without ids so far.  Longer ones are no entries (-1)."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > LONGEST:
+            return -1
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
 
 
 class Encoder:
@@ -97,8 +70,7 @@ class Encoder:
 
     The byte-level pre-tokenizer always starts a new piece at a single space
     between two other non-space characters, and pieces are encoded apart; so a
-    text is cut there and each distinct part is encoded once.  Parts are known
-    by a 64-bit polynomial hash of their bytes, computed for all at once.
+    text is cut there and each distinct part is encoded once.
     """
 
     def __init__(self, path: str):
@@ -110,11 +82,10 @@ class Encoder:
         self.width = np.zeros(self.size, np.int64)  # bytes of text behind an id
         for token, i in vocab.items():
             self.width[i] = len(token)
-        self.hash = WordHash()
         self.forget()
 
     def forget(self):
-        self.words = Numbers()
+        self.words = Words()
         self.ids = np.empty(1 << 20, np.int32)  # of all words, one after another
         self.end = np.zeros(1 << 17, np.int64)  # where those of each word end
         self.sure = np.zeros(1 << 17, bool)  # no space at either end of the word
@@ -123,59 +94,42 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.int32) for e in got]
 
-    def learn(self, keys: np.ndarray, new: list[str]):
+    def learn(self, new: list[str]):
         """Encode the new words, some in one string, and cut the ids by their bytes."""
-        first = self.words.n
+        total = len(self.words)
+        first = total - len(new)
         used = int(self.end[first - 1]) if first else 0
-        self.words.add(keys)
         got = np.concatenate(self.plain(["".join([" " + w for w in new[k:k + 50]]) for k in range(0, len(new), 50)]))
         octets = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in new), np.int64, len(new)))
         if octets[-1] != self.width[got].sum():
             raise ValueError("this tokenizer doesn't give one id per piece of bytes")
         while used + len(got) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while self.words.n > len(self.end):
+        while total > len(self.end):
             self.end = np.concatenate([self.end, np.zeros_like(self.end)])
             self.sure = np.concatenate([self.sure, np.zeros_like(self.sure)])
         self.ids[used:used + len(got)] = got
-        self.end[first:self.words.n] = used + np.searchsorted(np.cumsum(self.width[got]), octets, side="right")
-        self.sure[first:self.words.n] = [w != "" and not w[0].isspace() and not w[-1].isspace() for w in new]
+        self.end[first:total] = used + np.searchsorted(np.cumsum(self.width[got]), octets, side="right")
+        self.sure[first:total] = [w != "" and not w[0].isspace() and not w[-1].isspace() for w in new]
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if self.words.n > WORDS_KEPT:
+        if len(self.words) > WORDS_KEPT:
             self.forget()
-        coded = [t.encode() for t in texts]
-        data = b"".join(coded)
-        octets = np.frombuffer(data, np.uint8)
-        doc_end = np.cumsum([len(x) for x in coded])
-        spaces = np.flatnonzero(octets == 32)
-        start = np.sort(np.concatenate([spaces + 1, [0], doc_end[:-1]]))
-        end = np.sort(np.concatenate([spaces, doc_end]))
-        cut = np.concatenate([[0], np.cumsum([t.count(" ") + 1 for t in texts])])  # words of each text
-        inner = np.ones(len(start), bool)
-        inner[cut[:-1]] = False  # a text's first word has no space before it
-        at = np.flatnonzero(inner & (end - start <= LONGEST))
-        keys = self.hash(octets, start[at], end[at]) | np.uint64(1)  # 0 marks a free slot
-        number = self.words.find(keys)
-        unknown = np.flatnonzero(number < 0)
-        if len(unknown):
-            new, one = np.unique(keys[unknown], return_index=True)
-            one = at[unknown[one]]
-            self.learn(new, [data[a:b].decode() for a, b in zip(start[one].tolist(), end[one].tolist())])
-            number[unknown] = self.words.find(keys[unknown])
-        unsure = inner & (end - start > LONGEST)
-        unsure[at[~self.sure[number]]] = True
-        unsure = np.concatenate([[0], np.cumsum(unsure)])
-        sure = [u == 0 and (w == 1 or _sure_end(t.split(" ", 1)[0]))
-                for t, u, w in zip(texts, np.diff(unsure[cut]).tolist(), np.diff(cut).tolist())]
-        head = self.plain([t.split(" ", 1)[0] if ok else t for t, ok in zip(texts, sure)])
-        stop = self.end[number]
+        split = [t.split(" ") for t in texts]
+        inner = [w for parts in split for w in parts[1:]]  # a text's first word has no space before it
+        cut = np.cumsum([0] + [len(parts) - 1 for parts in split])
+        number = np.fromiter(map(self.words.__getitem__, inner), np.int64, len(inner))
+        if self.words.new:
+            self.learn(self.words.new)
+            self.words.new = []
+        stop = np.where(number < 0, 0, self.end[number])
         n = stop - np.where(number > 0, self.end[number - 1], 0)
+        unsure = np.concatenate([[0], np.cumsum((number < 0) | ~self.sure[number])])
+        sure = [u == 0 and (len(parts) == 1 or _sure_end(parts[0])) for parts, u in zip(split, np.diff(unsure[cut]).tolist())]
+        head = self.plain([parts[0] if ok else t for t, parts, ok in zip(texts, split, sure)])
         rest = self.ids[np.repeat(stop - np.cumsum(n), n) + np.arange(n.sum())]
-        tokens = np.zeros(len(start) + 1, np.int64)
-        tokens[at + 1] = n
-        tokens = np.cumsum(tokens)[cut]
+        tokens = np.concatenate([[0], np.cumsum(n)])[cut]
         return [np.concatenate([ids, rest[a:b]]) if ok and b > a else ids
                 for ids, ok, a, b in zip(head, sure, tokens[:-1].tolist(), tokens[1:].tolist())]
 
@@ -309,13 +263,28 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Shards:
                     names=["doc_id", "part", "start", "n_tokens", "control", "data"])
                 start += int(n.sum())
 
-    table = save(raw.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").mapInArrow(
+    spark = docs.sparkSession
+    path = work_path(spark, "token-corpus")
+    (raw.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").mapInArrow(
         encode, T.StructType([
             T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("part", T.IntegerType()),
             T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()),
-            T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])), "token-shards")
+            T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())]))
+     .write.option("compression", "zstd").parquet(f"{path}/shards"))
+    ranks = [(rank, int(i), int(i) == end_id) for rank, i in enumerate(id_of_rank)]  # one row per id of the vocabulary
+    spark.createDataFrame(ranks, RANKS).coalesce(1).write.parquet(f"{path}/ranks")
     remove(raw)
-    return Shards(table, id_of_rank)
+    return opened(spark, path)
+
+
+RANKS = "rank long, id long, is_end boolean"
+
+
+def opened(spark: SparkSession, path: str) -> Shards:
+    """The corpus that ``write`` left in folder ``path``."""
+    ranks = spark.read.schema(RANKS).parquet(f"{path}/ranks").orderBy("rank").collect()  # one row per id of the vocabulary
+    return Shards(path, spark.read.parquet(f"{path}/shards"), np.array([r["id"] for r in ranks], np.uint32),
+                  next(r["id"] for r in ranks if r["is_end"]))
 
 
 def _decode(id_of_rank: np.ndarray):
