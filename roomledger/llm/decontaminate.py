@@ -9,27 +9,31 @@ Burrows-Wheeler transform in a wavelet matrix, sampled suffix positions.  All
 phrases are searched backwards at once, occurrences are located by walking to
 a sampled position, and their words merge into removal spans.
 
-The benchmark reaches the tasks in blocks of about ``BLOCK_BYTES``; each block
-is one more pass that adds its hits to those of the passes before.
-
-Defined results: null or empty texts have no words and no hits; null items and
-items without words give no phrase; equal items count apart if their ids
-differ; repeated rows give repeated results; empty tables give no hits or no
-rows; other columns stay as they are.
+The benchmark reaches the tasks in blocks of about ``BLOCK_BYTES``, one at a
+time: the driver holds the phrases of one block.  With several blocks the
+documents are numbered and written once, each block is a pass that keeps the
+rows with hits, and these are put together by number.
+
+Defined results: null or empty texts have no words and no hits; items without
+words (or null texts) give no phrase; phrases of an item with a null id hit
+words like others, but there is no id to name; equal items count apart if their
+ids differ; repeated rows give repeated results; empty tables give no hits or
+no rows; other columns stay as they are.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomledger.llm.common import pieces, unused
+from roomledger.llm.common import pieces, save, unused
 
 WINDOW = 13
 SHARD_CHARS = 8_000_000  # of text behind one index
@@ -39,6 +43,8 @@ SAMPLE = 16  # every so many text positions are kept
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WORD_TEXT = re.compile(r"[0-9a-z\x80-\U0010FFFF]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORD_JAVA = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 HITS = T.StructType([T.StructField("n_words", T.LongType()),
                      T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
@@ -52,13 +58,13 @@ def words(text: str | None) -> list[bytes]:
 class Phrases:
     """Distinct phrases as rows of word numbers (from 1), grouped by length."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             w = [self.number.setdefault(x, len(self.number) + 1) for x in words(text)]
             for k in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[k:k + window]), set()).add(item)
+                found.setdefault(tuple(w[k:k + window]), set()).update([item] if item is not None else [])
         self.groups: list[tuple[np.ndarray, list[set[str]]]] = []
         for n in sorted({len(p) for p in found}):
             some = [p for p in found if len(p) == n]
@@ -201,33 +207,33 @@ def merged(spans) -> list[list[int]]:
     return out
 
 
-def _pass(phrases: Phrases, hits: str, names: list[str], kind: pa.DataType):
+def _hits(phrases: Phrases, texts: list[str | None]) -> list[dict]:
+    """n_words, merged spans and items of each text; the texts are one shard."""
+    count, cut, numbers = [], [0], []
+    for text in texts:
+        w = words(text)
+        count.append(len(w))
+        numbers += map(phrases.number.get, w, repeat(0))
+        numbers.append(0)
+        cut.append(len(numbers))
+    spans: dict[int, set] = {}
+    items: dict[int, set] = {}
+    starts = np.array(cut)
+    for names, place, n in occurrences(np.array(numbers, np.int64), phrases):
+        d = int(np.searchsorted(starts, place, side="right")) - 1
+        spans.setdefault(d, set()).add((place - cut[d], place - cut[d] + n))
+        items.setdefault(d, set()).update(names)
+    return [{"n_words": n, "spans": merged(spans.get(d, ())), "items": sorted(items.get(d, ()))} for d, n in enumerate(count)]
+
+
+def _pass(phrases: Phrases, names: list[str], kind: pa.DataType, only_hits: bool):
+    """Adds the hits, as the last of ``names``, to the other columns (and drops rows without hits)."""
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "text", SHARD_CHARS):
-                count, cut, numbers = [], [0], []
-                for text in piece.column("text").to_pylist():
-                    w = words(text)
-                    count.append(len(w))
-                    numbers += map(phrases.number.get, w, repeat(0))
-                    numbers.append(0)
-                    cut.append(len(numbers))
-                old = piece.column(hits).to_pylist()
-                spans: dict[int, set] = {}
-                items: dict[int, set] = {}
-                starts = np.array(cut)
-                for names_of, place, n in occurrences(np.array(numbers, np.int64), phrases):
-                    d = int(np.searchsorted(starts, place, side="right")) - 1
-                    spans.setdefault(d, set()).add((place - cut[d], place - cut[d] + n))
-                    items.setdefault(d, set()).update(names_of)
-                out = []
-                for d, n in enumerate(count):
-                    before = old[d] or {"spans": [], "items": []}
-                    both = {*map(tuple, before["spans"]), *spans.get(d, ())}
-                    out.append({"n_words": n, "spans": merged(both),
-                                "items": sorted({*before["items"], *items.get(d, ())})})
-                columns = dict(zip(piece.schema.names, piece.columns)) | {hits: pa.array(out, kind)}
-                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+                found = _hits(phrases, piece.column("text").to_pylist())
+                out = pa.RecordBatch.from_arrays([*(piece.column(c) for c in names[:-1]), pa.array(found, kind)], names=names)
+                yield out.filter(pa.array([bool(f["spans"]) for f in found], pa.bool_())) if only_hits else out
     return run
 
 
@@ -235,16 +241,45 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     """``docs`` with ``hits``: n_words, merged spans of hit words [start, end), and
     the ids (as text) of the items that occur, sorted."""
     from pyspark.sql.pandas.types import to_arrow_type
-    hits, = unused(docs, "hits")
+    kind = to_arrow_type(HITS)
+    hits, number = unused(docs, "hits", "number")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
-    out = docs.withColumn(hits, F.lit(None).cast(HITS))
-    for k in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # of a block
-        phrases = Phrases([(r["item_id"], r["text"]) for r in some if r["item_id"] is not None], window)
-        out = out.mapInArrow(_pass(phrases, hits, out.columns, to_arrow_type(HITS)), out.schema)
-    return out
+
+    def phrases(k: int) -> Phrases:
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # of a block
+        return Phrases([(r["item_id"], r["text"]) for r in some], window)
+
+    def searched(df: DataFrame, k: int, names: list[str], only_hits: bool) -> DataFrame:
+        schema = T.StructType([*(df.schema[c] for c in names), T.StructField(hits, HITS)])
+        return df.mapInArrow(_pass(phrases(k), [*names, hits], kind, only_hits), schema)
+
+    if blocks == 1:
+        return searched(docs, 0, docs.columns, False)
+    rows = save(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    parts = [save(searched(rows.select(number, "text"), k, [number], True), "hits") for k in range(blocks)]
+    found = reduce(DataFrame.union, parts).groupBy(number).agg(  # one row at most for each block
+        F.flatten(F.collect_list(f"{hits}.spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{hits}.items")))).alias("items"))
+    count = F.coalesce(F.regexp_count(F.translate("text", UPPER, UPPER.lower()), F.lit(WORD_JAVA)), F.lit(0)).cast("long")
+    none = HITS["spans"].dataType, HITS["items"].dataType
+    joined = rows.join(found, number, "left").withColumn(hits, F.struct(
+        count.alias("n_words"), F.coalesce(_merge(F.col("spans")), F.array().cast(none[0])).alias("spans"),
+        F.coalesce("items", F.array().cast(none[1])).alias("items")))
+    return joined.select(*docs.columns, hits)
+
+
+def _merge(spans: Column) -> Column:
+    """Spans [start, end) of several blocks, sorted and put together where they overlap or touch."""
+    ordered = F.array_sort(spans)
+    # a span opens a stretch if all spans before it end before it starts
+    return F.aggregate(ordered, F.array().cast("array<array<bigint>>"), lambda out, s: F.when(
+        (F.size(out) > 0) & (F.try_element_at(F.try_element_at(out, F.lit(-1)), F.lit(2)) >= s[0]),
+        F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.array(
+            F.try_element_at(F.try_element_at(out, F.lit(-1)), F.lit(1)),
+            F.greatest(F.try_element_at(F.try_element_at(out, F.lit(-1)), F.lit(2)), s[1])))))
+        .otherwise(F.concat(out, F.array(s))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
@@ -270,7 +305,11 @@ def without_spans(text: str, spans: list[list[int]]) -> str:
 
 def remove_spans(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """``docs`` with the hit spans cut out of the texts."""
-    @F.udf(T.StringType())
-    def cut(t, s):
-        return without_spans(t, s) if t is not None and s else t
-    return docs.withColumn(text, cut(text, spans))
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, text, SHARD_CHARS):
+                cut = [without_spans(t, s) if t is not None and s else t
+                       for t, s in zip(piece.column(text).to_pylist(), piece.column(spans).to_pylist())]
+                at = piece.schema.get_field_index(text)
+                yield piece.set_column(at, text, pa.array(cut, piece.schema.field(at).type))
+    return docs.mapInArrow(run, docs.schema)
