@@ -1,19 +1,21 @@
 """Interval (overlap) joins: JOIN-6..9.
 
 Spark has no range-join strategy: an overlap predicate without an equality
-key plans as a nested loop.  Here every interval is cut into fixed-width
-buckets of its position axis (seconds or minutes) and the join is an equi
-join on (key..., bucket) with the exact overlap predicate as a residual.
-
-* Each side emits one row per bucket its hull touches, so an interval of
-  length L costs about L / width rows; width defaults to one hour.
-* A pair of intersecting hulls meets in every bucket they share; it is kept
-  only in the first one, ``greatest(first bucket of a, first bucket of b)``,
-  so no distinct/dedupe shuffle is needed.
-* Candidate pairs in one (key, bucket) are bookings of the same room within
-  the same hour, so nearly all of them really overlap: the work follows the
-  size of the answer.  This pair join serves the operators whose answer is
-  pairs (JOIN-9, busy rooms) and the stateless stream-static join.
+key plans as a nested loop.  Three ways avoid that here:
+
+* ``overlap_pairs`` cuts the position axis (seconds or minutes) in buckets, one
+  hour by default, and builds a tree of nodes over them.  Two hulls meet
+  exactly if the first bucket of one lies in the other.  An interval is sent
+  to the few nodes that tile it (its dyadic cover, two a level at most) and,
+  as a point, to the nodes above its first bucket; the join is an equi join on
+  (key..., node) with the exact predicate as a residual.  The nodes of a cover
+  are disjoint, so each pair meets once, and an interval of any length, to
+  the year 9999 say, costs a number of rows in the logarithm of its length.
+* ``blocked_pairs`` serves answers that are pairs of bookings (JOIN-9).  Rows
+  are sorted by (key, order of length, start) and cut in blocks of ``BLOCK``;
+  the blocks' hulls are joined by the first way, and each pair of blocks that
+  meets is one row to be unfolded.  A room-hour that holds a third of all
+  rows is many such rows, in many tasks; none is held in memory.
 * Operators whose answer is a count or a yes/no per slot (JOIN-6, JOIN-8,
   and ST-3 / ST-4 through them) never form pairs: ``interval_counts``
   turns overlap into differences of rank counts, computed from per-bucket
@@ -41,6 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomledger.functions.core import ts_lit
+from roomledger.session import ensure_checkpoint_dir
 
 # Statuses that block a room in the API, and ES states that do
 # not block in the insert trigger (4 Cancelada, 5 No-show, 7 Finalizada).
@@ -72,11 +75,43 @@ def predicate(mode: str, A: Column, B: Column, s: Column, e: Column) -> Column:
     raise ValueError(f"unknown overlap mode {mode!r}")
 
 
-def _buckets(df: DataFrame, lo: str, hi: str, width: int, tag: str) -> DataFrame:
-    first = F.floor(F.least(F.col(lo), F.col(hi)) / width)
-    last = F.floor(F.greatest(F.col(lo), F.col(hi)) / width)
-    return (df.withColumn(f"{tag}_b0", first)
-            .withColumn("_bucket", F.explode(F.sequence(first, last))))
+RADIX_BITS = 1  # of the tree: each node has 2 ** bits children
+STREAM_BITS = 4
+TOP = 36  # bits of a bucket number that a tree spans where the data's own span isn't known
+
+
+def _cover(first: str, last: str, tag: int, bits: int) -> str:
+    """SQL: array of (_tag, _lvl, _node), the tree nodes that tile buckets ``first`` to ``last``.
+
+    At level k the nodes from x to below y lie inside; those up to the next
+    multiple of the radix and behind the last one are no part of a wider node.
+    """
+    def up(n: str) -> str:
+        return f"shiftleft(shiftright({n}, {bits}), {bits})"
+
+    inside = f"""named_struct('x', shiftright({first} + shiftleft(1L, {bits} * k) - 1, {bits} * k),
+                              'y', shiftright({last} + 1, {bits} * k))"""
+    edge = f"least(c.y, {up(f'c.x + {(1 << bits) - 1}')})"
+    none = "cast(array() AS array<bigint>)"
+    nodes = f"""concat(IF(e > c.x, sequence(c.x, e - 1), {none}),
+                       IF(c.y > greatest(e, {up('c.y')}), sequence(greatest(e, {up('c.y')}), c.y - 1), {none}))"""
+    level = f"transform(array({inside}), c -> IF(c.x >= c.y, {none}, transform(array({edge}), e -> {nodes})[0]))[0]"
+    depth = f"cast((length(bin({last} - {first} + 1)) - 1) div {bits} AS int)"
+    return f"""CASE WHEN {last} >= {first} THEN flatten(transform(sequence(0, {depth}), k ->
+        transform({level}, n -> named_struct('_tag', {tag}, '_lvl', k, '_node', n))))
+        ELSE cast(array() AS array<struct<_tag:int,_lvl:int,_node:bigint>>) END"""
+
+
+def _path(first: str, depth: str, tag: int, bits: int) -> str:
+    """SQL: the same for the nodes above bucket ``first`` up to level ``depth``."""
+    return (f"transform(sequence(0, {depth}), k -> named_struct('_tag', {tag}, '_lvl', k, "
+            f"'_node', shiftright({first}, {bits} * k)))")
+
+
+def _depth(df: DataFrame, first: str, last: str, bits: int) -> Column:
+    """The deepest level of the covers of all rows, as a scalar subquery."""
+    span = F.max(F.col(last) - F.col(first) + 1)
+    return df.agg(F.coalesce(F.floor((F.length(F.bin(span)) - 1) / bits).cast("int"), F.lit(0)).alias("d")).scalar()
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, keys: list[str], mode: str, width: int = 3600,
@@ -85,23 +120,84 @@ def overlap_pairs(a: DataFrame, b: DataFrame, keys: list[str], mode: str, width:
 
     ``a`` and ``b`` carry numeric positions (``a_lo``/``a_hi``,
     ``b_lo``/``b_hi``) on the same axis and disjoint payload column names.
-    Rows with a null position never match.
+    Rows with a null position never match.  ``a`` may be a stream, whose
+    longest interval isn't known: ``b`` is then sent to all levels of a tree of
+    fewer, wider levels.
     """
-    ab = _buckets(a.filter(F.col(a_lo).isNotNull() & F.col(a_hi).isNotNull()), a_lo, a_hi, width, "_a")
-    bb = _buckets(b.filter(F.col(b_lo).isNotNull() & F.col(b_hi).isNotNull()), b_lo, b_hi, width, "_b")
+    def hull(df, lo, hi):
+        df = df.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull())
+        return (df.withColumn("_first", F.floor(F.least(F.col(lo), F.col(hi)) / width).cast("long"))
+                .withColumn("_last", F.floor(F.greatest(F.col(lo), F.col(hi)) / width).cast("long")))
+
+    streamed = a.isStreaming
+    bits = STREAM_BITS if streamed else RADIX_BITS
+    ah, bh = hull(a, a_lo, a_hi), hull(b, b_lo, b_hi)
+    depth_a = F.lit(TOP // bits) if streamed else _depth(ah, "_first", "_last", bits)
+    depth_b = _depth(bh, "_first", "_last", bits)
+    # tag 0: the first bucket of b lies in a; tag 1: that of a lies in b, behind b's first
+    ab = (ah.withColumn("_depth", depth_b)
+          .withColumn("_at", F.explode(F.expr(f"concat({_cover('_first', '_last', 0, bits)}, {_path('_first', '_depth', 1, bits)})"))))
+    bb = (bh.withColumn("_depth", depth_a)
+          .withColumn("_at", F.explode(F.expr(f"concat({_path('_first', '_depth', 0, bits)}, {_cover('_first + 1', '_last', 1, bits)})"))))
+    ab = ab.select(*a.columns, *[F.col(f"_at.{c}").alias(f"{c}_a") for c in ("_tag", "_lvl", "_node")])
     # both sides may come from one table: give the right side's join columns
     # their own names so every reference is unambiguous
-    bb = bb.withColumnRenamed("_bucket", "_bucket_b")
-    for k in keys:
-        bb = bb.withColumnRenamed(k, f"_key_b_{k}")
-    cond = [F.col(k) == F.col(f"_key_b_{k}") for k in keys] + [F.col("_bucket") == F.col("_bucket_b")]
-    j = ab.join(bb, cond, "inner")
-    j = j.filter((F.col("_bucket") == F.greatest(F.col("_a_b0"), F.col("_b_b0")))
-                 & predicate(mode, F.col(a_lo), F.col(a_hi), F.col(b_lo), F.col(b_hi)))
+    bb = bb.select(*[F.col(c).alias(f"_key_b_{c}") if c in keys else F.col(c) for c in b.columns],
+                   *[F.col(f"_at.{c}").alias(f"{c}_b") for c in ("_tag", "_lvl", "_node")])
+    cond = [F.col(k) == F.col(f"_key_b_{k}") for k in keys]
+    cond += [F.col(f"{c}_a") == F.col(f"{c}_b") for c in ("_tag", "_lvl", "_node")]
+    j = ab.join(bb, cond, "inner").filter(predicate(mode, F.col(a_lo), F.col(a_hi), F.col(b_lo), F.col(b_hi)))
     out = keys + [c for c in a.columns if c not in keys] + [c for c in b.columns if c not in keys]
     return j.select(*out)
 
 
+BLOCK = 64  # rows of a block of ``blocked_pairs``
+
+
+def _blocks(df: DataFrame, keys: list[str], lo: str, hi: str, tag: str) -> DataFrame:
+    """Rows (keys, <tag>_blk, <tag>_from, <tag>_to, <tag>_rows): at most BLOCK rows of ``df`` that have equal keys and
+    lengths of one order and follow each other by start, and their hull.
+
+    A range partitioning need not come out the same twice, so the sorted rows
+    are checkpointed before they are cut.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull())
+    order = [*keys, "_order", "_from"]
+    rows = (rows.withColumn("_from", F.least(F.col(lo), F.col(hi))).withColumn("_to", F.greatest(F.col(lo), F.col(hi)))
+            .withColumn("_order", F.length(F.bin(F.col("_to") - F.col("_from") + 1)))
+            .repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_blk", F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1)).checkpoint())
+    row = F.struct(*[c for c in df.columns if c not in keys])
+    return (rows.groupBy(*keys, "_order", "_blk").agg(F.min("_from").alias(f"{tag}_from"), F.max("_to").alias(f"{tag}_to"),
+                                                      F.collect_list(row).alias(f"{tag}_rows"))
+            .withColumn(f"{tag}_blk", F.struct("_order", "_blk")).drop("_order", "_blk"))
+
+
+def blocked_pairs(a: DataFrame, b: DataFrame | None, keys: list[str], mode: str, width: int = 3600) -> DataFrame:
+    """``overlap_pairs`` of a_lo / a_hi and b_lo / b_hi by blocks (see the module's text).
+
+    Without ``b``: pairs of rows of ``a`` (each pair in both orders and rows
+    with themselves included); b's columns then are a's with ``b_`` for ``a_``.
+    """
+    ab = _blocks(a, keys, "a_lo", "a_hi", "a")
+    if b is None:
+        b_names = [c if c in keys else f"b_{c[2:]}" for c in a.columns]
+        fields = ", ".join(f"'b_{c[2:]}', x.{c}" for c in a.columns if c not in keys)
+        bb = ab.select(*keys, F.expr(f"transform(a_rows, x -> named_struct({fields}))").alias("b_rows"),
+                       F.col("a_from").alias("b_from"), F.col("a_to").alias("b_to"), F.col("a_blk").alias("b_blk"))
+    else:
+        b_names = b.columns
+        bb = _blocks(b, keys, "b_lo", "b_hi", "b")
+    met = overlap_pairs(ab.drop("a_rows"), bb.drop("b_rows"), keys, "closed", width, "a_from", "a_to", "b_from", "b_to")
+    both = met.select(*keys, "a_blk", "b_blk").join(ab.select(*keys, "a_blk", "a_rows"), [*keys, "a_blk"]).join(
+        bb.select(*keys, "b_blk", "b_rows"), [*keys, "b_blk"])
+    pairs = (both.select(*keys, F.explode("a_rows").alias("a"), "b_rows").select(*keys, "a", F.explode("b_rows").alias("b"))
+             .filter(predicate(mode, F.col("a.a_lo"), F.col("a.a_hi"), F.col("b.b_lo"), F.col("b.b_hi"))))
+    return pairs.select(*keys, *[F.col(f"a.{c}").alias(c) for c in a.columns if c not in keys],
+                        *[F.col(f"b.{c}").alias(c) for c in b_names if c not in keys])
+
+
 def _res_side(res: DataFrame, statuses) -> DataFrame:
     return (res.filter(F.col("status").isin(*statuses))
             .select("room_id", F.col("reservation_id").alias("b_id"),
@@ -351,10 +447,8 @@ def double_booked_pairs(res: DataFrame, mode: str = "app", width: int = 3600) ->
         F.to_date("start_time").alias("day"))
     a = base.select("room_id", F.col("reservation_id").alias("a_id"), F.col("lo").alias("a_lo"),
                     F.col("hi").alias("a_hi"), F.col("day").alias("a_day"))
-    b = base.select("room_id", F.col("reservation_id").alias("b_id"), F.col("lo").alias("b_lo"),
-                    F.col("hi").alias("b_hi"), F.col("day").alias("b_day"))
-    pred = "app" if mode == "app" else "closed"
-    pairs = overlap_pairs(a, b, ["room_id"], pred, width).filter(F.col("a_id") < F.col("b_id"))
+    pairs = blocked_pairs(a, None, ["room_id"], "app" if mode == "app" else "closed", width)
+    pairs = pairs.filter(F.col("a_id") < F.col("b_id"))
     if mode != "app":
         pairs = pairs.filter(F.col("a_day") == F.col("b_day"))
     return pairs.select("room_id", "a_id", "b_id")

@@ -1,21 +1,22 @@
 """Reservation state machines as batch jobs (ST-1, ST-2, ST-5..9).
 
-Ordered command fold without gathering a reservation's commands
-------------------------------------------------------------------
-Both machines are acyclic apart from self-loops: a reservation leaves a
-state at most once and passes through at most ``depth`` states.  So the
-fold is computed as ``depth`` rounds of "first exit":
-
-    round k: T_k = min(order) over commands after T_{k-1} that leave S_{k-1}
-             S_k = next(S_{k-1}, command at T_k)
-
-Each round is an equi join of commands with a one-row-per-reservation state
-table and a ``min`` aggregation, which Spark combines map-side; a
-reservation with a third of all commands is split by AQE's skew join and
-never gathered into one task or one array.  A command's state before it
-is then S_j with T_j < order <= T_{j+1}, and whether it applied is the
-guard evaluated on that state.  Final columns are "last applied command of
-a kind" aggregates (max_by), again combined map-side.
+Ordered command fold by composing transition functions
+------------------------------------------------------
+A command maps each state of its machine to a state; such maps compose
+associatively.  A map is written as a string of digits, one for the state each
+state goes to, so ``translate(f, "1234567", g)`` is f, then g.
+
+1. Commands are sorted by (reservation, order) into range partitions and
+   checkpointed once; their place is one number from then on.
+2. Tasks stream their partitions and give each command the composition of
+   the commands before it, of the same reservation in the same partition.
+3. Only a partition's first reservation can have begun in an earlier
+   partition: the totals at partition edges (two rows a partition) are composed
+   in order and carried in.
+
+The state before a command is its composition applied to what the carried one
+makes of the reservation's first state.  A reservation with a third of all
+commands is spread over partitions and never gathered.
 
 Commands are ordered by the caller's columns, ties by what is left of
 (command_ts, command, actor_id, reason); fully identical rows are numbered
@@ -26,8 +27,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roomledger.functions.core import as_datetime, at_minutes, minutes_interval, ts_lit
 from roomledger.session import ensure_checkpoint_dir
@@ -43,7 +47,23 @@ class Machine:
     exits: tuple[tuple[object, str, object], ...]
     loops: tuple[tuple[object, str], ...] = ()
     reason_required: tuple[str, ...] = ("reject",)
-    depth: int = 2
+
+    @property
+    def states(self) -> list:
+        """The machine's states in the order of their digits, from 1; at most nine."""
+        return list(dict.fromkeys(s for a, _, b in self.exits for s in (a, b)))
+
+    @property
+    def identity(self) -> str:
+        return "123456789"[:len(self.states)]
+
+    def steps(self) -> dict[str, str]:
+        """The map of each command that changes a state."""
+        digit = dict(zip(self.states, self.identity))
+        out: dict[str, list[str]] = {}
+        for a, command, b in self.exits:
+            out.setdefault(command, list(self.identity))[int(digit[a]) - 1] = digit[b]
+        return {c: "".join(m) for c, m in out.items()}
 
 
 # The EN (status string) machine of the API models.
@@ -51,8 +71,7 @@ EN_MACHINE = Machine(
     exits=(("pendiente", "approve", "aprobada"), ("pendiente", "reject", "rechazada"),
            ("pendiente", "cancel", "cancelada"), ("aprobada", "cancel", "cancelada"),
            ("aprobada", "noshow", "completada"), ("aprobada", "complete", "completada")),
-    loops=(("aprobada", "checkin"),),
-    depth=2)
+    loops=(("aprobada", "checkin"),))
 
 # The ES (state id) machine.  1 Pendiente, 2 Aprobada,
 # 3 Rechazada, 4 Cancelada, 5 No-show, 6 En Curso, 7 Finalizada.  A check-in
@@ -63,28 +82,19 @@ ES_MACHINE = Machine(
            (2, "noshow", 5), (2, "complete", 7),
            *[(s, "checkin", 6) for s in (1, 2, 3, 4, 5, 7)],
            *[(s, "noshow", 6) for s in (1, 3, 4, 5, 7)]),
-    loops=((6, "checkin"), (6, "noshow")),
-    depth=3)
+    loops=((6, "checkin"), (6, "noshow")))
 
 
 def _reason_ok() -> Column:
     return F.coalesce(F.length(F.trim(F.col("reason"))) > 0, F.lit(False))
 
 
-def _guard(m: Machine, state: Column, with_loops: bool) -> Column:
+def _applies(m: Machine, state: Column) -> Column:
     cmd = F.col("command")
-    terms = []
-    for s, c, _ in m.exits:
-        t = (state == F.lit(s)) & (cmd == c)
-        if c in m.reason_required:
-            t = t & _reason_ok()
-        terms.append(t)
-    if with_loops:
-        for s, c in m.loops:
-            terms.append((state == F.lit(s)) & (cmd == c))
     out = F.lit(False)
-    for t in terms:
-        out = out | t
+    for s, c in [(s, c) for s, c, _ in m.exits] + list(m.loops):
+        t = (state == F.lit(s)) & (cmd == c)
+        out = out | (t & _reason_ok() if c in m.reason_required else t)
     return F.coalesce(out, F.lit(False))
 
 
@@ -96,9 +106,32 @@ def _next(m: Machine, state: Column, cmd: Column) -> Column:
     return expr.otherwise(state)
 
 
-def _order(order: tuple[str, ...]) -> Column:
-    ties = [c for c in ("command_ts", "command", "actor_id", "reason") if c not in order]
-    return F.struct(*order, *ties, "dup_idx")
+def _prefixes(m: Machine, out: list[str], tail: bool = False):
+    """``mapInArrow`` worker over rows sorted by reservation: adds ``_part`` and ``_prefix``, the composition of the rows
+    of the reservation before this one in the partition.
+
+    With ``tail``: one row a partition instead, its last reservation, the total of that and whether it is the first, too.
+    """
+    tables = {c: str.maketrans(m.identity, to) for c, to in m.steps().items()}
+
+    def run(batches):
+        part, now, groups, total = TaskContext.get().partitionId(), object(), 0, m.identity
+        for batch in batches:
+            before = []
+            for key, step in zip(batch.column("reservation_id").to_pylist(), batch.column("_step").to_pylist()):
+                if key != now:
+                    now, total, groups = key, m.identity, groups + 1
+                before.append(total)
+                if step is not None:
+                    total = total.translate(tables[step])
+            if not tail:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int32()), pa.array(before, pa.string())],
+                                                 names=out)
+        if tail and groups:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([part], pa.int32()), pa.array([total]),
+                                              pa.array([groups == 1])], names=["reservation_id", "_part", "_total", "_edge"])
+    return run
 
 
 def number_duplicates(commands: DataFrame, cols: list[str]) -> DataFrame:
@@ -111,57 +144,86 @@ def number_duplicates(commands: DataFrame, cols: list[str]) -> DataFrame:
     return g.withColumn("dup_idx", F.explode(F.sequence(F.col("_from"), to))).drop("_m", "_from")
 
 
+def _digit(m: Machine, state: Column) -> Column:
+    """The digit of a state; 0, which no map changes, for one that the machine doesn't know."""
+    expr = None
+    for s, d in zip(m.states, m.identity):
+        expr = F.when(state == F.lit(s), int(d)) if expr is None else expr.when(state == F.lit(s), int(d))
+    return expr.otherwise(0)
+
+
+def _goes_to(mapping: Column, digit: Column) -> Column:
+    """The digit that ``digit`` goes to."""
+    return F.when(digit == 0, 0).otherwise(F.substring(mapping, digit, F.lit(1)).cast("int"))
+
+
 def fold_commands(res_state: DataFrame, commands: DataFrame, m: Machine,
                   order: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Generic staged fold.
+    """The fold of a machine over all reservations.
 
     ``res_state`` has (reservation_id, s0); ``commands`` has COMMAND_COLS and
     the columns of ``order``.
-    Returns (per-command rows with status_before / outcome / status_after,
-    per-reservation exit table with S_0..S_depth).
+    Returns (per-command rows with status_before / outcome / status_after and
+    their place ``_ord``, one row per reservation with ``status_final``).
     """
-    # Every round reads the numbered commands and the previous round's state
-    # table; both are checkpointed to the shared checkpoint folder so they are
-    # computed once and a lost executor never replays the earlier rounds.
     ensure_checkpoint_dir(commands.sparkSession)
     cols = [*COMMAND_COLS, *[c for c in order if c not in COMMAND_COLS]]
-    cmds = number_duplicates(commands, cols).withColumn("_ord", _order(order)).checkpoint()
-    st = res_state.select("reservation_id", F.col("s0").alias("S0"), F.lit(True).alias("_found"))
-    cur, prev_t = "S0", None
-    for k in range(1, m.depth + 1):
-        view = st.select("reservation_id", F.col(cur).alias("_cur"),
-                         (F.col(prev_t) if prev_t else F.lit(None).cast(cmds.schema["_ord"].dataType)).alias("_tp"))
-        cand = (cmds.join(view, "reservation_id")
-                .filter((F.col("_tp").isNull() | (F.col("_ord") > F.col("_tp")))
-                        & _guard(m, F.col("_cur"), with_loops=False)))
-        first = cand.groupBy("reservation_id").agg(F.min("_ord").alias(f"T{k}"))
-        st = st.join(first, "reservation_id", "left")
-        st = st.withColumn(f"S{k}", F.when(F.col(f"T{k}").isNotNull(),
-                                         _next(m, F.col(cur), F.col(f"T{k}.command"))).otherwise(F.col(cur)))
-        st = st.withColumn(f"_tp{k}", F.coalesce(F.col(f"T{k}"), F.col(prev_t)) if prev_t else F.col(f"T{k}"))
-        st = st.checkpoint()
-        cur, prev_t = f"S{k}", f"_tp{k}"
-    # state before each command
-    j = cmds.join(st, "reservation_id", "left")
-    before = None
-    for k in range(m.depth, 0, -1):
-        cond = F.col(f"T{k}").isNotNull() & (F.col("_ord") > F.col(f"T{k}"))
-        before = F.when(cond, F.col(f"S{k}")) if before is None else before.when(cond, F.col(f"S{k}"))
-    before = before.otherwise(F.col("S0"))
-    j = j.withColumn("status_before", before)
-    applied = _guard(m, F.col("status_before"), with_loops=True)
+    ties = [c for c in ("command_ts", "command", "actor_id", "reason") if c not in order]
+    by = ["reservation_id", *order, *ties, "dup_idx"]
+    steps = m.steps()
+    step = F.when(F.col("command").isin(*steps) & (~F.col("command").isin(*m.reason_required) | _reason_ok()), F.col("command"))
+    # a range partitioning need not come out the same twice: the sorted rows are written once
+    rows = (number_duplicates(commands, cols).withColumn("_step", step).repartitionByRange(*by).sortWithinPartitions(*by)
+            .withColumn("_ord", F.monotonically_increasing_id()).checkpoint())
+    schema = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_prefix", T.StringType())])
+    folded = rows.mapInArrow(_prefixes(m, schema.names), schema)
+    # what partitions before hand on to a partition's first reservation
+    tails = rows.select("reservation_id", "_step").mapInArrow(
+        _prefixes(m, [], tail=True), "reservation_id long, _part int, _total string, _edge boolean")
+    carried = _carried(m, tails)
+    first = res_state.select("reservation_id", F.col("s0").alias("_s0"), F.lit(True).alias("_found"))
+    j = (folded.join(carried, ["reservation_id", "_part"], "left").join(first, "reservation_id", "left"))
+    start = _goes_to(F.coalesce("_carry", F.lit(m.identity)), _digit(m, F.col("_s0")))
+    names = F.array(*[F.lit(s) for s in m.states])
+
+    def named(digit: Column) -> Column:
+        return F.when(digit == 0, F.col("_s0")).otherwise(F.try_element_at(names, digit))
+
+    j = j.withColumn("_start", start).withColumn("status_before", named(_goes_to(F.col("_prefix"), F.col("_start"))))
     outcome = (F.when(F.col("_found").isNull(), "not_found")
                .when((F.col("command").isin(*m.reason_required)) & ~_reason_ok(), "reason_required")
-               .when(applied, "applied").otherwise("not_applied"))
+               .when(_applies(m, F.col("status_before")), "applied").otherwise("not_applied"))
     j = (j.withColumn("outcome", outcome)
          .withColumn("status_after", F.when(F.col("outcome") == "applied",
                                             _next(m, F.col("status_before"), F.col("command")))
                      .otherwise(F.col("status_before"))))
     per_cmd = j.select(*cols, "dup_idx", "_ord", "status_before", "outcome", "status_after")
-    final = st.select("reservation_id", F.col(f"S{m.depth}").alias("status_final"))
+    moved = per_cmd.filter((F.col("outcome") == "applied") & ~F.col("status_before").eqNullSafe(F.col("status_after")))
+    final = moved.groupBy("reservation_id").agg(F.max_by("status_after", "_ord").alias("status_final"))
     return per_cmd, final
 
 
+def _carried(m: Machine, tail: DataFrame) -> DataFrame:
+    """(reservation_id, _part, _carry) for partitions whose first reservation began before.
+
+    ``tail`` has the last row of each partition: its reservation, the total and
+    whether it is the partition's first one as well.  A reservation that goes on
+    in the next partition hands on its total; one that fills partitions, all of
+    theirs in order.
+    """
+    numbered = tail.select("_part", F.struct("reservation_id", "_total", "_edge").alias("t"))
+    lists = numbered.agg(F.array_sort(F.collect_list(F.struct("_part", "t"))).alias("parts"))  # one row a partition
+    # from left to right: what the partitions so far hand on of the reservation that stands last
+    step = f"""IF(x.t._edge AND x.t.reservation_id <=> a.reservation_id,
+        named_struct('reservation_id', x.t.reservation_id, 'total', translate(a.total, '{m.identity}', x.t._total)),
+        named_struct('reservation_id', x.t.reservation_id, 'total', x.t._total))"""
+    scan = f"""aggregate(parts, named_struct('last', named_struct('reservation_id', cast(NULL AS bigint), 'total', '{m.identity}'),
+            'out', cast(array() AS array<struct<_part:int,reservation_id:bigint,_carry:string>>)),
+        (s, x) -> transform(array(s.last), a -> named_struct('last', {step},
+            'out', concat(s.out, array(named_struct('_part', x._part, 'reservation_id', a.reservation_id, '_carry', a.total)))))[0]).out"""
+    return lists.select(F.explode(F.expr(scan)).alias("c")).select("c.*")
+
+
 def _last(cond: Column, value: Column) -> Column:
     """value of the last (by order) row satisfying cond; null if none."""
     return F.max_by(F.when(cond, value), F.when(cond, F.col("_ord")))
