@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -102,14 +103,6 @@ class _Admitted:
         return True
 
 
-def greedy_admit(pdf: pd.DataFrame, mode: str) -> pd.DataFrame:
-    """Arrival-order admission of one group's rows (pandas helper)."""
-    pdf = pdf.sort_values(["requested_at", "request_id"], kind="mergesort")
-    seen = _Admitted(mode)
-    flags = [seen.offer(int(lo), int(hi), day) for lo, hi, day in zip(pdf["lo"], pdf["hi"], pdf["day"])]
-    return pd.DataFrame({"request_id": pdf["request_id"].astype("int64"), "admitted": pd.Series(flags, pdf.index, bool)})
-
-
 def _greedy_stream(mode: str):
     """``mapInPandas`` worker over rows sorted by (room, cluster, arrival): batches
     pass through; only the current cluster's admitted intervals are held."""
@@ -139,7 +132,7 @@ def static_checks():
 
 
 def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as_of, mode: str = "app",
-                       width: int = 86400, join_width: int = 3600) -> DataFrame:
+                       width: int = 86400, join_width: int = 3600, admitted: DataFrame | None = None) -> DataFrame:
     """Decide every request of a batch; returns the requests plus ``decision``
     (invalid_time, room_not_found, capacity_exceeded, conflict_existing,
     conflict_batch or admitted), ``errors`` (VAL-1 codes) and
@@ -148,6 +141,9 @@ def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as
     ``mode``: ``app`` (half-open, pending/approved block), ``trigger``
     (closed, same start date, every status but cancelled/completed blocks)
     or ``both``.
+
+    ``admitted`` holds intervals (as reservations) that were admitted before
+    this batch; a request that overlaps one is ``conflict_batch``.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -156,13 +152,18 @@ def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as
     v = v.join(rm, "room_id", "left")
     static_ok, rejection = static_checks()
     slots = v.filter(static_ok).select(F.col("request_id").alias("slot_id"), "room_id", "start_time", "end_time")
-    busy = None
-    for m in (("app", "trigger") if mode == "both" else (mode,)):
-        c = conflict_counts(slots, res, m, join_width).select(F.col("slot_id").alias("request_id"))
-        busy = c if busy is None else busy.unionByName(c)
-    busy = busy.distinct().withColumn("_busy", F.lit(True))
-    v = v.join(busy, "request_id", "left").withColumn("_busy", F.coalesce(F.col("_busy"), F.lit(False)))
-    surv = v.filter(static_ok & ~F.col("_busy")).select(
+    modes = ("app", "trigger") if mode == "both" else (mode,)
+
+    def met(bookings: DataFrame, flag: str) -> DataFrame:
+        hits = [conflict_counts(slots, bookings, m, join_width).select(F.col("slot_id").alias("request_id")) for m in modes]
+        return reduce(DataFrame.unionByName, hits).distinct().withColumn(flag, F.lit(True))
+
+    v = v.join(met(res, "_busy"), "request_id", "left").withColumn("_busy", F.coalesce(F.col("_busy"), F.lit(False)))
+    if admitted is None:
+        v = v.withColumn("_taken", F.lit(False))
+    else:
+        v = v.join(met(admitted, "_taken"), "request_id", "left").withColumn("_taken", F.coalesce(F.col("_taken"), F.lit(False)))
+    surv = v.filter(static_ok & ~F.col("_busy") & ~F.col("_taken")).select(
         "request_id", "room_id", epoch_seconds("start_time").alias("lo"), epoch_seconds("end_time").alias("hi"),
         F.to_date("start_time").cast("string").alias("day"), "requested_at")
     # the labels read these few narrow columns several times: the checks above run once
@@ -181,7 +182,7 @@ def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as
     v = v.withColumn("decision", decision)
     v = coffee_break_status(v).withColumn(
         "coffee_break_final", F.when(F.col("decision") == "admitted", F.col("coffee_break_final")))
-    return v.drop("_cap", "_busy", "admitted")
+    return v.drop("_cap", "_busy", "_taken", "admitted")
 
 
 def admitted_rows(decisions: DataFrame) -> DataFrame:

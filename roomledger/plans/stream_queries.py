@@ -59,6 +59,19 @@ def q_stream_audit_windows(spark, d):
     return J.drain(J.audit_activity_windows(_audit_stream(spark, d), "1 hour", delay="1 hour"), "audit_windows")
 
 
+@register("stream_audit_windows_sliding", f"""
+SELECT * FROM (
+  SELECT b AS window_start, b + INTERVAL 1 HOUR AS window_end, action, table_name,
+    COUNT(*) AS action_count, COUNT(DISTINCT user_id) AS unique_users, MAX(created_at) AS last_action
+  FROM (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, created_at),
+                          time_bucket(INTERVAL 30 MINUTE, created_at) - INTERVAL 30 MINUTE]) AS b FROM audit_log)
+  GROUP BY 1, 2, 3, 4) w
+WHERE window_end <= {_wm('audit_log', 'created_at')}
+""", ("audit_log",))
+def q_stream_audit_windows_sliding(spark, d):
+    return J.drain(J.audit_activity_windows(_audit_stream(spark, d), "1 hour", "30 minutes", "1 hour"), "audit_sliding")
+
+
 @register("stream_failed_login_bursts", f"""
 WITH f AS (SELECT ip_address, created_at FROM audit_log WHERE table_name = 'users' AND action = 'login_failed'),
 g AS (SELECT ip_address, created_at, CASE WHEN lag(created_at) OVER (PARTITION BY ip_address ORDER BY created_at)
@@ -85,13 +98,19 @@ def q_stream_request_breaches(spark, d):
     return J.drain(J.request_rate_breaches(_requests_stream(spark, d), limit=4, delay="15 minutes"), "rate_breaches")
 
 
-@register("stream_checkins_in_progress", """
+_W_BOTH = ("(SELECT date_trunc('millisecond', LEAST((SELECT MAX(fecha_creacion) FROM reservas), "
+           "(SELECT MAX(checkin_at) FROM checkins))) - INTERVAL 1 HOUR)")
+
+
+@register("stream_checkins_in_progress", f"""
 SELECT c.reservation_id AS id_reserva, c.checkin_at, c.valid, r.id_sala, r.id_estado AS previous_state,
-  6 AS new_state
-FROM checkins c JOIN reservas r ON r.id_reserva = c.reservation_id
+  CASE WHEN r.id_reserva IS NOT NULL THEN 6 END AS new_state
+FROM checkins c LEFT JOIN reservas r ON r.id_reserva = c.reservation_id
+  AND r.fecha_creacion BETWEEN c.checkin_at - INTERVAL 365 DAY AND c.checkin_at + INTERVAL 365 DAY
+WHERE r.id_reserva IS NOT NULL OR c.checkin_at + INTERVAL 365 DAY < {_W_BOTH}
 """, ("checkins", "reservas"))
 def q_stream_checkins_in_progress(spark, d):
-    out = J.checkins_to_in_progress(_checkins_stream(spark, d), fx(spark, d).reservas)
+    out = J.checkins_to_in_progress(_checkins_stream(spark, d), _reservas_stream(spark, d), "365 days")
     return J.drain(out, "checkins_in_progress")
 
 
@@ -166,5 +185,4 @@ def _admission_oracle():
 def q_stream_admission(spark, d):
     f = fx(spark, d)
     req = spark.sql(MAPPINGS["booking_requests"], reservations=_reservations_stream(spark, d))
-    out = J.drain(J.streaming_admission(req, f.reservations, f.rooms, AS_OF, "app", "1 hour"), "admission")
-    return out.select("request_id", "decision")
+    return J.drain_admission(req, f.reservations, f.rooms, AS_OF).select("request_id", "decision")

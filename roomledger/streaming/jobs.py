@@ -20,14 +20,11 @@ duplicating.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from roomledger.functions.core import instant_to_ntz, ntz_to_instant
+from roomledger.functions.core import as_datetime, instant_to_ntz, ntz_to_instant, ts_lit
 from roomledger.session import checkpoint_dir
 
 # ---------------------------------------------------------------- plumbing
@@ -92,17 +89,21 @@ def _ntz(c: str):
 
 def audit_activity_windows(audit: DataFrame, size: str = "1 hour", slide: str | None = None,
                            delay: str = "1 hour") -> DataFrame:
-    """STR-1: AGG-11 per event-time window: actions, distinct actors (exact,
-    a per-window set in state) and last time, per (window, action, table)."""
+    """STR-1: AGG-11 per event-time window: actions, distinct actors (exact)
+    and last time, per (window, action, table).
+
+    Two chained stateful operators: state of the first is a row for each actor
+    of a window, closed windows go on to the second, which counts them.
+    """
     a = event_time(audit, "created_at", delay)
     w = F.window("event_time", size, slide) if slide else F.window("event_time", size)
-    g = a.groupBy(w.alias("w"), "action", "table_name").agg(
-        F.count(F.lit(1)).alias("action_count"), F.size(F.collect_set("user_id")).alias("unique_users"),
-        F.max("created_at").alias("last_action"))
+    actors = a.groupBy(w.alias("w"), "action", "table_name", "user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last"))
+    g = actors.groupBy("w", "action", "table_name").agg(
+        F.sum("n").alias("action_count"), F.count("user_id").alias("unique_users"), F.max("last").alias("last_action"))
     return g.select(_ntz("w.start").alias("window_start"),
                     _ntz("w.end").alias("window_end"),
-                    "action", "table_name", "action_count", F.col("unique_users").cast("long").alias("unique_users"),
-                    "last_action")
+                    "action", "table_name", "action_count", "unique_users", "last_action")
 
 
 def failed_login_bursts(audit: DataFrame, gap: str = "10 minutes", threshold: int = 3,
@@ -134,12 +135,22 @@ def request_rate_breaches(requests: DataFrame, limit: int = 100, size: str = "15
 # ---------------------------------------------------------------- STR-5, STR-6: joins and sinks
 
 
-def checkins_to_in_progress(checkins: DataFrame, reservas: DataFrame) -> DataFrame:
-    """STR-5: each streamed check-in joined with its (static) booking; the
-    trigger rule moves the booking to En Curso (6) whatever its state."""
-    r = reservas.select("id_reserva", "id_sala", F.col("id_estado").alias("previous_state"))
-    c = checkins.withColumnRenamed("reservation_id", "id_reserva")
-    return c.join(r, "id_reserva").withColumn("new_state", F.lit(6))
+def checkins_to_in_progress(checkins: DataFrame, reservas: DataFrame, within: str = "30 days",
+                            delay: str = "1 hour") -> DataFrame:
+    """STR-5: each streamed check-in joined with its streamed booking; the
+    trigger rule moves the booking to En Curso (6) whatever its state.
+
+    An interval join of two streams: a check-in meets bookings made at most
+    ``within`` before or after it, so both sides' state expires as the watermark
+    moves on.  A check-in that no booking can meet any more is emitted with
+    ``new_state`` null.
+    """
+    r = event_time(reservas, "fecha_creacion", delay, "booked").select(
+        F.col("id_reserva").alias("_id"), "id_sala", F.col("id_estado").alias("previous_state"), "booked")
+    c = event_time(checkins, "checkin_at", delay, "came").withColumnRenamed("reservation_id", "id_reserva")
+    near = F.expr(f"booked >= came - INTERVAL {within} AND booked <= came + INTERVAL {within}")
+    return (c.join(r, (F.col("id_reserva") == F.col("_id")) & near, "left_outer")
+            .withColumn("new_state", F.when(F.col("_id").isNotNull(), F.lit(6))).drop("_id", "came", "booked"))
 
 
 def booking_side_effects(new_reservas: DataFrame, audit_path: str, notice_path: str, checkpoint: str,
@@ -172,87 +183,48 @@ from roomledger.streaming.timers import no_show_detector, reminder_timers  # noq
 # ---------------------------------------------------------------- STR-8: admission with state
 
 
-ADMIT_OUT = "request_id long, room_id long, decision string"
-ADMIT_STATE = "lo array<long>, hi array<long>, day array<string>"
-_ADMIT_COLS = ["request_id", "room_id", "decision"]
+def streaming_admission(requests: DataFrame, res: DataFrame, rooms: DataFrame, as_of, out: str, held: str,
+                        checkpoint: str, mode: str = "app", available_now: bool = True):
+    """STR-8: every micro-batch of requests is decided by ``admit_reservations``
+    against the bookings and what earlier micro-batches admitted.
 
+    Decisions go to ``<out>/batch_id=<n>``, admitted intervals to
+    ``<held>/batch_id=<n>/ends=<day>``; a replayed batch reads only those of
+    batches before it and replaces its own, so it decides the same again.  Only
+    intervals that end after ``as_of`` are read (no valid request starts
+    before), which leaves the days before unread.  No watermark is set: a late request is
+    decided when it comes, and each request has a row.  The work of a busy room
+    is spread over its overlap clusters, and slots over midnight are one
+    interval like others.
+    """
+    from roomledger.operators.admission import admit_reservations, admitted_rows
 
-def _admit_fn(mode: str):
-    from roomledger.operators.admission import greedy_admit
+    day = as_datetime(as_of).date()
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        wm = state.getCurrentWatermarkMs()
-        lo, hi, day = (list(x) for x in state.get) if state.exists else ([], [], [])
-        keep = [i for i in range(len(lo)) if hi[i] * 1000 >= wm]          # TTL: drop ended intervals
-        lo, hi, day = [lo[i] for i in keep], [hi[i] for i in keep], [day[i] for i in keep]
-        if state.hasTimedOut:
-            batch = pd.DataFrame(columns=["kind", "request_id", "lo", "hi", "day", "requested_at"])
-        else:
-            batch = pd.concat(list(pdfs), ignore_index=True)
-        busy = set(batch.loc[batch["kind"] == "conflict", "request_id"].astype("int64"))
-        reqs = batch[(batch["kind"] == "request") & ~batch["request_id"].isin(busy)]
-        n_old = len(lo)
-        prior = pd.DataFrame({"request_id": [-(i + 1) for i in range(n_old)], "lo": lo, "hi": hi, "day": day,
-                              "requested_at": [pd.Timestamp("1900-01-01")] * n_old})
-        cur = reqs[["request_id", "lo", "hi", "day", "requested_at"]]
-        both = cur if n_old == 0 else (prior if len(cur) == 0 else pd.concat([prior, cur], ignore_index=True))
-        dec = greedy_admit(both, mode)
-        dec = dec[dec["request_id"] >= 0]
-        acc = reqs.merge(dec[dec["admitted"]], on="request_id")
-        lo += [int(x) for x in acc["lo"]]
-        hi += [int(x) for x in acc["hi"]]
-        day += [str(x) for x in acc["day"]]
-        if hi:
-            state.update((lo, hi, day))
-            state.setTimeoutTimestamp(max(max(hi) * 1000, wm, 0))
-        elif state.exists:
-            state.remove()
-        rows = [(int(r), key[0], "admitted" if a else "conflict_batch")
-                for r, a in zip(dec["request_id"], dec["admitted"])]
-        rows += [(int(r), key[0], "conflict_existing") for r in sorted(busy)]
-        yield pd.DataFrame(rows, columns=_ADMIT_COLS)
-    return fn
-
-
-def streaming_admission(requests: DataFrame, res: DataFrame, rooms: DataFrame, as_of, mode: str = "app",
-                        delay: str = "1 hour") -> DataFrame:
-    """STR-8: admission as a stateful stream keyed by room.
-
-    Static checks (slot rules, room, capacity, existing bookings) are
-    stream-static joins; requests that fail them are answered at once, without
-    state.  The requests that pass are decided per room in
-    arrival order against the intervals admitted earlier, kept in state
-    until the watermark passes their end (TTL via an event-time timer).
-    Note: a room's requests of one micro-batch are decided in one task; a
-    room's state only holds bookings that have not ended.
-    """
-    from roomledger.operators.admission import static_checks
-    from roomledger.operators.overlap import conflict_pairs, epoch_seconds
-    from roomledger.operators.validate import validate_slot
-
-    v = validate_slot(requests, as_of)
-    rm = rooms.filter(F.col("is_active")).select("room_id", F.col("capacity").alias("_cap"))
-    v = v.join(rm, "room_id", "left")
-    ok, rejection = static_checks()
-    refused = v.filter(~ok).select("request_id", "room_id", rejection.alias("decision"))
-    s = v.filter(ok).withColumn("event_time", ntz_to_instant("requested_at"))
-    base = ["request_id", "room_id", "lo", "hi", "day", "requested_at", "event_time"]
-    reqs = s.select(F.lit("request").alias("kind"), "request_id", "room_id",
-                    epoch_seconds("start_time").alias("lo"), epoch_seconds("end_time").alias("hi"),
-                    F.to_date("start_time").cast("string").alias("day"), "requested_at", "event_time")
-    # existing bookings are static: the conflicts are a stateless stream-static
-    # interval join whose rows travel with the requests to the room's state
-    slots = s.select(F.col("request_id").alias("slot_id"), "room_id", "start_time", "end_time", "requested_at",
-                     "event_time")
-    modes = ("app", "trigger") if mode == "both" else (mode,)
-    marks = None
-    for m in modes:
-        p = conflict_pairs(slots, res, m, carry=("requested_at", "event_time")).select(
-            F.lit("conflict").alias("kind"), F.col("slot_id").alias("request_id"), "room_id",
-            F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"),
-            F.lit(None).cast("string").alias("day"), "requested_at", "event_time")
-        marks = p if marks is None else marks.unionByName(p)
-    ev = reqs.select("kind", *base).unionByName(marks.select("kind", *base)).withWatermark("event_time", delay)
-    decided = ev.groupBy("room_id").applyInPandasWithState(
-        _admit_fn(mode), ADMIT_OUT, ADMIT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return decided.select("request_id", "room_id", "decision").unionByName(refused)
+    def decide(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        before = (spark.read.schema(HELD).parquet(held).filter(
+            (F.col("batch_id") < batch_id) & (F.col("ends") >= F.lit(day)) & (F.col("end_time") > ts_lit(as_datetime(as_of))))
+            if batch_id else None)
+        decisions = admit_reservations(batch, res, rooms, as_of, mode, admitted=before)
+        path = f"{out}/batch_id={batch_id}"
+        decisions.select("request_id", "room_id", "user_id", "start_time", "end_time", "attendees_count", "requested_at",
+                         "coffee_break_final", "decision").write.mode("overwrite").parquet(path)
+        kept = admitted_rows(spark.read.parquet(path))
+        (kept.select("reservation_id", "room_id", "start_time", "end_time", "status", F.to_date("end_time").alias("ends"))
+         .write.mode("overwrite").partitionBy("ends").parquet(f"{held}/batch_id={batch_id}"))
+
+    w = requests.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+HELD = ("reservation_id long, room_id long, start_time timestamp_ntz, end_time timestamp_ntz, status string, "
+        "batch_id long, ends date")
+
+
+def drain_admission(requests: DataFrame, res: DataFrame, rooms: DataFrame, as_of, mode: str = "app") -> DataFrame:
+    """STR-8 run over everything available now; the decisions as a batch table."""
+    spark = requests.sparkSession
+    data, checkpoint = _run_dirs(spark, "admission")
+    streaming_admission(requests, res, rooms, as_of, f"{data}/decisions", f"{data}/held", checkpoint, mode).awaitTermination()
+    return spark.read.parquet(f"{data}/decisions").select("request_id", "room_id", "decision")
