@@ -28,12 +28,6 @@ def ts_lit(value) -> Column:
     return F.lit(str(value)).cast("timestamp_ntz")
 
 
-def date_lit(value) -> Column:
-    if isinstance(value, (_dt.date, _dt.datetime)):
-        value = value.strftime("%Y-%m-%d")
-    return F.lit(str(value)).cast("date")
-
-
 def as_date(value) -> _dt.date:
     if isinstance(value, _dt.datetime):
         return value.date()
@@ -170,9 +164,14 @@ def icontains(c, text: str) -> Column:
     return col(c).ilike("%" + like_escape(text) + "%")
 
 
+def ci(c) -> Column:
+    """FN-3: a string under a collation that ignores case, for joins and groups as well as comparisons."""
+    return F.collate(col(c), "UTF8_LCASE")
+
+
 def ieq(c, text) -> Column:
-    """FN-3: case-insensitive equality."""
-    return F.lower(col(c)) == F.lower(text if isinstance(text, Column) else F.lit(text))
+    """FN-3: case-insensitive equality, also as a join condition (an equi join on collated keys)."""
+    return ci(c) == ci(text if isinstance(text, Column) else F.lit(text))
 
 
 def json_field(c, path: str) -> Column:
@@ -180,6 +179,29 @@ def json_field(c, path: str) -> Column:
     return F.get_json_object(col(c), path)
 
 
+def row_json(*names: str) -> Column:
+    """FN-12: columns as one JSON text, nulls kept (``JSON.stringify`` of a row)."""
+    return F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+
+
+def json_variant(c) -> Column:
+    """FN-12: JSON text as a VARIANT; null where it is no JSON."""
+    return F.try_parse_json(col(c))
+
+
+def variant_field(v, name: str, kind: str = "string") -> Column:
+    """FN-12: a field of a VARIANT, null where it is absent or no ``kind``."""
+    return F.try_variant_get(col(v), f"$.{name}", kind)
+
+
+def fixed(num, den, digits: int, scale: int = 1) -> Column:
+    """FN-14: ``scale * num / den`` as the reports show it: text with ``digits`` decimals, rounded half up from exact
+    integers; 0 on a zero denominator."""
+    num, den, unit = col(num).cast("long"), col(den).cast("long"), 10 ** digits
+    q = F.when(den > 0, F.floor((num * (2 * unit * scale) + den) / (den * 2))).otherwise(0).cast("long")
+    return F.concat(F.floor(q / unit).cast("string"), F.lit("."), F.lpad((q % unit).cast("string"), digits, "0"))
+
+
 def strip_html(c) -> Column:
     """FN-16: drop every ``<...>`` tag."""
     return F.regexp_replace(col(c), "<[^>]*>", "")

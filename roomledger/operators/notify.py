@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomledger.functions.core import as_datetime, enum_rank, format_dmy, ts_lit
+from roomledger.functions.core import as_datetime, enum_rank, format_dmy, json_variant, ts_lit, variant_field
 
 # Notification types, titles and message templates.
 TYPE_CREATED, TYPE_APPROVED = "reservation_created", "reservation_approved"
@@ -48,6 +48,20 @@ def fanout_new_reservation(new_res: DataFrame, users: DataFrame, rooms: DataFram
                     F.lit(TYPE_CREATED).alias("type"), F.lit(TITLE_CREATED).alias("title"), msg.alias("message"))
 
 
+def delivered(notices: DataFrame, users: DataFrame, parts: int = 32) -> DataFrame:
+    """NTF-1 delivery: the notices of a named batch as one row for each recipient.
+
+    The audience is a dimension of its own (active approvers and
+    administrators); the product with the notices is the delivery itself, so
+    callers name the batch.  Notices are dealt in ``parts``, each of which meets
+    a copy of the audience, as all share one scope.
+    """
+    audience = approval_audience(users).select(F.lit(AUDIENCE_SCOPE).alias("scope"), "user_id", "email", "audience_rank",
+                                               F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    dealt = notices.withColumn("_part", F.pmod(F.xxhash64("reservation_id"), F.lit(parts)).cast("int"))
+    return dealt.join(audience, ["scope", "_part"]).select("reservation_id", "user_id", "email", "audience_rank", "type", "title", "message")
+
+
 def notify_decisions(before: DataFrame, after: DataFrame, rooms: DataFrame) -> DataFrame:
     """NTF-2: pendiente -> aprobada / rechazada transitions notify the organizer
     (the rejection carries its reason)."""
@@ -95,15 +109,49 @@ def trigger_notice(new_reservas: DataFrame) -> DataFrame:
                  F.col("id_sala").cast("string")).alias("mensaje"))
 
 
+RANGE = 4096  # neighbouring keys under one digest
+
+
+def differing(before: DataFrame, after: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of both snapshots whose key range differs at all.
+
+    Each snapshot is reduced to a digest for each range of ``RANGE`` keys (or
+    hashes of keys that are no integers): row count and two order-free sums of
+    row hashes, combined map-side.  Rows of ranges with equal digests are
+    dropped where they are scanned and never shuffled.
+    """
+    integral = after.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    at = F.floor(F.col(key) / RANGE) if integral else F.shiftright(F.xxhash64(key), 24)
+
+    def digest(df: DataFrame, cols: list[str]) -> DataFrame:
+        h = F.xxhash64(*cols, *[F.col(c).isNull() for c in cols])
+        return df.groupBy(at.alias("_range")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"),
+                                                  F.sum(F.shiftright(h, 24)).alias("s"))
+
+    cols = after.columns
+    b, a = (digest(df, cols).select("_range", F.struct("n", "x", "s").alias(name)) for df, name in ((before, "b"), (after, "a")))
+    ranges = a.join(b, "_range", "full_outer").filter(
+        ~F.col("a").eqNullSafe(F.col("b"))).select("_range")
+    return tuple(df.withColumn("_range", at).join(ranges, "_range", "left_semi").drop("_range") for df in (before, after))
+
+
 def diff_to_audit(before: DataFrame, after: DataFrame, key: str = "id_reserva", actor: str = "id_usuario",
-                  table: str = "reservas", include_deletes: bool = False) -> DataFrame:
+                  table: str = "reservas", include_deletes: bool = False, pruned: bool = False,
+                  values: bool = False) -> DataFrame:
     """CDC-1: the audit triggers as a snapshot diff.
 
     Keys only in ``after`` are inserts, keys in both whose row differs
     (null-safe, any column) are updates, keys only in ``before`` are deletes
     (off by default: the reference has no delete trigger).  The actor is the
     row's own user column, as in the triggers.
+
+    ``pruned`` compares digests of key ranges first (see ``differing``), which
+    pays where changes are few or close together.  ``values`` adds old_values
+    and new_values (JSON of the rows, null where there is none) and
+    ``changed``, the names of an update's changed columns.
     """
+    if pruned:
+        before, after = differing(before, after, key)
     cols = [c for c in after.columns if c != key]
     b = before.select(F.col(key), F.struct(*[F.col(c) for c in cols]).alias("_b"))
     a = after.select(F.col(key), F.struct(*[F.col(c) for c in cols]).alias("_a"))
@@ -114,11 +162,29 @@ def diff_to_audit(before: DataFrame, after: DataFrame, key: str = "id_reserva",
     action = (F.when(F.col("_b").isNull(), AUDIT_INSERT)
               .when(F.col("_a").isNull(), AUDIT_DELETE if include_deletes else None)
               .when(changed, AUDIT_UPDATE))
-    out = j.select(F.coalesce(F.col(f"_a.{actor}"), F.col(f"_b.{actor}")).alias(actor),
-                   action.alias("accion"), F.lit(table).alias("tabla_afectada"), F.col(key).alias("id_registro"))
+    more = []
+    if values:
+        names = F.array_compact(F.array(*[F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in cols]))
+        keep_nulls = {"ignoreNullFields": "false"}
+        more = [F.to_json("_b", keep_nulls).alias("old_values"), F.to_json("_a", keep_nulls).alias("new_values"),
+                F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), names).alias("changed")]
+    out = j.select(F.coalesce(F.col(f"_a.{actor}"), F.col(f"_b.{actor}")).alias(actor), action.alias("accion"),
+                   F.lit(table).alias("tabla_afectada"), F.col(key).alias("id_registro"), *more)
     return out.filter(F.col("accion").isNotNull())
 
 
+def changed_values(audit: DataFrame, fields: dict[str, str], key: str = "id_registro") -> DataFrame:
+    """FN-12: one row for each changed field of an audit row with old_values / new_values: its name and both values as text.
+
+    The JSON texts are read once as VARIANTs; ``fields`` names the fields and their kinds.
+    """
+    v = audit.withColumns({"_old": json_variant("old_values"), "_new": json_variant("new_values")})
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), variant_field("_old", n, k).cast("string").alias("old_value"),
+                                        variant_field("_new", n, k).cast("string").alias("new_value"))
+                               for n, k in fields.items()])).alias("c")
+    return v.select(key, "accion", both).select(key, "accion", "c.*").filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
+
+
 def latest_notifications(notifs: DataFrame, user_ids: DataFrame | None = None, n: int = 50,
                          unread_only: bool = False) -> DataFrame:
     """TOP-1: newest ``n`` notifications per user.
@@ -137,5 +203,5 @@ def latest_notifications(notifs: DataFrame, user_ids: DataFrame | None = None, n
 
 
 def enum_order(df: DataFrame, column: str, values, *tie_breakers) -> DataFrame:
-    """TOP-2: ORDER BY CASE col WHEN v1 THEN 1 ... END (unknown values last)."""
-    return df.orderBy(enum_rank(column, values).asc_nulls_last(), *tie_breakers)
+    """TOP-2: ORDER BY CASE col WHEN v1 THEN 1 ... END (unknown values last), with that number as ``position``."""
+    return df.withColumn("position", enum_rank(column, values)).orderBy(F.col("position").asc_nulls_last(), *tie_breakers)

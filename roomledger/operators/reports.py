@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from roomledger.functions.core import (
     as_date, avg_hours, count_when, hours_between_truncated, hours_from_seconds, icontains,
-    in_date_range, pct, ratio, duration_seconds, enum_rank, ieq, at_minutes)
+    in_date_range, pct, ratio, duration_seconds, enum_rank, fixed, ieq, at_minutes)
 
 COFFEE_ORDER = ("solicitado", "no_solicitado", "no_aplica")
 
@@ -93,19 +93,34 @@ def reservations_summary(res: DataFrame, users: DataFrame, rooms: DataFrame, sta
     )
 
 
-def room_utilization(rooms: DataFrame, res: DataFrame, start, end, hours_per_day: int = 12) -> DataFrame:
+def room_utilization(rooms: DataFrame, res: DataFrame, start, end, hours_per_day: int = 12,
+                     weekdays_only: bool = False, display: bool = False) -> DataFrame:
     """AGG-2: per active room, usage in [start, end]; rooms without bookings stay.
 
     Utilization = hours used / (calendar days in the period * 12 h), weekends
-    counted as in the reference.
+    counted as in the reference, or not with ``weekdays_only``.  ``display``
+    gives averages, hours and rates as the report's text (FN-14).
     """
     days = (as_date(end) - as_date(start)).days + 1
+    if weekdays_only:
+        weeks, rest = divmod(days, 7)
+        days = 5 * weeks + sum((as_date(start).weekday() + k) % 7 < 5 for k in range(rest))
     per_room = (_with_duration(
         res.filter(in_date_range("start_time", start, end) & (F.col("status") != "cancelada")))
         .groupBy("room_id").agg(*_booking_measures()))
     rm = rooms.filter(F.col("is_active")).select("room_id", "name", "capacity", "location")
     j = rm.join(per_room, "room_id", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
+    if display:
+        att, seen, secs, timed, done, missed = (F.coalesce(F.col(c), F.lit(0)) for c in (
+            "sum_att", "n_att", "sum_sec", "n_sec", "n_completed", "n_no_show"))
+        return j.select(
+            "room_id", fixed(att, seen, 1).alias("avg_attendees"), fixed(secs, timed * 3600, 2).alias("avg_duration_hours"),
+            fixed(secs, F.lit(3600), 2).alias("total_hours_used"),
+            fixed(secs, F.lit(days * hours_per_day * 3600), 2, 100).alias("utilization_rate"),
+            F.when(n > 0, fixed(done, n, 2, 100)).otherwise("0").alias("completion_rate"),
+            F.when(n > 0, fixed(missed, n, 2, 100)).otherwise("0").alias("no_show_rate"),
+            F.when(F.col("capacity") > 0, fixed(att, seen * F.col("capacity"), 2, 100)).otherwise("0").alias("capacity_utilization"))
     return j.select(
         "room_id", "name", "capacity", "location",
         n.alias("total_reservations"),
@@ -288,7 +303,7 @@ def room_usage_stats_checkin(reservas: DataFrame, estados: DataFrame, checkins:
     """
     s, e = as_date(start), as_date(end)
     r = reservas.filter((F.col("fecha") >= F.lit(s)) & (F.col("fecha") <= F.lit(e)))
-    r = r.join(F.broadcast(estados.select("id_estado", "nombre")), "id_estado")
+    r = r.join(estados.select("id_estado", "nombre"), "id_estado")
     r = r.filter(~ieq("nombre", "cancelada"))
     r = r.withColumn("hrs", hours_between_truncated(at_minutes("fecha", "inicio_min"),
                                                     at_minutes("fecha", "fin_min")))

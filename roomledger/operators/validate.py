@@ -8,7 +8,7 @@ expressions (no UDF), so a validation pass is one codegen'd projection.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from roomledger.functions.core import as_datetime, day_of_week_js, hours_between_truncated, ts_lit
@@ -142,14 +142,19 @@ def validate_user_updates(df: DataFrame) -> DataFrame:
 
 
 def validate_rooms(df: DataFrame) -> DataFrame:
-    """VAL-6: name 2..100, capacity 1..100, description <= 500, location <= 200
-    (equipment, when present, is typed as an array by the schema)."""
+    """VAL-6: name 2..100, capacity 1..100, description <= 500, location <= 200;
+    equipment, when there is such a column, must be a list if it is sent (as JSON text or as an array)."""
     cap = F.col("capacity")
+    rules = []
+    if "equipment" in df.columns and df.schema["equipment"].dataType.simpleString() == "string":
+        rules = [("equipment_not_list", F.col("equipment").isNotNull() & ~F.coalesce(
+            F.schema_of_variant(F.try_parse_json("equipment")).startswith("ARRAY"), F.lit(False)))]
     return df.withColumn("errors", _errors(
         ("name_length", _required_len("name", 2, 100)),
         ("capacity_range", cap.isNull() | ~cap.between(1, 100)),
         ("description_length", _optional_len("description", 500)),
         ("location_length", _optional_len("location", 200)),
+        *rules,
     ))
 
 
@@ -181,6 +186,17 @@ def violation_report(validated: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("violations")))
 
 
+def write_validated(validated: DataFrame, path: str, rules: tuple[str, ...]) -> DataFrame:
+    """VAL-8 with quarantine in one scan: rows go to ``<path>/part=valid`` and ``<path>/part=quarantine`` (with
+    their errors), and the rows per broken rule are observed by the same write.  Returns (rule, violations)."""
+    seen = Observation()
+    counted = [F.count_if(F.array_contains("errors", r)).alias(r) for r in rules]
+    (validated.observe(seen, *counted).withColumn("part", F.when(F.size("errors") == 0, "valid").otherwise("quarantine"))
+     .write.mode("overwrite").partitionBy("part").parquet(path))
+    found = [(r, n) for r, n in seen.get.items() if n]  # a row for each rule
+    return validated.sparkSession.createDataFrame(found, "rule string, violations long")
+
+
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Route validated rows: (valid rows without the errors column, quarantine)."""
     ok = F.size("errors") == 0

@@ -3,13 +3,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from roomledger.functions.core import ieq
 from roomledger.operators import notify as N
 from roomledger.operators import state as S
 from roomledger.operators.reschedule import reschedule
 from roomledger.plans.registry import AS_OF, AS_OF_SQL, PERIOD, fx, register
 from roomledger.plans.state_queries import _EN_FOLD, COMMAND_ORDER
+from roomledger.session import checkpoint_dir
 from roomledger.sources import maintenance as M
 
 P0, P1 = PERIOD
@@ -54,6 +58,35 @@ def _constraint_specs(f):
     ]
 
 
+_FAULTS = """
+SELECT 'reservations' AS table_name, 'unique(reservation_id)' AS constraint_name, 'unique' AS error_class,
+  CAST(reservation_id AS VARCHAR) AS key, COUNT(*) AS n FROM faulty_reservations GROUP BY reservation_id HAVING COUNT(*) > 1
+UNION ALL SELECT 'reservations', 'not_null(user_id,room_id)', 'not_null', '*', COUNT(*)
+  FROM faulty_reservations WHERE user_id IS NULL OR room_id IS NULL HAVING COUNT(*) > 0
+UNION ALL SELECT 'reservations', 'fk(user_id)', 'foreign_key', CAST(user_id AS VARCHAR), COUNT(*) FROM faulty_reservations
+  WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM users) GROUP BY user_id
+UNION ALL SELECT 'reservations', 'fk(room_id)', 'foreign_key', CAST(room_id AS VARCHAR), COUNT(*) FROM faulty_reservations
+  WHERE room_id IS NOT NULL AND room_id NOT IN (SELECT room_id FROM rooms) GROUP BY room_id
+UNION ALL SELECT 'reservations', 'check(end_time > start_time)', 'check', CAST(reservation_id AS VARCHAR), 1
+  FROM faulty_reservations WHERE NOT COALESCE(end_time > start_time, true)
+UNION ALL SELECT 'reservations', 'check(attendees_count between 1 and 50)', 'check', CAST(reservation_id AS VARCHAR), 1
+  FROM faulty_reservations WHERE NOT COALESCE(attendees_count BETWEEN 1 AND 50, true)
+"""
+
+
+@register("check_constraints_faulty", _FAULTS, ("faulty_reservations", "users", "rooms"))
+def q_check_constraints_faulty(spark, d):
+    f = fx(spark, d)
+    r = f.faulty_reservations
+    return M.check_constraints([
+        ("unique", "reservations", r, ["reservation_id"]), ("not_null", "reservations", r, ["user_id", "room_id"]),
+        ("fk", "reservations", r, ["user_id"], f.users, ["user_id"]),
+        ("fk", "reservations", r, ["room_id"], f.rooms, ["room_id"]),
+        ("check", "reservations", r, ["reservation_id"], "check(end_time > start_time)", F.col("end_time") > F.col("start_time")),
+        ("check", "reservations", r, ["reservation_id"], "check(attendees_count between 1 and 50)",
+         F.col("attendees_count").between(1, 50))])
+
+
 @register("check_constraints", """
 SELECT 'reservations' AS table_name, 'unique(reservation_id)' AS constraint_name, 'unique' AS error_class,
   CAST(reservation_id AS VARCHAR) AS key, COUNT(*) AS n FROM reservations GROUP BY reservation_id HAVING COUNT(*) > 1
@@ -88,7 +121,8 @@ def q_check_constraints(spark, d):
 SELECT * FROM users
 UNION ALL
 SELECT n.user_id, n.user_name, n.email, n.role, n.department, n.is_active
-FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY user_id) AS k FROM new_users
+FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY user_id) AS k
+      FROM (SELECT * REPLACE (lower(trim(email)) AS email, trim(user_name) AS user_name) FROM new_users)
       WHERE role IN ('administrador', 'aprobador', 'organizador', 'recepcion')) n
 WHERE n.k = 1 AND n.email NOT IN (SELECT email FROM users WHERE email IS NOT NULL)
 """, ("users", "new_users"))
@@ -98,7 +132,7 @@ def q_insert_users(spark, d):
 
 
 @register("insert_users_rejected", """
-SELECT *, 'invalid_role' AS error FROM new_users
+SELECT * REPLACE (lower(trim(email)) AS email, trim(user_name) AS user_name), 'invalid_role' AS error FROM new_users
 WHERE role IS NULL OR role NOT IN ('administrador', 'aprobador', 'organizador', 'recepcion')
 """, ("new_users",))
 def q_insert_users_rejected(spark, d):
@@ -164,6 +198,59 @@ def q_diff_to_audit(spark, d):
     return N.diff_to_audit(f.reservas, f.reservas_next)
 
 
+@register("diff_to_audit_pruned", """
+SELECT a.id_usuario, 'Modificación de reserva' AS accion, 'reservas' AS tabla_afectada, a.id_reserva AS id_registro,
+  'id_estado' AS changed
+FROM reservas_patched a JOIN reservas b ON a.id_reserva = b.id_reserva WHERE a.id_estado <> b.id_estado
+""", ("reservas", "reservas_patched"))
+def q_diff_to_audit_pruned(spark, d):
+    f = fx(spark, d)
+    diff = N.diff_to_audit(f.reservas, f.reservas_patched, pruned=True, values=True)
+    return diff.select("id_usuario", "accion", "tabla_afectada", "id_registro", F.array_join("changed", ",").alias("changed"))
+
+
+@register("audit_changed_values", """
+WITH o AS (SELECT id_reserva, unnest([
+    {'field': 'id_estado', 'v': CAST(id_estado AS VARCHAR)}, {'field': 'id_sala', 'v': CAST(id_sala AS VARCHAR)},
+    {'field': 'fecha', 'v': CAST(fecha AS VARCHAR)}, {'field': 'requiere_coffee', 'v': CAST(requiere_coffee AS VARCHAR)}]) AS c
+  FROM reservas),
+n AS (SELECT id_reserva, unnest([
+    {'field': 'id_estado', 'v': CAST(id_estado AS VARCHAR)}, {'field': 'id_sala', 'v': CAST(id_sala AS VARCHAR)},
+    {'field': 'fecha', 'v': CAST(fecha AS VARCHAR)}, {'field': 'requiere_coffee', 'v': CAST(requiere_coffee AS VARCHAR)}]) AS c
+  FROM reservas_next)
+SELECT n.id_reserva AS id_registro,
+  CASE WHEN o.id_reserva IS NULL THEN 'Creación de reserva' ELSE 'Modificación de reserva' END AS accion,
+  n.c.field AS field, o.c.v AS old_value, n.c.v AS new_value
+FROM n LEFT JOIN o ON o.id_reserva = n.id_reserva AND o.c.field = n.c.field
+WHERE n.c.v IS DISTINCT FROM o.c.v
+""", ("reservas", "reservas_next"))
+def q_audit_changed_values(spark, d):
+    f = fx(spark, d)
+    audit = N.diff_to_audit(f.reservas, f.reservas_next, values=True)
+    return N.changed_values(audit, {"id_estado": "int", "id_sala": "long", "fecha": "string", "requiere_coffee": "boolean"})
+
+
+@register("status_by_state_name", """
+SELECT r.status, e.id_estado, COUNT(*) AS n
+FROM reservations r JOIN estados_reserva e ON lower(e.nombre) = lower(r.status) GROUP BY r.status, e.id_estado
+""", ("reservations", "estados_reserva"))
+def q_status_by_state_name(spark, d):
+    f = fx(spark, d)
+    met = f.reservations.join(f.estados_reserva, ieq("status", F.col("nombre")))
+    return met.groupBy("status", "id_estado").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("append_readback", """
+SELECT id, action, table_name, created_at, CAST(created_at AS DATE) AS dt, 'january' AS batch_id FROM audit_log
+""", ("audit_log",))
+def q_append_readback(spark, d):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/appended/{uuid.uuid4().hex}"
+    rows = fx(spark, d).audit_log.select("id", "action", "table_name", "created_at")
+    for _ in range(2):  # a named batch that is run again replaces its rows
+        M.append_rows(rows, path, ts_col="created_at", batch_id="january")
+    return spark.read.parquet(path).select("id", "action", "table_name", "created_at", "dt", "batch_id")
+
+
 @register("approval_audience", """
 SELECT user_id, user_name, email, role, CASE WHEN role = 'aprobador' THEN 1 ELSE 2 END AS audience_rank
 FROM users WHERE role IN ('aprobador', 'administrador') AND is_active
@@ -186,6 +273,25 @@ def q_fanout_new_reservation(spark, d):
     return N.fanout_new_reservation(f.reservations.filter(F.col("status") == "pendiente"), f.users, f.rooms)
 
 
+@register("deliver_new_reservation", """
+SELECT r.reservation_id, u.user_id, u.email, CASE u.role WHEN 'aprobador' THEN 1 ELSE 2 END AS audience_rank,
+  'reservation_created' AS type, 'Nueva solicitud de reserva' AS title,
+  'Se ha creado una nueva solicitud de reserva para la sala ' || rm.name || ' el ' ||
+    strftime(r.start_time, '%-d/%-m/%Y') || ' de ' || strftime(r.start_time, '%H:%M') || ' a ' ||
+    strftime(r.end_time, '%H:%M') || '.' AS message
+FROM reservations r LEFT JOIN rooms rm ON rm.room_id = r.room_id
+JOIN users u ON u.role IN ('aprobador', 'administrador') AND u.is_active
+WHERE r.status = 'pendiente' AND CAST(r.created_at AS DATE) =
+  (SELECT CAST(MAX(created_at) AS DATE) FROM reservations WHERE status = 'pendiente')
+""", ("reservations", "rooms", "users"))
+def q_deliver_new_reservation(spark, d):
+    f = fx(spark, d)
+    pending = f.reservations.filter(F.col("status") == "pendiente")
+    newest = pending.agg(F.to_date(F.max("created_at")).alias("d")).scalar()  # the batch: the newest day's
+    batch = pending.filter(F.to_date("created_at") == newest)
+    return N.delivered(N.fanout_new_reservation(batch, f.users, f.rooms), f.users)
+
+
 @register("notify_decisions", _EN_FOLD + """,
 fin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reservation_id ORDER BY rn DESC) AS k FROM st)
         WHERE k = 1)
@@ -243,7 +349,11 @@ def q_latest_unread_notifications(spark, d):
     return N.latest_notifications(fx(spark, d).notifications, n=3, unread_only=True)
 
 
-@register("enum_order", "SELECT * FROM reservations", ("reservations",))
+@register("enum_order", """
+SELECT *, CASE status WHEN 'pendiente' THEN 1 WHEN 'aprobada' THEN 2 WHEN 'completada' THEN 3 WHEN 'rechazada' THEN 4
+  WHEN 'cancelada' THEN 5 END AS position
+FROM reservations
+""", ("reservations",))
 def q_enum_order(spark, d):
     return N.enum_order(fx(spark, d).reservations, "status",
                         ("pendiente", "aprobada", "completada", "rechazada", "cancelada"), "reservation_id")

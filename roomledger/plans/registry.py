@@ -1,8 +1,8 @@
 """Registry of runnable queries and their DuckDB oracle text.
 
 A query is ``fn(spark, sf_dir) -> DataFrame``.  Its oracle is an independent
-SQL formulation (written like the reference's own SQL, not like our plan)
-that runs on the base parquet views; booking tables are built by the same
+SQL formulation of the result (not of our plan) that runs on the base parquet
+views; booking tables are built by the same
 mapping text as on the Spark side (see ``sources.fixtures``).
 """
 

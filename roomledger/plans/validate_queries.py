@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from roomledger.operators import validate as V
+from roomledger.functions.core import concat_names
 from roomledger.plans.registry import AS_OF, AS_OF_SQL, fx, register
+from roomledger.session import checkpoint_dir
 
 
 def _flat(df, key):
@@ -121,6 +125,8 @@ def q_validate_user_updates(spark, d):
     ("capacity_range", "capacity IS NULL OR capacity NOT BETWEEN 1 AND 100"),
     ("description_length", f"description IS NOT NULL AND {_lenbad('description', None, 500)}"),
     ("location_length", f"location IS NOT NULL AND {_lenbad('location', None, 200)}"),
+    ("equipment_not_list", "equipment IS NOT NULL AND CASE WHEN json_valid(equipment) THEN json_type(equipment) <> 'ARRAY' "
+                           "ELSE true END"),
 ]), ("room_submissions",))
 def q_validate_rooms(spark, d):
     return _flat(V.validate_rooms(fx(spark, d).room_submissions), "submission_id")
@@ -160,6 +166,41 @@ def q_violation_report(spark, d):
     return V.violation_report(V.validate_new_reservations(fx(spark, d).booking_requests, AS_OF))
 
 
+@register("violation_report_observed", f"""
+WITH v AS ({_oracle("request_id", "booking_requests", _NEW_RES_RULES)})
+SELECT rule, COUNT(*) AS violations FROM (SELECT unnest(string_split(errors, ',')) AS rule FROM v WHERE errors <> '')
+GROUP BY rule
+""", ("booking_requests",))
+def q_violation_report_observed(spark, d):
+    return _written(spark, d)[0]
+
+
+@register("quarantine_written", f"""
+WITH v AS ({_oracle("request_id", "booking_requests", _NEW_RES_RULES)})
+SELECT request_id, is_valid AS valid, errors FROM v
+""", ("booking_requests",))
+def q_quarantine_written(spark, d):
+    return spark.read.parquet(_written(spark, d)[1]).select(
+        "request_id", (F.col("part") == "valid").alias("valid"), F.array_join("errors", ",").alias("errors"))
+
+
+def _written(spark, d):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quarantine/{uuid.uuid4().hex}"
+    checked = V.validate_new_reservations(fx(spark, d).booking_requests, AS_OF)
+    return V.write_validated(checked, path, tuple(code for code, _ in _NEW_RES_RULES)), path
+
+
+@register("user_full_names", """
+SELECT submission_id, first_name || ' ' || last_name AS full_name,
+  first_name || ' ' || CASE WHEN phone IS NOT NULL THEN last_name END AS known_name
+FROM user_submissions
+""", ("user_submissions",))
+def q_user_full_names(spark, d):
+    known = F.when(F.col("phone").isNotNull(), F.col("last_name"))
+    return fx(spark, d).user_submissions.select("submission_id", concat_names("first_name", "last_name").alias("full_name"),
+                                                concat_names("first_name", known).alias("known_name"))
+
+
 @register("quarantine_reservations", f"""
 WITH v AS ({_oracle("request_id", "booking_requests", _NEW_RES_RULES)})
 SELECT b.*, v.errors FROM booking_requests b JOIN v ON v.request_id = b.request_id WHERE NOT v.is_valid

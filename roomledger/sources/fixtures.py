@@ -114,10 +114,16 @@ SELECT c_custkey AS submission_id,
   CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '555-0100' ELSE 'abc' END AS phone
 FROM {customer}""",
     # user rows arriving for insertion (new ids, keyed by email)
+    # (some with names and emails of users that are there, written otherwise)
     "new_users": """
 SELECT submission_id + 1000000000 AS user_id, concat(first_name, ' ', last_name) AS user_name, email, role,
   department, true AS is_active
-FROM {user_submissions}""",
+FROM {user_submissions}
+UNION ALL
+SELECT submission_id + 2000000000 AS user_id, first_name AS user_name,
+  concat(' ', upper(replace(email, '@', CASE WHEN submission_id % 6 = 0 THEN '@' ELSE '.new@' END)), ' ') AS email,
+  'recepcion' AS role, department, true AS is_active
+FROM {user_submissions} WHERE submission_id % 3 = 0""",
     # partial user updates: which fields were sent is explicit (set_*)
     "user_changes": """
 SELECT submission_id AS user_id, submission_id AS change_seq, role,
@@ -133,7 +139,19 @@ FROM {requests} WHERE method = 'DELETE'""",
     "reschedules": """
 SELECT request_id AS change_id, request_id AS reservation_id,
   CASE WHEN request_id % 5 = 0 THEN NULL ELSE start_time END AS start_time, end_time
-FROM {booking_requests}""",
+FROM {booking_requests}
+UNION ALL
+SELECT request_id + 1000000000 AS change_id, request_id + 1000000000 AS reservation_id, start_time, end_time
+FROM {booking_requests} WHERE request_id % 40 = 0""",
+    # bookings as a faulty import would leave them: repeated ids, missing and unknown rooms and users, ends before starts
+    "faulty_reservations": """
+SELECT CASE WHEN reservation_id % 50 = 1 THEN reservation_id - 1 ELSE reservation_id END AS reservation_id,
+  CASE WHEN reservation_id % 70 = 0 THEN user_id + 500000000 ELSE user_id END AS user_id,
+  CASE WHEN reservation_id % 60 = 0 THEN NULL WHEN reservation_id % 80 = 1 THEN 999999 ELSE room_id + 1 END AS room_id,
+  CASE WHEN reservation_id % 90 = 0 THEN end_time ELSE start_time END AS start_time,
+  CASE WHEN reservation_id % 90 = 0 THEN start_time ELSE end_time END AS end_time,
+  CASE WHEN reservation_id % 45 = 0 THEN 51 ELSE attendees_count END AS attendees_count
+FROM {reservations}""",
     # a later snapshot of the state-id bookings: some approvals plus new rows
     "reservas_next": """
 SELECT id_reserva, id_usuario, id_sala, asistentes, fecha, inicio_min, fin_min,
@@ -146,9 +164,16 @@ SELECT request_id + 1000000000 AS id_reserva, user_id AS id_usuario, room_id AS
   CAST(hour(end_time) * 60 + minute(end_time) AS INTEGER) AS fin_min, 1 AS id_estado,
   coffee_break = 'solicitado' AS requiere_coffee, requested_at AS fecha_creacion
 FROM {booking_requests}""",
+    # a later snapshot with changes in one place: a block of ids approved
+    "reservas_patched": """
+SELECT id_reserva, id_usuario, id_sala, asistentes, fecha, inicio_min, fin_min,
+  CASE WHEN id_estado = 1 AND id_reserva BETWEEN 5000 AND 9000 THEN 2 ELSE id_estado END AS id_estado, requiere_coffee,
+  fecha_creacion
+FROM {reservas}""",
     "room_submissions": """
 SELECT p_partkey AS submission_id, CASE WHEN p_partkey % 9 = 0 THEN 'x' ELSE p_name END AS name,
-  p_size * 3 AS capacity, p_type AS description, p_brand AS location
+  p_size * 3 AS capacity, p_type AS description, p_brand AS location,
+  CASE p_partkey % 4 WHEN 0 THEN '["projector", "board"]' WHEN 1 THEN '{{"projector": 1}}' WHEN 2 THEN 'board' END AS equipment
 FROM {part}""",
 }
 
@@ -178,6 +203,8 @@ DEPS: dict[str, tuple[str, ...]] = {
     "deactivations": ("requests",),
     "reschedules": ("booking_requests",),
     "reservas_next": ("reservas", "booking_requests"),
+    "reservas_patched": ("reservas",),
+    "faulty_reservations": ("reservations",),
 }
 
 

@@ -41,7 +41,7 @@ def normalize_booking(reservas: DataFrame, estados: DataFrame, checkins: DataFra
     ck = (checkins.filter(F.col("valid")).groupBy("reservation_id")
           .agg(F.min("checkin_at").alias("checked_in_at"))
           .withColumnRenamed("reservation_id", "id_reserva"))
-    r = reservas.join(F.broadcast(st), "id_estado", "left").join(ck, "id_reserva", "left")
+    r = reservas.join(st, "id_estado", "left").join(ck, "id_reserva", "left")
     return r.select(
         F.col("id_reserva").alias("reservation_id"), F.col("id_usuario").alias("user_id"),
         F.col("id_sala").alias("room_id"),
@@ -136,7 +136,9 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, key: list[str], ord
 def insert_users(users: DataFrame, incoming: DataFrame, order_col: str = "user_id") -> tuple[DataFrame, DataFrame]:
     """SRC-5 for users: the role must be a known role name, otherwise the row is
     rejected (the reference raises); valid rows are inserted when the email
-    is new.  Returns (new users snapshot, rejected rows)."""
+    is new.  Emails are trimmed and lower-cased first, names trimmed.  Returns
+    (new users snapshot, rejected rows)."""
+    incoming = incoming.withColumns({"email": F.lower(F.trim("email")), "user_name": F.trim("user_name")})
     ok = F.col("role").isin(*ROLES)
     rejected = incoming.filter(~F.coalesce(ok, F.lit(False))).withColumn("error", F.lit("invalid_role"))
     return insert_if_absent(users, incoming.filter(ok), ["email"], order_col), rejected

@@ -4,7 +4,7 @@ requests one at a time; an admitted request blocks later ones)."""
 import datetime as dt
 import random
 
-from roomledger.operators.admission import admit_reservations, greedy_admit
+from roomledger.operators.admission import _Admitted, admit_reservations
 
 AS_OF = dt.datetime(2024, 3, 1, 8, 0)
 MONDAY = dt.datetime(2024, 3, 4)
@@ -70,7 +70,12 @@ def test_same_time_requests_first_arrival_wins():
                         "day": ["d", "d", "d"], "requested_at": pd.to_datetime(["2024-01-01 10:00:01",
                                                                                 "2024-01-01 10:00:00",
                                                                                 "2024-01-01 10:00:02"])})
-    app = dict(greedy_admit(pdf, "app").values.tolist())
+
+    def decided(mode):
+        seen = _Admitted(mode)
+        return {r.request_id: seen.offer(r.lo, r.hi, r.day) for r in pdf.sort_values("requested_at").itertuples()}
+
+    app = decided("app")
     assert app == {2: True, 1: False, 3: True}          # back-to-back allowed
-    trg = dict(greedy_admit(pdf, "trigger").values.tolist())
+    trg = decided("trigger")
     assert trg == {2: True, 1: False, 3: False}         # closed: touching blocks

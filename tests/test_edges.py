@@ -203,3 +203,58 @@ def test_authorize_role_gate_and_visibility(spark):
     res = spark.createDataFrame([(10, 3), (11, 4)], "reservation_id long, user_id long")
     assert [r.reservation_id for r in FL.visible_reservations(res, 3, "organizador").collect()] == [10]
     assert FL.visible_reservations(res, 2, "recepcion").count() == 2
+
+
+def test_pruned_diff_drops_equal_ranges_before_the_join(spark):
+    from roomledger.operators import notify as N
+    before = spark.range(100_000).select(F.col("id").alias("id_reserva"), (F.col("id") % 7).alias("id_usuario"),
+                                         F.when(F.col("id") % 11 > 0, F.col("id") % 5).alias("id_estado"))
+    after = before.where("id_reserva <> 50001").withColumn(
+        "id_estado", F.when(F.col("id_reserva").isin(11, 50_000), 9).otherwise(F.col("id_estado"))).union(
+        spark.createDataFrame([(100_001, 1, None)], "a long, b long, c long"))
+    b, a = N.differing(before, after, "id_reserva")
+    assert b.count() < 3 * N.RANGE and a.count() < 3 * N.RANGE
+    plain = N.diff_to_audit(before, after, include_deletes=True, values=True)
+    pruned = N.diff_to_audit(before, after, include_deletes=True, values=True, pruned=True)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, pruned.collect())) and pruned.count() == 4
+    same = N.diff_to_audit(before, before, pruned=True)
+    assert same.count() == 0
+    # the values read back from the audit rows
+    rows = {(r.id_registro, r.field): (r.old_value, r.new_value)
+            for r in N.changed_values(pruned, {"id_estado": "long", "id_usuario": "long"}).collect()}
+    assert rows[(11, "id_estado")] == (None, "9") and rows[(50_000, "id_estado")][1] == "9" and (11, "id_usuario") not in rows
+
+
+def test_order_by_position(spark):
+    from roomledger.operators import notify as N
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "zz"), (4, "a"), (5, None), (6, "c")], "id long, status string")
+    got = [(r.id, r.position) for r in N.enum_order(df, "status", ("a", "b", "c"), "id").collect()]
+    assert got == [(2, 1), (4, 1), (1, 2), (6, 3), (3, None), (5, None)]
+
+
+def test_collated_names_join_without_case(spark):
+    from roomledger.functions.core import ci, ieq
+    a = spark.createDataFrame([(1, "pendiente"), (2, "APROBADA"), (3, None)], "id long, status string")
+    b = spark.createDataFrame([("Pendiente",), ("Aprobada",)], "nombre string")
+    met = a.join(b, ieq("status", F.col("nombre")))
+    assert {(r.id, r.nombre) for r in met.collect()} == {(1, "Pendiente"), (2, "Aprobada")}
+    assert "NestedLoop" not in met._jdf.queryExecution().executedPlan().toString()
+    assert a.union(b.select(F.lit(9).cast("long"), "nombre")).groupBy(ci("status").alias("s")).count().count() == 3
+
+
+def test_validated_rows_are_written_and_counted_in_one_scan(spark, tmp_path):
+    from roomledger.operators import validate as V
+    rooms = spark.createDataFrame([("x", 5, None, None, '["tv"]'), ("hall", 0, None, None, "tv"), ("hall", 5, None, None, None)],
+                                  "name string, capacity int, description string, location string, equipment string")
+    rules = ("name_length", "capacity_range", "equipment_not_list")
+    report = V.write_validated(V.validate_rooms(rooms), str(tmp_path / "out"), rules)
+    assert {(r.rule, r.violations) for r in report.collect()} == {(r, 1) for r in rules}
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.where("part = 'valid'").count() == 1 and back.where("part = 'quarantine'").count() == 2
+
+
+def test_fixed_text(spark):
+    from roomledger.functions.core import fixed
+    df = spark.createDataFrame([(9, 4), (1, 3), (0, 0), (200, 1), (5, 1000)], "n long, d long")
+    assert [tuple(r) for r in df.select(fixed("n", "d", 1), fixed("n", "d", 2, 100)).collect()] == [
+        ("2.3", "225.00"), ("0.3", "33.33"), ("0.0", "0.00"), ("200.0", "20000.00"), ("0.0", "0.50")]

@@ -43,10 +43,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    missing = sorted(set(QUERIES) - set(ORACLES))
-    # queries without an SQL form are checked by their own tests
-    assert set(missing) <= {"stream_audit_windows_rows", "stream_no_shows", "stream_reminders",
-                            "stream_admission"}, missing
+    assert sorted(set(QUERIES) - set(ORACLES)) == []
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -55,9 +52,6 @@ def test_query_matches_oracle(spark, con, name):
     cols = df.columns
     assert len({c.lower() for c in cols}) == len(cols)  # else the result can't be written
     got = [tuple(r) for r in df.collect()]
-    if name not in ORACLES:
-        assert len(got) >= 0
-        return
     cur = con.execute(ORACLES[name])
     ocols = [d[0] for d in cur.description]
     want = cur.fetchall()

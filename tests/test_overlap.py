@@ -170,3 +170,62 @@ def test_available_rooms(spark):
     assert out == 2  # room 4 busy, room 3 inactive
     out10 = O.available_rooms(win, rooms, rdf, min_capacity=10).first().n_available
     assert out10 == 1
+
+
+def test_cover_tiles_any_interval(spark):
+    """The nodes of a cover are disjoint, tile the interval, and are few, whatever its length."""
+    import random
+    rng = random.Random(4)
+    starts = [rng.randint(-300, 300) for _ in range(200)]
+    rows = [(f, f + rng.choice([0, 1, 2, 5, 17, 100, 1000, 70_000_000])) for f in starts]
+    for bits in (1, 2, 4):
+        df = spark.createDataFrame(rows, "f long, l long").withColumn("c", F.expr(O._cover("f", "l", 0, bits)))
+        for r in df.collect():
+            spans = sorted((n._node << bits * n._lvl, n._node + 1 << bits * n._lvl) for n in r.c)
+            assert spans[0][0] == r.f and spans[-1][1] == r.l + 1
+            assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+            assert bits > 1 or len(spans) <= 64
+
+
+def _bookings(spark, rows):
+    return spark.createDataFrame(rows, "reservation_id long, room_id long, start_time timestamp_ntz, end_time timestamp_ntz, "
+                                       "status string")
+
+
+def test_booking_without_end_costs_nothing(spark):
+    """A booking to the year 9999 beside others: same answers, found at once."""
+    t = dt.datetime(2024, 3, 4, 8, 0)
+    rows = [(i, i % 3, t + dt.timedelta(hours=i), t + dt.timedelta(hours=i + 2), "aprobada") for i in range(300)]
+    rows += [(1000, 1, t + dt.timedelta(hours=200), dt.datetime(9999, 12, 31), "aprobada"),
+             (1001, 2, dt.datetime(2500, 1, 1), dt.datetime(9999, 12, 31), "pendiente")]
+    for mode in ("app", "trigger"):
+        got = {(r.a_id, r.b_id) for r in O.double_booked_pairs(_bookings(spark, rows), mode).collect()}
+        want = set()
+        for a in rows:
+            for b in rows:
+                if a[0] < b[0] and a[1] == b[1]:
+                    closed = a[2] <= b[3] and b[2] <= a[3] and a[2].date() == b[2].date()
+                    if closed if mode == "trigger" else (a[2] < b[3] and b[2] < a[3]):
+                        want.add((a[0], b[0]))
+        assert got == want
+    slots = spark.createDataFrame([(1, t, t + dt.timedelta(hours=1)), (2, dt.datetime(3000, 1, 1), dt.datetime(9000, 1, 1))],
+                                  "slot_id long, start_time timestamp_ntz, end_time timestamp_ntz")
+    busy = {(r.slot_id, r.room_id) for r in O.busy_rooms(slots, _bookings(spark, rows)).collect()}
+    assert busy == {(1, 0), (2, 1), (2, 2)}
+
+
+def test_hot_room_hour_is_spread_over_tasks(spark):
+    """200,000 bookings of one room in one hour, a second each: all pairs, from many tasks."""
+    n = 200_000
+    start = F.expr("timestamp_ntz'2024-03-04 08:00:00' + make_dt_interval(0, 0, 0, id % 3600)")
+    res = spark.range(n).select(F.col("id").alias("reservation_id"), F.lit(1).cast("long").alias("room_id"), start.alias("start_time"),
+                                (start + F.expr("interval '1' second")).alias("end_time"), F.lit("aprobada").alias("status"))
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")  # as on a cluster, where partitions are large
+    try:
+        per_task = O.double_booked_pairs(res).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set(setting, "true")
+    counts = sorted(r["count"] for r in per_task)
+    assert sum(counts) == 2000 * 56 * 55 // 2 + 1600 * 55 * 54 // 2
+    assert len(counts) >= 4 and counts[-1] < sum(counts) / 2

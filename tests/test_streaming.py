@@ -133,3 +133,55 @@ def test_unknown_checkins_and_reminders_of_changed_bookings(spark):
         [row(8, 900, "aprobada", 130)]])
     out = J.drain(J.reminder_timers(src, 30, "0 seconds", 2), "reminders_changed").collect()
     assert sorted((r.reservation_id, r.due_at) for r in out) == [(i, T0 + dt.timedelta(minutes=30)) for i in (1, 3)]
+
+
+def test_admission_answers_late_and_overnight_requests(spark):
+    """Micro-batches decide against what earlier ones admitted; late rows and slots over midnight have rows like others."""
+    from roomledger.operators.admission import admit_reservations
+
+    day = dt.datetime(2024, 1, 15)  # a Monday
+    schema = ("request_id long, user_id long, room_id long, start_time timestamp_ntz, end_time timestamp_ntz, attendees_count int, "
+              "coffee_break string, requested_at timestamp_ntz")
+
+    def request(i, room, start, end, sent):
+        return (i, 1, room, day + dt.timedelta(hours=start), day + dt.timedelta(hours=end), 2, None, T0 + dt.timedelta(minutes=sent))
+
+    batches = [
+        [request(1, 1, 9, 11, 0), request(2, 1, 10, 12, 1), request(3, 1, 18, 24 + 9, 2)],
+        [request(4, 1, 11, 12, 500), request(5, 1, 24 + 8, 24 + 10, 501), request(6, 2, 9, 10, 502)],
+        [request(7, 2, 9, 10, 3), request(8, 1, 24 + 9, 24 + 10, 4), request(9, 1, 12, 13, -5000), request(10, 7, 9, 10, 5)]]
+    rooms = spark.createDataFrame([(1, 10, True), (2, 10, True)], "room_id long, capacity int, is_active boolean")
+    res = spark.createDataFrame([(100, 1, day + dt.timedelta(hours=14), day + dt.timedelta(hours=15), "aprobada")],
+                                "reservation_id long, room_id long, start_time timestamp_ntz, end_time timestamp_ntz, status string")
+    got = {r.request_id: r.decision for r in J.drain_admission(_batches(spark, "req", schema, batches), res, rooms, T0).collect()}
+    assert got == {1: "admitted", 2: "conflict_batch", 3: "admitted", 4: "admitted", 5: "conflict_batch", 6: "admitted",
+                   7: "conflict_batch", 8: "admitted", 9: "admitted", 10: "room_not_found"}
+    # the same requests in that order as one batch
+    rows = [(*r[:7], T0 + dt.timedelta(seconds=k)) for k, r in enumerate(r for b in batches for r in b)]
+    whole = admit_reservations(spark.createDataFrame(rows, schema), res, rooms, T0)
+    assert got == {r.request_id: r.decision for r in whole.collect()}
+
+
+def test_checkins_without_booking_are_emitted(spark):
+    bookings = "id_reserva long, id_sala long, id_estado int, fecha_creacion timestamp_ntz"
+    cks = "reservation_id long, checkin_at timestamp_ntz, valid boolean"
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    out = J.checkins_to_in_progress(
+        _batches(spark, "ck", cks, [[(1, at(10), True), (9, at(12), True)], [(2, at(40), False), (3, at(300), True)], [(1, at(900), True)],
+                                    [(4, at(1000), True)]]),
+        _batches(spark, "res", bookings, [[(1, 5, 2, at(0)), (3, 6, 2, at(0))], [(2, 5, 1, at(50))], [(8, 5, 1, at(900))],
+                                          [(8, 5, 1, at(1000))]]), "1 hour", "0 seconds")
+    got = sorted((r.id_reserva, r.checkin_at, r.new_state) for r in J.drain(out, "interval_join").collect())
+    # 1 again and 3 came too long after their bookings; 4 may still meet one
+    want = [(1, at(10), 6), (2, at(40), 6), (9, at(12), None), (3, at(300), None), (1, at(900), None)]
+    assert got == sorted(want)
+
+
+def test_sliding_windows_count_actors_once(spark):
+    folder = tempfile.mkdtemp(prefix="roomledger-stream-", dir="/tmp")
+    _audit_file(os.path.join(folder, "audit_log.parquet"),
+                [_row(1, 5, user=1), _row(2, 20, user=1), _row(3, 50, user=2), _row(4, 55, user=None), _row(5, 400, user=3)])
+    src = spark.readStream.schema(AUDIT_LOG).option("pathGlobFilter", "audit_log.parquet").parquet(folder)
+    out = J.drain(J.audit_activity_windows(src, "1 hour", "30 minutes", "1 hour"), "sliding").collect()
+    got = {(r.window_start - T0).total_seconds() // 60: (r.action_count, r.unique_users) for r in out}
+    assert got == {-30: (2, 1), 0: (4, 2), 30: (2, 1)}
