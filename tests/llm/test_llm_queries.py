@@ -14,7 +14,7 @@ from test_llm_operators import brute_components, brute_hits
 
 def test_all_registered():
     names = E.queries()
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in names)] == []
     assert "pipeline" in names and set(queries.ORACLES) <= set(names)
 
 
