@@ -9,13 +9,18 @@ cluster* (see ``admission``) over old slots and asked-for slots:
 
 * rows of a cluster stream in change order; a try is refused when a slot
   present at that moment overlaps it, else it takes its place;
-* a booking may leave a cluster through a change decided in another one.
-  When it leaves is taken from the previous round's outcomes, and rounds
-  repeat until no outcome differs.  A change is settled at the latest one
-  round after all earlier ones are, so the rounds end, and at their end the
-  outcomes are those of the sequential fold.  Nearby moves share a cluster
-  and settle in the first round; further rounds are needed only along chains
-  of moves from cluster to cluster.
+* a booking may leave a cluster through a change decided in another one.  A
+  booking whose slots lie within a day counts as one interval over all of
+  them, and clusters that a far move ties together are united (alternating
+  star steps over cluster ids), so all that can influence each other is
+  decided in one pass.
+
+Only where a booking with several changes leaves one of its times out, the slot
+it asks for depends on earlier outcomes.  Such a batch is decided in rounds:
+when a booking leaves a cluster, and what it asks for, is taken from the
+previous round's outcomes until no outcome differs.  A change is settled at the
+latest one round after all earlier ones are, so the rounds end, and at their
+end the outcomes are those of the sequential fold.
 
 No room's and no booking's rows are gathered: a task holds one Arrow batch
 and the slots of the current cluster.
@@ -150,6 +155,57 @@ def _round(asked: DataFrame, free: DataFrame) -> DataFrame:
             .select("change_id", F.col("free").alias("applied")))
 
 
+def _united(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of ``edges`` (a, b): each component's smallest node.
+
+    Alternating steps: every node hands its smallest neighbour to its larger
+    neighbours, then to its smaller ones.  Nodes are clusters, few beside the
+    rows, and the number of rounds is in the logarithm of a chain.
+    """
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    while True:
+        both = now.union(now.select("b", "a"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = least.select("a", F.col("m").alias("b")).union(small.where("a > b")).distinct().checkpoint()
+        if new.join(now, ["a", "b"], "left_anti").isEmpty() and now.join(new, ["a", "b"], "left_anti").isEmpty():
+            return new.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        now = new
+
+
+def _at_once(moves: DataFrame, still: DataFrame, as_of, width: int) -> tuple[DataFrame, DataFrame]:
+    """(asked, applied timed changes) where the slots asked for don't depend on outcomes."""
+    asked = moves.withColumns({f"new_{p}": F.coalesce(f"{p}_time", f"cur_{p}") for p in ("start", "end")})
+    asked = validate_slot(asked, as_of, start="new_start", end="new_end")
+    cols = ["room_id", "change_id", "reservation_id", "slot_lo", "slot_hi", "blocks"]
+    tries = asked.join(_free_of_others(asked, still, width), "change_id", "left_semi").select(
+        "room_id", "change_id", "reservation_id", epoch_seconds("new_start").alias("slot_lo"),
+        epoch_seconds("new_end").alias("slot_hi"), "blocks")
+    held = (asked.filter(F.col("blocks") & F.col("timed") & F.col("cur_start").isNotNull() & F.col("cur_end").isNotNull())
+            .select("room_id", F.lit(FIRST).cast("long").alias("change_id"), "reservation_id", epoch_seconds("cur_start").alias("slot_lo"),
+                    epoch_seconds("cur_end").alias("slot_hi"), F.lit(True).alias("blocks")).dropDuplicates(["reservation_id"]))
+    rows = tries.select(*cols).unionByName(held.select(*cols)).withColumns(
+        {"lo": F.least("slot_lo", "slot_hi"), "hi": F.greatest("slot_lo", "slot_hi")})
+    hull = rows.groupBy("reservation_id").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
+    near = F.col("_hi") - F.col("_lo") <= DAY
+    rows = (rows.join(hull, "reservation_id").withColumns({"lo": F.when(near, F.col("_lo")).otherwise(F.col("lo")),
+                                                           "hi": F.when(near, F.col("_hi")).otherwise(F.col("hi")), "far": ~near})
+            .select(*cols, "lo", "hi", "far").checkpoint())
+    labeled = _cluster_labels(rows, DAY).withColumn("node", F.xxhash64("room_id", "cluster"))  # equal hashes only unite more
+    far = rows.filter("far").limit(1)
+    if not far.isEmpty():
+        ties = labeled.filter("far").select("reservation_id", "node").distinct()
+        first = ties.groupBy("reservation_id").agg(F.min("node").alias("b"))
+        united = _united(ties.join(first, "reservation_id").select(F.col("node").alias("a"), "b"))
+        labeled = labeled.join(united, "node", "left").withColumn("node", F.coalesce("component", "node"))
+    decided = (labeled.withColumn("cluster", F.col("node")).withColumn("until", F.lit(NEVER))
+               .repartition("room_id", "cluster").sortWithinPartitions("room_id", "cluster", "change_id", "reservation_id")
+               .mapInPandas(_decide, schema="change_id long, free boolean"))
+    return asked, decided.filter("free").select("change_id", F.lit(True).alias("applied"))
+
+
 def reschedule(res: DataFrame, changes: DataFrame, as_of, width: int = 3600) -> tuple[DataFrame, DataFrame]:
     """ST-3: apply time changes to reservations in the order of ``change_id``.
 
@@ -180,7 +236,11 @@ def reschedule(res: DataFrame, changes: DataFrame, as_of, width: int = 3600) ->
     varying = not partial.filter("n > 1 AND part").isEmpty()
     applied = moves.select("change_id", (~F.col("timed")).alias("applied"))
     free = None
-    while True:
+    if not varying:
+        asked, applied = _at_once(moves, still, as_of, width)
+        asked = (asked.join(applied, "change_id", "left")
+                 .withColumn("applied", F.coalesce("applied", F.lit(False)) | ~F.col("timed")).checkpoint())
+    while varying:
         asked = _asked(moves, applied, as_of)
         if free is None or varying:
             free = _free_of_others(asked, still, width).checkpoint()
@@ -191,7 +251,8 @@ def reschedule(res: DataFrame, changes: DataFrame, as_of, width: int = 3600) ->
         applied = new
         if settled:
             break
-    asked = _asked(moves, applied, as_of).checkpoint()
+    if varying:
+        asked = _asked(moves, applied, as_of).checkpoint()
     outcome = (F.when(F.col("found").isNull(), "not_found").when(~F.col("open"), "not_modifiable")
                .when(F.col("timed") & ((F.size("errors") > 0) | F.col("new_start").isNull()
                                        | F.col("new_end").isNull()), "invalid_time")
