@@ -15,7 +15,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordKeys(dict):
     """64-bit keys of words (xxh3, so no pattern of letters makes two words meet), remembered."""
 
-    KEPT = 1_000_000  # words, at about 150 bytes each
+    KEPT = 200_000  # words, at about 200 bytes each
 
     def __missing__(self, word: bytes) -> int:
         key = self[word] = xxh3_64_intdigest(word)

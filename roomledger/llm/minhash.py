@@ -11,9 +11,12 @@ word shingles.
 3. Stars: in every bucket the smallest, and after that, where a bucket still
    holds several components, the largest document meets all others.
 4. Blocks: buckets that still hold several components are cut in blocks of
-   ``BLOCK`` documents; pairs of blocks are compared in numpy, each in a task.
+   ``BLOCK`` documents; pairs of blocks are compared in numpy, each in a task,
+   a pair only in the first band it shares.  The documents' sets come along,
+   so a task returns links alone, and no more than connect its documents.
 5. Pairs of 3 and 4 must agree in as much of their signature as that similarity
-   gives, less ``DOUBT`` standard deviations, and are then confirmed on whole sets.
+   gives, less ``DOUBT`` standard deviations, before whole sets are compared;
+   every link is confirmed on the words of the whole texts.
 6. Components of all links by alternating large-star and small-star steps.
 
 Pairs inside a component are not sought, as they can't change it.
@@ -34,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomledger.llm.common import pieces, save
+from roomledger.llm.common import give_back, pieces, save
 from roomledger.llm.components import components
-from roomledger.llm.confirm import confirmed
+from roomledger.llm.confirm import IDS_BROADCAST, confirmed
 from roomledger.llm.hashing import WordKeys, mix, shingles
 
 BANDS = 40
@@ -44,8 +47,8 @@ ROWS = 6
 DOUBT = 6  # standard deviations
 PIECE_CHARS = 1_000_000
 BLOCK = 1_024
-PAIRS = 200_000  # compared at a time in a task
-ENTRIES = 100_000  # of a group of buckets, about
+PAIRS = 50_000  # compared at a time in a task
+GROUP_BYTES = 4_000_000  # of a group of small buckets, about
 _random = np.random.default_rng(13)
 TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 PLUS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -113,7 +116,8 @@ def _signatures_agree(percent: int):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in "xy")
-                yield batch.select(["a", "b", "n"]).filter(pa.array(agree(x, y, percent)))
+                yield batch.select(["a", "b"]).filter(pa.array(agree(x, y, percent)))
+        give_back()
     return run
 
 
@@ -123,14 +127,14 @@ def near(n, m, percent: int):
 
 
 def stars(entries: DataFrame, reps: DataFrame, hub, percent: int) -> DataFrame:
-    """Pairs (a, b, n) of each bucket's hub (``hub``: the aggregate that picks it) and its other documents
+    """Pairs (a, b) of each bucket's hub (``hub``: the aggregate that picks it) and its other documents
     of other components whose signatures agree."""
     hubs = entries.groupBy("bucket").agg(hub(F.col("id")).alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
     pairs = entries.join(save(hubs.drop("m"), "hubs"), "bucket").where("id != a").select("a", F.col("id").alias("b"), "comp").distinct()
     one = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x"), F.col("comp").alias("ca"))
     other = reps.select(F.col("id").alias("b"), "n", F.col("sig").alias("y"))
     return (pairs.join(other, "b").join(one, "a").where(near(F.col("n"), F.col("na"), percent) & (F.col("ca") != F.col("comp")))
-            .select("a", "b", "n", "x", "y").mapInArrow(_signatures_agree(percent), "a long, b long, n long").distinct())
+            .select("a", "b", "x", "y").mapInArrow(_signatures_agree(percent), "a long, b long").distinct())
 
 
 def mixed(reps: DataFrame) -> DataFrame:
@@ -141,36 +145,99 @@ def mixed(reps: DataFrame) -> DataFrame:
     return entries.join(save(several, "mixed"), "bucket")
 
 
-def _block_pairs(percent: int):
+class Forest:
+    """Components of the documents of a group."""
+
+    def __init__(self, label: np.ndarray):
+        self.label = np.unique(label, return_inverse=True)[1]
+
+    def link(self, x: int, ys: np.ndarray) -> list[int]:
+        """Link ``x`` with documents ``ys``; those that were not connected yet."""
+        new = []
+        for y in ys.tolist():
+            a, b = self.label[x], self.label[y]
+            if a != b:
+                self.label[self.label == b] = a
+                new.append(y)
+        return new
+
+
+def shared_sizes(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The size of each intersection with the sorted set ``x`` (no set is empty)."""
+    all_ = np.concatenate(others)
+    at = np.minimum(np.searchsorted(x, all_), len(x) - 1)
+    return np.add.reduceat((x[at] == all_).astype(np.int64), np.cumsum([0] + [len(o) for o in others[:-1]]))
+
+
+def _block_links(percent: int):
+    """Links (a, b) between documents of different components that share a bucket of the group."""
     def run(key, table):
-        found = []
-        bucket, ids, comp, n = (table.column(c).to_numpy() for c in ("bucket", "id", "comp", "n"))
+        bucket, ids, comp = (table.column(c).to_numpy() for c in ("bucket", "id", "comp"))
         order = np.lexsort((ids, bucket))
-        bucket, ids, comp, n = bucket[order], ids[order], comp[order], n[order]
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+        bucket, ids, comp = bucket[order], ids[order], comp[order]
+        take = table.take(pa.array(order))
+        sig = np.frombuffer(b"".join(take.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = take.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        sets = [np.frombuffer(v, np.uint64) for v in take.column("set").to_pylist()]
+        n = np.array([len(v) for v in sets])
+        forest = Forest(comp)
         end = np.searchsorted(bucket, bucket, side="right")
         todo = end - np.arange(len(ids)) - 1
         done = np.cumsum(todo)
+        found = []
         at = 0
         while at < len(ids):
             to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, side="right")))
             t = todo[at:to]
             x = np.repeat(np.arange(at, to), t)
             y = x + 1 + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
-            ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            ok = (forest.label[x] != forest.label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[ok], y[ok]
+            same = bands[x] == bands[y]
+            ok = bands[x, same.argmax(1)] == bucket[x]  # the first band that they share
             x, y = x[ok], y[ok]
             ok = agree(sig[x], sig[y], percent)
-            found.append(np.stack([ids[x[ok]], ids[y[ok]], n[y[ok]]], 1))
+            x, y = x[ok], y[ok]
+            first = np.flatnonzero(np.diff(x, prepend=-1))
+            for i, j in zip(first.tolist(), np.append(first[1:], len(x)).tolist()):
+                one, some = int(x[i]), y[i:j]
+                some = some[forest.label[some] != forest.label[one]]
+                if len(some):
+                    shared = shared_sizes(sets[one], [sets[k] for k in some.tolist()])
+                    linked = some[100 * shared >= percent * (n[one] + n[some] - shared)]
+                    found += [(ids[one], ids[k]) for k in forest.link(one, linked)]
             at = to
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
-        return pa.table(dict(zip(("a", "b", "n"), pairs.T)))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        give_back()
+        return pa.table(dict(zip(("a", "b"), pairs.T)))
+    return run
+
+
+def _sets(k: int):
+    """The sorted shingle hashes of each text, with the key of their set."""
+    def run(batches):
+        keys = WordKeys()
+        for batch in batches:
+            for piece in pieces(batch, "text", PIECE_CHARS):
+                some = [s.tobytes() for s in shingles(piece.column("text").to_pylist(), k, keys)]
+                digest = [hashlib.blake2b(s, digest_size=16).digest() for s in some]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(digest, pa.binary()), pa.array(some, pa.binary())],
+                                                 names=["id", "key", "set"])
     return run
 
 
-def blocks(entries: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n) of ``entries`` (bucket, id, comp, m) of different components whose signatures agree."""
-    total = entries.count()
-    groups = F.pmod(F.xxhash64("bucket"), F.lit(max(1, -(-total // ENTRIES))))
+def blocks(entries: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents of ``entries`` (bucket, id, comp, m) that are in different components."""
+    entries = save(entries, "entries")
+    ids = save(entries.select("id").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
+    texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").select(F.col("id").alias("doc_id"), "text")
+    sets = save(texts.mapInArrow(_sets(k), "id long, key binary, set binary"), "sets", "uncompressed")
+    signed = reps.select("id", "key", "buckets", "sig").join(ids, "id", "left_semi")
+    sets = save(signed.join(sets, ["id", "key"]).dropDuplicates(["id", "key"]).drop("key"), "sets", "uncompressed")
+    each = F.length("set") + F.length("sig") + F.lit(8 * BANDS)
+    size = entries.join(sets.select("id", each.alias("size")), "id").agg(F.sum("size")).first()[0] or 0
+    groups = F.pmod(F.xxhash64("bucket"), F.lit(max(1, -(-size // GROUP_BYTES))))
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -178,8 +245,7 @@ def blocks(entries: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
              .select("bucket", "id", "comp", groups.alias("g"),
                      F.when(F.col("parts") > 1, F.concat_ws(":", "bucket", F.least("mine", "other"), F.greatest("mine", "other")))
                      .otherwise("").alias("cell")))
-    return (dealt.join(reps.select("id", "n", "sig"), "id").groupBy("g", "cell")
-            .applyInArrow(_block_pairs(percent), "a long, b long, n long").distinct())
+    return (dealt.join(sets, "id").groupBy("g", "cell").applyInArrow(_block_links(percent), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -191,7 +257,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = save(known.select("doc_id", "key").join(classes, "key").where("doc_id != rep")
                  .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "members")
     reps = save(known.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
-                .select(F.col("doc_id").alias("id"), "n", "buckets", "sig"), "reps")
+                .select(F.col("doc_id").alias("id"), "n", "key", "buckets", "sig"), "reps")
 
     def with_components(found: DataFrame) -> DataFrame:
         part = save(components(found), "components")
@@ -204,7 +270,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = save(confirmed(stars(mixed(now), now, F.max, percent), docs, k, percent), "sure")
     sure = save(sure.union(more), "sure")
     now = with_components(sure)
-    rest = confirmed(blocks(mixed(now), now, percent), docs, k, percent)
+    rest = confirmed(blocks(mixed(now), now, docs, k, percent), docs, k, percent)
     final = save(components(links.union(sure).union(rest)), "components")
     component = F.coalesce("component", "doc_id")
     return (rows.select("doc_id", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
