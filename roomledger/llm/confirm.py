@@ -6,59 +6,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomledger.llm.common import give_back, pieces, save
+from roomledger.llm.common import pieces, save
 from roomledger.llm.hashing import exact_shingles, linked
 
 PIECE_CHARS = 1_000_000
-SHARE = 400_000  # shingles of the texts that meet one copy of a hub's text, about
 IDS_BROADCAST = 2_000_000  # doc_ids; beyond, the join is left to Spark
 
 
 def _compare(k: int, percent: int):
-    """Streams rows (hub, share, b, text), the hub's own texts (b is null) before its partners."""
     def run(batches):
-        hub, own = None, []
         for batch in batches:
-            for piece in pieces(batch, "text", PIECE_CHARS):
-                texts, place, a, b = list(own), [], [], []
-                mine = list(range(len(own)))
-                for h, s, other, text in zip(*(piece.column(c).to_pylist() for c in ("hub", "share", "b", "text"))):
-                    if (h, s) != hub:
-                        hub, own, mine = (h, s), [], []
-                    if other is None:
-                        own.append(text)
-                        mine.append(len(texts))
-                    else:
-                        place.append((mine[:], len(texts)))
-                        a.append(h)
-                        b.append(other)
-                    texts.append(text)
-                sets = exact_shingles(texts, k)
-                ok = [any(linked(sets[x], sets[y], percent) for x in xs) for xs, y in place]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v for v, good in zip(c, ok) if good], pa.int64()) for c in (a, b)], names=["a", "b"])
-        give_back()
+            for piece in pieces(batch, "y", PIECE_CHARS):
+                pairs = list(zip(*(piece.column(c).to_pylist() for c in "xy")))
+                texts = list(dict.fromkeys(t for pair in pairs for t in pair))  # a hub's text is looked at once
+                sets = dict(zip(texts, exact_shingles(texts, k)))
+                ok = [linked(sets[x], sets[y], percent) for x, y in pairs]
+                yield piece.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` (a, b, n: shingles of b) whose whole texts in ``docs`` link.
+    """The pairs (a, b) whose whole texts in ``docs`` link.
 
-    Pairs are dealt by ``a``, the hub of a star, in shares of about ``SHARE``
-    shingles of its partners; a hub's text is sent once to each share, a
-    partner's once for each of its pairs.  A task holds one hub's text at a time.
+    A hub's many pairs are a skewed side of the first join, which Spark splits;
+    the other side holds each text once.
     """
-    pairs = save(pairs.select("a", "b", "n"), "pairs")
+    pairs = save(pairs.select("a", "b").distinct(), "pairs")
     ids = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    shares = pairs.groupBy("a").agg(F.ceil(F.sum("n") / SHARE).cast("int").alias("shares"))
-    many = shares.where("shares > 1")
-    share = F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).cast("int")
-    dealt = pairs.join(many, "a", "left").select(F.col("a").alias("hub"), share.alias("share"), "b")
-    partners = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("hub", "share", "b", "text")
-    hubs = (shares.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-            .join(texts.withColumnRenamed("doc_id", "hub"), "hub")
-            .select("hub", "share", F.lit(None).cast("long").alias("b"), "text"))
-    return (hubs.union(partners).repartition("hub", "share").sortWithinPartitions("hub", "share", F.col("b").asc_nulls_first())
-            .mapInArrow(_compare(k, percent), "a long, b long").distinct())
+    return (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+            .select("a", "b", "x", "y").mapInArrow(_compare(k, percent), "a long, b long").distinct())
