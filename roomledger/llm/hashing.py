@@ -56,8 +56,9 @@ def shingles(texts: list[str | None], k: int, keys: WordKeys) -> list[np.ndarray
 def exact_shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted distinct numbers of each text's ``k``-word shingles: equal numbers are equal words, in these texts.
 
-    Words are numbered from 1; each shingle is named by its first words' name
-    and its next word, and 0 fills up texts of fewer words.
+    Words are numbered from 1, and 0 fills up texts of fewer words.  A shingle
+    is the numbers of its words side by side; where these take more than 63
+    bits, those so far are numbered anew.
     """
     split = [words_of(t) for t in texts]
     number = {w: i for i, w in enumerate(dict.fromkeys(w for some in split for w in some), 1)}
@@ -67,8 +68,13 @@ def exact_shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
     for a, some in zip(cut.tolist(), split):
         words[a:a + len(some)] = np.fromiter(map(number.__getitem__, some), np.int64, len(some))
     names = words[:cut[-1]]
+    bits = each = len(number).bit_length()
     for j in range(1, k):
-        names = np.unique(names << 32 | words[j:j + cut[-1]], return_inverse=True)[1]
+        if bits + each > 63:
+            some, names = np.unique(names, return_inverse=True)
+            bits = len(some).bit_length()
+        names = names << each | words[j:j + cut[-1]]
+        bits += each
     return [np.unique(names[a:a + n - k + 1]) if n else names[:0] for a, n in zip(cut.tolist(), sizes)]
 
 
