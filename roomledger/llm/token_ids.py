@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomledger.llm.common import offset, pieces, remove, save, work_path
+from roomledger.llm.hashing import mix
 
 END_ID = 2
 PIECE_BYTES = 1_000_000  # text handled at a time in a task
 PIECE_IDS = 500_000  # ids coded or decoded at a time in a task
-WORDS_KEPT = 600_000  # words whose ids a worker remembers, at about 200 bytes each
+WORDS_KEPT = 1_000_000  # words whose ids a worker remembers, at about 90 bytes each
 
 
 class Shards(NamedTuple):
@@ -45,24 +46,81 @@ class Shards(NamedTuple):
     end_id: int
 
 
+ROOT = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
+BACK = np.uint64(pow(int(ROOT), -1, 1 << 64))
+
+
 # ---------------------------------------------------------------- tokenizing
 
 LONGEST = 64  # bytes of a word that is remembered
 
 
-class Words(dict):
-    """Numbers words as they come; ``new`` are those without ids so far.  Longer ones are no entries (-1)."""
+class WordHash:
+    """Polynomial hashes of byte ranges from prefix sums; powers are kept between calls."""
 
     def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        if len(word) > LONGEST:
-            return -1
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
+        self.power = self.back = np.ones(1, np.uint64)
+
+    def __call__(self, octets: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self.power) <= len(octets):
+            n = len(octets) + len(octets) // 4
+            self.power = self.back = None  # freed before the longer ones are made
+            self.power, self.back = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, r))]) for r in (ROOT, BACK))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((octets + np.uint64(1)) * self.power[:len(octets)])])
+        keys = (sums[end] - sums[start]) * self.back[start]
+        return mix(keys + (end - start).astype(np.uint64))
+
+
+def first_bytes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each part as a number, zeros behind shorter ones."""
+    eight = np.ndarray((len(data) + 1,), "<u8", data + bytes(16), strides=(1,))[start]
+    cut = np.uint64(8) * (np.uint64(8) - np.minimum(end - start, 8).astype(np.uint64))
+    return np.where(end > start, eight << np.minimum(cut, np.uint64(63)) >> np.minimum(cut, np.uint64(63)), np.uint64(0))
+
+
+class Numbers:
+    """Numbers 64-bit keys as they come: a hash table with linear probing over arrays."""
+
+    def __init__(self, bits: int = 18):
+        self.bits, self.n = bits, 0
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.numbers = np.zeros(1 << bits, np.int32)
+
+    def _slot(self, keys):
+        return (keys * ROOT >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for an unknown one."""
+        out = np.full(len(keys), -1, np.int64)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            there = self.keys[slot]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.numbers[slot[hit]]
+            on = ~hit & (there != 0)
+            todo, slot = todo[on], slot[on] + 1 & len(self.keys) - 1
+        return out
+
+    def add(self, keys: np.ndarray):
+        """Number distinct unknown keys in their order."""
+        while (self.n + len(keys)) * 2 > len(self.keys):
+            used = np.flatnonzero(self.keys)
+            old, numbers = self.keys[used], self.numbers[used]
+            self.bits += 1
+            self.keys = np.zeros(1 << self.bits, np.uint64)
+            self.numbers = np.zeros(1 << self.bits, np.int32)
+            self._place(old, numbers)
+        self._place(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n += len(keys)
+
+    def _place(self, keys, numbers):
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]  # of several for one slot, one stays
+            mine = free & (self.keys[slot] == keys)
+            self.numbers[slot[mine]] = numbers[mine]
+            keys, numbers, slot = keys[~mine], numbers[~mine], slot[~mine] + 1 & len(self.keys) - 1
 
 
 class Encoder:
@@ -70,7 +128,10 @@ class Encoder:
 
     The byte-level pre-tokenizer always starts a new piece at a single space
     between two other non-space characters, and pieces are encoded apart; so a
-    text is cut there and each distinct part is encoded once.
+    text is cut there and each distinct part is encoded once.  Parts are known
+    by a 64-bit polynomial hash of their bytes, computed for all at once; their
+    length and first bytes are kept and compared, and a text with a part that
+    differs in these from the remembered one is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -82,54 +143,78 @@ class Encoder:
         self.width = np.zeros(self.size, np.int64)  # bytes of text behind an id
         for token, i in vocab.items():
             self.width[i] = len(token)
+        self.hash = WordHash()
         self.forget()
 
     def forget(self):
-        self.words = Words()
+        self.words = Numbers()
         self.ids = np.empty(1 << 20, np.int32)  # of all words, one after another
         self.end = np.zeros(1 << 17, np.int64)  # where those of each word end
         self.sure = np.zeros(1 << 17, bool)  # no space at either end of the word
+        self.head = np.zeros(1 << 17, np.uint64)  # the first eight bytes
+        self.long = np.zeros(1 << 17, np.int64)  # how many bytes
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.int32) for e in got]
 
-    def learn(self, new: list[str]):
+    def learn(self, keys: np.ndarray, new: list[str], head: np.ndarray, long: np.ndarray):
         """Encode the new words, some in one string, and cut the ids by their bytes."""
-        total = len(self.words)
-        first = total - len(new)
+        first = self.words.n
         used = int(self.end[first - 1]) if first else 0
+        self.words.add(keys)
         got = np.concatenate(self.plain(["".join([" " + w for w in new[k:k + 50]]) for k in range(0, len(new), 50)]))
         octets = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in new), np.int64, len(new)))
         if octets[-1] != self.width[got].sum():
             raise ValueError("this tokenizer doesn't give one id per piece of bytes")
         while used + len(got) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while total > len(self.end):
+        while self.words.n > len(self.end):
             self.end = np.concatenate([self.end, np.zeros_like(self.end)])
-            self.sure = np.concatenate([self.sure, np.zeros_like(self.sure)])
+            self.sure, self.head, self.long = (np.concatenate([v, np.zeros_like(v)]) for v in (self.sure, self.head, self.long))
         self.ids[used:used + len(got)] = got
-        self.end[first:total] = used + np.searchsorted(np.cumsum(self.width[got]), octets, side="right")
-        self.sure[first:total] = [w != "" and not w[0].isspace() and not w[-1].isspace() for w in new]
+        self.end[first:self.words.n] = used + np.searchsorted(np.cumsum(self.width[got]), octets, side="right")
+        self.head[first:self.words.n], self.long[first:self.words.n] = head, long
+        self.sure[first:self.words.n] = [w != "" and not w[0].isspace() and not w[-1].isspace() for w in new]
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.words) > WORDS_KEPT:
+        if self.words.n > WORDS_KEPT:
             self.forget()
-        split = [t.split(" ") for t in texts]
-        inner = [w for parts in split for w in parts[1:]]  # a text's first word has no space before it
-        cut = np.cumsum([0] + [len(parts) - 1 for parts in split])
-        number = np.fromiter(map(self.words.__getitem__, inner), np.int64, len(inner))
-        if self.words.new:
-            self.learn(self.words.new)
-            self.words.new = []
-        stop = np.where(number < 0, 0, self.end[number])
+        coded = [t.encode() for t in texts]
+        data = b"".join(coded)
+        octets = np.frombuffer(data, np.uint8)
+        doc_end = np.cumsum([len(x) for x in coded])
+        spaces = np.flatnonzero(octets == 32)
+        start = np.sort(np.concatenate([spaces + 1, [0], doc_end[:-1]]))
+        end = np.sort(np.concatenate([spaces, doc_end]))
+        cut = np.concatenate([[0], np.cumsum([t.count(" ") + 1 for t in texts])])  # words of each text
+        inner = np.ones(len(start), bool)
+        inner[cut[:-1]] = False  # a text's first word has no space before it
+        at = np.flatnonzero(inner & (end - start <= LONGEST))
+        keys = self.hash(octets, start[at], end[at]) | np.uint64(1)  # 0 marks a free slot
+        head, long = first_bytes(data, start[at], end[at]), end[at] - start[at]
+        number = self.words.find(keys)
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            new, one = np.unique(keys[unknown], return_index=True)
+            pick = unknown[one]
+            one = at[pick]
+            self.learn(new, [data[a:b].decode() for a, b in zip(start[one].tolist(), end[one].tolist())], head[pick], long[pick])
+            number[unknown] = self.words.find(keys[unknown])
+        unsure = inner & (end - start > LONGEST)
+        other = (self.head[number] != head) | (self.long[number] != long)  # another word of the same hash
+        unsure[at[~self.sure[number] | other]] = True
+        unsure = np.concatenate([[0], np.cumsum(unsure)])
+        sure = [u == 0 and (w == 1 or _sure_end(t.split(" ", 1)[0]))
+                for t, u, w in zip(texts, np.diff(unsure[cut]).tolist(), np.diff(cut).tolist())]
+        head = self.plain([t.split(" ", 1)[0] if ok else t for t, ok in zip(texts, sure)])
+        stop = self.end[number]
         n = stop - np.where(number > 0, self.end[number - 1], 0)
-        unsure = np.concatenate([[0], np.cumsum((number < 0) | ~self.sure[number])])
-        sure = [u == 0 and (len(parts) == 1 or _sure_end(parts[0])) for parts, u in zip(split, np.diff(unsure[cut]).tolist())]
-        head = self.plain([parts[0] if ok else t for t, parts, ok in zip(texts, split, sure)])
         rest = self.ids[np.repeat(stop - np.cumsum(n), n) + np.arange(n.sum())]
-        tokens = np.concatenate([[0], np.cumsum(n)])[cut]
+        tokens = np.zeros(len(start) + 1, np.int64)
+        tokens[at + 1] = n
+        tokens = np.cumsum(tokens)[cut]
         return [np.concatenate([ids, rest[a:b]]) if ok and b > a else ids
                 for ids, ok, a, b in zip(head, sure, tokens[:-1].tolist(), tokens[1:].tolist())]
 
