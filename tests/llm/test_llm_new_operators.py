@@ -367,3 +367,38 @@ def test_sharding_joins_a_small_graph(spark):
     sizes = Counter(of.values())
     assert max(sizes.values()) - min(sizes.values()) <= 1
     assert sum(of[2 * i] != of[2 * i + 1] for i in range(48)) <= 12
+
+
+# ---------------------------------------------------------------- 5 merged windows
+
+def test_pairs_are_scored_on_the_first_curve_they_meet():
+    from roomledger.llm import ann
+    rng = np.random.default_rng(4)
+    blocks, reach = 20, 1
+    mine, other = (rng.integers(0, blocks, (n, 6)).astype(np.int16) for n in (7, 30))
+    near = lambda a, b: min((a - b) % blocks, (b - a) % blocks) <= reach
+    for curve in range(6):
+        got = ann.met_before(mine, other, curve, blocks, reach)
+        assert got.tolist() == [[any(near(int(a[c]), int(b[c])) for c in range(curve)) for b in other] for a in mine]
+
+
+def test_neighbours_beyond_the_sample(spark, monkeypatch):
+    """With a sample smaller than the table scores are bounded; recall stays and every query has its k rows."""
+    from roomledger.llm import ann
+    monkeypatch.setattr(ann, "SAMPLE", 100)
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(1200, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    hit = 0
+    exact = vectors.astype(np.float64)
+    for q in range(0, 1200, 50):
+        score = exact @ exact[q]
+        score[q] = -np.inf
+        assert sorted(got[q]) == list(range(1, 21))
+        assert all(abs(score[i] - s) < 1e-12 for i, s in got[q].values())
+        assert [s for _, s in (got[q][k] for k in range(1, 21))] == sorted((s for _, s in got[q].values()), reverse=True)
+        hit += len({i for i, _ in got[q].values()} & set(np.argsort(-score)[:20].tolist()))
+    assert hit >= 0.9 * 24 * 20
