@@ -6,10 +6,11 @@ A command maps each state of its machine to a state; such maps compose
 associatively.  A map is written as a string of digits, one for the state each
 state goes to, so ``translate(f, "1234567", g)`` is f, then g.
 
-1. Commands are sorted by (reservation, order) into range partitions and
-   checkpointed once; their place is one number from then on.
+1. Commands are sorted by (reservation, order) into range partitions; their
+   place is one number from then on.
 2. Tasks stream their partitions and give each command the composition of
-   the commands before it, of the same reservation in the same partition.
+   the commands before it, of the same reservation in the same partition;
+   this is written once.
 3. Only a partition's first reservation can have begun in an earlier
    partition: the totals at partition edges (two rows a partition) are composed
    in order and carried in.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomledger.functions.core import as_datetime, at_minutes, minutes_interval, ts_lit
-from roomledger.session import ensure_checkpoint_dir
+from roomledger.session import written
 
 COMMAND_COLS = ("reservation_id", "command", "command_ts", "actor_id", "reason")
 BLOCK = 4096  # copies of one command numbered at a time
@@ -89,48 +90,46 @@ def _reason_ok() -> Column:
     return F.coalesce(F.length(F.trim(F.col("reason"))) > 0, F.lit(False))
 
 
-def _applies(m: Machine, state: Column) -> Column:
-    cmd = F.col("command")
-    out = F.lit(False)
-    for s, c in [(s, c) for s, c, _ in m.exits] + list(m.loops):
-        t = (state == F.lit(s)) & (cmd == c)
-        out = out | (t & _reason_ok() if c in m.reason_required else t)
-    return F.coalesce(out, F.lit(False))
-
+def _allowed(m: Machine) -> Column:
+    """For the row's command: a flag for each state in digit order, whether the command applies to it."""
+    pairs = {(s, c) for s, c, _ in m.exits} | set(m.loops)
+    expr = F.lit("0" * len(m.states))
+    for c in sorted({c for _, c in pairs}):
+        flags = "".join("1" if (s, c) in pairs else "0" for s in m.states)
+        expr = F.when(F.col("command") == c, flags).otherwise(expr)
+    return expr
 
-def _next(m: Machine, state: Column, cmd: Column) -> Column:
-    expr = None
-    for s, c, n in m.exits:
-        cond = (state == F.lit(s)) & (cmd == c)
-        expr = F.when(cond, F.lit(n)) if expr is None else expr.when(cond, F.lit(n))
-    return expr.otherwise(state)
 
+def _map(m: Machine) -> Column:
+    """The map of the row's command."""
+    expr = F.lit(m.identity)
+    for c, to in m.steps().items():
+        expr = F.when(F.col("command") == c, to).otherwise(expr)
+    return expr
 
-def _prefixes(m: Machine, out: list[str], tail: bool = False):
-    """``mapInArrow`` worker over rows sorted by reservation: adds ``_part`` and ``_prefix``, the composition of the rows
-    of the reservation before this one in the partition.
 
-    With ``tail``: one row a partition instead, its last reservation, the total of that and whether it is the first, too.
+def _prefixes(m: Machine, out: list[str]):
+    """``mapInArrow`` worker over rows sorted by reservation: adds ``_part``, ``_prefix`` and ``_total``, the compositions of
+    the rows of the reservation in the partition before and up to this one, and ``_edge``, whether it is the partition's first.
     """
     tables = {c: str.maketrans(m.identity, to) for c, to in m.steps().items()}
 
     def run(batches):
-        part, now, groups, total = TaskContext.get().partitionId(), object(), 0, m.identity
+        part, now, groups, total, known = TaskContext.get().partitionId(), object(), 0, m.identity, {}
         for batch in batches:
-            before = []
+            before, upto, edge = [], [], []
             for key, step in zip(batch.column("reservation_id").to_pylist(), batch.column("_step").to_pylist()):
                 if key != now:
                     now, total, groups = key, m.identity, groups + 1
                 before.append(total)
                 if step is not None:
-                    total = total.translate(tables[step])
-            if not tail:
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int32()), pa.array(before, pa.string())],
-                                                 names=out)
-        if tail and groups:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([part], pa.int32()), pa.array([total]),
-                                              pa.array([groups == 1])], names=["reservation_id", "_part", "_total", "_edge"])
+                    both = total, step
+                    total = known.get(both) or known.setdefault(both, total.translate(tables[step]))
+                upto.append(total)
+                edge.append(groups == 1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(before, pa.string()),
+                 pa.array(upto, pa.string()), pa.array(edge, pa.bool_())], names=out)
     return run
 
 
@@ -157,61 +156,58 @@ def _goes_to(mapping: Column, digit: Column) -> Column:
     return F.when(digit == 0, 0).otherwise(F.substring(mapping, digit, F.lit(1)).cast("int"))
 
 
-def fold_commands(res_state: DataFrame, commands: DataFrame, m: Machine,
-                  order: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+def fold_commands(res_state: DataFrame, commands: DataFrame, m: Machine, order: tuple[str, ...]) -> DataFrame:
     """The fold of a machine over all reservations.
 
     ``res_state`` has (reservation_id, s0); ``commands`` has COMMAND_COLS and
     the columns of ``order``.
-    Returns (per-command rows with status_before / outcome / status_after and
-    their place ``_ord``, one row per reservation with ``status_final``).
+    Returns per-command rows with status_before / outcome / status_after and
+    their place ``_ord``; ``_moved`` tells those that change the state.  Group
+    them rather than filter them by these: a filter is pushed down with the
+    whole expressions, one copy for each use.
     """
-    ensure_checkpoint_dir(commands.sparkSession)
     cols = [*COMMAND_COLS, *[c for c in order if c not in COMMAND_COLS]]
     ties = [c for c in ("command_ts", "command", "actor_id", "reason") if c not in order]
     by = ["reservation_id", *order, *ties, "dup_idx"]
     steps = m.steps()
     step = F.when(F.col("command").isin(*steps) & (~F.col("command").isin(*m.reason_required) | _reason_ok()), F.col("command"))
-    # a range partitioning need not come out the same twice: the sorted rows are written once
-    rows = (number_duplicates(commands, cols).withColumn("_step", step).repartitionByRange(*by).sortWithinPartitions(*by)
-            .withColumn("_ord", F.monotonically_increasing_id()).checkpoint())
-    schema = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_prefix", T.StringType())])
-    folded = rows.mapInArrow(_prefixes(m, schema.names), schema)
-    # what partitions before hand on to a partition's first reservation
-    tails = rows.select("reservation_id", "_step").mapInArrow(
-        _prefixes(m, [], tail=True), "reservation_id long, _part int, _total string, _edge boolean")
-    carried = _carried(m, tails)
-    first = res_state.select("reservation_id", F.col("s0").alias("_s0"), F.lit(True).alias("_found"))
-    j = (folded.join(carried, ["reservation_id", "_part"], "left").join(first, "reservation_id", "left"))
-    start = _goes_to(F.coalesce("_carry", F.lit(m.identity)), _digit(m, F.col("_s0")))
+    ordered = (number_duplicates(commands, cols).withColumn("_step", step).repartitionByRange(*by).sortWithinPartitions(*by)
+               .withColumn("_ord", F.monotonically_increasing_id()))
+    schema = T.StructType([*ordered.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_prefix", T.StringType()),
+                           T.StructField("_total", T.StringType()), T.StructField("_edge", T.BooleanType())])
+    # a range partitioning need not come out the same twice: the sorted rows are written once, with what depends on their place
+    rows = written(ordered.mapInArrow(_prefixes(m, schema.names), schema), "commands")
+    # what partitions before hand on to a partition's first reservation: two rows a partition at most
+    carried = F.broadcast(_carried(m, rows))
+    # digits are found below the join, states only at the end
+    first = res_state.select("reservation_id", F.col("s0").alias("_s0"), _digit(m, F.col("s0")).alias("_d0"), F.lit(True).alias("_found"))
+    j = rows.join(carried, ["reservation_id", "_part"], "left").join(first, "reservation_id", "left")
+    digit = _goes_to(F.col("_prefix"), _goes_to(F.coalesce("_carry", F.lit(m.identity)), F.coalesce("_d0", F.lit(0))))
     names = F.array(*[F.lit(s) for s in m.states])
 
     def named(digit: Column) -> Column:
         return F.when(digit == 0, F.col("_s0")).otherwise(F.try_element_at(names, digit))
 
-    j = j.withColumn("_start", start).withColumn("status_before", named(_goes_to(F.col("_prefix"), F.col("_start"))))
     outcome = (F.when(F.col("_found").isNull(), "not_found")
                .when((F.col("command").isin(*m.reason_required)) & ~_reason_ok(), "reason_required")
-               .when(_applies(m, F.col("status_before")), "applied").otherwise("not_applied"))
-    j = (j.withColumn("outcome", outcome)
-         .withColumn("status_after", F.when(F.col("outcome") == "applied",
-                                            _next(m, F.col("status_before"), F.col("command")))
-                     .otherwise(F.col("status_before"))))
-    per_cmd = j.select(*cols, "dup_idx", "_ord", "status_before", "outcome", "status_after")
-    moved = per_cmd.filter((F.col("outcome") == "applied") & ~F.col("status_before").eqNullSafe(F.col("status_after")))
-    final = moved.groupBy("reservation_id").agg(F.max_by("status_after", "_ord").alias("status_final"))
-    return per_cmd, final
-
-
-def _carried(m: Machine, tail: DataFrame) -> DataFrame:
+               .when((F.col("_d") > 0) & (F.substring(_allowed(m), F.col("_d"), F.lit(1)) == "1"), "applied")
+               .otherwise("not_applied"))
+    j = j.withColumn("_d", digit).withColumn("outcome", outcome)
+    after = F.when(F.col("outcome") == "applied", _goes_to(_map(m), F.col("_d"))).otherwise(F.col("_d"))
+    j = j.withColumn("_after", after)
+    return j.select(*cols, "dup_idx", "_ord", named(F.col("_d")).alias("status_before"), "outcome",
+                    named(F.col("_after")).alias("status_after"), (F.col("_after") != F.col("_d")).alias("_moved"))
+
+
+def _carried(m: Machine, rows: DataFrame) -> DataFrame:
     """(reservation_id, _part, _carry) for partitions whose first reservation began before.
 
-    ``tail`` has the last row of each partition: its reservation, the total and
+    Only the last row of each partition counts: its reservation, the total and
     whether it is the partition's first one as well.  A reservation that goes on
     in the next partition hands on its total; one that fills partitions, all of
     theirs in order.
     """
-    numbered = tail.select("_part", F.struct("reservation_id", "_total", "_edge").alias("t"))
+    numbered = rows.groupBy("_part").agg(F.max_by(F.struct("reservation_id", "_total", "_edge"), "_ord").alias("t"))
     lists = numbered.agg(F.array_sort(F.collect_list(F.struct("_part", "t"))).alias("parts"))  # one row a partition
     # from left to right: what the partitions so far hand on of the reservation that stands last
     step = f"""IF(x.t._edge AND x.t.reservation_id <=> a.reservation_id,
@@ -243,24 +239,24 @@ def apply_commands(res: DataFrame, commands: DataFrame,
 
     Returns (new reservations, one outcome row per command).
     """
-    per_cmd, final = fold_commands(res.select("reservation_id", F.col("status").alias("s0")), commands, EN_MACHINE,
-                                   order)
+    per_cmd = fold_commands(res.select("reservation_id", F.col("status").alias("s0")), commands, EN_MACHINE, order)
     ok = F.col("outcome") == "applied"
     cmd = F.col("command")
-    eff = per_cmd.filter(ok).groupBy("reservation_id").agg(
-        _last(cmd.isin("approve", "reject"), F.struct(F.col("actor_id").alias("by"),
-                                                        F.col("command_ts").alias("at"))).alias("_appr"),
-        _last(cmd.isin("reject", "cancel"), F.struct(F.col("reason").alias("r"))).alias("_rej"),
-        _last(cmd == "checkin", F.col("command_ts")).alias("_ck_at"),
-        F.max(cmd == "noshow").alias("_ns"),
-        _last(cmd == "complete", F.col("command_ts")).alias("_done_at"))
+    eff = per_cmd.groupBy("reservation_id").agg(
+        _last(F.col("_moved"), F.col("status_after")).alias("status_final"),
+        _last(ok & cmd.isin("approve", "reject"), F.struct(F.col("actor_id").alias("by"),
+                                                             F.col("command_ts").alias("at"))).alias("_appr"),
+        _last(ok & cmd.isin("reject", "cancel"), F.struct(F.col("reason").alias("r"))).alias("_rej"),
+        _last(ok & (cmd == "checkin"), F.col("command_ts")).alias("_ck_at"),
+        F.max(ok & (cmd == "noshow")).alias("_ns"),
+        _last(ok & (cmd == "complete"), F.col("command_ts")).alias("_done_at"))
     base = res
     for c, t in (("approved_at", "timestamp_ntz"), ("rejection_reason", "string"), ("checked_in", "boolean"),
                  ("checked_in_at", "timestamp_ntz"), ("completion_confirmed", "boolean"),
                  ("completion_confirmed_at", "timestamp_ntz")):
         if c not in base.columns:
             base = base.withColumn(c, F.lit(False) if t == "boolean" else F.lit(None).cast(t))
-    j = base.join(final, "reservation_id", "left").join(eff, "reservation_id", "left")
+    j = base.join(eff, "reservation_id", "left")
     managed = ("status", "approved_by", "approved_at", "rejection_reason", "checked_in", "checked_in_at",
                "no_show", "completion_confirmed", "completion_confirmed_at")
     new = j.select(
@@ -276,7 +272,7 @@ def apply_commands(res: DataFrame, commands: DataFrame,
         (F.coalesce(F.col("completion_confirmed"), F.lit(False)) | F.col("_done_at").isNotNull())
          .alias("completion_confirmed"),
         F.coalesce(F.col("_done_at"), F.col("completion_confirmed_at")).alias("completion_confirmed_at"))
-    outcomes = per_cmd.drop("_ord")
+    outcomes = per_cmd.drop("_ord", "_moved")
     return new, outcomes
 
 
@@ -292,15 +288,16 @@ def apply_commands_es(reservas: DataFrame, commands: DataFrame,
     Curso.  Returns (new reservas, outcomes, new check-in rows).
     """
     rs = reservas.select(F.col("id_reserva").alias("reservation_id"), F.col("id_estado").alias("s0"))
-    per_cmd, final = fold_commands(rs, commands, ES_MACHINE, order)
+    per_cmd = fold_commands(rs, commands, ES_MACHINE, order)
+    ok = F.col("outcome") == "applied"
     cmd = F.col("command")
-    eff = per_cmd.filter(F.col("outcome") == "applied").groupBy("reservation_id").agg(
-        _last(cmd.isin("reject", "cancel"), F.struct(F.col("reason").alias("r"))).alias("_motivo"))
+    eff = per_cmd.groupBy("reservation_id").agg(
+        _last(F.col("_moved"), F.col("status_after")).alias("status_final"),
+        _last(ok & cmd.isin("reject", "cancel"), F.struct(F.col("reason").alias("r"))).alias("_motivo"))
     base = reservas
     if "motivo_cancelacion" not in base.columns:
         base = base.withColumn("motivo_cancelacion", F.lit(None).cast("string"))
-    j = (base.join(final.withColumnRenamed("reservation_id", "id_reserva"), "id_reserva", "left")
-         .join(eff.withColumnRenamed("reservation_id", "id_reserva"), "id_reserva", "left"))
+    j = base.join(eff.withColumnRenamed("reservation_id", "id_reserva"), "id_reserva", "left")
     new = j.select(
         *[c for c in reservas.columns if c not in ("id_estado", "motivo_cancelacion")],
         F.coalesce(F.col("status_final"), F.col("id_estado")).cast("int").alias("id_estado"),
@@ -309,7 +306,7 @@ def apply_commands_es(reservas: DataFrame, commands: DataFrame,
     found = per_cmd.filter(F.col("outcome") != "not_found")
     checkin_rows = found.filter(cmd.isin("checkin", "noshow")).select(
         "reservation_id", F.col("command_ts").alias("checkin_at"), (cmd == "checkin").alias("valid"))
-    return new, per_cmd.drop("_ord"), checkin_rows
+    return new, per_cmd.drop("_ord", "_moved"), checkin_rows
 
 
 # ---------------------------------------------------------------- scheduler events (ES model)

@@ -178,3 +178,22 @@ def test_mark_read_ownership(spark):
     new, counts = S.mark_read(n, q)
     assert {r.id: r.is_read for r in new.collect()} == {1: True, 2: True, 3: False}
     assert {r.request_id: r.updated_count for r in counts.collect()} == {1: 0, 2: 0, 3: 2}
+
+
+def test_fold_runs_its_sequential_pass_once_and_keeps_expressions_small(spark):
+    """Before, the worker over all commands was planned once for each use, and a filter on the outcome
+    multiplied the state expressions until no code could be generated for them."""
+    t0 = dt.datetime(2024, 1, 1)
+    res = spark.createDataFrame([(1, "pendiente", None, False), (2, "aprobada", None, False)],
+                                "reservation_id long, status string, approved_by long, no_show boolean")
+    com = spark.createDataFrame([(1, "approve", t0, 7, None), (1, "complete", t0 + dt.timedelta(hours=1), 7, None),
+                                 (2, "reject", t0, 7, "x"), (3, "cancel", t0, 7, None)],
+                                "reservation_id long, command string, command_ts timestamp_ntz, actor_id long, reason string")
+    new, outcomes = S.apply_commands(res, com)
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
+    assert plan.count("CASE WHEN") < 100
+    assert {r.reservation_id: r.status for r in new.collect()} == {1: "completada", 2: "aprobada"}
+    assert sorted((r.reservation_id, r.command, r.outcome, r.status_after) for r in outcomes.collect()) == [
+        (1, "approve", "applied", "aprobada"), (1, "complete", "applied", "completada"),
+        (2, "reject", "not_applied", "aprobada"), (3, "cancel", "not_found", None)]
