@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from roomledger.operators.overlap import conflict_counts, epoch_seconds
 from roomledger.operators.validate import coffee_break_status, validate_slot
-from roomledger.session import ensure_checkpoint_dir
+from roomledger.session import written
 
 MODES = ("app", "trigger", "both")
 
@@ -151,30 +151,34 @@ def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as
     rm = rooms.filter(F.col("is_active")).select("room_id", F.col("capacity").alias("_cap"))
     v = v.join(rm, "room_id", "left")
     static_ok, rejection = static_checks()
-    slots = v.filter(static_ok).select(F.col("request_id").alias("slot_id"), "room_id", "start_time", "end_time")
+    timed = written(v.filter(static_ok).select("request_id", "room_id", "start_time", "end_time", "requested_at"), "slots")
+    spans = timed.select("room_id", "start_time", "end_time").distinct()
     modes = ("app", "trigger") if mode == "both" else (mode,)
 
-    def met(bookings: DataFrame, flag: str) -> DataFrame:
-        hits = [conflict_counts(slots, bookings, m, join_width).select(F.col("slot_id").alias("request_id")) for m in modes]
-        return reduce(DataFrame.unionByName, hits).distinct().withColumn(flag, F.lit(True))
-
-    v = v.join(met(res, "_busy"), "request_id", "left").withColumn("_busy", F.coalesce(F.col("_busy"), F.lit(False)))
-    if admitted is None:
-        v = v.withColumn("_taken", F.lit(False))
-    else:
-        v = v.join(met(admitted, "_taken"), "request_id", "left").withColumn("_taken", F.coalesce(F.col("_taken"), F.lit(False)))
-    surv = v.filter(static_ok & ~F.col("_busy") & ~F.col("_taken")).select(
-        "request_id", "room_id", epoch_seconds("start_time").alias("lo"), epoch_seconds("end_time").alias("hi"),
-        F.to_date("start_time").cast("string").alias("day"), "requested_at")
-    # the labels read these few narrow columns several times: the checks above run once
-    ensure_checkpoint_dir(requests.sparkSession)
-    surv = surv.checkpoint()
-    labeled = _cluster_labels(surv, width)
+    def met(bookings: DataFrame) -> DataFrame:
+        """Ids of requests that overlap ``bookings``: equal times of a room are looked up once."""
+        span = F.struct("room_id", "start_time", "end_time")
+        slots = spans.select(span.alias("slot_id"), *spans.columns)
+        hits = [conflict_counts(slots, bookings, m, join_width).select("slot_id.*") for m in modes]
+        some = reduce(DataFrame.unionByName, hits)
+        return timed.join(some, spans.columns, "left_semi").select("request_id").distinct()
+
+    busy = written(met(res), "busy")
+    surv = timed.join(busy, "request_id", "left_anti")
+    if admitted is not None:
+        surv = surv.join(met(admitted), "request_id", "left_anti")
+    surv = surv.select("request_id", "room_id", epoch_seconds("start_time").alias("lo"), epoch_seconds("end_time").alias("hi"),
+                       F.to_date("start_time").cast("string").alias("day"), "requested_at")
+    # of equal times of a room only the first arrival can be admitted: either it is, or what refused it refuses them
+    place = F.row_number().over(Window.partitionBy("room_id", "lo", "hi", "day").orderBy("requested_at", "request_id"))
+    surv = written(surv.withColumn("_place", place), "asked")
+    labeled = _cluster_labels(surv.filter("_place = 1").drop("_place"), width)
     # sorted partitions of whole clusters stream through the greedy step
     decided = (labeled.repartition("room_id", "cluster")
                .sortWithinPartitions("room_id", "cluster", "requested_at", "request_id")
                .mapInPandas(_greedy_stream(mode), schema="request_id long, admitted boolean"))
-    v = v.join(decided, "request_id", "left")
+    decided = decided.unionByName(surv.filter("_place > 1").select("request_id", F.lit(False).alias("admitted")))
+    v = (v.join(busy.withColumn("_busy", F.lit(True)), "request_id", "left").join(decided, "request_id", "left"))
     decision = (F.when(~static_ok, rejection)
                 .when(F.col("_busy"), "conflict_existing")
                 .when(F.col("admitted"), "admitted")
@@ -182,7 +186,7 @@ def admit_reservations(requests: DataFrame, res: DataFrame, rooms: DataFrame, as
     v = v.withColumn("decision", decision)
     v = coffee_break_status(v).withColumn(
         "coffee_break_final", F.when(F.col("decision") == "admitted", F.col("coffee_break_final")))
-    return v.drop("_cap", "_busy", "_taken", "admitted")
+    return v.drop("_cap", "_busy", "admitted")
 
 
 def admitted_rows(decisions: DataFrame) -> DataFrame:

@@ -79,3 +79,39 @@ def test_same_time_requests_first_arrival_wins():
     assert app == {2: True, 1: False, 3: True}          # back-to-back allowed
     trg = decided("trigger")
     assert trg == {2: True, 1: False, 3: False}         # closed: touching blocks
+
+
+def test_equal_times_are_decided_once_and_each_has_a_row(spark):
+    """Before, every one of a crowd of equal requests went through the sequential step."""
+    from roomledger.operators import admission
+
+    day = MONDAY + dt.timedelta(hours=9)
+    hour = dt.timedelta(hours=1)
+    reqs = [(i, 1, 1, "Reunion", day, day + hour, 2, None, AS_OF + dt.timedelta(minutes=100 - i)) for i in range(50)]
+    reqs += [(90, 1, 1, "Reunion", day + hour / 2, day + 2 * hour, 2, None, AS_OF + dt.timedelta(minutes=200)),
+             (91, 1, 1, "Reunion", day + hour, day + 2 * hour, 2, None, AS_OF + dt.timedelta(minutes=300)),
+             (92, 1, 1, "Reunion", day + 3 * hour, day + 4 * hour, 2, None, AS_OF)]
+    held = [(1, 1, 1, day + 3 * hour, day + 5 * hour, "aprobada", False, 2, "no_aplica", AS_OF, None)]
+    seen = spark.sparkContext.accumulator(0)
+    streamed = admission._greedy_stream
+
+    def counting(mode):
+        run = streamed(mode)
+
+        def fn(frames):
+            for out in run(frames):
+                seen.add(len(out))
+                yield out
+        return fn
+
+    admission._greedy_stream = counting
+    try:
+        out = admit_reservations(spark.createDataFrame(reqs, REQ_SCHEMA), spark.createDataFrame(held, RES_SCHEMA),
+                                 spark.createDataFrame([(1, "r1", 10, "x", True)], ROOM_SCHEMA), AS_OF, mode="both").collect()
+    finally:
+        admission._greedy_stream = streamed
+    got = {r.request_id: r.decision for r in out}
+    assert len(out) == 53
+    assert [i for i, d in got.items() if d == "admitted"] == [49]
+    assert got[92] == "conflict_existing" and got[90] == got[91] == got[0] == "conflict_batch"
+    assert seen.value == 3  # one of the 50
