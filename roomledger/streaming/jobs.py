@@ -212,6 +212,7 @@ def streaming_admission(requests: DataFrame, res: DataFrame, rooms: DataFrame, a
                          "coffee_break_final", "decision").write.mode("overwrite").parquet(path)
         kept = admitted_rows(spark.read.parquet(path))
         (kept.select("reservation_id", "room_id", "start_time", "end_time", "status", F.to_date("end_time").alias("ends"))
+         .repartition("ends")  # a file for each day, not for each day and task
          .write.mode("overwrite").partitionBy("ends").parquet(f"{held}/batch_id={batch_id}"))
 
     w = requests.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)

@@ -185,3 +185,26 @@ def test_sliding_windows_count_actors_once(spark):
     out = J.drain(J.audit_activity_windows(src, "1 hour", "30 minutes", "1 hour"), "sliding").collect()
     got = {(r.window_start - T0).total_seconds() // 60: (r.action_count, r.unique_users) for r in out}
     assert got == {-30: (2, 1), 0: (4, 2), 30: (2, 1)}
+
+
+def test_admitted_intervals_make_one_file_a_day(spark):
+    """Before, every task of a batch wrote a file for every day."""
+    day = dt.datetime(2024, 1, 15)
+    schema = ("request_id long, user_id long, room_id long, start_time timestamp_ntz, end_time timestamp_ntz, attendees_count int, "
+              "coffee_break string, requested_at timestamp_ntz")
+    rows = [(i, 1, i, day + dt.timedelta(days=d, hours=9), day + dt.timedelta(days=d, hours=10), 2, None, T0)
+            for d in range(2) for i in range(100 * d, 100 * d + 20)]
+    rooms = spark.createDataFrame([(i, 10, True) for i in range(200)], "room_id long, capacity int, is_active boolean")
+    res = spark.createDataFrame([], "reservation_id long, room_id long, start_time timestamp_ntz, end_time timestamp_ntz, status string")
+    base = tempfile.mkdtemp(prefix="roomledger-stream-", dir="/tmp")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        J.streaming_admission(_batches(spark, "req", schema, [rows]), res, rooms, T0, f"{base}/out", f"{base}/held", f"{base}/ck").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    files = {d: [f for f in os.listdir(f"{base}/held/batch_id=0/{d}") if f.endswith(".parquet")]
+             for d in os.listdir(f"{base}/held/batch_id=0") if d.startswith("ends=")}
+    assert {d: len(f) for d, f in files.items()} == {"ends=2024-01-15": 1, "ends=2024-01-16": 1}
+    assert spark.read.parquet(f"{base}/out").where("decision = 'admitted'").count() == 40
