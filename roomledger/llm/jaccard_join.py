@@ -161,13 +161,24 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- prefixes
 
-def ordered(tokens: np.ndarray, order: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """``tokens`` by the global order: rare ones by hash, then frequent ones by count."""
+def counts_of(tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """In how many texts each of ``tokens`` is, 0 for rare ones."""
+    if not len(hot[0]):
+        return np.zeros(len(tokens), np.int64)
     short = (tokens >> np.uint64(32)).astype(np.uint32)
     at = np.searchsorted(hot[0], short)
     at[at == len(hot[0])] = 0
-    count = np.where(hot[0][at] == short, hot[1][at], 0) if len(hot[0]) else np.zeros(len(tokens), np.int64)
-    return tokens[np.lexsort((mix(tokens ^ SEEDS[order]), count))]
+    return np.where(hot[0][at] == short, hot[1][at], 0)
+
+
+def ordered(tokens: np.ndarray, order: int, count: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` of ``tokens`` by the global order: rare ones by hash, then frequent ones by count."""
+    rare = tokens[count == 0]
+    if len(rare) < most:
+        return tokens[np.lexsort((mix(tokens ^ SEEDS[order]), count))][:most]
+    h = mix(rare ^ SEEDS[order])
+    first = np.argpartition(h, most - 1)[:most]
+    return rare[first[np.argsort(h[first])]]
 
 
 def _prefixes(k: int, percent: int, hot):
@@ -176,16 +187,17 @@ def _prefixes(k: int, percent: int, hot):
         for batch in batches:
             for piece in pieces(batch, "text", PIECE_CHARS):
                 sets = shingles(piece.column("text").to_pylist(), k, hasher)
+                counts = np.split(counts_of(np.concatenate(sets), hot), np.cumsum([len(s) for s in sets])[:-1])
                 rows = {"n": [], "key": [], "heads": [], "prefix": [], "others": []}
-                for s in sets:
+                for s, c in zip(sets, counts):
                     p = prefix_size(len(s), percent) if len(s) else 0
                     rows["n"].append(len(s))
                     rows["key"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     rows["heads"].append([int(s[np.argmin(mix(s ^ seed))].view(np.int64)) for seed in SEEDS[ORDERS:]]
                                          if len(s) else [])
-                    rows["prefix"].append(ordered(s, 0, hot)[:p].tobytes())
+                    rows["prefix"].append(ordered(s, 0, c, p).tobytes() if p else b"")
                     rows["others"].append(b"".join(
-                        (ordered(s, j, hot)[:p] >> np.uint64(32)).astype("<u4").tobytes() for j in range(1, ORDERS)))
+                        (ordered(s, j, c, p) >> np.uint64(32)).astype("<u4").tobytes() for j in range(1, ORDERS)) if p else b"")
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(rows["n"], pa.int64()), pa.array(rows["key"], pa.binary()),
                      pa.array(rows["heads"], pa.list_(pa.int64())), pa.array(rows["prefix"], pa.binary()),
@@ -209,10 +221,7 @@ def _deal(ranges: int, hot):
             entry["rank"] = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
             entry["id"] = np.array(batch.column("doc_id"), np.int64)[at]
             entry["comp"] = np.array(batch.column("comp"), np.int64)[at]
-            short = (token >> np.uint64(32)).astype(np.uint32)
-            where = np.searchsorted(hot[0], short)
-            where[where == len(hot[0])] = 0
-            count = np.where(hot[0][where] == short, hot[1][where], 0) if len(hot[0]) else np.zeros(len(token), np.int64)
+            count = counts_of(token, hot)
             blocks = -(-count // BLOCK)
             group = [(token % np.uint64(ranges)).astype(np.int64)]
             rows, cell = [np.flatnonzero(blocks < 2)], []
