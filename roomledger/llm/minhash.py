@@ -9,11 +9,14 @@ word shingles.
    no bucket with probability ``(1 - s**ROWS) ** BANDS``: 6e-9 at 0.85.
 2. Texts of equal sets form a class; its smallest doc_id stands for it.
 3. Stars: in every bucket the smallest, and after that, where a bucket still
-   holds several components, the largest document meets all others.
+   holds several components, the largest document meets all others.  Buckets of
+   one document are dropped once, before.
 4. Blocks: buckets that still hold several components are cut in blocks of
    ``BLOCK`` documents; pairs of blocks are compared in numpy, each in a task,
-   a pair only in the first band it shares.  The documents' sets come along,
-   so a task returns links alone, and no more than connect its documents.
+   a pair only in the first band it shares.  First by signatures alone, which
+   leaves a bucket's documents that agree with another; then the sets of these
+   come along, so a task returns links alone, and no more than connect its
+   documents.
 5. Pairs of 3 and 4 must agree in as much of their signature as that similarity
    gives, less ``DOUBT`` standard deviations, before whole sets are compared;
    every link is confirmed on the words of the whole texts.
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomledger.llm.common import give_back, pieces, save
+from roomledger.llm.common import give_back, pieces, remove, save
 from roomledger.llm.components import components
 from roomledger.llm.confirm import IDS_BROADCAST, confirmed
 from roomledger.llm.hashing import WordKeys, mix, shingles
@@ -126,23 +129,37 @@ def near(n, m, percent: int):
     return percent * F.greatest(n, m) <= 100 * F.least(n, m)
 
 
-def stars(entries: DataFrame, reps: DataFrame, hub, percent: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's hub (``hub``: the aggregate that picks it) and its other documents
+def shared(reps: DataFrame) -> DataFrame:
+    """Entries (bucket, id, hub) of the buckets that hold several documents; ``hub`` is the smallest of them."""
+    entries = reps.select(F.explode("buckets").alias("bucket"), "id")
+    hubs = entries.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    return entries.join(save(hubs.drop("m"), "hubs"), "bucket")
+
+
+def mixed(entries: DataFrame) -> DataFrame:
+    """Those ``entries`` (bucket, id, comp) whose bucket holds several components, with its number ``m`` of entries
+    and its largest document as ``hub``."""
+    several = (entries.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"),
+                                             F.max("id").alias("hub"))
+               .where("low != high").select("bucket", "m", "hub"))
+    return entries.join(save(several, "mixed"), "bucket")
+
+
+def stars(entries: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the hub of each bucket of ``entries`` (bucket, id, comp, hub) and its other documents
     of other components whose signatures agree."""
-    hubs = entries.groupBy("bucket").agg(hub(F.col("id")).alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pairs = entries.join(save(hubs.drop("m"), "hubs"), "bucket").where("id != a").select("a", F.col("id").alias("b"), "comp").distinct()
-    one = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x"), F.col("comp").alias("ca"))
+    pairs = entries.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "comp").distinct()
+    pairs = with_comp(pairs, comps, "a", "ca").where("ca != comp").select("a", "b")
+    one = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x"))
     other = reps.select(F.col("id").alias("b"), "n", F.col("sig").alias("y"))
-    return (pairs.join(other, "b").join(one, "a").where(near(F.col("n"), F.col("na"), percent) & (F.col("ca") != F.col("comp")))
+    return (pairs.join(other, "b").join(one, "a").where(near(F.col("n"), F.col("na"), percent))
             .select("a", "b", "x", "y").mapInArrow(_signatures_agree(percent), "a long, b long").distinct())
 
 
-def mixed(reps: DataFrame) -> DataFrame:
-    """Entries (bucket, id, comp) of the buckets that hold several components."""
-    entries = reps.select(F.explode("buckets").alias("bucket"), "id", "comp")
-    several = (entries.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"))
-               .where("low != high").select("bucket", "m"))
-    return entries.join(save(several, "mixed"), "bucket")
+def with_comp(rows: DataFrame, comps: DataFrame, id_: str, comp: str) -> DataFrame:
+    """``rows`` with the component of ``id_`` as ``comp``: of ``comps`` (node, component), else itself."""
+    return (rows.join(comps.withColumnRenamed("node", id_), id_, "left")
+            .withColumn(comp, F.coalesce("component", id_)).drop("component"))
 
 
 class Forest:
@@ -169,35 +186,59 @@ def shared_sizes(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((x[at] == all_).astype(np.int64), np.cumsum([0] + [len(o) for o in others[:-1]]))
 
 
-def _block_links(percent: int):
-    """Links (a, b) between documents of different components that share a bucket of the group."""
-    def run(key, table):
-        bucket, ids, comp = (table.column(c).to_numpy() for c in ("bucket", "id", "comp"))
-        order = np.lexsort((ids, bucket))
-        bucket, ids, comp = bucket[order], ids[order], comp[order]
-        take = table.take(pa.array(order))
-        sig = np.frombuffer(b"".join(take.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        bands = take.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        sets = [np.frombuffer(v, np.uint64) for v in take.column("set").to_pylist()]
-        n = np.array([len(v) for v in sets])
-        forest = Forest(comp)
-        end = np.searchsorted(bucket, bucket, side="right")
-        todo = end - np.arange(len(ids)) - 1
+class Cell:
+    """A group's entries by bucket and id: ``bucket``, ``ids``, ``comp``, and the documents' ``n``, ``bands`` and ``sig``."""
+
+    def __init__(self, table: pa.Table):
+        bucket, ids = (table.column(c).to_numpy() for c in ("bucket", "id"))
+        self.rows = table.take(pa.array(np.lexsort((ids, bucket))))
+        self.bucket, self.ids, self.comp, self.n = (self.rows.column(c).to_numpy() for c in ("bucket", "id", "comp", "n"))
+        self.sig = np.frombuffer(b"".join(self.rows.column("sig").to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.bands = self.rows.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(self.ids), -1)
+
+    def agreeing(self, sought, percent: int):
+        """Pairs (x, y) of entries, some at a time, in the first band that they share, that are ``sought`` and whose signatures agree."""
+        bucket, n = self.bucket, self.n
+        todo = np.searchsorted(bucket, bucket, side="right") - np.arange(len(bucket)) - 1
         done = np.cumsum(todo)
-        found = []
         at = 0
-        while at < len(ids):
+        while at < len(bucket):
             to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, side="right")))
             t = todo[at:to]
             x = np.repeat(np.arange(at, to), t)
             y = x + 1 + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
-            ok = (forest.label[x] != forest.label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-            x, y = x[ok], y[ok]
-            same = bands[x] == bands[y]
-            ok = bands[x, same.argmax(1)] == bucket[x]  # the first band that they share
+            ok = sought(x, y) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
             x, y = x[ok], y[ok]
-            ok = agree(sig[x], sig[y], percent)
+            same = self.bands[x] == self.bands[y]
+            ok = self.bands[x, same.argmax(1)] == bucket[x]  # the first band that they share
             x, y = x[ok], y[ok]
+            ok = agree(self.sig[x], self.sig[y], percent)
+            yield x[ok], y[ok]
+            at = to
+
+
+def _block_partners(percent: int):
+    """The entries (bucket, id, comp) that agree with one of another component in their bucket."""
+    def run(key, table):
+        cell = Cell(table)
+        has = np.zeros(len(cell.ids), bool)
+        for x, y in cell.agreeing(lambda x, y: (cell.comp[x] != cell.comp[y]) & ~(has[x] & has[y]), percent):
+            has[x] = has[y] = True
+        out = cell.rows.select(["bucket", "id", "comp"]).filter(pa.array(has))
+        give_back()
+        return out
+    return run
+
+
+def _block_links(percent: int):
+    """Links (a, b) between documents of different components that share a bucket of the group."""
+    def run(key, table):
+        cell = Cell(table)
+        ids, n = cell.ids, cell.n
+        sets = [np.frombuffer(v, np.uint64) for v in cell.rows.column("set").to_pylist()]
+        forest = Forest(cell.comp)
+        found = []
+        for x, y in cell.agreeing(lambda x, y: forest.label[x] != forest.label[y], percent):
             first = np.flatnonzero(np.diff(x, prepend=-1))
             for i, j in zip(first.tolist(), np.append(first[1:], len(x)).tolist()):
                 one, some = int(x[i]), y[i:j]
@@ -206,7 +247,6 @@ def _block_links(percent: int):
                     shared = shared_sizes(sets[one], [sets[k] for k in some.tolist()])
                     linked = some[100 * shared >= percent * (n[one] + n[some] - shared)]
                     found += [(ids[one], ids[k]) for k in forest.link(one, linked)]
-            at = to
         pairs = np.array(found, np.int64).reshape(-1, 2)
         give_back()
         return pa.table(dict(zip(("a", "b"), pairs.T)))
@@ -226,26 +266,41 @@ def _sets(k: int):
     return run
 
 
-def blocks(entries: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between documents of ``entries`` (bucket, id, comp, m) that are in different components."""
-    entries = save(entries, "entries")
-    ids = save(entries.select("id").distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
-    texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").select(F.col("id").alias("doc_id"), "text")
-    sets = save(texts.mapInArrow(_sets(k), "id long, key binary, set binary"), "sets", "uncompressed")
-    signed = reps.select("id", "key", "buckets", "sig").join(ids, "id", "left_semi")
-    sets = save(signed.join(sets, ["id", "key"]).dropDuplicates(["id", "key"]).drop("key"), "sets", "uncompressed")
-    each = F.length("set") + F.length("sig") + F.lit(8 * BANDS)
-    size = entries.join(sets.select("id", each.alias("size")), "id").agg(F.sum("size")).first()[0] or 0
+def dealt(entries: DataFrame, size: int) -> DataFrame:
+    """``entries`` (bucket, id, comp, m) dealt to groups (g, cell): small buckets together, to about ``GROUP_BYTES`` of
+    ``size`` in all, and each pair of blocks of a large one by itself."""
     groups = F.pmod(F.xxhash64("bucket"), F.lit(max(1, -(-size // GROUP_BYTES))))
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = (entries.withColumn("parts", parts).withColumn("mine", mine).withColumn("other", other)
-             .select("bucket", "id", "comp", groups.alias("g"),
-                     F.when(F.col("parts") > 1, F.concat_ws(":", "bucket", F.least("mine", "other"), F.greatest("mine", "other")))
-                     .otherwise("").alias("cell")))
-    return (dealt.join(sets, "id").groupBy("g", "cell").applyInArrow(_block_links(percent), "a long, b long").distinct())
+    return (entries.withColumn("parts", parts).withColumn("mine", mine).withColumn("other", other)
+            .select("bucket", "id", "comp", groups.alias("g"),
+                    F.when(F.col("parts") > 1, F.concat_ws(":", "bucket", F.least("mine", "other"), F.greatest("mine", "other")))
+                    .otherwise("").alias("cell")))
+
+
+def few(entries: DataFrame) -> DataFrame:
+    """The ids of ``entries``, broadcast unless they are many."""
+    ids = save(entries.select("id").distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
+
+
+def blocks(entries: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents of ``entries`` (bucket, id, comp, m) that are in different components."""
+    entries = save(entries.select("bucket", "id", "comp", "m"), "entries")
+    signed = save(reps.join(few(entries), "id", "left_semi").dropDuplicates(["id", "key"]), "signed")
+    each = len(TIMES) + 8 * BANDS
+    partners = save(dealt(entries, entries.count() * each).join(signed.drop("key"), "id").groupBy("g", "cell")
+                    .applyInArrow(_block_partners(percent), "bucket long, id long, comp long").distinct(), "entries")
+    entries = partners.join(partners.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")), "bucket")
+    ids = few(partners)
+    texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").select(F.col("id").alias("doc_id"), "text")
+    sets = texts.mapInArrow(_sets(k), "id long, key binary, set binary")
+    sets = save(signed.join(ids, "id", "left_semi").join(sets, ["id", "key"]).dropDuplicates(["id", "key"]).drop("key"),
+                "sets", "uncompressed")
+    size = partners.join(sets.select("id", (F.length("set") + F.lit(each)).alias("size")), "id").agg(F.sum("size")).first()[0] or 0
+    return (dealt(entries, size).join(sets, "id").groupBy("g", "cell").applyInArrow(_block_links(percent), "a long, b long")
+            .distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -258,21 +313,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                  .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "members")
     reps = save(known.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
                 .select(F.col("doc_id").alias("id"), "n", "key", "buckets", "sig"), "reps")
-
-    def with_components(found: DataFrame) -> DataFrame:
-        part = save(components(found), "components")
-        return reps.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-
-    now = reps.withColumn("comp", F.col("id"))
-    first = now.select(F.explode("buckets").alias("bucket"), "id", "comp")
-    sure = save(confirmed(stars(first, now, F.min, percent), docs, k, percent), "sure")
-    now = with_components(sure)
-    more = save(confirmed(stars(mixed(now), now, F.max, percent), docs, k, percent), "sure")
+    sizes = save(rows.select("doc_id", "n"), "sizes")
+    remove(rows)
+    entries = save(shared(reps), "shared")
+    all_, reps = reps, save(reps.join(few(entries), "id", "left_semi"), "reps")
+    remove(all_)
+
+    alone = links.limit(0).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    first = entries.withColumn("comp", F.col("id"))
+    entries = entries.drop("hub")
+    sure = save(confirmed(stars(first, alone, reps, percent), docs, k, percent), "sure")
+    comps = save(components(sure), "components")
+    more = save(confirmed(stars(mixed(with_comp(entries, comps, "id", "comp")), comps, reps, percent), docs, k, percent), "sure")
     sure = save(sure.union(more), "sure")
-    now = with_components(sure)
-    rest = confirmed(blocks(mixed(now), now, docs, k, percent), docs, k, percent)
+    comps = save(components(sure), "components")
+    rest = confirmed(blocks(mixed(with_comp(entries, comps, "id", "comp")), reps, docs, k, percent), docs, k, percent)
     final = save(components(links.union(sure).union(rest)), "components")
     component = F.coalesce("component", "doc_id")
-    return (rows.select("doc_id", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return (sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                     (F.col("doc_id") == component).alias("kept")))

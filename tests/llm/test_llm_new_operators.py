@@ -237,6 +237,24 @@ def test_minhash_equals_brute_force(spark, monkeypatch, block):
     assert 6 < len({c for _, c in want.values()}) < len(docs) - 20  # neither all apart nor all linked
 
 
+def test_minhash_moves_few_sets(spark, monkeypatch):
+    """Buckets of one document are left out at once, and sets are made of documents alone whose signatures agree with another's."""
+    saved, save = {}, minhash.save
+    monkeypatch.setattr(minhash, "save", lambda df, name, *how: saved.setdefault(name, []).append(save(df, name, *how)) or saved[name][-1])
+    docs = []
+    for i in range(40):  # pairs of similarity 0.8 (near, but no links) and 0.6 (common buckets, but signatures differ)
+        text = [f"d{i}w{j}" for j in range(300)]
+        cut = 267 if i < 20 else 226
+        docs += [(2 * i + 1, " ".join(text)), (2 * i + 2, " ".join(text[:cut] + [w + "x" for w in text[cut:]]))]
+    docs += [(100 + i, " ".join(f"e{i}w{j}" for j in range(300))) for i in range(40)]
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 5, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_links(docs, 5, 85)
+    entries = saved["shared"][0].groupBy("bucket").count()
+    assert entries.where("count < 2").count() == 0 and entries.count() > 200
+    compared = {r["id"] for r in saved["signed"][-1].collect()}
+    assert len(compared) > 60 and {r["id"] for r in saved["sets"][-1].collect()} == set(range(1, 41))
+
+
 def test_minhash_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op13_minhash(spark, SMALL).collect()}
