@@ -32,6 +32,7 @@ component; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomledger.llm.common import pieces, save
+from roomledger.llm.common import give_back, pieces, save
 from roomledger.llm.components import components
 from roomledger.llm.confirm import confirmed
 from roomledger.llm.hashing import WordKeys, mix, shingles
@@ -53,9 +54,11 @@ HEADS = 3
 RANGES = 256  # of the counted hashes, at least
 RANGE_HASHES = 2_000_000  # of a range of the counted hashes, about
 RUN_BYTES = 4_000_000  # of runs that are cut at a time
-POSTINGS = 1_000_000  # entries of a range of prefix shingles, about
+POSTINGS = 250_000  # entries of a range of prefix shingles, about
+DEALT_BYTES = 1_000_000  # of prefixes that are dealt at a time
 BLOCK = 4_096  # entries of a frequent shingle's list that are paired with as many
-PAIRS = 2_000_000  # compared at a time in a task
+PAIRS = 200_000  # compared, or held until they are handed on, at a time in a task
+OTHERS_BYTES = 1_000_000  # of prefixes under the other orders that are compared at a time
 SEEDS = [np.uint64(0xA0761D6478BD642F * (2 * j + 1) % (1 << 64)) for j in range(ORDERS + HEADS)]
 
 
@@ -90,11 +93,12 @@ def _count_runs(k: int):
         hasher = WordKeys()
         for batch in batches:
             for piece in pieces(batch, "text", COUNT_CHARS):
-                some = [s for part in pieces(piece, "text", PIECE_CHARS)
-                        for s in shingles(part.column("text").to_pylist(), k, hasher)]
-                h = np.sort(np.concatenate(some) >> np.uint64(32)).astype(np.int64) if some else np.empty(0, np.int64)
-                first = np.flatnonzero(np.diff(h, prepend=-1))
-                n, h = np.diff(first, append=len(h)), h[first]
+                h = np.concatenate([np.empty(0, np.uint32)] + [
+                    (s >> np.uint64(32)).astype(np.uint32) for part in pieces(piece, "text", PIECE_CHARS)
+                    for s in shingles(part.column("text").to_pylist(), k, hasher)])
+                h.sort()
+                first = np.flatnonzero(np.append(h[:1] == h[:1], h[1:] != h[:-1]))
+                n, h = np.diff(first, append=len(h)), h[first].astype(np.int64)
                 cut = np.searchsorted(h, np.arange(RANGES + 1) * WIDTH)
                 each = [slice(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -211,75 +215,90 @@ def _deal(ranges: int, hot):
     """Prefix entries by range of their shingles; those of frequent ones by pairs of blocks."""
     def run(batches):
         for batch in batches:
-            n = np.array(batch.column("n"), np.int64)
-            prefix = batch.column("prefix").to_pylist()
-            size = np.array([len(p) // 8 for p in prefix], np.int64)
-            token = np.frombuffer(b"".join(prefix), np.uint64)
-            at = np.repeat(np.arange(len(n)), size)
-            entry = np.zeros(len(token), ENTRY)
-            entry["token"], entry["n"] = token, n[at]
-            entry["rank"] = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            entry["id"] = np.array(batch.column("doc_id"), np.int64)[at]
-            entry["comp"] = np.array(batch.column("comp"), np.int64)[at]
-            count = counts_of(token, hot)
-            blocks = -(-count // BLOCK)
-            group = [(token % np.uint64(ranges)).astype(np.int64)]
-            rows, cell = [np.flatnonzero(blocks < 2)], []
-            cell.append(np.zeros(len(rows[0]), np.int64))
-            many = np.flatnonzero(blocks > 1)
-            if len(many):  # the block of an entry meets every other block in one cell
-                b = blocks[many]
-                mine = (mix(entry["id"][many].view(np.uint64)) % b.astype(np.uint64)).astype(np.int64)
-                again = np.repeat(np.arange(len(many)), b)
-                other = np.arange(b.sum()) - np.repeat(np.cumsum(b) - b, b)
-                lo, hi = np.minimum(mine[again], other), np.maximum(mine[again], other)
-                rows.append(many[again])
-                cell.append(1 + lo * b[again] + hi)
-            rows, cell = np.concatenate(rows), np.concatenate(cell)
-            order = np.lexsort((cell, group[0][rows]))
-            rows, cell = rows[order], cell[order]
-            g = group[0][rows]
-            cuts = np.flatnonzero(np.diff(g, prepend=-1) | np.diff(cell, prepend=-1))
-            ends = np.append(cuts[1:], len(rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g[cuts]), pa.array(cell[cuts]),
-                 pa.array([entry[rows[a:b]].tobytes() for a, b in zip(cuts.tolist(), ends.tolist())], pa.binary())],
-                names=["g", "cell", "entries"])
+            for piece in pieces(batch, "prefix", DEALT_BYTES):
+                n = np.array(piece.column("n"), np.int64)
+                prefix = piece.column("prefix").to_pylist()
+                size = np.array([len(p) // 8 for p in prefix], np.int64)
+                token = np.frombuffer(b"".join(prefix), np.uint64)
+                at = np.repeat(np.arange(len(n)), size)
+                entry = np.zeros(len(token), ENTRY)
+                entry["token"], entry["n"] = token, n[at]
+                entry["rank"] = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+                entry["id"] = np.array(piece.column("doc_id"), np.int64)[at]
+                entry["comp"] = np.array(piece.column("comp"), np.int64)[at]
+                count = counts_of(token, hot)
+                blocks = -(-count // BLOCK)
+                group = [(token % np.uint64(ranges)).astype(np.int64)]
+                rows, cell = [np.flatnonzero(blocks < 2)], []
+                cell.append(np.zeros(len(rows[0]), np.int64))
+                many = np.flatnonzero(blocks > 1)
+                if len(many):  # the block of an entry meets every other block in one cell
+                    b = blocks[many]
+                    mine = (mix(entry["id"][many].view(np.uint64)) % b.astype(np.uint64)).astype(np.int64)
+                    again = np.repeat(np.arange(len(many)), b)
+                    other = np.arange(b.sum()) - np.repeat(np.cumsum(b) - b, b)
+                    lo, hi = np.minimum(mine[again], other), np.maximum(mine[again], other)
+                    rows.append(many[again])
+                    cell.append(1 + lo * b[again] + hi)
+                rows, cell = np.concatenate(rows), np.concatenate(cell)
+                order = np.lexsort((cell, group[0][rows]))
+                rows, cell = rows[order], cell[order]
+                g = group[0][rows]
+                cuts = np.flatnonzero(np.diff(g, prepend=-1) | np.diff(cell, prepend=-1))
+                ends = np.append(cuts[1:], len(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g[cuts]), pa.array(cell[cuts]),
+                     pa.array([entry[rows[a:b]].tobytes() for a, b in zip(cuts.tolist(), ends.tolist())], pa.binary())],
+                    names=["g", "cell", "entries"])
     return run
 
 
 ENTRY = np.dtype([("token", "<u8"), ("id", "<i8"), ("comp", "<i8"), ("n", "<u4"), ("rank", "<u4")])
 
 
+def _distinct(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    """The different rows of arrays of two columns."""
+    p = np.concatenate(pairs)
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    p = p[np.append(p[:1, 0] == p[:1, 0], (p[1:] != p[:-1]).any(1))]
+    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+
 def _pairs(percent: int):
-    """Pairs of classes of different components that share a token and pass length and position filters."""
-    def run(key, table):
-        e = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
+    """Pairs of classes of different components that share a token and pass length and position filters.
+
+    Pairs are handed on when PAIRS of them are held, so a task's memory follows
+    its entries, not its pairs.
+    """
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for batch in batches for x in batch.column("entries")])
         e = e[np.lexsort((e["id"], e["token"]))]
         start = np.flatnonzero(np.diff(e["token"], prepend=e["token"][:1] + np.uint64(1)))
         end = np.append(start[1:], len(e))
         mixed = np.minimum.reduceat(e["comp"], start) != np.maximum.reduceat(e["comp"], start)
         keep = np.repeat(mixed, end - start)
-        last = np.repeat(end, end - start)[keep]
-        left = np.flatnonzero(keep)
-        todo = last - left - 1
+        e, size = e[keep], (end - start)[mixed]
+        todo = np.repeat(np.cumsum(size), size) - np.arange(len(e)) - 1
         done = np.cumsum(todo)
-        found = []
+        found = [np.empty((0, 2), np.int64)]
         at = 0
-        while at < len(left):
+        while at < len(e):
             to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, side="right")))
             t = todo[at:to]
-            x = np.repeat(left[at:to], t)
+            x = np.repeat(np.arange(at, to), t)
             y = x + 1 + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
             nx, ny = e["n"][x].astype(np.int64), e["n"][y].astype(np.int64)
             need = -(-percent * (nx + ny) // (100 + percent))
             most = 1 + np.minimum(nx - e["rank"][x], ny - e["rank"][y]) - 1
             ok = ((e["comp"][x] != e["comp"][y]) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
                   & (most >= need))
-            found.append(np.unique(np.stack([e["id"][x[ok]], e["id"][y[ok]]], 1), axis=0))
+            found.append(np.stack([e["id"][x[ok]], e["id"][y[ok]]], 1))  # by id: the smaller one first
+            if sum(map(len, found)) >= PAIRS:
+                yield _distinct(found)
+                found = found[:1]
             at = to
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pa.table({"a": np.minimum(pairs[:, 0], pairs[:, 1]), "b": np.maximum(pairs[:, 0], pairs[:, 1])})
+        yield _distinct(found)
+        give_back()
     return run
 
 
@@ -291,8 +310,9 @@ def _share_all(percent: int):
 
     def run(batches):
         for batch in batches:
-            ok = [meet(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for piece in pieces(batch, "x", OTHERS_BYTES):
+                ok = [meet(x, y) for x, y in zip(piece.column("x").to_pylist(), piece.column("y").to_pylist())]
+                yield piece.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
