@@ -175,14 +175,19 @@ def counts_of(tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return np.where(hot[0][at] == short, hot[1][at], 0)
 
 
-def ordered(tokens: np.ndarray, order: int, count: np.ndarray, most: int) -> np.ndarray:
-    """The first ``most`` of ``tokens`` by the global order: rare ones by hash, then frequent ones by count."""
-    rare = tokens[count == 0]
+def ordered(tokens: np.ndarray, order: int, count: np.ndarray, most: int, mixed: np.ndarray | None = None) -> np.ndarray:
+    """The first ``most`` of ``tokens`` by the global order: rare ones by hash, then frequent ones by count.
+
+    ``mixed`` are the order's hashes of ``tokens``, if they are known.
+    """
+    mixed = mix(tokens ^ SEEDS[order]) if mixed is None else mixed
+    rare = np.flatnonzero(count == 0)
     if len(rare) < most:
-        return tokens[np.lexsort((mix(tokens ^ SEEDS[order]), count))][:most]
-    h = mix(rare ^ SEEDS[order])
-    first = np.argpartition(h, most - 1)[:most]
-    return rare[first[np.argsort(h[first])]]
+        return tokens[np.lexsort((mixed, count))][:most]
+    if len(rare) < len(tokens):
+        tokens, mixed = tokens[rare], mixed[rare]
+    first = np.argpartition(mixed, most - 1)[:most]
+    return tokens[first[np.argsort(mixed[first])]]
 
 
 def _prefixes(k: int, percent: int, hot):
@@ -191,17 +196,22 @@ def _prefixes(k: int, percent: int, hot):
         for batch in batches:
             for piece in pieces(batch, "text", PIECE_CHARS):
                 sets = shingles(piece.column("text").to_pylist(), k, hasher)
-                counts = np.split(counts_of(np.concatenate(sets), hot), np.cumsum([len(s) for s in sets])[:-1])
-                rows = {"n": [], "key": [], "heads": [], "prefix": [], "others": []}
-                for s, c in zip(sets, counts):
-                    p = prefix_size(len(s), percent) if len(s) else 0
-                    rows["n"].append(len(s))
+                tokens, cut = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets]).tolist()
+                counts = counts_of(tokens, hot)
+                rows = {"n": [len(s) for s in sets], "key": [], "heads": [[] for _ in sets], "prefix": [], "others": []}
+                first = []  # by order and set
+                for j, seed in enumerate(SEEDS):
+                    h = mix(tokens ^ seed)
+                    if j < ORDERS:
+                        first.append([ordered(s, j, counts[a:b], prefix_size(len(s), percent), h[a:b]) if len(s) else s
+                                      for s, a, b in zip(sets, cut, cut[1:])])
+                        continue
+                    for s, heads, a, b in zip(sets, rows["heads"], cut, cut[1:]):
+                        heads.extend([int(s[np.argmin(h[a:b])].view(np.int64))] if len(s) else [])
+                for s, prefix, *others in zip(sets, *first):
                     rows["key"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    rows["heads"].append([int(s[np.argmin(mix(s ^ seed))].view(np.int64)) for seed in SEEDS[ORDERS:]]
-                                         if len(s) else [])
-                    rows["prefix"].append(ordered(s, 0, c, p).tobytes() if p else b"")
-                    rows["others"].append(b"".join(
-                        (ordered(s, j, c, p) >> np.uint64(32)).astype("<u4").tobytes() for j in range(1, ORDERS)) if p else b"")
+                    rows["prefix"].append(prefix.tobytes())
+                    rows["others"].append(b"".join((x >> np.uint64(32)).astype("<u4").tobytes() for x in others))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(rows["n"], pa.int64()), pa.array(rows["key"], pa.binary()),
                      pa.array(rows["heads"], pa.list_(pa.int64())), pa.array(rows["prefix"], pa.binary()),

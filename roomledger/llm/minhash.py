@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from roomledger.llm.common import give_back, pieces, remove, save
 from roomledger.llm.components import components
 from roomledger.llm.confirm import IDS_BROADCAST, confirmed
-from roomledger.llm.hashing import WordKeys, mix, shingles
+from roomledger.llm.hashing import RememberedKeys, mix, shingles
 
 BANDS = 40
 ROWS = 6
@@ -86,7 +86,7 @@ SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n",
 
 def _sign(k: int):
     def run(batches):
-        keys = WordKeys()
+        keys = RememberedKeys()
         for batch in batches:
             for piece in pieces(batch, "text", PIECE_CHARS):
                 sets = shingles(piece.column("text").to_pylist(), k, keys)
@@ -256,7 +256,7 @@ def _block_links(percent: int):
 def _sets(k: int):
     """The sorted shingle hashes of each text, with the key of their set."""
     def run(batches):
-        keys = WordKeys()
+        keys = RememberedKeys()
         for batch in batches:
             for piece in pieces(batch, "text", PIECE_CHARS):
                 some = [s.tobytes() for s in shingles(piece.column("text").to_pylist(), k, keys)]
