@@ -18,6 +18,7 @@ from roomledger.session import ensure_checkpoint_dir
 
 # Fixed by the contracts: Java regular expressions of their words.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
+FILE_ROWS = 10_000  # of a small table's file
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,9 +30,16 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read back."""
+def save(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return it as read back.
+
+    ``rows``, about how many there are, keeps a small table from being a file
+    for each shuffle partition: every file costs the executor child processes,
+    as Hadoop sets a local file's permissions by a command.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     path = work_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -32,7 +32,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     the other side holds each text once.
     """
     pairs = save(pairs.select("a", "b").distinct(), "pairs")
-    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids", rows=2 * pairs.count())
     ids = F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     return (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")

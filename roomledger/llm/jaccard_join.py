@@ -336,17 +336,18 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()),
         T.StructField("heads", T.ArrayType(T.LongType())), T.StructField("prefix", T.BinaryType()),
         T.StructField("others", T.BinaryType())])), "prefixes", "uncompressed")
+    docs_n = rows.count()
     known = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = save(known.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = save(known.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes", rows=docs_n)
     member = save(known.select("doc_id", "key").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")),
-                  "members")
+                  "members", rows=docs_n)
 
     # heads: a star from the smallest class of each first shingle
     reps = known.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
     heads = reps.select("doc_id", F.posexplode("heads").alias("order", "head"))
-    hubs = heads.groupBy("order", "head").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = save(heads.join(hubs, ["order", "head"]).where("doc_id != hub")
-                 .select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    hubs = save(heads.groupBy("order", "head").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"),
+                "hubs", rows=docs_n)  # apart, so that Spark can split a large group in the join
+    stars = heads.join(hubs, ["order", "head"]).where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
     sure = save(confirmed(stars, docs, k, percent), "sure")
     part = components(sure)
 
@@ -359,10 +360,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
              .mapInArrow(_deal(ranges, hot), "g long, cell long, entries binary"))
     candidates = save(dealt.groupBy("g", "cell").applyInArrow(_pairs(percent), "a long, b long").distinct(), "candidates")
     others = reps.select("doc_id", "others")
-    shared = save(candidates.join(others.select(F.col("doc_id").alias("a"), F.col("others").alias("x")), "a")
-                  .join(others.select(F.col("doc_id").alias("b"), F.col("others").alias("y")), "b")
-                  .mapInArrow(_share_all(percent), "a long, b long").distinct(), "shared")
+    shared = (candidates.join(others.select(F.col("doc_id").alias("a"), F.col("others").alias("x")), "a")
+              .join(others.select(F.col("doc_id").alias("b"), F.col("others").alias("y")), "b")
+              .mapInArrow(_share_all(percent), "a long, b long"))
     found = confirmed(shared, docs, k, percent)
-    final = save(components(sure.union(found).union(member.where("a != b"))), "components")
+    final = save(components(sure.union(found).union(member.where("a != b"))), "components", rows=docs_n)
     return (rows.select("doc_id", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
