@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,7 @@ from roomledger.session import ensure_checkpoint_dir
 # Fixed by the contracts: Java regular expressions of their words.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 FILE_ROWS = 10_000  # of a small table's file
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # of Spark 4.1
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +33,23 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Each query run here gives its shuffle files back when it ends.
+
+    Otherwise they stay until the driver happens to collect its garbage.
+    """
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def save(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read back.
 
@@ -41,7 +61,8 @@ def save(df: DataFrame, name: str, compression: str = "zstd", rows: int | None =
     if rows is not None:
         df = df.coalesce(1 + rows // FILE_ROWS)
     path = work_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    with freed_shuffles(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,6 +75,11 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def few(table: DataFrame, most: int) -> DataFrame:
+    """``table``, broadcast if it has ``most`` rows at most."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores put before it until no column has it."""
     taken = {c.lower() for c in df.columns}

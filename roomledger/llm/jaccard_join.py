@@ -8,8 +8,8 @@ shingle of both prefixes under every order.
 
 1. Shingles are counted over all texts (as 32-bit hashes, in sorted runs, over
    ranges whose number follows the total).
-   Those of ``total / HOT_MOST`` texts or more, hence at most ``HOT_MOST``, are
-   the frequent ones: the one thing that is broadcast.
+   Those of HOT_LEAST texts or more are the frequent ones, or the ``HOT_MOST``
+   at most that are in more texts: they are sent to all tasks.
 2. Texts of equal sets form a class; its smallest doc_id stands for it.
 3. Heads: under some orders by hash alone, classes with the same first shingle
    are checked against the smallest of them.  This links most of a large
@@ -32,7 +32,8 @@ component; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomledger.llm.common import give_back, pieces, save
+from roomledger.llm.common import few, give_back, pieces, remove, save
 from roomledger.llm.components import components
-from roomledger.llm.confirm import confirmed
+from roomledger.llm.confirm import compared, confirmed, in_passes
 from roomledger.llm.hashing import WordKeys, mix, shingles
 
 PIECE_CHARS = 1_000_000
 COUNT_CHARS = 12_000_000  # behind one row of counted runs
 HOT_LEAST = 64
 HOT_MOST = 1_000_000
+MARKS_BROADCAST = 1_000_000  # rows of doc_ids with their keys; beyond, the join is left to Spark
 ORDERS = 3
 HEADS = 3
 RANGES = 256  # of the counted hashes, at least
@@ -146,7 +148,8 @@ def counted(docs: DataFrame, k: int) -> tuple[DataFrame, int, int]:
 def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the frequent shingles, sorted, and in how many texts each is."""
     runs, total, parts = counted(docs, k)
-    least = max(HOT_LEAST, -(-total // HOT_MOST))
+    top = max(HOT_LEAST, -(-total // HOT_MOST))  # HOT_MOST at most are in so many texts
+    rare = HOT_LEAST
 
     def merge(key, table):
         r, j = divmod(key[0].as_py(), parts)
@@ -156,13 +159,27 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         h, n = h[order], n[order]
         first = np.flatnonzero(np.diff(h, prepend=-1))
         h, n = h[first], np.add.reduceat(n, first) if len(first) else n
-        return pa.table({"h": h[n >= least], "n": n[n >= least]})
+        return pa.table({"h": h[n >= rare], "n": n[n >= rare]})
 
-    hot = runs.groupBy("r").applyInArrow(merge, "h long, n long").toPandas()  # HOT_MOST rows at most
+    often = save(runs.groupBy("r").applyInArrow(merge, "h long, n long"), "often")
+    remove(runs)
+    hot = often.where(F.col("n") >= least_count(often, top)).toPandas()  # HOT_MOST rows at most
+    remove(often)
     hot = hot.sort_values("h")
     return hot["h"].to_numpy(np.uint32), hot["n"].to_numpy(np.int64)
 
 
+def least_count(often: DataFrame, top: int) -> int:
+    """The smallest count that HOT_MOST shingles at most reach; ``top`` is one of them."""
+    each = often.groupBy(F.least("n", F.lit(top)).alias("n")).count().orderBy(F.desc("n")).collect()
+    least = top
+    for r, total in zip(each, accumulate(r["count"] for r in each)):
+        if total > HOT_MOST:
+            break
+        least = r["n"]
+    return least
+
+
 # ---------------------------------------------------------------- prefixes
 
 def counts_of(tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -264,6 +281,54 @@ def _deal(ranges: int, hot):
 
 
 ENTRY = np.dtype([("token", "<u8"), ("id", "<i8"), ("comp", "<i8"), ("n", "<u4"), ("rank", "<u4")])
+HIGH = np.uint64(0xFFFFFFFF00000000)
+
+
+def _pack(entries: bytes) -> bytes:
+    """Entries of one range by id, for the shuffle: a plane for each byte of them that isn't always 0.
+
+    Tokens keep their high half, which with the range tells them apart but for
+    few that filters drop; ids are differences, and so are their components.
+    """
+    e = np.frombuffer(entries, ENTRY)
+    e = e[np.argsort(e["id"], kind="stable")]
+    e["token"] &= HIGH
+    e["comp"] = e["id"] - e["comp"]
+    first = e["id"][:1].tobytes()
+    e["id"] = np.diff(e["id"], prepend=e["id"][:1])
+    planes = e.view(np.uint8).reshape(-1, ENTRY.itemsize).T
+    some = planes.any(1)
+    return first + np.packbits(some).tobytes() + planes[some].tobytes()
+
+
+def _unpack(packed: bytes) -> bytes:
+    some = np.unpackbits(np.frombuffer(packed, np.uint8, ENTRY.itemsize // 8, 8)).astype(bool)
+    found = np.frombuffer(packed, np.uint8, offset=8 + ENTRY.itemsize // 8).reshape(some.sum(), -1)
+    planes = np.zeros((ENTRY.itemsize, found.shape[1]), np.uint8)
+    planes[some] = found
+    e = np.ascontiguousarray(planes.T).view(ENTRY)[:, 0]
+    e["id"] = np.frombuffer(packed, "<i8", 1) + np.cumsum(e["id"])
+    e["comp"] = e["id"] - e["comp"]
+    return e.tobytes()
+
+
+def _recoded(batches: Iterator[pa.RecordBatch], code: Callable[[bytes], bytes]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.names.index("entries")
+        yield batch.set_column(at, "entries", pa.array([code(x.as_py()) for x in batch.column(at)], pa.binary()))
+
+
+def _deal_packed(ranges: int, hot):
+    deal = _deal(ranges, hot)
+    return lambda batches: _recoded(deal(batches), _pack)
+
+
+def _pairs_packed(percent: int):
+    pairs = _pairs(percent)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pairs(key, _recoded(batches, _unpack))
+    return run
 
 
 def _distinct(pairs: list[np.ndarray]) -> pa.RecordBatch:
@@ -337,13 +402,14 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         T.StructField("heads", T.ArrayType(T.LongType())), T.StructField("prefix", T.BinaryType()),
         T.StructField("others", T.BinaryType())])), "prefixes", "uncompressed")
     docs_n = rows.count()
+    sizes = save(rows.select("doc_id", "n"), "sizes", rows=docs_n)
     known = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = save(known.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes", rows=docs_n)
-    member = save(known.select("doc_id", "key").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")),
-                  "members", rows=docs_n)
+    copies = save(known.select("doc_id", "key").join(classes, "key").where("doc_id != rep").distinct(), "copies", rows=docs_n)
+    remove(classes)
 
     # heads: a star from the smallest class of each first shingle
-    reps = known.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
+    reps = known.join(few(copies.select("doc_id", "key"), MARKS_BROADCAST), ["doc_id", "key"], "left_anti")
     heads = reps.select("doc_id", F.posexplode("heads").alias("order", "head"))
     hubs = save(heads.groupBy("order", "head").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"),
                 "hubs", rows=docs_n)  # apart, so that Spark can split a large group in the join
@@ -351,19 +417,23 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sure = save(confirmed(stars, docs, k, percent), "sure")
     part = components(sure)
 
-    # the join under the first order, then the filters of the other orders
-    total = reps.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
+    # the join under the first order, then the filters of the other orders; prefixes move at most once, by doc_id
+    total = known.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     ranges = max(1, int(total // POSTINGS) + 1, 16)
-    comp = F.coalesce("component", "doc_id").alias("comp")
-    dealt = (reps.select("doc_id", "n", "prefix").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-             .select("doc_id", "n", "prefix", comp)
-             .mapInArrow(_deal(ranges, hot), "g long, cell long, entries binary"))
-    candidates = save(dealt.groupBy("g", "cell").applyInArrow(_pairs(percent), "a long, b long").distinct(), "candidates")
-    others = reps.select("doc_id", "others")
-    shared = (candidates.join(others.select(F.col("doc_id").alias("a"), F.col("others").alias("x")), "a")
-              .join(others.select(F.col("doc_id").alias("b"), F.col("others").alias("y")), "b")
-              .mapInArrow(_share_all(percent), "a long, b long"))
-    found = confirmed(shared, docs, k, percent)
-    final = save(components(sure.union(found).union(member.where("a != b"))), "components", rows=docs_n)
-    return (rows.select("doc_id", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    marks = save(copies.select("doc_id", "key", F.lit(None).cast("long").alias("comp"))
+                 .union(part.select("node", F.lit(None).cast("binary"), "component"))
+                 .groupBy("doc_id").agg(F.collect_set("key").alias("gone"), F.max("comp").alias("comp")), "marks", rows=docs_n)
+    dealt = (known.select("doc_id", "n", "key", "prefix").join(few(marks, MARKS_BROADCAST), "doc_id", "left")
+             .where("gone IS NULL OR NOT array_contains(gone, key)")
+             .select("doc_id", "n", "prefix", F.coalesce("comp", "doc_id").alias("comp"))
+             .mapInArrow(_deal_packed(ranges, hot), "g long, cell long, entries binary"))
+    candidates = save(dealt.groupBy("g", "cell").applyInArrow(_pairs_packed(percent), "a long, b long").distinct(), "candidates")
+    others = known.select("doc_id", "others")
+    shared = save(in_passes(candidates, others, lambda pairs: pairs.mapInArrow(_share_all(percent), "a long, b long").distinct()),
+                  "pairs")
+    for table in (rows, candidates, marks):
+        remove(table)
+    found = compared(shared, docs, k, percent)
+    final = save(components(sure.union(found).union(copies.select("doc_id", "rep"))), "components", rows=docs_n)
+    return (sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
